@@ -214,3 +214,29 @@ for _src, _dep in (("clean", "clean"), ("joined", "joined")):
 
 # the full feature table
 view("feat", ("evo_joined",), "select * from evo_joined")
+
+# --- splits and encoders -------------------------------------------------------
+
+view("featsplit", ("feat",), """
+select *, case when Year <= 2024 then 'train' when Year = 2025 and RoundNumber <= 10 then 'val'
+  when Year = 2025 and RoundNumber > 10 then 'test' end as split
+from feat""")
+
+view("vocab", ("featsplit",), """
+select c, cast(row_number() over (order by c) - 1 as int) as code
+from (select distinct Compound as c from featsplit where split = 'train' and Compound is not null
+      union select 'UNKNOWN') x""")
+
+view("tdf", ("featsplit", "vocab"), """
+select f.*, Sector1Time / nullif(LapTime, 0) as sector_1_pct, Sector2Time / nullif(LapTime, 0) as sector_2_pct,
+  Sector3Time / nullif(LapTime, 0) as sector_3_pct,
+  coalesce(v.code, (select code from vocab where c = 'UNKNOWN')) as compound_encoded
+from featsplit f
+left join vocab v on v.c = coalesce(f.Compound, 'UNKNOWN')""")
+
+view("tlf", ("featsplit",), """
+select f.*, Sector1Time / nullif(LapTime, 0) as sector_1_pct, Sector2Time / nullif(LapTime, 0) as sector_2_pct,
+  Sector3Time / nullif(LapTime, 0) as sector_3_pct,
+  cast(case upper(coalesce(Compound, 'UNKNOWN')) when 'HARD' then 0 when 'INTERMEDIATE' then 1 when 'MEDIUM' then 2
+    when 'SOFT' then 3 when 'WET' then 4 when 'UNKNOWN' then 2 else 2 end as int) as compound_encoded
+from featsplit f""")
