@@ -66,7 +66,7 @@ def add_fuel_correction(
             F.when(stint_ok, F.first("lap_time_corrected", ignorenulls=True).over(ws_all)),
         )
         .withColumn(K.TARGET, F.col("lap_time_corrected") - F.col("stint_lap1_corrected"))
-        .withColumn("stint_lap_number", F.when(stint_ok, F.row_number().over(ws) - 1))
+        .withColumn("stint_lap_number", F.when(stint_ok, (F.row_number().over(ws) - 1).cast("bigint")))
     )
     return out if keep_helpers else out.drop(*HELPER_COLS)
 

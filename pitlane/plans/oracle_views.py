@@ -240,3 +240,16 @@ select f.*, Sector1Time / nullif(LapTime, 0) as sector_1_pct, Sector2Time / null
   cast(case upper(coalesce(Compound, 'UNKNOWN')) when 'HARD' then 0 when 'INTERMEDIATE' then 1 when 'MEDIUM' then 2
     when 'SOFT' then 3 when 'WET' then 4 when 'UNKNOWN' then 2 else 2 end as int) as compound_encoded
 from featsplit f""")
+
+# --- predictions for the metric checks ----------------------------------------------
+
+view("fit", ("featsplit",), """
+select regr_intercept(lap_time_delta_fuel_corrected, stint_lap_number) as a,
+  regr_slope(lap_time_delta_fuel_corrected, stint_lap_number) as b,
+  avg(lap_time_delta_fuel_corrected) as ybar
+from featsplit where split = 'train'""")
+
+view("pred", ("featsplit", "fit"), """
+select f.*, fit.a + fit.b * f.stint_lap_number as pred, fit.ybar as pred_mean
+from featsplit f, fit
+where f.lap_time_delta_fuel_corrected is not null and f.stint_lap_number is not null""")

@@ -177,7 +177,7 @@ def q_fuel_correction(spark, sf):
 @register(
     "stint_delta",
     oracle="""select Year, RoundNumber, Driver, LapNumber, Stint, lap_time_delta_fuel_corrected,
-  cast(stint_lap_number as int) as stint_lap_number from tgt_clean""",
+  stint_lap_number from tgt_clean""",
     doubles=("lap_time_delta_fuel_corrected",),
 )
 def q_stint_delta(spark, sf):
@@ -221,7 +221,7 @@ FEAT_DBL = tuple(c for c in FEAT_OUT if c not in (
 
 @register(
     "feature_table",
-    oracle=f"select {', '.join(c if c != 'stint_lap_number' else 'cast(stint_lap_number as int) as stint_lap_number' for c in FEAT_OUT)} from feat",
+    oracle=f"select {', '.join(FEAT_OUT)} from feat",
     doubles=FEAT_DBL,
 )
 def q_feature_table(spark, sf):
