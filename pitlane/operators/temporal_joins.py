@@ -5,8 +5,8 @@ DataFrame operators so they plan as hash exchanges + sorts, never as a
 nested-loop or cartesian join:
 
 * J2 ``asof_nearest``: tag-union of both sides, one window per group key
-  ordered by time, ``last(..., ignorenulls)`` looking back and
-  ``first(..., ignorenulls)`` looking forward. Both windows share one sort.
+  ordered by time, a running ``last(..., ignorenulls)`` looking back and
+  the same over the reverse order looking forward (one exchange, two sorts).
 * J3 ``assign_intervals``: lap intervals ``[start, next start)`` tile each
   driver's time line. Each interval is expanded to the fixed-width time
   buckets it touches; samples join on (keys, bucket) and keep the interval
@@ -57,16 +57,26 @@ def asof_nearest(
         *by, "__t", F.lit(0).alias("__side"), F.lit(None).cast(lt.schema[_L].dataType).alias(_L), _R,
     )
     u = lt.unionByName(rt)
-    # right rows sort before left rows of equal time, so an exact match is "backward"
-    w = Window.partitionBy(*by).orderBy(F.col("__t").asc_nulls_last(), "__side")
-    back_w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd_w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backward: running last() in time order, right rows before left rows of
+    # equal time (an exact match counts as backward). Forward: the same
+    # running last() over the reverse time order. Both frames are
+    # "unbounded preceding .. current row", which Spark evaluates
+    # incrementally; a "current .. unbounded following" frame would be
+    # re-aggregated for every row (quadratic per group).
+    back_w = (
+        Window.partitionBy(*by).orderBy(F.col("__t").asc_nulls_last(), F.col("__side").asc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    fwd_w = (
+        Window.partitionBy(*by).orderBy(F.col("__t").desc_nulls_last(), F.col("__side").asc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     whole = Window.partitionBy(*by)
     rv = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), F.col(_R).alias("v")))
     tagged = u.select(
         "__t", "__side", _L,
         F.last(rv, ignorenulls=True).over(back_w).alias("__b"),
-        F.first(rv, ignorenulls=True).over(fwd_w).alias("__f"),
+        F.last(rv, ignorenulls=True).over(fwd_w).alias("__f"),
         F.max(F.when(F.col("__side") == 0, 1).otherwise(0)).over(whole).alias("__has_r"),
     )
     out = tagged.where(F.col("__side") == 1)
@@ -125,8 +135,11 @@ def assign_intervals(
         )
     )
     sm = samples.where(F.col(sample_t).isNotNull()).withColumn("__b", F.floor(F.col(sample_t) / bucket))
+    # Shuffled hash join building on the interval side: samples stream
+    # through unsorted, and the sample side is never broadcast (size
+    # estimates through a generator undercount it badly).
     return (
-        sm.join(lp, [*by, "__b"], "inner")
+        sm.join(lp.hint("shuffle_hash"), [*by, "__b"], "inner")
         .where((F.col(sample_t) >= F.col("__s")) & (F.col(sample_t) < F.col("__e")))
         .drop("__b", "__s", "__e")
     )

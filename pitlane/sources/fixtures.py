@@ -43,9 +43,14 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lap (FIXTURES view ``laps``)."""
-    b = base(spark, sf_dir).withColumn("drv", F.col("user_id") % 10)
-    ln_w = Window.partitionBy("Year", "RoundNumber", "drv").orderBy("us", "event_id")
-    c = b.withColumn("ln", F.row_number().over(ln_w))
+    b = base(spark, sf_dir).withColumns({
+        "drv": F.col("user_id") % 10,
+        "DriverNumber": (F.col("user_id") % 10).cast("string"),
+    })
+    # partitioned by the (race, driver) keys the lap consumers use, so the
+    # driver-level windows downstream need no further exchange
+    ln_w = Window.partitionBy("Year", "RoundNumber", "DriverNumber").orderBy("us", "event_id")
+    c = b.withColumns({"ln": F.row_number().over(ln_w), "next_us": F.lead("us").over(ln_w)})
     eid = F.col("event_id")
     ln = F.col("ln")
     stint0 = F.floor((ln - 1) / STINT_LEN)
@@ -67,7 +72,7 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("RoundNumber").cast("int").alias("RoundNumber"),
         F.concat(F.lit("GP"), F.col("RoundNumber").cast("string")).alias("EventName"),
         F.concat(F.lit("D"), F.col("drv").cast("string")).alias("Driver"),
-        F.col("drv").cast("string").alias("DriverNumber"),
+        "DriverNumber",
         F.concat(F.lit("T"), (F.col("user_id") % 5).cast("string")).alias("Team"),
         ln.cast("int").alias("LapNumber"),
         F.when(eid % 97 == 0, F.lit(None).cast("int")).otherwise((stint0 + 1).cast("int")).alias("Stint"),
@@ -81,6 +86,7 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 71 == 0, F.lit(None).cast("double"))
         .otherwise((F.col("us") % 86_400_000_000).cast("double") / dbl(1_000_000)).alias("LapStartTime"),
         F.col("us").alias("lap_start_us"),
+        F.col("next_us").alias("next_lap_start_us"),
         F.when(lap_in_stint == STINT_LEN - 1, dbl(1)).alias("PitInTime"),
         F.when((lap_in_stint == 0) & (ln > 1), dbl(1)).alias("PitOutTime"),
         F.when(eid % 53 == 0, F.lit(True)).when(eid % 59 == 0, F.lit(None).cast("boolean"))
@@ -112,11 +118,10 @@ def samples(spark: SparkSession, sf_dir: str, lap_df: DataFrame | None = None) -
     ``explode(sequence)`` - no join.
     """
     lp = lap_df if lap_df is not None else laps(spark, sf_dir)
-    w = Window.partitionBy("Year", "RoundNumber", "DriverNumber").orderBy("LapNumber")
     n = lp.select(
         "Year", "RoundNumber", "DriverNumber", "event_id",
         F.col("lap_start_us").alias("us0"),
-        F.lead("lap_start_us").over(w).alias("us1"),
+        F.col("next_lap_start_us").alias("us1"),
     ).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3) + F.col("event_id") % 5)))
     eid, i = F.col("event_id"), F.col("i")
     span = F.coalesce(F.col("us1") - F.col("us0"), F.lit(LAST_LAP_SPAN_US).cast("bigint"))
