@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from pitlane import constants as K
 from pitlane.operators import encode as enc
 from pitlane.operators import metrics as M
-from pitlane.plans.feature_table import feature_table_from_testdata
+from pitlane.plans.store import feature_store
 from pitlane.plans.q_laps import FEAT_OUT
 from pitlane.plans.registry import register
 from pitlane.sources import scan
@@ -19,7 +19,7 @@ T = K.TARGET
 def scored(spark, sf):
     """Feature table with split, the train-fitted line as ``pred`` and the train
     mean as ``pred_mean``; rows with a null target or position dropped (P6)."""
-    df = enc.temporal_split(feature_table_from_testdata(spark, sf)).na.drop(subset=[T, "stint_lap_number"])
+    df = enc.temporal_split(feature_store(spark, sf)).na.drop(subset=[T, "stint_lap_number"])
     fit = M.fit_line(df.where(F.col("split") == "train"))
     return M.predict_line(df, fit).withColumn("pred_mean", F.lit(fit["ybar"]).cast("double"))
 
@@ -31,7 +31,7 @@ def scored(spark, sf):
 )
 def q_target_stats(spark, sf):
     """A4: target mean, sample std, max."""
-    return M.target_stats(feature_table_from_testdata(spark, sf))
+    return M.target_stats(feature_store(spark, sf))
 
 
 _NULL_COLS = FEAT_OUT
@@ -47,7 +47,7 @@ _NULL_COLS = FEAT_OUT
 )
 def q_null_rates(spark, sf):
     """A5/L3: top-10 null rates of the feature table."""
-    return M.null_rates(feature_table_from_testdata(spark, sf).select(*_NULL_COLS), 10)
+    return M.null_rates(feature_store(spark, sf).select(*_NULL_COLS), 10)
 
 
 @register(
@@ -64,7 +64,7 @@ union all select field, cast(row_number() over (partition by field order by valu
 )
 def q_filters(spark, sf):
     """Sorted distinct Year, EventName, Driver, Compound (long form)."""
-    return M.filter_values(feature_table_from_testdata(spark, sf))
+    return M.filter_values(feature_store(spark, sf))
 
 
 @register(
@@ -78,7 +78,7 @@ from feat""",
 )
 def q_filters_summary(spark, sf):
     """Summary of the filter lists."""
-    return M.filters_summary(feature_table_from_testdata(spark, sf))
+    return M.filters_summary(feature_store(spark, sf))
 
 
 EXPLORE_SQL = f"""
@@ -91,7 +91,7 @@ EXPLORE_DBL = ("lap_time_delta_fuel_corrected", "TrackTemp", "AirTemp")
 @register("explore", oracle=EXPLORE_SQL, doubles=EXPLORE_DBL)
 def q_explore(spark, sf):
     """Explorer columns, year + compound filter, sorted, first 2000."""
-    df = scan.explorer_scan(feature_table_from_testdata(spark, sf))
+    df = scan.explorer_scan(feature_store(spark, sf))
     return M.explore(df, year=2024, compound="MEDIUM", limit=2000)
 
 
@@ -107,7 +107,7 @@ from (select * from e where pos <= 2000) q""",
 )
 def q_slice_summary(spark, sf):
     """A10: summary of an explorer slice (driver D3)."""
-    rows = M.explore(feature_table_from_testdata(spark, sf), driver="D3", limit=2000)
+    rows = M.explore(feature_store(spark, sf), driver="D3", limit=2000)
     w = Window.orderBy(*[F.col(c).asc_nulls_last() for c in ("Driver", "Stint", "stint_lap_number", "Year", "RoundNumber", "LapNumber")])
     return M.slice_summary(rows.withColumn("__pos", F.row_number().over(w)))
 
@@ -225,7 +225,7 @@ def q_pred_actual_limits(spark, sf):
 )
 def q_split_counts(spark, sf):
     """Rows per split and matrix width."""
-    return M.split_counts(enc.temporal_split(feature_table_from_testdata(spark, sf)), len(K.MODEL_FEATURES))
+    return M.split_counts(enc.temporal_split(feature_store(spark, sf)), len(K.MODEL_FEATURES))
 
 
 @register(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitlane import constants as K
 from pitlane.operators import encode as enc
-from pitlane.plans.feature_table import feature_table_from_testdata
+from pitlane.plans.store import feature_store
 from pitlane.plans.registry import register
 
 KEY = ["Year", "RoundNumber", "Driver", "LapNumber"]
@@ -15,7 +15,7 @@ TL_FEATS = K.SEQUENCE_FEATURES
 
 
 def split_features(spark, sf):
-    return enc.temporal_split(feature_table_from_testdata(spark, sf))
+    return enc.temporal_split(feature_store(spark, sf))
 
 
 @register("temporal_split", oracle="select Year, RoundNumber, Driver, LapNumber, split from featsplit")
@@ -36,7 +36,7 @@ from feat f join r on f.Year = r.Year and f.RoundNumber = r.RoundNumber""",
 )
 def q_round_split(spark, sf):
     """E1 smoke-test form: distinct races 60/20/20."""
-    return enc.temporal_split(feature_table_from_testdata(spark, sf), smoke_test=True).select(*KEY, "split")
+    return enc.temporal_split(feature_store(spark, sf), smoke_test=True).select(*KEY, "split")
 
 
 @register(
@@ -46,7 +46,7 @@ def q_round_split(spark, sf):
 )
 def q_sector_share(spark, sf):
     """sector time / lap time, zero lap time -> null."""
-    return enc.add_sector_fractions(feature_table_from_testdata(spark, sf)).select(
+    return enc.add_sector_fractions(feature_store(spark, sf)).select(
         *KEY, "sector_1_pct", "sector_2_pct", "sector_3_pct")
 
 
@@ -61,7 +61,7 @@ def q_compound_code(spark, sf):
 @register("compound_code_fixed", oracle="select Year, RoundNumber, Driver, LapNumber, compound_encoded from tlf")
 def q_compound_code_fixed(spark, sf):
     """fixed compound codes (HARD 0 ... WET 4, other 2)."""
-    return enc.add_fixed_compound_code(feature_table_from_testdata(spark, sf)).select(*KEY, "compound_encoded")
+    return enc.add_fixed_compound_code(feature_store(spark, sf)).select(*KEY, "compound_encoded")
 
 
 @register(

@@ -104,12 +104,14 @@ def schedule_races(schedule: DataFrame, rounds: list[int] | None = None,
     )
 
 
-def write_by_race(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One Parquet partition per race; dynamic overwrite replaces only
-    the races present in ``df``."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode(mode).partitionBy(*RACE_PARTITIONS).parquet(path)
+def write_by_race(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = True) -> None:
+    """One Parquet partition per race; with ``dynamic`` an overwrite
+    replaces only the races present in ``df`` (a writer option, the session
+    setting is left alone)."""
+    w = df.write.mode(mode).partitionBy(*RACE_PARTITIONS)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
 
 
 def written_races(spark: SparkSession, path: str) -> DataFrame:
