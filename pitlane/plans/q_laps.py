@@ -347,3 +347,20 @@ def q_telemetry_fill_rate(spark, sf):
 
 
 __all__ = ["build_feature_table", "driver_number_str"]
+
+
+# --- flagship ------------------------------------------------------------------
+
+@register(
+    "degradation_by_compound",
+    oracle=f"""select coalesce(Compound, 'UNKNOWN') as Compound, stint_lap_number, count(*) as n_laps,
+  avg({K.TARGET}) as mean_delta, max({K.TARGET}) as max_delta
+from feat where stint_lap_number is not null group by 1, 2""",
+    doubles=("mean_delta", "max_delta"),
+)
+def q_degradation_by_compound(spark, sf):
+    """Flagship: the whole feature build, then mean/max fuel-corrected delta per
+    compound and stint lap."""
+    df = feature_table_from_testdata(spark, sf).where(F.col("stint_lap_number").isNotNull())
+    return df.groupBy(F.coalesce(F.col("Compound"), F.lit(K.UNKNOWN_COMPOUND)).alias("Compound"), "stint_lap_number").agg(
+        F.count(F.lit(1)).alias("n_laps"), F.avg(K.TARGET).alias("mean_delta"), F.max(K.TARGET).alias("max_delta"))
