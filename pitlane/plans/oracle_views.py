@@ -112,6 +112,8 @@ def with_views(body: str, *names: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} as (\n{VIEWS[n][1]}\n)" for n in order)
     b = body.strip()
+    if b[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{b[15:]}"
     if b[:5].lower() == "with ":
         return f"with {ctes},\n{b[5:]}"
     return f"with {ctes}\n{b}"
