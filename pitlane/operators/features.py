@@ -55,19 +55,23 @@ def add_fuel_correction(
     ws = stint_window()
     ws_all = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stint_ok = keys_present(K.STINT_KEYS)
-    out = (
-        df.withColumn("race_total_laps", F.max("LapNumber").over(race_window()))
-        .withColumn("start_fuel_kg", F.col("race_total_laps") * F.lit(burn))
-        .withColumn("fuel_load_kg", fuel_load(F.col("race_total_laps"), F.col("LapNumber"), burn))
-        .withColumn("fuel_time_effect_s", F.col("fuel_load_kg") * F.lit(effect))
-        .withColumn("lap_time_corrected", corrected_time(F.col("LapTime"), F.col("fuel_load_kg"), effect, fuel_sign))
-        .withColumn(
-            "stint_lap1_corrected",
-            F.when(stint_ok, F.first("lap_time_corrected", ignorenulls=True).over(ws_all)),
-        )
-        .withColumn(K.TARGET, F.col("lap_time_corrected") - F.col("stint_lap1_corrected"))
-        .withColumn("stint_lap_number", F.when(stint_ok, (F.row_number().over(ws) - 1).cast("bigint")))
-    )
+    race_laps = F.max("LapNumber").over(race_window())
+    fuel = fuel_load(race_laps, F.col("LapNumber"), burn)
+    # stage 1: race-level window and the per-lap arithmetic on it
+    out = df.withColumns({
+        "race_total_laps": race_laps,
+        "start_fuel_kg": race_laps * F.lit(burn),
+        "fuel_load_kg": fuel,
+        "fuel_time_effect_s": fuel * F.lit(effect),
+        "lap_time_corrected": corrected_time(F.col("LapTime"), fuel, effect, fuel_sign),
+    })
+    # stage 2: the stint windows (one sort on ws)
+    lap1 = F.when(stint_ok, F.first("lap_time_corrected", ignorenulls=True).over(ws_all))
+    out = out.withColumns({
+        "stint_lap1_corrected": lap1,
+        K.TARGET: F.col("lap_time_corrected") - lap1,
+        "stint_lap_number": F.when(stint_ok, (F.row_number().over(ws) - 1).cast("bigint")),
+    })
     return out if keep_helpers else out.drop(*HELPER_COLS)
 
 
@@ -79,10 +83,7 @@ def add_rolling_features(df: DataFrame, target: str = K.TARGET) -> DataFrame:
     rate = F.avg(target).over(ws.rowsBetween(-2, Window.currentRow))
     return (
         df.withColumn("deg_rate_last_3", F.when(stint_ok, rate))
-        .withColumn(
-            "deg_acceleration",
-            F.when(stint_ok, F.col("deg_rate_last_3") - F.lag("deg_rate_last_3").over(ws)),
-        )
+        .withColumn("deg_acceleration", F.when(stint_ok, F.col("deg_rate_last_3") - F.lag("deg_rate_last_3").over(ws)))
     )
 
 

@@ -126,14 +126,15 @@ def normalise_keys(df: DataFrame) -> DataFrame:
 
 
 def join_telemetry(laps: DataFrame, telemetry: DataFrame | None,
-                   order: list[Column | str] | None = None) -> DataFrame:
+                   order: list[Column | str] | None = None, unique_keys: bool = False) -> DataFrame:
     """Laps left-join per-lap telemetry on the lap keys.
 
     No telemetry source (``None`` or a frame without columns) returns the
     laps unchanged, without telemetry columns. The right side is reduced to
     the keys + telemetry columns and deduplicated first (D1). Null keys never
     match. Join strategy is left to Catalyst/AQE (broadcast when the
-    measured side is small, sort-merge otherwise).
+    measured side is small, sort-merge otherwise). ``unique_keys`` skips the
+    dedup window when the right side is known to be one row per lap.
     """
     if telemetry is None or not telemetry.columns:
         return laps
@@ -142,8 +143,10 @@ def join_telemetry(laps: DataFrame, telemetry: DataFrame | None,
     tel_cols = K.LAP_JOIN_KEYS + [c for c in K.TELEMETRY_COLS if c in tel_n.columns and c not in laps_n.columns]
     # default order: the value columns, so the kept duplicate is deterministic
     value_cols = [c for c in tel_cols if c not in K.LAP_JOIN_KEYS]
-    tel = dedup_first(tel_n.select(*tel_cols), K.LAP_JOIN_KEYS,
-                      order or [F.col(c).asc_nulls_last() for c in value_cols] or [F.lit(1)])
+    tel = tel_n.select(*tel_cols)
+    if not unique_keys:  # the per-lap aggregate of this library is already unique per key
+        tel = dedup_first(tel, K.LAP_JOIN_KEYS,
+                          order or [F.col(c).asc_nulls_last() for c in value_cols] or [F.lit(1)])
     return laps_n.join(tel, K.LAP_JOIN_KEYS, "left")
 
 

@@ -34,11 +34,14 @@ def attach_weather(laps: DataFrame, weather: DataFrame | None) -> DataFrame:
     return asof_nearest(laps, weather, K.RACE_KEYS, "LapStartTime", "Time", cols)
 
 
-def lap_telemetry(laps: DataFrame, samples: DataFrame | None) -> DataFrame | None:
-    """A1 over J3: per-lap telemetry of every lap of the session."""
+def lap_telemetry(laps: DataFrame, samples: DataFrame | None, keys: list[str] | None = None) -> DataFrame | None:
+    """A1 over J3: per-lap telemetry of every lap of the session (grouped by
+    ``keys``; the lap join keys by default, one row per lap)."""
     if samples is None or not samples.columns:
         return None
-    return telemetry_per_lap(assign_samples_to_laps(samples, laps))
+    keys = keys or K.LAP_JOIN_KEYS
+    return telemetry_per_lap(assign_samples_to_laps(samples, laps, lap_cols=[k for k in keys if k not in (
+        "Year", "RoundNumber", "DriverNumber")]), keys=keys)
 
 
 def build_feature_table(
@@ -48,10 +51,11 @@ def build_feature_table(
     telemetry: DataFrame | None = None,
     fuel_sign: int = 1,
 ) -> DataFrame:
-    tel = telemetry if telemetry is not None else lap_telemetry(laps, samples)
+    own = telemetry is None
+    tel = telemetry if not own else lap_telemetry(laps, samples)
     df = attach_weather(laps, weather)
     df = clean_laps(df)
-    df = join_telemetry(df, tel)
+    df = join_telemetry(df, tel, unique_keys=own)
     df = add_fuel_correction(df, fuel_sign=fuel_sign)
     df = add_rolling_features(df)
     df = add_track_evolution(df)
