@@ -10,6 +10,7 @@ medians, scalers, model fits) do not recompute the joins and windows.
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,14 +20,24 @@ from pitlane.sources import scan
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(p))
+    except Exception:  # noqa: BLE001 - no JVM gateway: only local paths can be checked
+        return os.path.exists(path.removeprefix("file:"))
+
+
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", "app")
 
 
 def store_path(spark: SparkSession, sf_dir: str, name: str = "features") -> str:
-    app = spark.sparkContext.applicationId
+    app = _app_id(spark)
     tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
     return f"{checkpoint_dir(spark).rstrip('/')}/pitlane-store/{app}/{name}-{tag}"
 
