@@ -162,6 +162,25 @@ def compound_code(df: DataFrame, vocab: list[str], col: str = "Compound", out: s
     return df.withColumn(out, F.coalesce(F.try_element_at(m, name), F.lit(unk)).cast("int"))
 
 
+def baseline_compound_code(df: DataFrame, train_vocab: list[str], col: str = "Compound",
+                           out: str = "compound_encoded") -> DataFrame:
+    """the baseline's own label codes: null -> UNKNOWN, index in the sorted
+    train classes (null -> UNKNOWN included when present), an unseen value ->
+    class 0."""
+    m = F.create_map(*[x for i, v in enumerate(train_vocab) for x in (F.lit(v), F.lit(i))])
+    name = F.coalesce(F.col(col).cast("string"), F.lit(K.UNKNOWN_COMPOUND))
+    return df.withColumn(out, F.coalesce(F.try_element_at(m, name), F.lit(0)).cast("int"))
+
+
+def fit_baseline_classes(train: DataFrame, col: str = "Compound") -> list[str]:
+    """Sorted distinct train values with null as UNKNOWN (size-checked)."""
+    vals = (train.select(F.coalesce(F.col(col).cast("string"), F.lit(K.UNKNOWN_COMPOUND)).alias("c"))
+            .distinct().limit(MAX_VOCAB + 1).collect())
+    if len(vals) > MAX_VOCAB:
+        raise ValueError(f"class list above {MAX_VOCAB} values")
+    return sorted(r["c"] for r in vals)
+
+
 def add_fixed_compound_code(df: DataFrame, col: str = "Compound", out: str = "compound_encoded") -> DataFrame:
     """F5 on a table; an existing code column wins."""
     given = F.col(out) if out in df.columns else None

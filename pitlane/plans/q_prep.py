@@ -170,3 +170,31 @@ def q_split_rounds(spark, sf):
 def q_train_val_union(spark, sf):
     """Train + val rows for the final fit."""
     return enc.train_val(split_features(spark, sf)).select(*KEY, "split")
+
+
+@register(
+    "baseline_compound_code",
+    oracle="""
+with v as (select c, cast(row_number() over (order by c) - 1 as int) as code
+           from (select distinct coalesce(Compound, 'UNKNOWN') as c from featsplit where split = 'train') x)
+select f.Year, f.RoundNumber, f.Driver, f.LapNumber, f.split, coalesce(v.code, 0) as compound_encoded
+from featsplit f left join v on v.c = coalesce(f.Compound, 'UNKNOWN')""",
+)
+def q_baseline_compound_code(spark, sf):
+    """baseline label codes fitted on train; null -> UNKNOWN, unseen -> 0."""
+    df = split_features(spark, sf)
+    classes = enc.fit_baseline_classes(df.where(F.col("split") == "train"))
+    return enc.baseline_compound_code(df, classes).select(*KEY, "split", "compound_encoded")
+
+
+@register(
+    "race_scan",
+    oracle="""select Year, RoundNumber, Driver, LapNumber, stint_lap_number, lap_time_delta_fuel_corrected
+from feat where Year = 2024 and RoundNumber = 3""",
+    doubles=("lap_time_delta_fuel_corrected",),
+)
+def q_race_scan(spark, sf):
+    """One race read from the race-partitioned feature table (partition pruning)."""
+    from pitlane.sources import scan
+    return scan.race_scan(feature_store(spark, sf), 2024, 3).select(
+        "Year", "RoundNumber", "Driver", "LapNumber", "stint_lap_number", "lap_time_delta_fuel_corrected")
