@@ -62,19 +62,22 @@ w as (select Year, RoundNumber, ts, cast(20 as double) + cast(event_id % 100 as
       from base where event_id % 10 = 3),
 j as (select l.event_id, l.Year, l.RoundNumber, l.ts, arg_max(struct_pack(AirTemp := w.AirTemp, TrackTemp := w.TrackTemp,
         WindSpeed := w.WindSpeed), w.ts) as wx
-      from l join w on l.Year = w.Year and l.RoundNumber = w.RoundNumber and w.ts <= l.ts
+      from l left join w on l.Year = w.Year and l.RoundNumber = w.RoundNumber and w.ts <= l.ts
         and w.ts >= l.ts - interval 10 minutes
       group by l.event_id, l.Year, l.RoundNumber, l.ts),
 wm as (select max(ts) - interval 3 minutes as w from w)
 select event_id, Year, RoundNumber, epoch_us(ts) as lap_us, wx.AirTemp as AirTemp, wx.TrackTemp as TrackTemp,
   wx.WindSpeed as WindSpeed
-from j where ts < (select w from wm)""",
+from j where (wx is not null and ts < (select w from wm))
+   or (wx is null and ts < (select w from wm) - interval 10 minutes)""",
     doubles=("AirTemp", "TrackTemp", "WindSpeed"),
 )
 def q_stream_latest_weather(spark, sf):
     """ST3: latest weather at or before each lap start within 10 minutes
-    (stream-stream interval join + max_by), appended once final: the global
-    watermark is the slower input's (weather) latest time minus 3 minutes."""
+    (stream-stream left outer interval join + max_by), appended once final:
+    the global watermark is the slower input's (weather) latest time minus 3
+    minutes; a lap with a reading is final once the watermark passes it, a
+    lap without one once the watermark passes it plus the look-back."""
     ev = ST.read_events_stream(spark, _src(sf))
     laps = ST.read_events_stream(spark, _src(sf)).select("event_id", "Year", "RoundNumber", F.col("ts").alias("lap_ts"))
     out, ck = _scratch(spark, "st3-out"), _scratch(spark, "st3-ck")
