@@ -17,7 +17,7 @@ nested-loop or cartesian join:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,7 @@ def asof_nearest(
     right_on: str,
     right_cols: list[str],
     drop_null_left_if_right: bool = True,
+    bucket: float | None = None,
 ) -> DataFrame:
     """Each left row takes the right row nearest in time within its ``by`` group.
 
@@ -40,7 +41,13 @@ def asof_nearest(
     with a null time are dropped when their group has right rows (as a
     sorted merge requires) and kept with null right columns otherwise. Right
     rows with a null time are ignored.
+
+    With ``bucket`` (a width on the time scale) the work is split by time
+    (see ``_asof_bucketed``), so a group holding a large share of all rows
+    is spread over many tasks.
     """
+    if bucket is not None:
+        return _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_left_if_right, bucket)
     lcols = left.columns
     rsel = [F.col(c) for c in right_cols]
     # duplicates of a right time: keep one deterministic row (the greatest)
@@ -97,6 +104,96 @@ def asof_nearest(
     )
 
 
+def _pick(t: Column, back: Column, fwd: Column) -> Column:
+    """Nearest of the two candidates (structs t, v); a tie goes backward."""
+    bd = t - back.getField("t")
+    fd = fwd.getField("t") - t
+    return (
+        F.when(t.isNull(), F.lit(None))
+        .when(back.isNull(), fwd.getField("v"))
+        .when(fwd.isNull(), back.getField("v"))
+        .when(bd <= fd, back.getField("v"))
+        .otherwise(fwd.getField("v"))
+    )
+
+
+def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_left_if_right, bucket):
+    """Two-level nearest as-of join.
+
+    1. Both sides get a time bucket; the tag-union is windowed per (keys,
+       bucket): the candidates inside the row's own bucket.
+    2. A per-bucket summary (for buckets with right rows: their first and
+       last right row; for buckets with left rows: a marker) is windowed per
+       key to find, for every left bucket, the last right row of an earlier
+       bucket and the first of a later one. It has one row per bucket, not
+       per data row.
+    3. Candidates: the own bucket's first, else the neighbouring buckets'.
+    Left rows with a null time are handled apart (dropped when their key has
+    right rows).
+    """
+    lcols = left.columns
+    rsel = [F.col(c) for c in right_cols]
+
+    def bkt(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(bucket))
+
+    r = (
+        right.where(F.col(right_on).isNotNull())
+        .groupBy(*by, F.col(right_on).alias("__t"))
+        .agg(F.max(F.struct(*rsel)).alias(_R))
+        .withColumn("__k", bkt("__t"))
+    )
+    rv_type = F.struct(F.col("__t").alias("t"), F.col(_R).alias("v"))
+    lt = left.where(F.col(left_on).isNotNull()).select(
+        *[F.col(b) for b in by], F.col(left_on).alias("__t"), F.lit(1).alias("__side"),
+        F.struct(*[F.col(c) for c in lcols]).alias(_L), F.lit(None).cast(r.schema[_R].dataType).alias(_R),
+    ).withColumn("__k", bkt("__t"))
+    rt = r.select(*by, "__t", F.lit(0).alias("__side"), F.lit(None).cast(lt.schema[_L].dataType).alias(_L), _R, "__k")
+    part = [*by, "__k"]
+    back_w = (Window.partitionBy(*part).orderBy(F.col("__t").asc(), F.col("__side").asc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fwd_w = (Window.partitionBy(*part).orderBy(F.col("__t").desc(), F.col("__side").asc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rv = F.when(F.col("__side") == 0, rv_type)
+    inner = lt.unionByName(rt).select(
+        *by, "__k", "__t", "__side", _L,
+        F.last(rv, ignorenulls=True).over(back_w).alias("__b"),
+        F.last(rv, ignorenulls=True).over(fwd_w).alias("__f"),
+    ).where(F.col("__side") == 1)
+
+    rb = r.groupBy(*by, "__k").agg(
+        F.max_by(rv_type, F.col("__t")).alias("__last"), F.min_by(rv_type, F.col("__t")).alias("__first"))
+    seed_type = rb.schema["__last"].dataType
+    summ = (
+        lt.select(*by, "__k").distinct()
+        .select(*by, "__k", F.lit(None).cast(seed_type).alias("__last"), F.lit(None).cast(seed_type).alias("__first"),
+                F.lit(1).alias("__side"))
+        .unionByName(rb.withColumn("__side", F.lit(0)))
+    )
+    # a left-bucket row sorts before the right summary of its own bucket, so
+    # it only sees strictly earlier (resp. later) buckets
+    prev_w = (Window.partitionBy(*by).orderBy(F.col("__k").asc(), F.col("__side").desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    next_w = (Window.partitionBy(*by).orderBy(F.col("__k").desc(), F.col("__side").desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seeds = summ.select(
+        *by, "__k", "__side",
+        F.last("__last", ignorenulls=True).over(prev_w).alias("__pb"),
+        F.last("__first", ignorenulls=True).over(next_w).alias("__nf"),
+    ).where(F.col("__side") == 1).drop("__side")
+
+    j = inner.join(seeds, part, "left")
+    pick = _pick(F.col("__t"), F.coalesce(F.col("__b"), F.col("__pb")), F.coalesce(F.col("__f"), F.col("__nf")))
+    out = j.select(*[F.col(f"{_L}.{c}").alias(c) for c in lcols], *[pick.getField(c).alias(c) for c in right_cols])
+
+    nulls = left.where(F.col(left_on).isNull())
+    if drop_null_left_if_right:
+        nulls = nulls.join(r.select(*by).distinct(), by, "left_anti")
+    rtype = r.schema[_R].dataType
+    nulls = nulls.select(*lcols, *[F.lit(None).cast(rtype[c].dataType).alias(c) for c in right_cols])
+    return out.unionByName(nulls)
+
+
 def next_start(
     laps: DataFrame,
     by: list[str],

@@ -23,15 +23,19 @@ from pitlane.sources import fixtures as fx
 WEATHER_COLS = ["AirTemp", "TrackTemp", "Rainfall", "WindSpeed"]
 
 
-def attach_weather(laps: DataFrame, weather: DataFrame | None) -> DataFrame:
-    """J2 as done at ingest: nearest weather row by session time, per race.
+WEATHER_BUCKET_S = 600.0  # as-of work split into 10-minute slices of session time
+
+
+def attach_weather(laps: DataFrame, weather: DataFrame | None, bucket: float | None = WEATHER_BUCKET_S) -> DataFrame:
+    """J2 as done at ingest: nearest weather row by session time, per race,
+    computed per 10-minute slice of the race (exact; see ``asof_nearest``).
 
     Weather columns the laps already carry are not replaced.
     """
     if weather is None or not weather.columns:
         return laps
     cols = [c for c in WEATHER_COLS if c in weather.columns and c not in laps.columns]
-    return asof_nearest(laps, weather, K.RACE_KEYS, "LapStartTime", "Time", cols)
+    return asof_nearest(laps, weather, K.RACE_KEYS, "LapStartTime", "Time", cols, bucket=bucket)
 
 
 def lap_telemetry(laps: DataFrame, samples: DataFrame | None, keys: list[str] | None = None) -> DataFrame | None:

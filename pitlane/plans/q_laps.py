@@ -240,7 +240,7 @@ def q_asof_weather(spark, sf):
     """Nearest weather row per lap (ties to the earlier row)."""
     lp = fx.laps(spark, sf).select("event_id", "Year", "RoundNumber", "LapStartTime")
     return asof_nearest(lp, fx.weather(spark, sf), K.RACE_KEYS, "LapStartTime", "Time",
-                        ["AirTemp", "TrackTemp", "WindSpeed"])
+                        ["AirTemp", "TrackTemp", "WindSpeed"], bucket=600.0)
 
 
 @register(

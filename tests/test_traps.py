@@ -89,3 +89,17 @@ def test_interval_equal_starts_and_last_lap(spark):
     samples = spark.createDataFrame([(1, 0), (1, 99), (1, 100), (1, 279), (1, 280)], "d int, t bigint")
     got = {r.t: r.LapNumber for r in assign_intervals(samples, lp, ["d"], "t", "s", "__end", ["LapNumber"], 60).collect()}
     assert got == {0: 2, 99: 2, 100: 3, 279: 3}
+
+
+def test_bucketed_asof_crosses_buckets_and_matches_single_level(spark):
+    left = spark.createDataFrame(
+        [(1, 10.0), (1, 20.0), (1, None), (2, 5.0), (1, 95.0), (1, 250.0), (3, None)], "g int, t double")
+    right = spark.createDataFrame(
+        [(1, 8.0, "a"), (1, 12.0, "b"), (1, 30.0, "c"), (1, 230.0, "d"), (1, 230.0, "e")], "g int, Time double, v string")
+    single = asof_nearest(left, right, ["g"], "t", "Time", ["v"])
+    for width in (5.0, 50.0, 1000.0):
+        b = asof_nearest(left, right, ["g"], "t", "Time", ["v"], bucket=width)
+        assert sorted(map(tuple, b.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+    got = {(r.g, r.t): r.v for r in single.collect()}
+    # 95 -> 30 (65 back) beats 230 (135 ahead); duplicate time 230 keeps the greatest row
+    assert got[(1, 95.0)] == "c" and got[(1, 250.0)] == "e" and (3, None) in got
