@@ -126,18 +126,37 @@ class BoostedModel:
     features: list[str]
     staged: list[dict]
 
+    def expr(self, inputs: list[Column] | None = None, upto: int | None = None) -> Column:
+        """init + learning_rate * sum of the trees, as one Column expression."""
+        cols = inputs if inputs is not None else [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features]
+        total = F.lit(self.init)
+        for t in self.trees[:upto] if upto else self.trees:
+            total = total + F.lit(self.learning_rate) * tree_expr(t, cols)
+        return total
+
     def predict(self, df: DataFrame, out: str = "pred", upto: int | None = None) -> DataFrame:
-        """Sum of the tree outputs; the lineage is cut every 10 trees."""
-        checkpoint_dir(df.sparkSession)
-        cur = df.withColumn(out, F.lit(self.init))
-        trees = self.trees[:upto] if upto else self.trees
-        for i, t in enumerate(trees):
-            t = t.copy()
-            t.setPredictionCol("__p")
-            cur = t.transform(cur).withColumn(out, F.col(out) + F.lit(self.learning_rate) * F.col("__p")).drop("__p")
-            if (i + 1) % 10 == 0:
-                cur = cur.checkpoint(eager=True)
-        return cur
+        """Score rows with the compiled trees (one projection, no ML transform)."""
+        return df.withColumn(out, self.expr(upto=upto))
+
+
+def tree_expr(tree: DecisionTreeRegressionModel, inputs: list[Column]) -> Column:
+    """A fitted regression tree as a Column expression: nested ``when`` on the
+    splits (feature <= threshold goes left). ``inputs`` are the feature
+    columns in assembler order, so a tree can be evaluated on expressions
+    (e.g. inside ``aggregate``) and stays in whole-stage code generation."""
+
+    def walk(node) -> Column:
+        if node.getClass().getSimpleName() == "LeafNode":
+            return F.lit(float(node.prediction()))
+        split = node.split()
+        x = inputs[split.featureIndex()]
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            cond = x <= F.lit(float(split.threshold()))
+        else:  # categorical split: the left categories
+            cond = x.isin([float(c) for c in split.leftCategories()])
+        return F.when(cond, walk(node.leftChild())).otherwise(walk(node.rightChild()))
+
+    return walk(tree._java_obj.rootNode())
 
 
 def _round_metrics(df: DataFrame, label: str, rnd: int) -> dict:
@@ -367,6 +386,26 @@ def score_curve(model_predict, scenarios: DataFrame, features: list[str], key: s
         key, "lap", round4("p").alias("predicted_delta"))
 
 
+def curve_boosted(model: BoostedModel, scenarios: DataFrame, key: str = "scenario",
+                  n_laps: int = K.CURVE_DEFAULT_LAPS) -> DataFrame:
+    """C2 for the boosted trees in one JVM expression per scenario: the compiled
+    trees are evaluated inside ``aggregate`` over laps 0..n-1 with the
+    unrounded prediction history as state (no per-lap job, no checkpoint)."""
+    n = min(int(n_laps), K.CURVE_MAX_LAPS)
+    static = [c for c in model.features if c not in ("stint_lap_number", "deg_rate_last_3", "deg_acceleration")]
+    base = scenario_matrix(scenarios, static)
+
+    def step(hist: Column, t: Column) -> Column:
+        rate, acc = curve_state_features(hist)
+        dyn = {"stint_lap_number": t.cast("double"), "deg_rate_last_3": rate, "deg_acceleration": acc}
+        inputs = [dyn[c] if c in dyn else F.col(c) for c in model.features]
+        return F.concat(hist, F.array(model.expr(inputs)))
+
+    hist = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<double>"), step)
+    return base.select(key, F.posexplode(hist).alias("lap", "p")).select(
+        key, "lap", round4("p").alias("predicted_delta"))
+
+
 @dataclass
 class LinearCurveModel:
     """A closed-form line in (lap, rate, acceleration): intercept + b1*lap fitted

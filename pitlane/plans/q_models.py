@@ -122,11 +122,12 @@ def q_score(spark, sf):
 
 @register("score_curve")
 def q_score_curve(spark, sf):
-    """C2 (tree): 30-lap recursive curves of the boosted model per compound scenario."""
+    """C2 (tree): 30-lap recursive curves of the boosted model per compound
+    scenario, the compiled trees evaluated inside one aggregate()."""
     df, _ = frame(spark, sf)
     feats = [c for c in K.MODEL_FEATURES if c in df.columns]
     m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(n_rounds=5, early_stopping=0))
-    return ML.score_curve(lambda d: m.predict(d), scenarios(df), feats, n_laps=30)
+    return ML.curve_boosted(m, scenarios(df), n_laps=30)
 
 
 CURVE_SQL = f"""

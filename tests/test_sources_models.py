@@ -91,3 +91,15 @@ def test_sequence_hook_runs_per_stint(spark):
     schema = "Year int, RoundNumber int, Driver string, Stint int, LapNumber int, pred double"
     out = ML.score_sequences(df.where(F.col("Stint").isNotNull()), persistence, schema)
     assert out.count() == df.where(F.col("Stint").isNotNull()).count()
+
+
+def test_compiled_trees_equal_spark_ml_transform(spark):
+    df, feats = ML.training_frame(feature_store(spark, SF_SMALL))
+    m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(n_rounds=3, early_stopping=0))
+    x = ML.assemble(df, feats).withColumn("ref", F.lit(m.init))
+    for t in m.trees:
+        t2 = t.copy()
+        t2.setPredictionCol("__p")
+        x = t2.transform(x).withColumn("ref", F.col("ref") + F.lit(m.learning_rate) * F.col("__p")).drop("__p")
+    diff = m.predict(x).agg(F.max(F.abs(F.col("pred") - F.col("ref")))).collect()[0][0]
+    assert diff == 0.0
