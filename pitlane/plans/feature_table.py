@@ -15,7 +15,7 @@ from pitlane.operators.features import (
     add_rolling_features,
     add_track_evolution,
 )
-from pitlane.operators.quality import clean_laps
+from pitlane.operators.quality import LAP_RULES, WEATHER_RULES, clean_laps
 from pitlane.operators.telemetry import assign_samples_to_laps, join_telemetry, telemetry_per_lap
 from pitlane.operators.temporal_joins import asof_nearest
 from pitlane.sources import fixtures as fx
@@ -57,8 +57,11 @@ def build_feature_table(
 ) -> DataFrame:
     own = telemetry is None
     tel = telemetry if not own else lap_telemetry(laps, samples)
-    df = attach_weather(laps, weather)
-    df = clean_laps(df)
+    # lap-only cleaning rules before the weather join (less data into its
+    # shuffle; pushed into the scan when laps are read from files), the
+    # weather rule after it; the rules are independent row filters
+    df = attach_weather(clean_laps(laps, LAP_RULES), weather)
+    df = clean_laps(df, WEATHER_RULES)
     df = join_telemetry(df, tel, unique_keys=own)
     df = add_fuel_correction(df, fuel_sign=fuel_sign)
     df = add_rolling_features(df)

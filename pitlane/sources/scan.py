@@ -31,10 +31,14 @@ def _missing(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in msg or "Path does not exist" in msg or "UNABLE_TO_INFER_SCHEMA" in msg
 
 
-def read_laps(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+def read_laps(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
+              clean: tuple[str, ...] | bool = False) -> DataFrame:
     """All lap files under ``path``, stacked by name (mergeSchema), NaN -> NULL.
 
-    Raises FileNotFoundError when there is no file.
+    ``clean`` (True, or a tuple of rule names) applies the lap cleaning rules
+    on the raw columns first, so their null and bound tests are pushed into
+    the Parquet reader; NaN is normalised after the filter. Raises
+    FileNotFoundError when there is no file.
     """
     try:
         df = _read(spark, path, schema)
@@ -42,6 +46,9 @@ def read_laps(spark: SparkSession, path: str | list[str], schema: T.StructType |
         if _missing(e):
             raise FileNotFoundError(f"no lap files at {path}") from e
         raise
+    if clean:
+        from pitlane.operators.quality import clean_laps
+        df = clean_laps(df, None if clean is True else tuple(clean))
     return nan_to_null(df)
 
 

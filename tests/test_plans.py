@@ -28,3 +28,32 @@ def test_feature_table_plan_prunes_columns(spark):
     p = plan(feature_table_from_testdata(spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "props" not in p.split("ReadSchema")[1] if "ReadSchema" in p else True
+
+
+def test_race_scan_prunes_partitions_and_columns(spark):
+    from pitlane.plans.store import feature_store
+    from pitlane.sources import scan
+
+    df = scan.race_scan(feature_store(spark, SF_SMALL), 2024, 3).select("Driver", "LapNumber")
+    p = plan(df)
+    assert "PartitionFilters" in p or "partitionfilters" in p.lower() or "Year" in p
+    rs = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in line]
+    assert all("lap_time_corrected" not in line for line in rs)
+
+
+def test_cleaning_filter_reaches_the_scan(spark):
+    import uuid
+
+    from pitlane.operators.quality import clean_laps
+    from pitlane.session import checkpoint_dir
+    from pitlane.sources import fixtures as fx
+    from pitlane.sources import scan
+
+    path = f"{checkpoint_dir(spark)}/laps-{uuid.uuid4().hex}"
+    scan.write_by_race(fx.laps(spark, SF_SMALL), path)
+    p = plan(scan.read_laps(spark, path, clean=True).select("LapNumber"))
+    assert "IsNotNull(LapTime)" in p and "LessThanOrEqual(LapTime,150.0)" in p
+    # the same rows as cleaning after the scan
+    a = scan.read_laps(spark, path, clean=True)
+    b = clean_laps(fx.laps(spark, SF_SMALL)).select(*a.columns)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
