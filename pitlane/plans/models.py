@@ -187,13 +187,16 @@ def boosted_huber(
     """
     p = params or BoostParams()
     checkpoint_dir(train.sparkSession)
-    tr = assemble(train, features).select(VEC, F.col(T).cast("double").alias(T))
+    def prep(d: DataFrame) -> DataFrame:
+        # the vector for fitting, the (filled) feature columns for the compiled trees
+        return assemble(d, features).select(VEC, *features, F.col(T).cast("double").alias(T))
+
+    tr = prep(train)
     init = float(tr.agg(F.percentile_approx(T, 0.5, 10_000)).collect()[0][0] or 0.0)
     tr = tr.withColumn("__F", F.lit(init)).checkpoint(eager=True)
-    va = assemble(valid, features).select(VEC, F.col(T).cast("double").alias(T)).withColumn("__F", F.lit(init)) \
-        .checkpoint(eager=True) if valid is not None else None
-    mo = assemble(monitor, features).select(VEC, F.col(T).cast("double").alias(T)).withColumn("__F", F.lit(init)) \
-        .checkpoint(eager=True) if monitor is not None else None
+    va = prep(valid).withColumn("__F", F.lit(init)).checkpoint(eager=True) if valid is not None else None
+    mo = prep(monitor).withColumn("__F", F.lit(init)).checkpoint(eager=True) if monitor is not None else None
+    inputs = [F.col(c) for c in features]
     trees: list[DecisionTreeRegressionModel] = []
     staged: list[dict] = []
     best, best_round, since = math.inf, 0, 0
@@ -206,11 +209,11 @@ def boosted_huber(
             seed=p.seed + r,
         )
         tree = rf.fit(tr.withColumn("__r", resid)).trees[0]
-        tree.setPredictionCol("__p")
         trees.append(tree)
+        update = F.lit(p.learning_rate) * tree_expr(tree, inputs)
 
         def step(d: DataFrame) -> DataFrame:
-            return tree.transform(d).withColumn("__F", F.col("__F") + F.lit(p.learning_rate) * F.col("__p")).drop("__p")
+            return d.withColumn("__F", F.col("__F") + update)
 
         tr = step(tr)
         if va is not None:
