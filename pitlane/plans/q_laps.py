@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitlane import constants as K
-from pitlane.functions.scalar import driver_number_str, file_key, td_seconds
+from pitlane.functions.scalar import file_key, td_seconds
 from pitlane.operators import features as feat
 from pitlane.operators import quality as qual
 from pitlane.operators import telemetry as tel
 from pitlane.operators.temporal_joins import asof_nearest
-from pitlane.plans.feature_table import build_feature_table, feature_table_from_testdata
+from pitlane.plans.feature_table import attach_weather, feature_table_from_testdata
 from pitlane.plans.registry import register
 from pitlane.sources import fixtures as fx
 from pitlane.sources import scan
@@ -312,7 +312,6 @@ def q_join_telemetry(spark, sf):
     """J1 (+D1, P5): cleaned laps left-join per-lap telemetry."""
     lp = fx.laps(spark, sf)
     t = tel.telemetry_per_lap(tel.assign_samples_to_laps(fx.samples(spark, sf, lp), lp))
-    from pitlane.plans.feature_table import attach_weather
     j = tel.join_telemetry(qual.clean_laps(attach_weather(lp, fx.weather(spark, sf))), t)
     return j.select("event_id", "Year", "RoundNumber", "DriverNumber", "LapNumber", *K.TELEMETRY_COLS)
 
@@ -342,12 +341,9 @@ def q_telemetry_fill_rate(spark, sf):
     """Fill rate of the first telemetry column after the join."""
     lp = fx.laps(spark, sf)
     t = tel.telemetry_per_lap(tel.assign_samples_to_laps(fx.samples(spark, sf, lp), lp))
-    from pitlane.plans.feature_table import attach_weather
     return tel.fill_rate(tel.join_telemetry(qual.clean_laps(attach_weather(lp, fx.weather(spark, sf))), t))
 
 
-__all__ = ["build_feature_table", "driver_number_str"]
-
 
 # --- flagship ------------------------------------------------------------------
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from pitlane.functions.scalar import number_or
 
@@ -193,5 +192,3 @@ def result_pages(orders: DataFrame, lineitem: DataFrame, page_size: int = 100) -
         F.struct(F.col("season").cast("string").alias("season"), F.col("items").alias("Races")).alias("RaceTable"),
     ).alias("MRData"))).alias("json"))
 
-
-__all__ = ["Window"]

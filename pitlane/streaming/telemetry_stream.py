@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlane import constants as K
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -124,5 +123,3 @@ def weather_stream(events: DataFrame) -> DataFrame:
         ((e % 7).cast("double") / 2).alias("WindSpeed"),
     )
 
-
-__all__ = ["K"]
