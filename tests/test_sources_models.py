@@ -103,3 +103,10 @@ def test_compiled_trees_equal_spark_ml_transform(spark):
         x = t2.transform(x).withColumn("ref", F.col("ref") + F.lit(m.learning_rate) * F.col("__p")).drop("__p")
     diff = m.predict(x).agg(F.max(F.abs(F.col("pred") - F.col("ref")))).collect()[0][0]
     assert diff == 0.0
+
+
+def test_gbt_fast_path_with_validation_indicator(spark):
+    df, feats = ML.training_frame(feature_store(spark, SF_SMALL))
+    model = ML.boosted_fast(df.where(F.col("split") == "train"), df.where(F.col("split") == "val"), feats, max_iter=3)
+    out = model.transform(ML.assemble(df.where(F.col("split") == "test"), feats))
+    assert out.where(F.col("pred").isNull()).count() == 0 and out.count() > 0
