@@ -70,5 +70,12 @@ def build_feature_table(
 
 
 def feature_table_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lp = fx.laps(spark, sf_dir)
-    return build_feature_table(lp, fx.weather(spark, sf_dir), fx.samples(spark, sf_dir, lp))
+    """Ingest (laps and weather landed per race, once per application), then
+    the feature build over the landed files: the lap scan takes the
+    cleaning predicates, and the car samples are generated from the landed
+    laps without another window."""
+    from pitlane.plans.store import landed
+
+    lp = landed(spark, sf_dir, "laps", lambda: fx.laps(spark, sf_dir))
+    wx = landed(spark, sf_dir, "weather", lambda: fx.weather(spark, sf_dir))
+    return build_feature_table(lp, wx, fx.samples(spark, sf_dir, lp))

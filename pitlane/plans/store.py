@@ -48,3 +48,12 @@ def feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not _exists(spark, f"{path}/_SUCCESS"):
         scan.write_by_race(feature_table_from_testdata(spark, sf_dir), path, dynamic=False)
     return scan.read_features(spark, path)
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """An ingested table (S10): derived from the testdata once per application,
+    written one partition per race, then scanned (S1)."""
+    path = store_path(spark, sf_dir, name)
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        scan.write_by_race(build(), path, dynamic=False)
+    return spark.read.parquet(path)
