@@ -103,3 +103,27 @@ def test_bucketed_asof_crosses_buckets_and_matches_single_level(spark):
     got = {(r.g, r.t): r.v for r in single.collect()}
     # 95 -> 30 (65 back) beats 230 (135 ahead); duplicate time 230 keeps the greatest row
     assert got[(1, 95.0)] == "c" and got[(1, 250.0)] == "e" and (3, None) in got
+
+
+def test_empty_request_is_an_error_row(spark):
+    from pitlane.operators.sequences import request_matrix
+
+    df = spark.createDataFrame(
+        [(1, []), (2, [(0.0, 30.0)])],
+        "id int, laps array<struct<stint_lap_number:double,TrackTemp:double>>")
+    got = {r.id: r for r in request_matrix(df, "laps", ["stint_lap_number", "TrackTemp", "AirTemp"]).collect()}
+    assert got[1].X is None and got[1].error
+    assert got[2].error is None and list(got[2].X[0]) == [0.0, 30.0, 0.0]  # absent feature -> 0.0
+
+
+def test_explore_limit_above_max_is_an_error(spark):
+    import pytest
+
+    from pitlane.operators.metrics import explore
+
+    df = spark.createDataFrame([(1, 0, 0.1, "D1", 1, 2023, 1, 1)],
+                               "Stint int, stint_lap_number bigint, lap_time_delta_fuel_corrected double, Driver string, "
+                               "LapNumber int, Year int, RoundNumber int, x int")
+    with pytest.raises(ValueError):
+        explore(df, limit=5001)
+    assert explore(df, driver="", compound=None, limit=10).count() == 1  # falsy filters mean no filter
