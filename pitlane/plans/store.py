@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,11 @@ from pitlane.session import checkpoint_dir
 from pitlane.sources import scan
 
 
+# queries run from several threads may share one session: one writer per table
+_WRITE_LOCK = threading.Lock()
+_LANDING_LOCK = threading.Lock()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         jvm = spark.sparkContext._jvm
@@ -45,8 +51,9 @@ def store_path(spark: SparkSession, sf_dir: str, name: str = "features") -> str:
 def feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of ``sf_dir``, written on first use, then read."""
     path = store_path(spark, sf_dir)
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        scan.write_by_race(feature_table_from_testdata(spark, sf_dir), path, dynamic=False)
+    with _WRITE_LOCK:
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            scan.write_by_race(feature_table_from_testdata(spark, sf_dir), path, dynamic=False)
     return scan.read_features(spark, path)
 
 
@@ -54,6 +61,7 @@ def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """An ingested table (S10): derived from the testdata once per application,
     written one partition per race, then scanned (S1)."""
     path = store_path(spark, sf_dir, name)
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        scan.write_by_race(build(), path, dynamic=False)
+    with _LANDING_LOCK:
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            scan.write_by_race(build(), path, dynamic=False)
     return spark.read.parquet(path)
