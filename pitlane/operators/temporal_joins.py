@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _L, _R = "__l", "__r"
@@ -137,6 +138,10 @@ def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_lef
     def bkt(c: str) -> Column:
         return F.floor(F.col(c) / F.lit(bucket))
 
+    # struct types from the input schemas (no analysis of intermediate plans)
+    lschema, rschema = left.schema, right.schema
+    r_type = T.StructType([T.StructField(c, rschema[c].dataType, True) for c in right_cols])
+    l_type = T.StructType([T.StructField(c, lschema[c].dataType, True) for c in lcols])
     r = (
         right.where(F.col(right_on).isNotNull())
         .groupBy(*by, F.col(right_on).alias("__t"))
@@ -146,9 +151,10 @@ def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_lef
     rv_type = F.struct(F.col("__t").alias("t"), F.col(_R).alias("v"))
     lt = left.where(F.col(left_on).isNotNull()).select(
         *[F.col(b) for b in by], F.col(left_on).alias("__t"), F.lit(1).alias("__side"),
-        F.struct(*[F.col(c) for c in lcols]).alias(_L), F.lit(None).cast(r.schema[_R].dataType).alias(_R),
-    ).withColumn("__k", bkt("__t"))
-    rt = r.select(*by, "__t", F.lit(0).alias("__side"), F.lit(None).cast(lt.schema[_L].dataType).alias(_L), _R, "__k")
+        F.struct(*[F.col(c) for c in lcols]).alias(_L), F.lit(None).cast(r_type).alias(_R),
+        bkt(left_on).alias("__k"),
+    )
+    rt = r.select(*by, "__t", F.lit(0).alias("__side"), F.lit(None).cast(l_type).alias(_L), _R, "__k")
     part = [*by, "__k"]
     back_w = (Window.partitionBy(*part).orderBy(F.col("__t").asc(), F.col("__side").asc())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -163,7 +169,7 @@ def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_lef
 
     rb = r.groupBy(*by, "__k").agg(
         F.max_by(rv_type, F.col("__t")).alias("__last"), F.min_by(rv_type, F.col("__t")).alias("__first"))
-    seed_type = rb.schema["__last"].dataType
+    seed_type = T.StructType([T.StructField("t", rschema[right_on].dataType, True), T.StructField("v", r_type, True)])
     summ = (
         lt.select(*by, "__k").distinct()
         .select(*by, "__k", F.lit(None).cast(seed_type).alias("__last"), F.lit(None).cast(seed_type).alias("__first"),
@@ -189,8 +195,7 @@ def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_lef
     nulls = left.where(F.col(left_on).isNull())
     if drop_null_left_if_right:
         nulls = nulls.join(r.select(*by).distinct(), by, "left_anti")
-    rtype = r.schema[_R].dataType
-    nulls = nulls.select(*lcols, *[F.lit(None).cast(rtype[c].dataType).alias(c) for c in right_cols])
+    nulls = nulls.select(*lcols, *[F.lit(None).cast(r_type[c].dataType).alias(c) for c in right_cols])
     return out.unionByName(nulls)
 
 
