@@ -236,3 +236,30 @@ def q_explore_records(spark, sf):
     """Explorer rows as JSON records."""
     from pitlane.sources import scan
     return ML.records(M.explore(scan.explorer_scan(feature_store(spark, sf)), year=2024, compound="MEDIUM"))
+
+
+@register(
+    "score_linear",
+    oracle=f"""
+with sc as (select coalesce(Compound, 'UNKNOWN') as scenario, avg(cast(stint_lap_number as double)) as stint_lap_number
+            from pred where split = 'test' group by 1),
+s as (select scenario, round(fit.a + fit.b * stint_lap_number, 4) as predicted_delta from sc, fit)
+select scenario, predicted_delta, case when predicted_delta < 0.1 then 'NOMINAL' when predicted_delta < 0.3 then 'DEGRADING'
+  else 'CLIFF RISK' end as band from s""",
+    doubles=("predicted_delta",),
+)
+def q_score_linear(spark, sf):
+    """C1/P11/F9/P12 with the closed-form line: per-compound scenarios scored,
+    rounded to 4 decimals and banded."""
+    from pitlane.functions.scalar import risk_band
+    df = enc.temporal_split(feature_store(spark, sf)).na.drop(subset=[T, "stint_lap_number"])
+    fit = M.fit_line(df.where(F.col("split") == "train"))
+    sc = df.where(F.col("split") == "test").groupBy(
+        F.coalesce(F.col("Compound"), F.lit(K.UNKNOWN_COMPOUND)).alias("scenario")).agg(
+        F.avg(F.col("stint_lap_number").cast("double")).alias("stint_lap_number"))
+
+    def predict(x):
+        return M.predict_line(x, fit)
+
+    out = ML.score(predict, sc, ["stint_lap_number"])
+    return out.select("scenario", "predicted_delta", risk_band("predicted_delta").alias("band"))
