@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,8 +36,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir`` (or the SparkContext); only when the
-    session has none (local tests) a fresh scratch folder is set.
+    Read from ``spark.checkpoint.dir`` (or the SparkContext). A local master
+    without one (tests, the bench) gets a fresh scratch folder; any other
+    master without one is an error, since executors would each write to
+    their own disk.
     """
     try:
         sc = spark.sparkContext
@@ -46,6 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        require_local(spark.conf.get("spark.master", "local"))
         configured = tempfile.mkdtemp(prefix="pitlane-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is None:
         return configured
@@ -53,6 +57,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def require_local(master: str) -> None:
+    """Raise unless ``master`` runs everything in one JVM."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pitlane") -> SparkSession:
     """Session for tests and the bench (local mode, UI off)."""
     spark = (
