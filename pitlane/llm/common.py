@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -58,3 +59,18 @@ def u64_list(binary: bytes):
     import numpy as np
 
     return np.frombuffer(binary, "<u8")
+
+
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(data: bytes, limit: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Words (runs without ASCII white space) of a text in blocks of about ``limit`` bytes, cut between words."""
+    at = 0
+    while at < len(data):
+        end = at + limit
+        if end < len(data):
+            m = _SPACE.search(data, end)
+            end = m.start() if m else len(data)
+        yield data[at:end].split()
+        at = end

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import packing, token_files, url_filter
-from pitlane.llm.common import scratch, table
+from pitlane.llm import packing, quality, simhash, token_files, url_filter
+from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,72 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+_SP = r"[\x20\x09-\x0D]"
+_RISK, _DELTA = 0.02, 0.05
+_RULES = ", ".join(f"('{r}', [{', '.join(f'{c}::double' for c in g)}])" for r, g in quality.GRIDS.items())
+
+#: The binomial tail is summed from lgamma terms here, from a recurrence in the operator.
+OP4_SQL = f"""
+with d as (
+  select doc_id, lang, coalesce(text, '') as text from documents
+), w as (
+  select doc_id, lang, text, list_filter(regexp_split_to_array(text, '{_SP}+'), lambda x: x <> '') as w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d
+), win as (
+  select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from w, unnest(range(1, len(w) - 3)) as t(i)
+), dup as (
+  select doc_id, i from win qualify count(*) over (partition by doc_id, s) > 1
+), cov as (
+  select doc_id, count(distinct i + j) as n from dup, unnest(range(0, 5)) as t(j) group by 1
+), f as (
+  select doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words,
+         len(l) as n_lines, len(list_distinct(w)) as n_distinct
+  from w left join cov using (doc_id)
+), b as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, greatest(n_words, 1)::double as nw from f
+), rules(rule, grid) as (values {_RULES}
+), m as (
+  select doc_id, lang, base_failed, rule, grid, case rule
+    when 'symbols_per_word' then n_symbols / nw when 'dup_line_share' then n_dup_lines / greatest(n_lines, 1)::double
+    when 'repeat_share' then n_repeat_words / nw when 'same_word_share' then 1 - n_distinct / nw
+    when 'mean_word_chars' then word_chars / nw else -word_chars / nw end as v
+  from b, rules
+), held as (
+  select lang, rule, len(list_filter(grid, lambda c: v <= c)) as place, good
+  from m join (select doc_id, min(quality) as good from labels group by 1) using (doc_id) where not base_failed
+), steps as (
+  select lang, rule, place, sum(sum((good = 1)::int)) over upto as k, sum(sum((good <> 1)::int)) over upto as bad, sum(sum((good = 1)::int)) over (partition by lang, rule) as n
+  from held group by 1, 2, 3 window upto as (partition by lang, rule order by place)
+), p as (
+  select {_RISK}::double / {len(quality.GRIDS)} as a, {_DELTA}::double / (count(distinct lang) * {len(quality.GRIDS)}) as level from steps
+), limits as (
+  select lang, rule, coalesce(max(i) filter (tail <= level), -1) as most from (
+    select lang, rule, i, level, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a))) over (partition by lang, rule order by i) as tail
+    from (select distinct lang, rule, n from steps where n > 0), p, unnest(range(0, ceil(n * a)::bigint + 1)) as t(i)
+  ) group by 1, 2
+), best as (
+  select lang, rule, place from steps join limits using (lang, rule) where k <= most and bad > k
+  qualify row_number() over (partition by lang, rule order by bad - k desc, place) = 1
+), gone as (
+  select distinct doc_id from m join best using (lang, rule) where v > grid[place + 1]
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and doc_id not in (select doc_id from gone) as kept
+from b
+"""
+
+
+@query("op4_risk_controlled_rules", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base features and the verdict of risk-controlled rules for every document."""
+    featured = quality.with_features(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
+    chosen = quality.cutoffs(featured, table(spark, sf_dir, "labels"), "lang", _RISK, _DELTA)
+    out = quality.judge(featured, land(chosen, "cutoffs"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
@@ -72,3 +138,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.domain_rule(r, v) for r, v in LISTED] + [url_filter.Rule(x, "block", layer=1) for x in PATTERNS]
     out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return out.select("page_id", "host", "path", F.when(F.col("layer") == 0, F.col("rule")).alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+
+
+@query("op10_simhash_trie")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document (three-word shingles, three bits)."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=3).select("doc_id", "fingerprint", "component_id")

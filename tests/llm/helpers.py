@@ -26,5 +26,5 @@ def clashing(df):
     """The table with extra columns named as the operators' own ones."""
     from pyspark.sql import functions as F
 
-    names = "part start tokens n_tokens shard bucket words score rank length offset fingerprint kept host path rule verdict spans segment term n".split()
+    names = "part start tokens shard bucket words score rank length offset fingerprint kept host path rule verdict spans segment term n".split()
     return df.select("*", *(F.lit("x").alias(c) for c in names))
