@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import packing, quality, simhash, token_files, url_filter
+from pitlane.llm import bwt_dedup, decontam, packing, quality, simhash, token_files, url_filter
 from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,73 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP2_SQL = f"""
+with dw as (
+  select doc_id, {_WORDS} as w from documents
+), bw as (
+  select item_id, {_WORDS} as w from benchmark
+), win as (
+  select distinct item_id, least(10, len(w)) as n, w[i:i + least(10, len(w)) - 1] as g
+  from bw, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as t(i) where len(w) > 0
+), grams as (
+  select doc_id, i, n, w[i:i + n - 1] as g from dw, (select distinct n from win), unnest(range(1, len(w) - n + 2)) as t(i)
+), hits as (
+  select doc_id, i, n, item_id from grams join win using (n, g)
+), covered as (
+  select doc_id, count(distinct i + j) as n_hit from (select distinct doc_id, i, n from hits), unnest(range(0, n)) as t(j) group by 1
+), items as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from hits) group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join covered using (doc_id) left join items using (doc_id)
+"""
+
+
+@query("op2_positional_index", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in an occurrence of a ten-word benchmark window."""
+    index = decontam.build_index(table(spark, sf_dir, "documents"))
+    found = decontam.contamination(index, table(spark, sf_dir, "benchmark"), size=10)
+    return found.withColumn("n_hit", decontam.covered()).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+), win as (
+  select doc_id, i, substr(h, 2 * i + 1, 100) as s from d, unnest(range(0, n - 49)) as t(i)
+), again as (
+  select doc_id, i from win qualify doc_id > min(doc_id) over (partition by s)
+), step as (
+  select doc_id, i, coalesce(i > lag(i) over mine + 50, true) as new, lead(i) over mine as nxt from again window mine as (partition by doc_id order by i)
+), numbered as (
+  select doc_id, i, least(coalesce(nxt - i, 50), 50) as adds, sum(new::int) over (partition by doc_id order by i) as run from step
+), runs as (
+  select doc_id, run, min(i) as a, max(i) + 50 as b, sum(adds) as bytes from numbered group by 1, 2
+), keep as (
+  select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head, max(b) as tail
+  from (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from runs) join d using (doc_id) group by 1
+)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) as kept_sha256
+from d left join keep using (doc_id)
+"""
+
+
+@query("op3_bwt_merge", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50-byte strings of documents with smaller ids."""
+    return bwt_dedup.repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 _SP = r"[\x20\x09-\x0D]"
 _RISK, _DELTA = 0.02, 0.05
 _RULES = ", ".join(f"('{r}', [{', '.join(f'{c}::double' for c in g)}])" for r, g in quality.GRIDS.items())
