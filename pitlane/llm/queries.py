@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import bwt_dedup, decontam, packing, quality, simhash, token_files, url_filter
+from pitlane.llm import bwt_dedup, decontam, packing, pitman_yor, quality, simhash, token_files, url_filter
 from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op5_pitman_yor")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and Pitman-Yor scores of every document; one document in seven is held out."""
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"), pitman_yor.held_out(7, 2))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
