@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import bwt_dedup, decontam, packing, pitman_yor, quality, simhash, token_files, url_filter
+from pitlane.llm import bwt_dedup, decontam, packing, pitman_yor, quality, simhash, token_files, toxicity, url_filter
 from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +213,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", F.when(F.col("layer") == 0, F.col("rule")).alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
+@query("op8_bigru_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of one document in five are not learnt from."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.held_out(5, 0))
+
+
 @query("op10_simhash_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (three-word shingles, three bits)."""
