@@ -38,9 +38,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pitlane.llm.common import groups_for, text_bytes
+from pitlane.llm.common import groups_for, nullable, text_bytes
 
 KMER = 16
 SLICES = 8  # transforms that a bucket merges
@@ -437,7 +438,7 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return done
 
 
-def _solve(docs: DataFrame, columns: list[str], make, schema: str, length: int, shard_bytes: int, bucket_bytes: int, hot_strings: int) -> DataFrame:
+def _solve(docs: DataFrame, columns: list[str], make, schema: str | T.StructType, length: int, shard_bytes: int, bucket_bytes: int, hot_strings: int) -> DataFrame:
     total = text_bytes(docs)
     shards, buckets = groups_for(total, shard_bytes, 8), groups_for(total, bucket_bytes, 64)
     texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *columns)
@@ -490,7 +491,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
     others = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*others).alias("__row") if others else F.lit(None).cast("struct<x:int>").alias("__row"))
 
-    row_type = to_arrow_type(packed.schema["__row"].dataType)
+    row = nullable(packed.schema["__row"].dataType)
+    row_type = to_arrow_type(row)
 
     def make(shard: Shard | None, spans: list) -> pa.Table:
         if shard is None:
@@ -500,11 +502,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
         text = [kept(t, s).decode() if h else None for t, s, h in zip(shard.texts, cut, had, strict=True)]
         return pa.table({
             "doc_id": pa.array([None if i == NO_DOC else i for i in shard.ids.tolist()], pa.int64()), "text": pa.array(text, pa.string()),
-            "__row": shard.table.column("__row").combine_chunks().take(pa.array(shard.order)), "__cut": pa.array(list(map(bool, cut)), pa.bool_()),
+            "__row": shard.table.column("__row").combine_chunks().take(pa.array(shard.order)).cast(row_type), "__cut": pa.array(list(map(bool, cut)), pa.bool_()),
         })
 
-    row = packed.schema["__row"].dataType.simpleString()
-    done = _solve(packed, ["__row"], make, f"doc_id long, text string, __row {row}, __cut boolean", length, shard_bytes, bucket_bytes, hot_strings)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("__row", row), T.StructField("__cut", T.BooleanType())])
+    done = _solve(packed, ["__row"], make, schema, length, shard_bytes, bucket_bytes, hot_strings)
     done = done.filter(~F.col("__cut") | (F.col("text") != ""))
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), **{c: F.col(f"__row.`{c}`") for c in others}}
     if "n_chars" in others:

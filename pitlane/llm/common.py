@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitlane.session import checkpoint_dir, prepare
 
@@ -54,11 +55,15 @@ def rows_by_bytes(batch: pa.RecordBatch, col: str, limit: int) -> Iterator[pa.Re
         lo = hi
 
 
-def u64_list(binary: bytes):
-    """A packed little-endian payload as unsigned 64-bit integers."""
-    import numpy as np
-
-    return np.frombuffer(binary, "<u8")
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as rows that Python returns have it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
 
 
 _SPACE = re.compile(rb"[ \t-\r]")

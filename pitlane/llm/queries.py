@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import bwt_dedup, decontam, packing, pitman_yor, quality, simhash, token_files, toxicity, url_filter
+from pitlane.llm import bwt_dedup, decontam, packing, pitman_yor, preference, quality, simhash, token_files, toxicity, url_filter
 from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,48 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.held_out(5, 0))
 
 
+_RENDER = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+
+OP9_SQL = f"""
+with t as (
+  select distinct conv_id as id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), last as (
+  select id, max(turn) as turn, arg_max(text, (turn, text)) as text from t where role = 'assistant' and turn is not null group by 1
+), r as (
+  select distinct t.id, t.turn, role, case when role = 'assistant' and t.turn = last.turn then n.text else t.text end as text
+  from t left join last using (id) left join last n on n.id = t.id + 1
+  where role <> 'assistant' or last.turn is null or t.turn is distinct from last.turn or n.text is not null
+), sides as (
+  select 'a' as side, * from t union all select 'b', * from r
+), differing as (
+  select id, turn from sides group by 1, 2
+  having coalesce(list(role || chr(0) || text order by role, text) filter (side = 'a'), []) <> coalesce(list(role || chr(0) || text order by role, text) filter (side = 'b'), [])
+), cut as (
+  select id, min(turn) as first from differing group by 1
+), placed as (
+  select sides.*, first is null or turn < first as shared, {_RENDER} as s, length('<|im_start|>' || role || chr(10)) as head from sides left join cut using (id)
+)
+select id as pair_id, count(distinct turn) filter (shared and side = 'a') as n_prompt_turns,
+       sha256(coalesce(string_agg(s, '' order by turn, role, text) filter (shared and side = 'a'), '')) as prompt_sha256,
+       sha256(coalesce(string_agg(s, '' order by turn, role, text) filter (not shared and side = 'a'), '')) as chosen_sha256,
+       sha256(coalesce(string_agg(s, '' order by turn, role, text) filter (not shared and side = 'b'), '')) as rejected_sha256,
+       coalesce(sum(length(s) - head) filter (not shared and side = 'a' and role = 'assistant'), 0)::bigint as chosen_loss_chars,
+       coalesce(sum(length(s) - head) filter (not shared and side = 'b' and role = 'assistant'), 0)::bigint as rejected_loss_chars
+from placed group by 1
+"""
+
+
+@query("op9_preference_pairs", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with the next one's last answer: prompt, completions and masks, as digests."""
+    pairs = preference.format_pairs(*preference.answers_of_next(table(spark, sf_dir, "conversations")))
+    chars = lambda mask: F.aggregate(mask, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return pairs.select(
+        "pair_id", "n_prompt_turns", *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")),
+        chars("chosen_mask").alias("chosen_loss_chars"), chars("rejected_mask").alias("rejected_loss_chars"),
+    )
+
+
 @query("op10_simhash_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (three-word shingles, three bits)."""

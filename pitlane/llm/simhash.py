@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitlane.llm.common import groups_for, land, word_blocks
+from pitlane.llm.common import groups_for, land, nullable, word_blocks
 
 SEED = 42
 BATCH = 1 << 18  # node pairs handled at once in a task
@@ -60,16 +61,18 @@ def _count(words: list[bytes], width: int, ones: np.ndarray) -> int:
     return len(hashes)
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the fingerprint's bits as a signed long."""
+def with_fingerprint(docs: DataFrame, width: int = 3, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and the column ``carry``; fp holds the fingerprint's bits as a signed long."""
+    more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             fps = np.fromiter((fingerprint(texts[i].as_buffer().to_pybytes() if texts[i].is_valid else None, width) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *map(batch.column, more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *(T.StructField(c, nullable(docs.schema[c].dataType)) for c in more)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, schema)
 
 
 class Forest:
@@ -188,12 +191,22 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """(fp, component_id): the smallest doc_id that each fingerprint reaches. ``fps``: (doc_id, fp), landed."""
+    """(fp, root, component_id): the least fingerprint and the smallest doc_id that each fingerprint reaches. ``fps``: (doc_id, fp), landed."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     star = stars(links(classes.select("fp"), budget))
     rooted = classes.join(star.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
+    """One row of each component: that of its smallest doc_id, the first written one if several rows have it."""
+    carried = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    rows = with_fingerprint(carried, width, "__row").withColumn("__rid", F.monotonically_increasing_id())
+    rows = land(rows, "fingerprints")
+    of = rows.select("doc_id", "fp", "__rid").join(components(rows.select("doc_id", "fp"), budget), "fp")
+    first = of.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("__rid").alias("__rid"))
+    return rows.join(first.select("__rid"), "__rid", "left_semi").select("__row.*")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
