@@ -27,7 +27,6 @@ LAST_LAP_SECONDS = 180    # last lap of a driver ends 3 minutes after it starts
 COMPOUND_MAP = {"HARD": 0, "INTERMEDIATE": 1, "MEDIUM": 2, "SOFT": 3, "WET": 4, "UNKNOWN": 2}
 COMPOUND_DEFAULT_CODE = 2
 UNKNOWN_COMPOUND = "UNKNOWN"
-KNOWN_COMPOUNDS = ["HARD", "INTERMEDIATE", "MEDIUM", "SOFT", "WET", "UNKNOWN"]
 KEPT_EVENT_FORMATS = ["conventional", "sprint", "sprint_qualifying"]
 
 # Temporal split

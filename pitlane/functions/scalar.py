@@ -38,9 +38,14 @@ def td_seconds(c: Column | str, dtype: T.DataType | None = None) -> Column:
     return x.cast("string").try_cast("double")
 
 
-def driver_number_str(c: Column | str) -> Column:
-    """P5: DriverNumber as string; numbers go through int so 1.0 becomes "1"."""
+def driver_number_str(c: Column | str, numeric: bool = True) -> Column:
+    """P5: DriverNumber as string; numbers go through int so 1.0 becomes "1".
+
+    ``numeric`` says that the column holds numbers; strings stay as they are ("01" is not car "1").
+    """
     x = col(c)
+    if not numeric:
+        return x.cast("string")
     as_num = x.cast("string").try_cast("double")
     return F.when(
         as_num.isNotNull() & (as_num == F.floor(as_num)),
@@ -100,10 +105,13 @@ def parse_utc(c: Column | str) -> Column:
 
 def number_or(c: Column | str, default: float | int, dtype: str = "double") -> Column:
     """parse a number with a default for missing or bad input."""
-    parsed = col(c).cast("string").try_cast("double")
-    if dtype in ("int", "bigint"):
-        parsed = F.when(parsed == F.floor(parsed), parsed)
-    return F.coalesce(parsed, F.lit(default)).cast(dtype)
+    text = F.trim(col(c).cast("string"))
+    parsed = text.try_cast(dtype)
+    if dtype in ("int", "bigint"):  # "7.0" is a whole number too; what does not fit the type is bad input
+        real = text.try_cast("double")
+        whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), parsed)
+        parsed = F.coalesce(whole, F.when(text.rlike("[.eE]") & (real == F.floor(real)), real.try_cast(dtype)))
+    return F.coalesce(parsed, F.lit(default).cast(dtype))
 
 
 def round4(c: Column | str) -> Column:

@@ -19,11 +19,10 @@ from pyspark.sql.window import Window
 
 from pitlane import constants as K
 from pitlane.functions.scalar import compound_code_fixed, existing, sector_share
+from pitlane.operators.quantiles import exact_quantiles
 
 SPLITS = ("train", "val", "test")
 ROW_ORDER = ["Year", "RoundNumber", "LapNumber", "Driver"]  # the feature table's own order
-EXACT_MEDIAN_MAX_ROWS = 2_000_000  # the exact aggregate keeps every distinct value of a group in one task
-MAX_VOCAB = 10_000
 
 
 # --- E1 temporal split --------------------------------------------------------
@@ -41,20 +40,32 @@ def split_by_date(year: Column | None = None, rnd: Column | None = None) -> Colu
 def global_row_index(df: DataFrame, order: list[str] = ROW_ORDER, col_name: str = "__idx") -> DataFrame:
     """0-based position of each row in ``order`` without a single-partition sort.
 
-    Rows are counted per prefix key (all order columns but the last); the
-    running offsets are computed on that small count table, joined back,
-    and the last column ranks rows within their prefix group.
+    Three levels: rows are counted per prefix key (all order columns but the last) and per
+    head key (the first two, one row per race); offsets run over the
+    heads, then over the prefixes of each head, and the last column ranks rows within their prefix.
     """
     prefix, last = order[:-1], order[-1]
+    head = prefix[:2]
+    asc = lambda cols: [F.col(c).asc_nulls_last() for c in cols]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*prefix).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(*[F.col(c).asc_nulls_last() for c in prefix]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    heads = counts.groupBy(*head).agg(F.sum("__n").alias("__n"))
+    heads = heads.select(*head, F.coalesce(F.sum("__n").over(before(Window.orderBy(*asc(head)))), F.lit(0)).alias("__base"))
+    inside = before(Window.partitionBy(*head).orderBy(*asc(prefix[len(head):]) or asc(head)))
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    offsets = _null_safe_join(offsets, heads, head).select(*prefix, (F.col("__base") + F.col("__off")).alias("__off"))
     within = Window.partitionBy(*prefix).orderBy(F.col(last).asc_nulls_last())
-    return (
-        df.join(offsets, prefix, "left")
-        .withColumn(col_name, F.col("__off") + F.row_number().over(within) - 1)
-        .drop("__off")
-    )
+    out = _null_safe_join(df, offsets, prefix)
+    return out.withColumn(col_name, F.col("__off") + F.row_number().over(within) - 1).drop("__off")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join in which null keys meet."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, cond, how).drop(*(f"__r_{k}" for k in keys))
 
 
 def _split_counts(df: DataFrame, col: str = "split") -> dict[str, int]:
@@ -142,43 +153,41 @@ def add_sector_fractions(df: DataFrame) -> DataFrame:
 
 # --- F4 / F5 / U3 compound codes -------------------------------------------------
 
-def fit_compound_vocab(train: DataFrame, col: str = "Compound") -> list[str]:
-    """Sorted distinct train compounds plus UNKNOWN (size-checked)."""
-    vals = (
-        train.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("c")).distinct()
-        .unionByName(train.sparkSession.range(1).select(F.lit(K.UNKNOWN_COMPOUND).alias("c")))
-        .distinct().limit(MAX_VOCAB + 1).collect()
-    )
-    if len(vals) > MAX_VOCAB:
-        raise ValueError(f"compound vocabulary above {MAX_VOCAB} values")
-    return sorted(r["c"] for r in vals)
+def _coded(values: DataFrame) -> DataFrame:
+    """(c, code): the position of each distinct value in sorted order."""
+    return values.distinct().select("c", (F.row_number().over(Window.orderBy("c")) - 1).cast("int").alias("code"))
+
 
+def fit_compound_vocab(train: DataFrame, col: str = "Compound") -> DataFrame:
+    """(c, code) of the sorted distinct train compounds plus UNKNOWN, a lookup table."""
+    unknown = train.sparkSession.range(1).select(F.lit(K.UNKNOWN_COMPOUND).alias("c"))
+    return _coded(train.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("c")).unionByName(unknown))
 
-def compound_code(df: DataFrame, vocab: list[str], col: str = "Compound", out: str = "compound_encoded") -> DataFrame:
-    """index in the fitted vocabulary; null or unseen -> UNKNOWN's index."""
-    m = F.create_map(*[x for i, v in enumerate(vocab) for x in (F.lit(v), F.lit(i))])
-    unk = vocab.index(K.UNKNOWN_COMPOUND)
+
+def _look_up(df: DataFrame, vocab: DataFrame, default: int, col: str, out: str) -> DataFrame:
     name = F.coalesce(F.col(col).cast("string"), F.lit(K.UNKNOWN_COMPOUND))
-    return df.withColumn(out, F.coalesce(F.try_element_at(m, name), F.lit(unk)).cast("int"))
+    lookup = vocab.select(F.col("c").alias("__c"), F.col("code").alias("__code"))
+    joined = df.join(lookup, name == F.col("__c"), "left")
+    return joined.withColumn(out, F.coalesce("__code", F.lit(default)).cast("int")).drop("__c", "__code")
+
+
+def compound_code(df: DataFrame, vocab: DataFrame, col: str = "Compound", out: str = "compound_encoded") -> DataFrame:
+    """code in the fitted vocabulary; null or unseen -> UNKNOWN's code."""
+    unk = vocab.where(F.col("c") == K.UNKNOWN_COMPOUND).first()["code"]
+    return _look_up(df, vocab, unk, col, out)
 
 
-def baseline_compound_code(df: DataFrame, train_vocab: list[str], col: str = "Compound",
+def baseline_compound_code(df: DataFrame, classes: DataFrame, col: str = "Compound",
                            out: str = "compound_encoded") -> DataFrame:
-    """the baseline's own label codes: null -> UNKNOWN, index in the sorted
+    """the baseline's own label codes: null -> UNKNOWN, position in the sorted
     train classes (null -> UNKNOWN included when present), an unseen value ->
     class 0."""
-    m = F.create_map(*[x for i, v in enumerate(train_vocab) for x in (F.lit(v), F.lit(i))])
-    name = F.coalesce(F.col(col).cast("string"), F.lit(K.UNKNOWN_COMPOUND))
-    return df.withColumn(out, F.coalesce(F.try_element_at(m, name), F.lit(0)).cast("int"))
+    return _look_up(df, classes, 0, col, out)
 
 
-def fit_baseline_classes(train: DataFrame, col: str = "Compound") -> list[str]:
-    """Sorted distinct train values with null as UNKNOWN (size-checked)."""
-    vals = (train.select(F.coalesce(F.col(col).cast("string"), F.lit(K.UNKNOWN_COMPOUND)).alias("c"))
-            .distinct().limit(MAX_VOCAB + 1).collect())
-    if len(vals) > MAX_VOCAB:
-        raise ValueError(f"class list above {MAX_VOCAB} values")
-    return sorted(r["c"] for r in vals)
+def fit_baseline_classes(train: DataFrame, col: str = "Compound") -> DataFrame:
+    """(c, code) of the sorted distinct train values with null as UNKNOWN."""
+    return _coded(train.select(F.coalesce(F.col(col).cast("string"), F.lit(K.UNKNOWN_COMPOUND)).alias("c")))
 
 
 def add_fixed_compound_code(df: DataFrame, col: str = "Compound", out: str = "compound_encoded") -> DataFrame:
@@ -226,21 +235,14 @@ def apply_target_encoding(df: DataFrame, te: TargetEncoding, names: dict[str, st
 # --- A11 / A12 median fill, A13 scaling ---------------------------------------
 
 def _medians(df: DataFrame, cols: list[str], by: str | None) -> dict:
-    """Per-column medians (per group ``by``): exact while the largest group is
-    below ``EXACT_MEDIAN_MAX_ROWS`` (the exact aggregate keeps a value map per
-    group), approximate beyond."""
-    groups = df.groupBy(by) if by else df.groupBy()
-    n_max = groups.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
-    exact = n_max <= EXACT_MEDIAN_MAX_ROWS
-
-    def med(c):
-        x = F.col(c).cast("double")
-        return (F.median(x) if exact else F.percentile_approx(x, 0.5, 100_000).cast("double")).alias(c)
-
-    rows = groups.agg(*[med(c) for c in cols]).collect()
-    if by:
-        return {r[by]: {c: r[c] for c in cols} for r in rows}
-    return {c: rows[0][c] for c in cols} if rows else {c: None for c in cols}
+    """Exact medians per column (per group ``by``), one value per group and column."""
+    if not cols:
+        return {}
+    groups = df.select(by).distinct().collect() if by else [{None: None}]
+    out = {r[by]: dict.fromkeys(cols) for r in groups}
+    for r in exact_quantiles(df, cols, [0.5], by).collect():
+        out[r["group"]][r["name"]] = r["q"][0]
+    return out if by else out[None]
 
 
 def median_fill_per_split(df: DataFrame, cols: list[str], split_col: str = "split") -> DataFrame:
@@ -298,7 +300,7 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 
 # --- the training frame (L-2 front half) ------------------------------------------
 
-def encode_features(df: DataFrame) -> tuple[DataFrame, TargetEncoding, list[str]]:
+def encode_features(df: DataFrame) -> tuple[DataFrame, TargetEncoding, DataFrame]:
     """Sector shares, compound codes (F4) and target encodings fitted on train."""
     df = add_sector_fractions(df)
     train = df.where(F.col("split") == "train")

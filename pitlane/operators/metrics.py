@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitlane import constants as K
-from pitlane.operators.encode import EXACT_MEDIAN_MAX_ROWS
+from pitlane.operators.quantiles import exact_quantiles
 
 
 # --- audits on the feature table ------------------------------------------------
@@ -149,23 +149,12 @@ def gain(baseline_mae: Column, model_mae: Column) -> tuple[Column, Column]:
 
 
 def best_model(metrics: DataFrame, by: str = "split") -> DataFrame:
-    """Per split, the model with the lowest MAE (ties: smallest name)."""
-    return metrics.groupBy(by).agg(
+    """Per split, the model with the lowest MAE (ties: smallest name; models without one do not compete)."""
+    known = metrics.where(F.col("mae").isNotNull() & ~F.isnan("mae"))
+    return known.groupBy(by).agg(
         F.min_by("model", F.struct("mae", "model")).alias("best_model"), F.min("mae").alias("best_mae"))
 
 
-def quantiles(df: DataFrame, col: str, probs: list[float], by: str | None = None) -> DataFrame:
-    """Interpolated quantiles per group; exact while the largest group is below
-    ``EXACT_MEDIAN_MAX_ROWS`` rows, approximate beyond."""
-    g = df.groupBy(by) if by else df.groupBy()
-    n_max = g.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
-    if n_max <= EXACT_MEDIAN_MAX_ROWS:
-        q = F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs]))
-    else:
-        q = F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), 100_000)
-    return g.agg(q.alias("__q"))
-
-
 def residual_box(df: DataFrame, pred: str = "pred", y: str = K.TARGET) -> DataFrame:
     """Per compound (null -> UNKNOWN) box statistics of residual = pred - y:
     quartiles and the whiskers (extreme values within 1.5 IQR), no outliers."""
@@ -173,8 +162,8 @@ def residual_box(df: DataFrame, pred: str = "pred", y: str = K.TARGET) -> DataFr
         F.coalesce(F.col("Compound"), F.lit(K.UNKNOWN_COMPOUND)).alias("Compound"),
         (F.col(pred) - F.col(y)).alias("r"),
     )
-    q = quantiles(r, "r", [0.25, 0.5, 0.75], "Compound").select(
-        "Compound", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    q = exact_quantiles(r, ["r"], [0.25, 0.5, 0.75], "Compound").select(
+        F.col("group").alias("Compound"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     j = r.join(q, "Compound")
     return j.groupBy("Compound", "q1", "median", "q3").agg(
@@ -211,6 +200,12 @@ def axis_limits(df: DataFrame, pred: str = "pred", y: str = K.TARGET) -> DataFra
     )
 
 
+def pred_actual_points(df: DataFrame, pred: str = "pred", y: str = K.TARGET) -> DataFrame:
+    """The points of the predicted-against-actual chart (null compound -> UNKNOWN)."""
+    g = df.where(F.col(pred).isNotNull() & F.col(y).isNotNull())
+    return g.select(F.coalesce(F.col("Compound"), F.lit(K.UNKNOWN_COMPOUND)).alias("Compound"), F.col(y).alias("actual"), F.col(pred).alias("predicted"))
+
+
 def split_counts(df: DataFrame, n_features: int, by: str = "split") -> DataFrame:
     """Rows per split and the feature matrix width."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_features", F.lit(n_features))

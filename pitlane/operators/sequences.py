@@ -125,7 +125,7 @@ def request_matrix(df: DataFrame, laps_col: str, features: list[str],
 
     n = F.size(laps_col)
     return df.withColumn("X", F.when(n > 0, F.transform(laps_col, row))).withColumn(
-        "error", F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit("'laps' must be a non-empty list")))
+        "error", F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit("the request holds no lap")))
 
 
 def round_array(c: Column | str, digits: int = 6, depth: int = 1) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pitlane import constants as K
@@ -121,7 +122,8 @@ def normalise_keys(df: DataFrame) -> DataFrame:
     """P5: Year, RoundNumber, LapNumber as int; DriverNumber as string (through int)."""
     out = {c: F.col(c).cast("int") for c in ("Year", "RoundNumber", "LapNumber") if c in df.columns}
     if "DriverNumber" in df.columns:
-        out["DriverNumber"] = driver_number_str("DriverNumber")
+        numeric = isinstance(df.schema["DriverNumber"].dataType, T.NumericType)
+        out["DriverNumber"] = driver_number_str("DriverNumber", numeric)
     return df.withColumns(out)
 
 

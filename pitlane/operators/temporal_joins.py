@@ -34,11 +34,13 @@ def asof_nearest(
     right_cols: list[str],
     drop_null_left_if_right: bool = True,
     bucket: float | None = None,
+    right_order: list[str] | None = None,
 ) -> DataFrame:
     """Each left row takes the right row nearest in time within its ``by`` group.
 
     No tolerance. A tie between the earlier and the later right row goes to
-    the earlier one; duplicate right times keep the greatest row. Left rows
+    the earlier one; duplicate right times keep the last row by ``right_order``
+    columns (without one: the greatest row). Left rows
     with a null time are dropped when their group has right rows (as a
     sorted merge requires) and kept with null right columns otherwise. Right
     rows with a null time are ignored.
@@ -48,14 +50,14 @@ def asof_nearest(
     is spread over many tasks.
     """
     if bucket is not None:
-        return _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_left_if_right, bucket)
+        return _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_left_if_right, bucket, right_order)
     lcols = left.columns
     rsel = [F.col(c) for c in right_cols]
     # duplicates of a right time: keep one deterministic row (the greatest)
     r = (
         right.where(F.col(right_on).isNotNull())
         .groupBy(*by, F.col(right_on).alias("__t"))
-        .agg(F.max(F.struct(*rsel)).alias(_R))
+        .agg(_kept(rsel, right_order))
     )
     lt = left.select(
         *[F.col(b) for b in by], F.col(left_on).alias("__t"), F.lit(1).alias("__side"),
@@ -105,6 +107,12 @@ def asof_nearest(
     )
 
 
+def _kept(rsel: list[Column], order: list[str] | None) -> Column:
+    """The row kept among those of one right time."""
+    row = F.struct(*rsel)
+    return (F.max_by(row, F.struct(*map(F.col, order))) if order else F.max(row)).alias(_R)
+
+
 def _pick(t: Column, back: Column, fwd: Column) -> Column:
     """Nearest of the two candidates (structs t, v); a tie goes backward."""
     bd = t - back.getField("t")
@@ -118,7 +126,7 @@ def _pick(t: Column, back: Column, fwd: Column) -> Column:
     )
 
 
-def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_left_if_right, bucket):
+def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_left_if_right, bucket, right_order=None):
     """Two-level nearest as-of join.
 
     1. Both sides get a time bucket; the tag-union is windowed per (keys,
@@ -145,7 +153,7 @@ def _asof_bucketed(left, right, by, left_on, right_on, right_cols, drop_null_lef
     r = (
         right.where(F.col(right_on).isNotNull())
         .groupBy(*by, F.col(right_on).alias("__t"))
-        .agg(F.max(F.struct(*rsel)).alias(_R))
+        .agg(_kept(rsel, right_order))
         .withColumn("__k", bkt("__t"))
     )
     rv_type = F.struct(F.col("__t").alias("t"), F.col(_R).alias("v"))
@@ -206,10 +214,27 @@ def next_start(
     tie: str,
     last_span,
     end_col: str = "__end",
+    slice_width: int = 3_600_000_000,
 ) -> DataFrame:
-    """Interval end = next start in the group, or start + ``last_span``."""
-    w = Window.partitionBy(*by).orderBy(F.col(start), F.col(tie))
-    return laps.withColumn(end_col, F.coalesce(F.lead(start).over(w), F.col(start) + last_span))
+    """Interval end = next start in the group, or start + ``last_span``.
+
+    Two levels: the next start inside the row's own time slice, else the first start of the group's next
+    slice that has one. The second window holds one row a slice, so one car's laps spread over many tasks.
+    """
+    slice_ = F.floor(F.col(start) / F.lit(slice_width))
+    d = laps.withColumn("__slice", slice_)
+    firsts = d.where(F.col(start).isNotNull()).groupBy(*by, "__slice").agg(F.min(start).alias("__first"))
+    later = firsts.select(
+        *(F.col(k).alias(f"__r_{k}") for k in by), F.col("__slice").alias("__r_slice"),
+        F.lead("__first").over(Window.partitionBy(*by).orderBy("__slice")).alias("__later"),
+    )
+    cond = F.col("__slice").eqNullSafe(F.col("__r_slice"))
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    w = Window.partitionBy(*by, "__slice").orderBy(F.col(start), F.col(tie))
+    end = F.coalesce(F.lead(start).over(w), F.col("__later"), F.col(start) + last_span)
+    out = d.join(later, cond, "left").withColumn(end_col, end)
+    return out.drop("__slice", "__r_slice", "__later", *(f"__r_{k}" for k in by))
 
 
 def assign_intervals(
@@ -237,11 +262,10 @@ def assign_intervals(
         )
     )
     sm = samples.where(F.col(sample_t).isNotNull()).withColumn("__b", F.floor(F.col(sample_t) / bucket))
-    # Shuffled hash join building on the interval side: samples stream
-    # through unsorted, and the sample side is never broadcast (size
-    # estimates through a generator undercount it badly).
+    # A sort-merge join can spill either side. The sample side is never
+    # broadcast: size estimates through a generator undercount it badly.
     return (
-        sm.join(lp.hint("shuffle_hash"), [*by, "__b"], "inner")
+        sm.join(lp.hint("merge"), [*by, "__b"], "inner")
         .where((F.col(sample_t) >= F.col("__s")) & (F.col(sample_t) < F.col("__e")))
         .drop("__b", "__s", "__e")
     )

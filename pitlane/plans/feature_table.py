@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pitlane import constants as K
+from pitlane.functions.scalar import nan_to_null
 from pitlane.operators.features import (
     HELPER_COLS,
     add_fuel_correction,
@@ -18,6 +19,7 @@ from pitlane.operators.features import (
 from pitlane.operators.quality import LAP_RULES, WEATHER_RULES, clean_laps
 from pitlane.operators.telemetry import assign_samples_to_laps, join_telemetry, telemetry_per_lap
 from pitlane.operators.temporal_joins import asof_nearest
+from pitlane.session import land
 from pitlane.sources import fixtures as fx
 
 WEATHER_COLS = ["AirTemp", "TrackTemp", "Rainfall", "WindSpeed"]
@@ -55,6 +57,7 @@ def build_feature_table(
     telemetry: DataFrame | None = None,
     fuel_sign: int = 1,
 ) -> DataFrame:
+    laps, weather, samples = (nan_to_null(x) if x is not None and x.columns else x for x in (laps, weather, samples))
     own = telemetry is None
     tel = telemetry if not own else lap_telemetry(laps, samples)
     # lap-only cleaning rules before the weather join (less data into its
@@ -62,20 +65,21 @@ def build_feature_table(
     # weather rule after it; the rules are independent row filters
     df = attach_weather(clean_laps(laps, LAP_RULES), weather)
     df = clean_laps(df, WEATHER_RULES)
-    df = join_telemetry(df, tel, unique_keys=own)
+    # written once: the race-level aggregates below and the join back share it
+    df = land(join_telemetry(df, tel, unique_keys=own), "joined-laps")
     df = add_fuel_correction(df, fuel_sign=fuel_sign)
     df = add_rolling_features(df)
     df = add_track_evolution(df)
     return df.drop(*HELPER_COLS)
 
 
-def feature_table_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_table_from_testdata(spark: SparkSession, sf_dir: str, with_samples: bool = True) -> DataFrame:
     """Ingest (laps and weather landed per race, once per application), then
     the feature build over the landed files: the lap scan takes the
     cleaning predicates, and the car samples are generated from the landed
-    laps without another window."""
+    laps without another window. Callers that use no telemetry column leave them out."""
     from pitlane.plans.store import landed
 
     lp = landed(spark, sf_dir, "laps", lambda: fx.laps(spark, sf_dir))
     wx = landed(spark, sf_dir, "weather", lambda: fx.weather(spark, sf_dir))
-    return build_feature_table(lp, wx, fx.samples(spark, sf_dir, lp))
+    return build_feature_table(lp, wx, fx.samples(spark, sf_dir, lp) if with_samples else None)

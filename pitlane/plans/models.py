@@ -44,7 +44,7 @@ def model_columns(df: DataFrame, features: list[str], required: list[str] | None
     """P10: the listed features that exist; error when none of ``required`` does."""
     cols = existing(df, features)
     if required is not None and not existing(df, required):
-        raise ValueError(f"None of the baseline features {required} found in data.")
+        raise ValueError(f"no baseline feature among the columns: {required}")
     return cols
 
 
@@ -324,20 +324,30 @@ def tree_importance(model: BoostedModel, top: int | None = 3) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def permutation_importance(predict, df: DataFrame, features: list[str], sample: int = K.IMPORTANCE_SAMPLE,
+def _numbered(df: DataFrame, order: Column, key: list[str], parts: int = 256) -> DataFrame:
+    """Row numbers ``__i`` in the order of a hash: rows are ranked inside equal ranges of the hash, and the ranges' sizes add up."""
+    part = F.pmod(F.shiftrightunsigned(order, 40), F.lit(parts))
+    d = df.withColumns({"__p": part, "__h": order})
+    sizes = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy("__h", *key))
+    return d.withColumn("__k", inside).join(base, "__p").withColumn("__i", F.col("__b") + F.col("__k")).drop("__p", "__h", "__k", "__b")
+
+
+def permutation_importance(predict, df: DataFrame, features: list[str], sample: int | None = None,
                            seed: int = K.IMPORTANCE_SEED, key: list[str] | None = None) -> DataFrame:
     """A24 (model-agnostic): MAE increase when one feature column is permuted,
-    on a seeded sample of min(``sample``, n) rows. The permutation pairs row
-    numbers of two seeded orders of the (bounded) sample."""
+    on all rows, or on a seeded ``sample`` of them (L4). The permutation pairs row
+    numbers of two seeded orders, each counted in hash ranges."""
     key = key or ["Year", "RoundNumber", "Driver", "LapNumber"]
-    s = df.orderBy(M.hash_key(key, seed), *key).limit(sample).checkpoint(eager=True)
+    s = (df if sample is None else df.orderBy(M.hash_key(key, seed), *key).limit(sample)).checkpoint(eager=True)
     base = M.regression_metrics(predict(s), by=None).collect()[0]["mae"]
-    w_a = Window.orderBy(*key)
-    w_b = Window.orderBy(M.hash_key(key, seed + 1), *key)
     rows = []
+    a = _numbered(s, M.hash_key(key, seed), key)
+    other = _numbered(s, M.hash_key(key, seed + 1), key)
     for c in features:
-        a = s.withColumn("__i", F.row_number().over(w_a))
-        b = s.select(F.col(c).alias("__v"), F.row_number().over(w_b).alias("__i"))
+        b = other.select(F.col(c).alias("__v"), "__i")
         perm = a.join(b, "__i").withColumn(c, F.col("__v")).drop("__v", "__i")
         mae = M.regression_metrics(predict(perm), by=None).collect()[0]["mae"]
         rows.append((c, float(mae - base)))
@@ -368,12 +378,20 @@ def curve_state_features(hist: Column) -> tuple[Column, Column]:
     return rate, acc
 
 
+def _laps(n: int, n_col: str | None) -> Column:
+    """Laps 0..n-1 of a request: its own number in ``n_col`` (null: ``n``), at most the request limit; none for 0 or less."""
+    laps = F.least(F.coalesce(F.col(n_col).cast("int"), F.lit(n)), F.lit(K.CURVE_MAX_LAPS)) if n_col else F.lit(n)
+    return F.when(laps > 0, F.sequence(F.lit(0), F.greatest(laps - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
 def score_curve(model_predict, scenarios: DataFrame, features: list[str], key: str = "scenario",
                 n_laps: int = K.CURVE_DEFAULT_LAPS, n_col: str | None = None) -> DataFrame:
     """C2 for any model: laps 0..n-1 (n = min(n_laps, 60)); each step scores all
     scenarios at once with the rolling features taken from the unrounded
     prediction history; the lineage is cut every 10 steps."""
     n = min(int(n_laps), K.CURVE_MAX_LAPS)
+    if n_col:  # the loop runs for the longest request
+        n = min(max(n, int(scenarios.agg(F.max(F.col(n_col).cast("int"))).first()[0] or 0)), K.CURVE_MAX_LAPS)
     base = scenario_matrix(scenarios, [c for c in features if c not in ("stint_lap_number", "deg_rate_last_3",
                                                                            "deg_acceleration")])
     cur = base.withColumn("__hist", F.array().cast("array<double>"))
@@ -385,12 +403,13 @@ def score_curve(model_predict, scenarios: DataFrame, features: list[str], key: s
             "pred", "stint_lap_number", "deg_rate_last_3", "deg_acceleration")
         if (t + 1) % 10 == 0:
             cur = cur.checkpoint(eager=True)
-    return cur.select(key, F.posexplode("__hist").alias("lap", "p")).select(
+    hist = F.slice("__hist", F.lit(1), F.size(_laps(n, n_col)))
+    return cur.select(key, F.posexplode(hist).alias("lap", "p")).select(
         key, "lap", round4("p").alias("predicted_delta"))
 
 
 def curve_boosted(model: BoostedModel, scenarios: DataFrame, key: str = "scenario",
-                  n_laps: int = K.CURVE_DEFAULT_LAPS) -> DataFrame:
+                  n_laps: int = K.CURVE_DEFAULT_LAPS, n_col: str | None = None) -> DataFrame:
     """C2 for the boosted trees in one JVM expression per scenario: the compiled
     trees are evaluated inside ``aggregate`` over laps 0..n-1 with the
     unrounded prediction history as state (no per-lap job, no checkpoint)."""
@@ -404,7 +423,7 @@ def curve_boosted(model: BoostedModel, scenarios: DataFrame, key: str = "scenari
         inputs = [dyn[c] if c in dyn else F.col(c) for c in model.features]
         return F.concat(hist, F.array(model.expr(inputs)))
 
-    hist = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<double>"), step)
+    hist = F.aggregate(_laps(n, n_col), F.array().cast("array<double>"), step)
     return base.select(key, F.posexplode(hist).alias("lap", "p")).select(
         key, "lap", round4("p").alias("predicted_delta"))
 
@@ -432,7 +451,7 @@ def fit_linear_curve(train: DataFrame) -> LinearCurveModel:
 
 
 def curve_linear(model: LinearCurveModel, scenarios: DataFrame, key: str = "scenario",
-                 n_laps: int = K.CURVE_DEFAULT_LAPS) -> DataFrame:
+                 n_laps: int = K.CURVE_DEFAULT_LAPS, n_col: str | None = None) -> DataFrame:
     """C2 for the linear model in one JVM expression per scenario: ``aggregate``
     over laps 0..n-1 with the prediction history as the array state."""
     n = min(int(n_laps), K.CURVE_MAX_LAPS)
@@ -443,7 +462,7 @@ def curve_linear(model: LinearCurveModel, scenarios: DataFrame, key: str = "scen
             + F.lit(model.b_acc) * acc
         return F.concat(hist, F.array(pred))
 
-    hist = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<double>"), step)
+    hist = F.aggregate(_laps(n, n_col), F.array().cast("array<double>"), step)
     return scenarios.select(key, F.posexplode(hist).alias("lap", "p")).select(
         key, "lap", round4("p").alias("predicted_delta"))
 
@@ -471,9 +490,9 @@ def score_sequences(df: DataFrame, fn, schema: str, keys: list[str] | None = Non
 
 # --- S13 / S14 / S15 / S16 ------------------------------------------------------------
 
-def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """Metric rows keyed by (model, split) as JSON; adding a model appends."""
-    metrics.write.mode(mode).json(path)
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metric rows as JSON, one folder per (model, split); a re-train replaces its own rows, others stay."""
+    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "split").json(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

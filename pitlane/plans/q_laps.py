@@ -145,17 +145,12 @@ def q_removal_audit(spark, sf):
 @register(
     "file_profile",
     oracle="""
-select Year, RoundNumber, count(*) as n_laps, count(distinct Stint) as n_stints,
-  count(case when Compound = 'HARD' then 1 end) as n_hard,
-  count(case when Compound = 'INTERMEDIATE' then 1 end) as n_intermediate,
-  count(case when Compound = 'MEDIUM' then 1 end) as n_medium,
-  count(case when Compound = 'SOFT' then 1 end) as n_soft,
-  count(case when Compound = 'WET' then 1 end) as n_wet,
-  count(case when Compound = 'UNKNOWN' then 1 end) as n_unknown
-from laps group by Year, RoundNumber""",
+with r as (select Year, RoundNumber, count(*) as n_laps, count(distinct Stint) as n_stints from laps group by 1, 2)
+select Year, RoundNumber, coalesce(Compound, 'UNKNOWN') as Compound, count(*) as n, any_value(n_laps) as n_laps, any_value(n_stints) as n_stints
+from laps join r using (Year, RoundNumber) group by 1, 2, 3""",
 )
 def q_file_profile(spark, sf):
-    """Per race: laps, distinct stints, laps per compound."""
+    """Per race and compound: laps, with the race's laps and distinct stints."""
     return qual.file_profile(fx.laps(spark, sf))
 
 
@@ -357,6 +352,6 @@ from feat where stint_lap_number is not null group by 1, 2""",
 def q_degradation_by_compound(spark, sf):
     """Flagship: the whole feature build, then mean/max fuel-corrected delta per
     compound and stint lap."""
-    df = feature_table_from_testdata(spark, sf).where(F.col("stint_lap_number").isNotNull())
+    df = feature_table_from_testdata(spark, sf, with_samples=False).where(F.col("stint_lap_number").isNotNull())
     return df.groupBy(F.coalesce(F.col("Compound"), F.lit(K.UNKNOWN_COMPOUND)).alias("Compound"), "stint_lap_number").agg(
         F.count(F.lit(1)).alias("n_laps"), F.avg(K.TARGET).alias("mean_delta"), F.max(K.TARGET).alias("max_delta"))

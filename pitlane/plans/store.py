@@ -42,9 +42,21 @@ def _app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", "app")
 
 
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input files, so replaced inputs are not served from an old store."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return str(sorted(found))
+
+
 def store_path(spark: SparkSession, sf_dir: str, name: str = "features") -> str:
     app = _app_id(spark)
-    tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
+    tag = hashlib.sha1(f"{sf_dir.rstrip('/')} {_version(spark, sf_dir)}".encode()).hexdigest()[:10]
     return f"{checkpoint_dir(spark).rstrip('/')}/pitlane-store/{app}/{name}-{tag}"
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library depends on for correct results (not tuning).
 REQUIRED_CONF = {
@@ -63,6 +64,13 @@ def require_local(master: str) -> None:
         raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
 
 
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back: later branches share the work, and lineage is cut."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/pitlane-landed/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pitlane") -> SparkSession:
     """Session for tests and the bench (local mode, UI off)."""
     spark = (

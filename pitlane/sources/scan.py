@@ -53,9 +53,10 @@ def read_laps(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 
 def read_telemetry(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame | None:
-    """Telemetry files; ``None`` when there are none (the build goes on without)."""
+    """Telemetry files; ``None`` when there are none or no file holds a row (the build goes on without)."""
     try:
-        return nan_to_null(_read(spark, path, schema))
+        df = nan_to_null(_read(spark, path, schema))
+        return None if df.isEmpty() else df
     except AnalysisException as e:
         if _missing(e):
             return None
