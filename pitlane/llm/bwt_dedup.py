@@ -31,8 +31,6 @@ Other columns are passed through by ``remove_repeats`` and not read otherwise.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pitlane.llm.common import groups_for, nullable, text_bytes
+from pitlane.llm.common import distinct, groups_for, nullable, text_bytes
 
-KMER = 16
+KMER = 24  # a multiple of eight
 SLICES = 8  # transforms that a bucket merges
 NO_DOC = np.iinfo(np.int64).min  # stands for a null doc_id
 NOBODY = np.iinfo(np.int64).max
@@ -92,30 +90,26 @@ class Shard:
         """
         found = []
         n = self.length
-        for lo, hi, doc in self._blocks():
-            h = kmer_hashes(self.bytes[lo:hi])
-            m = sliding_min(h, n - KMER + 1)
-            pos = np.arange(lo, lo + len(m))
-            d = doc[: len(m)]
-            whole = pos + n <= (self.starts + self.sizes)[d]
-            new = np.empty(len(m), bool)
-            new[0] = True
-            new[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1]) | (whole[1:] != whole[:-1])
+        step = 1 << 20
+        for lo in range(0, max(0, len(self.bytes) - n + 1), step):
+            m = sliding_min(kmer_hashes(self.bytes[lo : lo + step + n - 1]), n - KMER + 1)
+            end = lo + len(m)
+            # the block's documents, and in each the windows that end inside it
+            a, z = np.searchsorted(self.starts, (lo, end - 1), side="right") - 1
+            begin = np.maximum(self.starts[a : z + 1], lo)
+            last = np.clip(self.starts[a : z + 1] + self.sizes[a : z + 1] - n + 1, begin, end)
+            new = np.empty(len(m) + 1, bool)
+            new[1:-1] = m[1:] != m[:-1]
+            new[begin - lo] = new[last - lo] = new[-1] = True
             first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(m)))
-            ok = whole[first]
-            found.append((pos[first][ok], size[ok], m[first][ok], d[first][ok]))
+            size, first = np.diff(first), first[:-1]
+            d = np.searchsorted(begin, first + lo, side="right") - 1
+            ok = first + lo < last[d]
+            found.append((first[ok] + lo, size[ok], m[first[ok]], d[ok] + a))
         if not found:
             return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _blocks(self, step: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
-        n = len(self.bytes)
-        for lo in range(0, max(0, n - self.length + 1), step):
-            hi = min(n, lo + step + self.length - 1)
-            doc = np.searchsorted(self.starts, np.arange(lo, hi), side="right") - 1
-            yield lo, hi, doc
-
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the KMER bytes from each position on."""
@@ -123,9 +117,12 @@ def kmer_hashes(data: np.ndarray) -> np.ndarray:
     a = a[:-1] | a[1:] << np.uint64(8)
     a = a[:-2] | a[2:] << np.uint64(16)
     a = a[:-4] | a[4:] << np.uint64(32)
-    h = (a[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[8:] + (a[8:] << np.uint64(29)))
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    n = len(data) - KMER + 1
+    h = a[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(8, KMER, 8):
+        h ^= h >> np.uint64(29)
+        h += a[i : i + n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h
 
@@ -210,7 +207,7 @@ def candidates(shard: Shard, answers: pa.Table, buckets: int) -> tuple[np.ndarra
     start, windows, key, doc = shard.runs()
     if not len(start):
         return None
-    unique = np.unique(key)
+    unique = distinct(key)
     b = (unique % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((unique, b))
     flags = np.zeros(len(unique), np.uint8)
@@ -259,8 +256,9 @@ def send_strings(left: pa.Table, answers: pa.Table, length: int, buckets: int) -
     for b, lo, hi in zip(*_cuts(bucket[order]), strict=True):
         mine = order[lo:hi]
         body = b"".join(texts[i] for i in mine.tolist())
-        sizes = np.array([len(texts[i]) for i in mine.tolist()], np.int64)
-        rows.append((int(b), shard.number, pack(np.frombuffer(body, np.uint8), sizes, key[mine], least[mine])))
+        sizes = np.array([len(texts[i]) for i in mine.tolist()], "<u4")
+        # 32 bits of the key tell strings apart that can't meet; more that seem to meet do no harm
+        rows.append((int(b), shard.number, pack(np.frombuffer(body, np.uint8), sizes, (key[mine] >> np.uint64(32)).astype("<u4"), least[mine])))
     return out(rows)
 
 
@@ -312,33 +310,68 @@ def merge_transforms(transforms: list[np.ndarray], length: int) -> tuple[np.ndar
     return merged, common
 
 
-def least_documents(texts: list[bytes], slices: np.ndarray, least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every window of every string, the least document of all strings that hold the same window."""
-    transforms, orders, offset, string_at = [], [], 0, []
-    begin = np.zeros(len(texts), np.int64)
-    for s in np.unique(slices):
-        mine = np.flatnonzero(slices == s)
-        raw = b"\xff".join([*(texts[i] for i in mine.tolist()), b""])
-        symbols = np.frombuffer(raw, np.uint8) + np.uint8(1)  # UTF-8 never holds FF: the end becomes 0
-        order, transform = slice_transform(symbols, length)
-        sizes = np.array([len(texts[i]) + 1 for i in mine.tolist()])
-        begin[mine] = offset + np.cumsum(sizes) - sizes
-        string_at.append(np.repeat(mine, sizes))
+def repeated_intervals(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave's intervals that agree on ``length`` symbols and hold several suffixes.
+
+    The same refinement as ``merge_transforms``, two symbols a round, on what can still matter: a block of one
+    suffix stays alone, and so do the suffixes before it; a prefix that reaches its string's end is no
+    window, nor are those before it. Both leave. Returns the suffixes, interval by interval, and the intervals' numbers.
+    """
+    flat = np.concatenate(transforms)
+    before = np.empty(len(flat), np.int32)  # the suffix one symbol to the left
+    at = 0
+    for t in transforms:
+        before[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        at += len(t)
+    pair = flat[before].astype(np.uint16) << 8 | flat  # two symbols to the left, then one
+    ended = (flat == 0) | (flat[before] == 0)
+    twice = before[before]
+    alive, block = np.arange(len(flat), dtype=np.int32), np.zeros(len(flat), np.int32)
+    for k in [1] * (length % 2) + [2] * (length // 2):
+        symbol, step, stop = (pair, twice, ended) if k == 2 else (flat, before, flat == 0)
+        go = ~stop[alive]
+        alive, block = alive[go], block[go]
+        s = symbol[alive]
+        order = np.argsort(s, kind="stable")
+        s, block, alive = s[order], block[order], step[alive[order]]
+        cut = np.empty(len(s) + 1, bool)
+        cut[0] = cut[-1] = True
+        cut[1:-1] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
+        more = ~(cut[:-1] & cut[1:])
+        block = np.cumsum(cut[:-1], dtype=np.int32)[more]
+        alive = alive[more]
+    return alive, block
+
+
+def least_documents(texts: list[bytes], slices: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every string, string by string, the least document of all strings that hold the same window.
+
+    Returns them in one array, and where each string's windows end.
+    """
+    order = np.argsort(slices, kind="stable")
+    sizes = np.fromiter((len(texts[i]) + 1 for i in order.tolist()), np.int64, len(texts))
+    # UTF-8 never holds FF: the end of a string becomes 0
+    symbols = np.frombuffer(b"\xff".join([*(texts[i] for i in order.tolist()), b""]), np.uint8) + np.uint8(1)
+    ends = np.cumsum(sizes)
+    transforms, places = [], []
+    for _, lo, hi in zip(*_cuts(slices[order]), strict=True):
+        a, z = ends[lo] - sizes[lo], ends[hi - 1]
+        suffixes, transform = slice_transform(symbols[a:z], length)
         transforms.append(transform)
-        orders.append(order + offset)
-        offset += len(symbols)
-    merged, common = merge_transforms(transforms, length)
-    place = np.concatenate(orders)[merged]  # text position of every merged suffix
-    string = np.concatenate(string_at)
-    left = np.empty(offset, np.int64)
-    for i, t in enumerate(texts):
-        left[begin[i] : begin[i] + len(t) + 1] = np.arange(len(t), -1, -1)
-    who = np.where(left[place] >= length, least[string[place]], NOBODY)
-    first = np.flatnonzero(common < length)
-    interval = np.minimum.reduceat(who, first)
-    answer = np.empty(offset, np.int64)
-    answer[place] = np.repeat(interval, np.diff(np.append(first, offset)))
-    return [answer[begin[i] : begin[i] + len(t) - length + 1] for i, t in enumerate(texts)]
+        places.append(suffixes + a)
+    alive, block = repeated_intervals(transforms, length)
+    place = np.concatenate(places)[alive]
+    owner = np.repeat(least[order], sizes)
+    answer = owner.copy()
+    if len(place):
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        answer[place] = np.repeat(np.minimum.reduceat(owner[place], first), np.diff(np.append(first, len(place))))
+    # back to the order of the strings, windows only
+    count = np.maximum(sizes - length, 0)
+    back = np.argsort(order)
+    begin, n = (ends - sizes)[back], count[back]
+    stop = np.cumsum(n)
+    return answer[np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], stop
 
 
 def answer_strings(table: pa.Table, length: int) -> pa.Table:
@@ -348,8 +381,8 @@ def answer_strings(table: pa.Table, length: int) -> pa.Table:
     number: dict[bytes, int] = {}
     least, key, source, sent = [], [], [], []
     for shard, data in rows:
-        body, sizes, keys, docs = unpack(data, "u1", "<i8", "<u8", "<i8")
-        raw, ends = body.tobytes(), np.cumsum(sizes)
+        body, sizes, keys, docs = unpack(data, "u1", "<u4", "<u4", "<i8")
+        raw, ends = body.tobytes(), np.cumsum(sizes, dtype=np.int64)
         mine = []
         for lo, hi, k, d in zip((ends - sizes).tolist(), ends.tolist(), keys.tolist(), docs.tolist(), strict=True):
             i = number.setdefault(raw[lo:hi], len(number))
@@ -362,21 +395,33 @@ def answer_strings(table: pa.Table, length: int) -> pa.Table:
             mine.append(i)
         sent.append((shard, np.array(mine)))
     texts = list(number)
-    least, key, source = np.array(least, np.int64), np.array(key, np.uint64), np.array(source)
+    least, key, source = np.array(least, np.int64), np.array(key), np.array(source)
     _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
     met = times[inverse] > 1
-    # (first window, last window + 1, least document) by string; one run where no other string meets it
+    # runs (first window, last window + 1, least document), string by string; one run where no other string meets it
     windows = np.array([len(t) - length + 1 for t in texts], np.int64)
-    runs = [np.array([[0, w, d]], np.int64) for w, d in zip(windows.tolist(), least.tolist(), strict=True)]
+    runs = np.stack([np.zeros(len(texts), np.int64), windows, least], axis=1)
+    of = np.arange(len(texts))
     if met.any():
         ids = np.flatnonzero(met)
-        for i, docs in zip(ids.tolist(), least_documents([texts[i] for i in ids.tolist()], source[ids], least[ids], length), strict=True):
-            d, lo, hi = _cuts(docs)
-            runs[i] = np.stack([lo, hi, d], axis=1)
+        docs, stop = least_documents([texts[i] for i in ids.tolist()], source[ids], least[ids], length)
+        new = np.concatenate([[True], docs[1:] != docs[:-1]])
+        new[stop[:-1]] = True
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(docs))
+        string = np.searchsorted(stop, lo, side="right")
+        base = (stop - windows[ids])[string]
+        of = np.concatenate([of[~met], ids[string]])
+        order = np.argsort(of, kind="stable")
+        runs = np.concatenate([runs[~met], np.stack([lo - base, hi - base, docs[lo]], axis=1)])[order]
+        of = of[order]
+    count = np.bincount(of, minlength=len(texts))
+    begin = np.cumsum(count) - count
     replies = []
     for shard, mine in sent:
-        n = np.array([len(runs[i]) for i in mine.tolist()], np.int64)
-        replies.append((bucket, shard, pack(n, np.concatenate([runs[i] for i in mine.tolist()]))))
+        n = count[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        replies.append((bucket, shard, pack(n.astype("<i8"), runs[at])))
     return out(replies)
 
 

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,6 @@ def groups_for(total: int, each: int, least: int = 1) -> int:
 
 def rows_by_bytes(batch: pa.RecordBatch, col: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``col`` holds about ``limit`` bytes (one row at least)."""
-    import numpy as np
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False))
@@ -55,6 +55,12 @@ def rows_by_bytes(batch: pa.RecordBatch, col: str, limit: int) -> Iterator[pa.Re
         lo = hi
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which beats numpy's hashing here)."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]]
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as rows that Python returns have it."""
     if isinstance(kind, T.StructType):

@@ -104,7 +104,9 @@ def test_merge_of_transforms(texts, length):
     raw = sorted({t.encode() for t in texts if len(t) >= length}) or [b"a" * length]
     slices = np.arange(len(raw)) % 3
     least = np.arange(len(raw), dtype=np.int64)[::-1].copy()
-    got = B.least_documents(raw, slices, least, length)
+    flat, stop = B.least_documents(raw, slices, least, length)
+    got = np.split(flat, stop[:-1])
+    assert [len(x) for x in got] == [len(t) - length + 1 for t in raw]
     for i, t in enumerate(raw):
         for k in range(len(t) - length + 1):
             w = t[k : k + length]
@@ -125,6 +127,24 @@ def test_common_prefixes_of_the_interleave():
         assert c == k or (k == min(len(a), len(b)) == max(len(a), len(b)) and c >= k)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=30).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=9), st.integers(2, 9))
+def test_intervals_are_those_of_the_whole_interleave(texts, length):
+    parts = [np.frombuffer(b"\xff".join([*texts[i::3], b""]), np.uint8) + np.uint8(1) for i in range(min(3, len(texts)))]
+    orders, transforms = zip(*(B.slice_transform(p, length) for p in parts), strict=True)
+    merged, common = B.merge_transforms(list(transforms), length)
+    suffixes = [bytes(p[i : i + length]) for p, o in zip(parts, orders, strict=True) for i in o]
+    want = []
+    for i, c in zip(merged.tolist(), common.tolist(), strict=True):
+        if c < length or not want:
+            want.append([])
+        want[-1].append(i)
+    full = lambda i: len(suffixes[i]) == length and 0 not in suffixes[i]
+    want = {frozenset(g) for g in want if len(g) > 1 and full(g[0])}
+    alive, block = B.repeated_intervals(list(transforms), length)
+    assert {frozenset(alive[block == b].tolist()) for b in set(block.tolist())} == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_op3_matches_sql(spark, sf):
     sf = f"/root/testdata/{sf}"
