@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
-import numpy as np
 import regex
 
 # A space between two characters that are not white space always starts a new pre-token
 # of the byte-level pattern below, so texts can be cut there and the cuts encoded alone.
 GAP = re.compile(r"(?<!\s) (?!\s)")
+# White space but for the space and the line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 # The pre-token patterns that the tokenizer files name (fixed values).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Pieces are cut out of a word only when it holds code points below this one, where the
 # classes of both regular expression engines agree and normal forms change nothing.
-PLAIN_BELOW = "ɐ"
+PLAIN_BELOW = "\u0250"
+MARKS = (".", ",", ";", ":", "!", "?")
 
 
 class _Cache(dict):
@@ -37,18 +40,27 @@ class _Cache(dict):
         return value
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level files write for each byte: itself, or the next one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class Encoder:
     """Texts to token ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Strings of special tokens inside a text are ordinary text. ``cache_words`` bounds the
+    Strings of special tokens inside a text are ordinary text. Words of plain letters go straight to
+    the tokenizer's model; anything else takes its whole way. ``cache_words`` bounds the
     memory, never the result.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -59,31 +71,45 @@ class Encoder:
             self.kind, pattern = "word", WORD_PATTERN
         if self.kind != "whole":
             self.pieces = regex.compile(pattern)
-            self.words = _Cache(self._word, cache_words)
-            self.parts = _Cache(self._encode, cache_words)
+            self.letters = _byte_letters()
+            self.space = self.letters[ord(" ")]
+            self.bare = _Cache(self._word, cache_words)
+            self.spaced = _Cache(self._spaced, cache_words)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if max(word) >= PLAIN_BELOW:
-            return self._encode(word)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str, space: str) -> bytes:
+        """One pre-token of letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(space + word)]).tobytes()
+
+    def _word(self, word: str, space: str = "") -> bytes:
+        """A word without spaces; ``space`` is the letter for a space before it, if there is one."""
+        if not word.isascii() and max(word) >= PLAIN_BELOW:
+            return self._encode(" " + word if space else word)
         if self.kind == "word":
-            word = word.lower() if word.isascii() else word
-        return b"".join(map(self.parts.__getitem__, self.pieces.findall(word)))
+            word = word.lower()
+        if word.isalpha():
+            return self._letters(word, space)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self._letters(word[:-1], space) + self.bare[word[-1]]
+        first, *rest = self.pieces.findall(" " + word if space else word) or [""]
+        return self._encode(first) + b"".join(map(self.bare.__getitem__, rest))
+
+    def _spaced(self, word: str) -> bytes:
+        return self._word(word, self.space)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        """Ids of a text as native unsigned 32-bit integers (little-endian on all supported machines)."""
         if self.kind == "byte":
-            words = GAP.split(text)
-            words[1:] = [" " + w for w in words[1:]]
-        elif self.kind == "word":
-            words = text.split(" ")
-        else:
-            return self._encode(text)
-        return b"".join(map(self.words.__getitem__, words))
+            plain = not ("  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
+            first, *rest = text.split(" ") if plain else GAP.split(text)
+            return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        if self.kind == "word":
+            return b"".join(map(self.bare.__getitem__, text.split(" ")))
+        return self._encode(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
