@@ -13,8 +13,13 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
@@ -118,45 +123,77 @@ class BoostParams:
     extra: dict = field(default_factory=dict)  # search parameters with no Spark counterpart
 
 
+@dataclass
+class Tree:
+    """A regression tree as arrays: a node's feature (-1: leaf), threshold (at most: left), children and value."""
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    importance: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        while True:
+            f = self.feature[node]
+            inner = np.flatnonzero(f >= 0)
+            if not len(inner):
+                return self.value[node]
+            n = node[inner]
+            node[inner] = np.where(x[inner, f[inner]] <= self.threshold[n], self.left[n], self.right[n])
+
+
+def flat_tree(tree: DecisionTreeRegressionModel) -> Tree:
+    """The arrays of a fitted tree, read from its printed form (one call, full precision)."""
+    feature, threshold, left, right, value, stack = [], [], [], [], [], []
+    for line in tree.toDebugString.split("\n")[1:]:
+        line = line.strip()
+        if not line:
+            continue
+        if line.startswith("Else"):
+            right[stack.pop()] = len(feature)
+            continue
+        inner = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
+        leaf = re.match(r"Predict: (\S+)", line)
+        if not (inner or leaf):
+            raise ValueError(f"a split that is no threshold: {line}")
+        if inner:
+            stack.append(len(feature))
+        feature.append(int(inner[1]) if inner else -1)
+        threshold.append(float(inner[2]) if inner else 0.0)
+        left.append(len(feature) if inner else -1)
+        right.append(-1)
+        value.append(float(leaf[1]) if leaf else 0.0)
+    return Tree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value), tree.featureImportances.toArray())
+
+
 @dataclass
 class BoostedModel:
+    """init + learning_rate * sum of the trees. The trees are data: any number of any depth is sent to the
+    executors once and scored in Arrow batches, so neither plans nor generated code grow with the model."""
     init: float
     learning_rate: float
-    trees: list[DecisionTreeRegressionModel]
+    trees: list[Tree]
     features: list[str]
     staged: list[dict]
 
-    def expr(self, inputs: list[Column] | None = None, upto: int | None = None) -> Column:
-        """init + learning_rate * sum of the trees, as one Column expression."""
-        cols = inputs if inputs is not None else [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features]
-        total = F.lit(self.init)
+    def scores(self, x: np.ndarray, upto: int | None = None) -> np.ndarray:
+        total = np.full(len(x), self.init)
         for t in self.trees[:upto] if upto else self.trees:
-            total = total + F.lit(self.learning_rate) * tree_expr(t, cols)
+            total += self.learning_rate * t.predict(x)
         return total
 
     def predict(self, df: DataFrame, out: str = "pred", upto: int | None = None) -> DataFrame:
-        """Score rows with the compiled trees (one projection, no ML transform)."""
-        return df.withColumn(out, self.expr(upto=upto))
+        """Score rows (nulls count as 0)."""
+        sent = df.sparkSession.sparkContext.broadcast(self)
 
+        @F.pandas_udf("double")
+        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for cols in batches:
+                yield pd.Series(sent.value.scores(np.column_stack([c.to_numpy(float) for c in cols]), upto))
 
-def tree_expr(tree: DecisionTreeRegressionModel, inputs: list[Column]) -> Column:
-    """A fitted regression tree as a Column expression: nested ``when`` on the
-    splits (feature <= threshold goes left). ``inputs`` are the feature
-    columns in assembler order, so a tree can be evaluated on expressions
-    (e.g. inside ``aggregate``) and stays in whole-stage code generation."""
-
-    def walk(node) -> Column:
-        if node.getClass().getSimpleName() == "LeafNode":
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        x = inputs[split.featureIndex()]
-        if split.getClass().getSimpleName() == "ContinuousSplit":
-            cond = x <= F.lit(float(split.threshold()))
-        else:  # categorical split: the left categories
-            cond = x.isin([float(c) for c in split.leftCategories()])
-        return F.when(cond, walk(node.leftChild())).otherwise(walk(node.rightChild()))
-
-    return walk(tree._java_obj.rootNode())
+        return df.withColumn(out, run(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features)))
 
 
 def _round_metrics(df: DataFrame, label: str, rnd: int) -> dict:
@@ -188,16 +225,14 @@ def boosted_huber(
     p = params or BoostParams()
     checkpoint_dir(train.sparkSession)
     def prep(d: DataFrame) -> DataFrame:
-        # the vector for fitting, the (filled) feature columns for the compiled trees
-        return assemble(d, features).select(VEC, *features, F.col(T).cast("double").alias(T))
+        return assemble(d, features).select(VEC, F.col(T).cast("double").alias(T))
 
     tr = prep(train)
     init = float(tr.agg(F.percentile_approx(T, 0.5, 10_000)).collect()[0][0] or 0.0)
     tr = tr.withColumn("__F", F.lit(init)).checkpoint(eager=True)
     va = prep(valid).withColumn("__F", F.lit(init)).checkpoint(eager=True) if valid is not None else None
     mo = prep(monitor).withColumn("__F", F.lit(init)).checkpoint(eager=True) if monitor is not None else None
-    inputs = [F.col(c) for c in features]
-    trees: list[DecisionTreeRegressionModel] = []
+    trees: list[Tree] = []
     staged: list[dict] = []
     best, best_round, since = math.inf, 0, 0
     for r in range(p.n_rounds):
@@ -208,12 +243,11 @@ def boosted_huber(
             featureSubsetStrategy=str(p.feature_fraction) if p.feature_fraction < 1.0 else "all",
             seed=p.seed + r,
         )
-        tree = rf.fit(tr.withColumn("__r", resid)).trees[0]
-        trees.append(tree)
-        update = F.lit(p.learning_rate) * tree_expr(tree, inputs)
+        fitted = rf.fit(tr.withColumn("__r", resid))
+        trees.append(flat_tree(fitted.trees[0]))
 
         def step(d: DataFrame) -> DataFrame:
-            return d.withColumn("__F", F.col("__F") + update)
+            return fitted.transform(d).withColumn("__F", F.col("__F") + F.lit(p.learning_rate) * F.col("__p")).drop("__p")
 
         tr = step(tr)
         if va is not None:
@@ -314,7 +348,7 @@ def tree_importance(model: BoostedModel, top: int | None = 3) -> DataFrame:
     n = len(model.features)
     tot = [0.0] * n
     for t in model.trees:
-        v = t.featureImportances.toArray()
+        v = t.importance
         for i in range(min(n, len(v))):
             tot[i] += float(v[i])
     s = sum(tot) or 1.0
@@ -410,22 +444,30 @@ def score_curve(model_predict, scenarios: DataFrame, features: list[str], key: s
 
 def curve_boosted(model: BoostedModel, scenarios: DataFrame, key: str = "scenario",
                   n_laps: int = K.CURVE_DEFAULT_LAPS, n_col: str | None = None) -> DataFrame:
-    """C2 for the boosted trees in one JVM expression per scenario: the compiled
-    trees are evaluated inside ``aggregate`` over laps 0..n-1 with the
-    unrounded prediction history as state (no per-lap job, no checkpoint)."""
+    """C2 for the boosted trees: laps 0..n-1 of all scenarios of a batch side by side, each lap scored from the
+    unrounded prediction history (no per-lap job, no checkpoint)."""
     n = min(int(n_laps), K.CURVE_MAX_LAPS)
-    static = [c for c in model.features if c not in ("stint_lap_number", "deg_rate_last_3", "deg_acceleration")]
+    moving = ("stint_lap_number", "deg_rate_last_3", "deg_acceleration")
+    static = [c for c in model.features if c not in moving]
     base = scenario_matrix(scenarios, static)
-
-    def step(hist: Column, t: Column) -> Column:
-        rate, acc = curve_state_features(hist)
-        dyn = {"stint_lap_number": t.cast("double"), "deg_rate_last_3": rate, "deg_acceleration": acc}
-        inputs = [dyn[c] if c in dyn else F.col(c) for c in model.features]
-        return F.concat(hist, F.array(model.expr(inputs)))
-
-    hist = F.aggregate(_laps(n, n_col), F.array().cast("array<double>"), step)
-    return base.select(key, F.posexplode(hist).alias("lap", "p")).select(
-        key, "lap", round4("p").alias("predicted_delta"))
+    base = base.select(key, F.size(_laps(n, n_col)).alias("__n"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in static))
+    sent = base.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            hist = np.empty((len(d), 0))
+            for t in range(int(d["__n"].max()) if len(d) else 0):
+                rate = hist[:, -3:].mean(axis=1) if t else np.zeros(len(d))
+                acc = rate - hist[:, -4:-1].mean(axis=1) if t >= 2 else rate
+                now = dict(zip(moving, (np.full(len(d), float(t)), rate, acc), strict=True))
+                x = np.column_stack([now[c] if c in now else d[c].to_numpy(float) for c in model_features])
+                hist = np.column_stack([hist, sent.value.scores(x)])
+                live = (d["__n"] > t).to_numpy()
+                yield pd.DataFrame({key: d[key][live], "lap": t, "p": hist[live, -1]})
+
+    model_features = list(model.features)
+    out = base.mapInPandas(run, f"{key} {base.schema[key].dataType.simpleString()}, lap int, p double")
+    return out.select(key, "lap", round4("p").alias("predicted_delta"))
 
 
 @dataclass
@@ -524,21 +566,24 @@ def load_linear(path: str) -> LinearRegressionModel | None:
 
 
 def save_boosted(model: BoostedModel, path: str) -> None:
-    for i, t in enumerate(model.trees):
-        t.write().overwrite().save(f"{path}/tree-{i:04d}")
+    """One row a tree, and the model's own values, as JSON."""
     spark = SparkSession.getActiveSession()
-    meta = json.dumps({"init": model.init, "learning_rate": model.learning_rate, "features": model.features,
-                       "n_trees": len(model.trees)})
+    rows = [(i, *(getattr(t, c).tolist() for c in ("feature", "threshold", "left", "right", "value", "importance"))) for i, t in enumerate(model.trees)]
+    schema = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>, importance array<double>"
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/trees")
+    meta = json.dumps({"init": model.init, "learning_rate": model.learning_rate, "features": model.features})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_boosted(path: str) -> BoostedModel | None:
+    """An absent model is "unavailable" (None), not an error."""
     spark = SparkSession.getActiveSession()
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
-    except Exception:  # noqa: BLE001
+    except Exception:  # noqa: BLE001 - missing or unreadable model
         return None
-    trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{i:04d}") for i in range(meta["n_trees"])]
+    rows = spark.read.parquet(f"{path}/trees").orderBy("tree").collect()
+    trees = [Tree(*(np.array(r[c], float if c in ("threshold", "value", "importance") else int) for c in ("feature", "threshold", "left", "right", "value", "importance"))) for r in rows]
     return BoostedModel(meta["init"], meta["learning_rate"], trees, meta["features"], [])
 
 

@@ -6,6 +6,7 @@ import math
 import uuid
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -93,16 +94,44 @@ def test_sequence_hook_runs_per_stint(spark):
     assert out.count() == df.where(F.col("Stint").isNotNull()).count()
 
 
-def test_compiled_trees_equal_spark_ml_transform(spark):
+def test_flat_trees_equal_spark_ml_transform(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
     df, feats = ML.training_frame(feature_store(spark, SF_SMALL))
-    m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(n_rounds=3, early_stopping=0))
-    x = ML.assemble(df, feats).withColumn("ref", F.lit(m.init))
-    for t in m.trees:
-        t2 = t.copy()
-        t2.setPredictionCol("__p")
-        x = t2.transform(x).withColumn("ref", F.col("ref") + F.lit(m.learning_rate) * F.col("__p")).drop("__p")
-    diff = m.predict(x).agg(F.max(F.abs(F.col("pred") - F.col("ref")))).collect()[0][0]
-    assert diff == 0.0
+    x = ML.assemble(df, feats).where(F.col(K.TARGET).isNotNull())
+    fitted = RandomForestRegressor(featuresCol=ML.VEC, labelCol=K.TARGET, predictionCol="__p", numTrees=1, maxDepth=12, seed=3).fit(x)
+    tree = ML.flat_tree(fitted.trees[0])
+    assert (tree.feature >= 0).sum() == (tree.feature < 0).sum() - 1
+    m = ML.BoostedModel(0.0, 1.0, [tree], feats, [])
+    assert m.predict(fitted.transform(x)).agg(F.max(F.abs(F.col("pred") - F.col("__p")))).first()[0] == 0.0
+
+
+def test_a_model_of_600_deep_trees_scores_saves_loads_and_draws(spark):
+    rng = np.random.default_rng(0)
+    feats = ["a", "b", "stint_lap_number", "deg_rate_last_3", "deg_acceleration"]
+
+    def tree() -> ML.Tree:  # a full tree of depth 12
+        n, leaves = 2**12 - 1, 2**12
+        feature = np.concatenate([rng.integers(0, 5, n), np.full(leaves, -1)])
+        left = np.concatenate([2 * np.arange(n) + 1, np.full(leaves, -1)])
+        return ML.Tree(feature, rng.normal(size=n + leaves), left, left + 1, rng.normal(size=n + leaves), np.ones(5) / 5)
+
+    trees = [tree() for _ in range(20)] * 30
+    m = ML.BoostedModel(0.5, 0.01, trees, feats, [])
+    path = f"{checkpoint_dir(spark)}/boost-{uuid.uuid4().hex}"
+    ML.save_boosted(m, path)
+    m = ML.load_boosted(path)
+    x = rng.normal(size=(40, 5))
+    df = spark.createDataFrame([(f"s{i}", *map(float, r)) for i, r in enumerate(x)], "scenario string, " + ", ".join(f"{c} double" for c in feats))
+    got = [r.pred for r in m.predict(df).orderBy(F.expr("int(substring(scenario, 2))")).collect()]
+    assert len(m.trees) == 600 and np.allclose(got, m.scores(x))
+    curve = {(r.scenario, r.lap): r.predicted_delta for r in ML.curve_boosted(m, df, n_laps=5).collect()}
+    hist = []
+    for t in range(5):
+        rate = np.mean(hist[-3:]) if t else 0.0
+        acc = rate - np.mean(hist[-4:-1]) if t >= 2 else rate
+        hist.append(m.scores(np.array([[x[7, 0], x[7, 1], t, rate, acc]]))[0])
+    assert np.allclose([curve["s7", t] for t in range(5)], hist, atol=1e-4) and len(curve) == 200
 
 
 def test_gbt_fast_path_with_validation_indicator(spark):
