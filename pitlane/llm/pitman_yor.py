@@ -28,6 +28,9 @@ Without training text every token is the unknown one. Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlane.llm.bwt_dedup import ROWS, out, pack, unpack
-from pitlane.llm.common import groups_for, text_bytes, word_blocks
+from pitlane.llm.common import distinct, groups_for, text_bytes, word_blocks
 
 EXACT = 64
 #: Discounts of the parent and of the contexts, and their concentration.
@@ -107,12 +110,13 @@ class Shard:
         table = table.combine_chunks()
         self.number = table.column("shard")[0].as_py()
         self.held = np.array(table.column("held_out").to_pylist(), bool)
-        number: dict[bytes, int] = {b"": 0}
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        end = number[b""]
         ids, sizes = [], []
         for text in table.column("text").to_pylist():
             before = len(ids)
-            ids += [np.fromiter((number.setdefault(w, len(number)) for w in block), np.int32, len(block)) for block in word_blocks((text or b"").lower())]
-            ids.append(np.zeros(1, np.int32))
+            ids += [np.fromiter(map(number.__getitem__, block), np.int32, len(block)) for block in word_blocks((text or b"").lower())]
+            ids.append(np.full(1, end, np.int32))
             sizes.append(sum(map(len, ids[before:])))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
         order = np.argsort(hashes, kind="stable")
@@ -124,7 +128,7 @@ class Shard:
         self.tokens = place[np.concatenate(ids)]
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
-        before[self.starts] = place[0]
+        before[self.starts] = place[end]
         self.pair_of = before << 32 | self.tokens  # the context's number, then the token's
         self.train = np.repeat(~self.held, self.sizes)
 
@@ -138,11 +142,24 @@ class Shard:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (sorted) and their training counts."""
-        pairs = np.unique(self.pair_of)
-        known, n = np.unique(self.pair_of[self.train], return_counts=True)
-        counts = np.zeros(len(pairs), np.int64)
-        counts[np.searchsorted(pairs, known)] = n
-        return pairs, counts
+        pairs, inverse = self.distinct_pairs()
+        return pairs, np.bincount(inverse[self.train], minlength=len(pairs))
+
+    def distinct_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs (sorted), and the place of every token's pair among them."""
+        order = np.argsort(self.pair_of)
+        in_order = self.pair_of[order]
+        new = np.concatenate([[True], in_order[1:] != in_order[:-1]])
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return in_order[new], inverse
+
+    def wide(self) -> np.ndarray:
+        """Marks words with more than ``WIDE`` different followers."""
+        context = self.pair_of >> 32
+        often = np.bincount(context, minlength=len(self.hashes)) > WIDE
+        followers = distinct(self.pair_of[often[context]]) >> 32
+        return np.bincount(followers, minlength=len(self.hashes)) > WIDE
 
     def pairs_by_bucket(self, pairs: np.ndarray, wide: set[int], buckets: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
         """The pairs of each bucket, by context key and follower hash, and the context key of every pair."""
@@ -162,9 +179,7 @@ def ask_words(table: pa.Table, buckets: int) -> pa.Table:
     """Distinct words of a shard with training counts, and whether a word has very many followers here."""
     s = Shard(table)
     counts = s.counts()
-    context, followers = np.unique(np.unique(s.pair_of) >> 32, return_counts=True)
-    wide = np.zeros(len(s.hashes), np.uint8)
-    wide[context] = followers > WIDE
+    wide = s.wide().astype(np.uint8)
     # sorted hashes travel as differences, which the shuffle's compression shortens
     return out([(b, s.number, pack(np.diff(s.hashes[mine], prepend=np.uint64(0)), counts[mine].astype("<i8"), wide[mine])) for b, mine in s.words_by_bucket(buckets).items()])
 
@@ -219,41 +234,54 @@ def ask_pairs(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     parent = Parent(s, answers, buckets)
     pairs, counts = s.pairs()
     by, key = s.pairs_by_bucket(pairs, parent.wide, buckets)
-    # the probability in steps of a twentieth of a power of two: enough to seat by
-    level = np.clip(np.round(-20 * np.log2(parent.p)), 0, 65535).astype("<u2")
+    # the probability in steps of a sixth of a power of two: enough to seat by
+    level = np.clip(np.round(-6 * np.log2(parent.p)), 0, 255).astype("u1")
     rows = []
     for b, mine in by.items():
         word = pairs[mine] & 0xFFFFFFFF
         first = np.array([(lo, hi - lo) for _, lo, hi in cuts(key[mine])], np.int64)
-        rows.append((b, s.number, pack(key[mine][first[:, 0]], first[:, 1].astype("<u4"), (s.hashes[word] >> np.uint64(32)).astype("<u4"), _small(counts[mine]), level[word])))
+        rows.append((b, s.number, _pack_pairs(key[mine][first[:, 0]], first[:, 1], s.hashes[word] >> np.uint64(32), counts[mine], level[word])))
     return out(rows)
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    return counts.astype("u1") if counts.max(initial=0) < 256 else counts.astype("<i8")
+def _pack_pairs(first: np.ndarray, followers: np.ndarray, hashes: np.ndarray, counts: np.ndarray, level: np.ndarray) -> bytes:
+    """Counts take a byte each, and those over it are listed."""
+    large = np.flatnonzero(counts > 254)
+    return pack(first, followers.astype("<u4"), hashes.astype("<u4"), np.minimum(counts, 255).astype("u1"), large.astype("<u4"), counts[large].astype("<i8"), level)
+
+
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, ...]:
+    first, followers, hashes, small, large, counts, level = unpack(data, "<u8", "<u4", "<u4", "u1", "<u4", "<i8", "u1")
+    small = small.astype(np.int64)
+    small[large] = counts
+    return first, followers, hashes, small, level
+
+
+#: Shares travel as 16-bit logarithms, a thousandth of a power of two apart; the last value is zero.
+def _to_log(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.clip(np.round(-1000 * np.log2(np.maximum(p, 1e-30))), 0, 65534), 65535).astype("<u2")
 
 
-def _large(data: bytes) -> tuple[np.ndarray, ...]:
-    entries, counted = np.frombuffer(data, "<i8", 6)[[3, 4]]
-    return tuple(unpack(data, "<u8", "<u4", "<u4", "u1" if counted * 4 == entries else "<i8", "<u2"))
+def _from_log(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps == 65535, 0, 2.0 ** (steps / -1000.0))
 
 
 def answer_pairs(table: pa.Table, burn: int, samples: int, seed: int) -> pa.Table:
     """For each asked pair what its own customers give, and for each context what it leaves to the parent."""
     bucket = table.column("bucket")[0].as_py()
-    asked = [(s, _large(d)) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
+    asked = [(s, _unpack_pairs(d)) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
     contexts, room = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
     room = np.repeat(room, np.concatenate([a[1] for _, a in asked]))
     entry = room.astype(np.uint64) << np.uint64(32) | np.concatenate([a[2] for _, a in asked])
     entries, first, inverse = np.unique(entry, return_index=True, return_inverse=True)
     counts = np.bincount(inverse, np.concatenate([a[3] for _, a in asked]), len(entries)).astype(np.int64)
-    p = 2.0 ** (np.concatenate([a[4] for _, a in asked])[first] / -20.0)
+    p = 2.0 ** (np.concatenate([a[4] for _, a in asked])[first] / -6.0)
     rooms = (entries >> np.uint64(32)).astype(np.int64)
     train, tables = np.flatnonzero(counts), np.zeros(len(entries))
     if len(train):
         tables[train] = Restaurants(rooms[train], counts[train], len(contexts), DISCOUNT).averaged_tables(p[train], seed + bucket, burn, samples)
     n = STRENGTH + np.bincount(rooms, counts, len(contexts))
-    own = (np.maximum(counts - DISCOUNT * tables, 0) / n[rooms]).astype("<f4")
+    own = _to_log(np.maximum(counts - DISCOUNT * tables, 0) / n[rooms])
     left = ((STRENGTH + DISCOUNT * np.bincount(rooms, tables, len(contexts))) / n).astype("<f4")
     at, rows = 0, []
     for s, a in asked:
@@ -274,17 +302,17 @@ def finish(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     s = Shard(left)
     kind = np.array(answers.column("kind").to_pylist())
     parent = Parent(s, answers.filter(pa.array(kind == 1)), buckets)
-    pairs = np.unique(s.pair_of)
+    pairs, inverse = s.distinct_pairs()
     by, key = s.pairs_by_bucket(pairs, parent.wide, buckets)
     own, rest = np.empty(len(pairs)), np.empty(len(pairs))
     second = answers.filter(pa.array(kind == 2))
     for b, data in zip(second.column("bucket").to_pylist(), second.column("data").to_pylist(), strict=True):
         mine = by[b]
-        o, r = unpack(data, "<f4", "<f4")
-        own[mine] = o
+        o, r = unpack(data, "<u2", "<f4")
+        own[mine] = _from_log(o)
         rest[mine] = np.repeat(r, [hi - lo for _, lo, hi in cuts(key[mine])])
     logs = np.log10(own + rest * parent.p[pairs & 0xFFFFFFFF])
-    score = np.add.reduceat(logs[np.searchsorted(pairs, s.pair_of)], s.starts)
+    score = np.add.reduceat(logs[inverse], s.starts)
     unigram = np.log10((parent.counts + 1.0) / (parent.n + parent.distinct + 1.0))
     base = np.add.reduceat(unigram[s.tokens], s.starts)
     known = np.add.reduceat((parent.counts > 0)[s.tokens].astype(np.int64), s.starts)
