@@ -139,3 +139,15 @@ def test_gbt_fast_path_with_validation_indicator(spark):
     model = ML.boosted_fast(df.where(F.col("split") == "train"), df.where(F.col("split") == "val"), feats, max_iter=3)
     out = model.transform(ML.assemble(df.where(F.col("split") == "test"), feats))
     assert out.where(F.col("pred").isNull()).count() == 0 and out.count() > 0
+
+
+def test_train_pipeline_end_to_end(spark):
+    df, feats = ML.training_frame(feature_store(spark, SF_SMALL))
+    paths = [f"{checkpoint_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("metrics", "model")]
+    rows = {r.model: r for r in ML.train_pipeline(df, feats, *paths, n_trials=2, n_rounds=3, early_stopping=2).collect()}
+    assert set(rows) == {"boosted_huber", "huber_baseline"} and rows["boosted_huber"].n == rows["huber_baseline"].n > 0
+    want = (rows["huber_baseline"].mae - rows["boosted_huber"].mae) / rows["huber_baseline"].mae * 100
+    assert math.isclose(rows["boosted_huber"].gain_pct, want, rel_tol=1e-6) and rows["huber_baseline"].gain_pct == 0
+    assert len(ML.load_boosted(paths[1]).trees) >= 1
+    # a second run replaces its rows
+    assert ML.train_pipeline(df, feats, *paths, n_trials=1, n_rounds=2, early_stopping=2).count() == 2
