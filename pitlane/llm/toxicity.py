@@ -255,14 +255,20 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5, epochs: tuple[int, int]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held: Column, max_rows: int) -> list[tuple[bytes, int]]:
-    """At most ``max_rows`` labelled documents of each class, in the order of their doc_id's hash."""
+    """At most ``max_rows`` labelled documents of each class, in the order of their doc_id's hash.
+
+    The ids are picked without the texts; only the picked ones' texts are read, one for an id that several rows have.
+    """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.filter(~held).select("doc_id", F.col("text").cast("binary").alias("text")).join(marks, "doc_id")
-    rows = []
+    known = docs.filter(~held).select("doc_id").distinct().join(marks, "doc_id")
+    picked = None
     for k in (0, 1):
-        picked = known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
-        rows += [(bytes(r["text"] or b""), k) for r in picked.select("text").collect()]
-    return rows
+        some = known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        picked = some if picked is None else picked.union(some)
+    # at most 2 * max_rows ids
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text")).collect()
+    return [(bytes(r["text"]), r["toxic"]) for r in sorted(rows, key=lambda r: (r["toxic"], r["doc_id"]))]
 
 
 def held_out(divisor: int = 5, remainder: int = 0) -> Column:
