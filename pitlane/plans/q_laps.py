@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pitlane import constants as K
@@ -12,8 +14,10 @@ from pitlane.operators import telemetry as tel
 from pitlane.operators.temporal_joins import asof_nearest
 from pitlane.plans.feature_table import attach_weather, feature_table_from_testdata
 from pitlane.plans.registry import register
+from pitlane.session import checkpoint_dir
 from pitlane.sources import fixtures as fx
 from pitlane.sources import scan
+from pitlane.sources import scan
 
 LAP_OUT = [
     "event_id", "Year", "RoundNumber", "EventName", "Driver", "DriverNumber", "Team", "LapNumber", "Stint",
@@ -262,6 +266,14 @@ def q_telemetry_per_lap(spark, sf):
     return tel.telemetry_per_lap(tel.assign_samples_to_laps(fx.samples(spark, sf, lp), lp)).select(*TEL_OUT)
 
 
+@register("telemetry_files", oracle=f"select {', '.join(TEL_OUT)} from tel", doubles=tuple(TEL_OUT[8:]))
+def q_telemetry_files(spark, sf):
+    """Per-lap telemetry landed per race and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/telemetry-{uuid.uuid4().hex[:12]}"
+    scan.write_by_race(q_telemetry_per_lap(spark, sf), path)
+    return scan.read_telemetry(spark, path).select(*TEL_OUT)
+
+
 API_SQL = """
 with al as (select Year * 100 + RoundNumber as session_key, Year as year, cast(DriverNumber as int) as driver_number,
               LapNumber as lap_number, lap_start_us as s from laps),

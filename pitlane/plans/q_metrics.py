@@ -219,6 +219,16 @@ def q_pred_actual_limits(spark, sf):
     return M.axis_limits(scored(spark, sf).where(F.col("split") == "test"))
 
 
+@register(
+    "pred_actual_points",
+    oracle=f"select coalesce(Compound, 'UNKNOWN') as Compound, {T} as actual, pred as predicted from pred where split = 'test'",
+    doubles=("actual", "predicted"),
+)
+def q_pred_actual_points(spark, sf):
+    """The points of the predicted-vs-actual chart on test."""
+    return M.pred_actual_points(scored(spark, sf).where(F.col("split") == "test"))
+
+
 @register(
     "split_counts",
     oracle=f"select split, count(*) as n_rows, {len(K.MODEL_FEATURES)} as n_features from featsplit group by split",

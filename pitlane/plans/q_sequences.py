@@ -48,90 +48,95 @@ select Year, RoundNumber, Driver, Stint, LapNumber, split, seq_order, {T}, {scal
 view("seqin", ("tlf",), _seqin_sql())
 
 SEQ_SQL = """
-select Year, RoundNumber, Driver, Stint, cast(count(*) as int) as L,
+select Year, RoundNumber, Driver, Stint, split, cast(count(*) as int) as L,
   list([{x}] order by seq_order) as X, list(round({t}, 6) order by seq_order) as y
-from seqin where split = '{split}' and {t} is not null and Year is not null and RoundNumber is not null
+from seqin where split is not null and {t} is not null and Year is not null and RoundNumber is not null
   and Driver is not null and Stint is not null
-group by Year, RoundNumber, Driver, Stint having count(*) >= 2"""
+group by Year, RoundNumber, Driver, Stint, split having count(*) >= 2"""
 
+view("seq_all", ("seqin",), SEQ_SQL.format(x=", ".join(f"round({c}, 6)" for c in FE), t=T))
+SPLIT_KEYS = [*KEYS, "split"]
 
-def seq_sql(split: str) -> str:
-    return SEQ_SQL.format(x=", ".join(f"round({c}, 6)" for c in FE), t=T, split=split)
 
-
-view("seq_val", ("seqin",), seq_sql("val"))
-view("seq_train", ("seqin",), seq_sql("train"))
-
-
-def sequences(spark, sf, split: str):
-    df = sequence_inputs(spark, sf).where(F.col("split") == split)
+def sequences(spark, sf):
+    """Train, val and test sequences; the split is part of the key."""
+    df = sequence_inputs(spark, sf).where(F.col("split").isNotNull())
     # round the step values so both engines see the same numbers
     df = df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in FE + [T]})
-    return S.stint_sequences(df, FE, T, order_col="seq_order")
+    return S.stint_sequences(df, FE, T, order_col="seq_order", keys=SPLIT_KEYS)
+
+
+def per_split(df, f):
+    """``f`` on each split's rows, stacked."""
+    out = None
+    for s in enc.SPLITS:
+        part = f(df.where(F.col("split") == s))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@register("stint_sequences", oracle="select * from seq_val")
+@register("stint_sequences", oracle="select * from seq_all")
 def q_stint_sequences(spark, sf):
     """B1: per stint X (L x 16), y (L); null targets and stints < 2 laps dropped."""
-    return sequences(spark, sf, "val")
+    return sequences(spark, sf)
 
 
 @register(
     "prefix_augment",
-    oracle="""select Year, RoundNumber, Driver, Stint, cast(e as int) as L, list_slice(X, 1, e) as X, list_slice(y, 1, e) as y
-from (select *, unnest(range(2, L + 1)) as e from seq_train) q""",
+    oracle="""select Year, RoundNumber, Driver, Stint, split, cast(e as int) as L, list_slice(X, 1, e) as X, list_slice(y, 1, e) as y
+from (select *, unnest(range(2, L + 1)) as e from seq_all where split = 'train') q""",
 )
 def q_prefix_augment(spark, sf):
     """B2: all prefixes of length 2..L of the train sequences."""
-    return S.prefix_augment(sequences(spark, sf, "train"))
+    return S.prefix_augment(sequences(spark, sf).where(F.col("split") == "train"))
 
 
 @register(
     "pad_mask",
     oracle="""
-with b as (select *, (row_number() over (order by Year, RoundNumber, Driver, Stint) - 1) // 32 as batch from seq_val),
-m as (select *, max(L) over (partition by batch) as maxlen from b)
-select Year, RoundNumber, Driver, Stint, L, batch, maxlen,
+with b as (select *, (row_number() over (partition by split order by Year, RoundNumber, Driver, Stint) - 1) // 32 as batch from seq_all),
+m as (select *, max(L) over (partition by split, batch) as maxlen from b)
+select Year, RoundNumber, Driver, Stint, split, L, batch, maxlen,
   list_concat(X, list_transform(range(maxlen - L), lambda i: list_transform(range(len(X[1])), lambda j: cast(0 as double)))) as X_pad,
   list_concat(y, list_transform(range(maxlen - L), lambda i: cast(0 as double))) as y_pad,
   list_transform(range(1, maxlen + 1), lambda i: i <= L) as mask
 from m""",
 )
 def q_pad_mask(spark, sf):
-    """Batches of 32 in key order, padded to the batch maximum, step mask."""
-    return S.pad_batches(sequences(spark, sf, "val"))
+    """Per split, batches of 32 in key order, padded to the batch maximum, step mask."""
+    return per_split(sequences(spark, sf), S.pad_batches)
 
 
 def persistence_padded(spark, sf):
-    """Padded val batches with a persistence prediction (previous step's target, 0 first)."""
-    seq = sequences(spark, sf, "val").withColumn(
+    """Padded batches of every split with a persistence prediction (previous step's target, 0 first)."""
+    seq = sequences(spark, sf).withColumn(
         "pred", F.concat(F.array(F.lit(0.0)), F.slice("y", 1, F.col("L") - 1)))
-    b = S.pad_batches(seq)
+    b = per_split(seq, S.pad_batches)
     pad = F.col("maxlen") - F.col("L")
     return b.withColumn("pred_pad", F.concat("pred", F.array_repeat(F.lit(0.0), pad)))
 
 
 UNPAD_SQL = """
-select Year, RoundNumber, Driver, Stint, cast(pos as int) as pos,
+select Year, RoundNumber, Driver, Stint, split, cast(pos as int) as pos,
   case when pos = 0 then cast(0 as double) else y[pos] end as pred, y[pos + 1] as y
-from (select *, unnest(range(L)) as pos from seq_val) q"""
+from (select *, unnest(range(L)) as pos from seq_all) q"""
 
 
 @register("unpad", oracle=UNPAD_SQL, doubles=("pred", "y"))
 def q_unpad(spark, sf):
     """Padded predictions and targets back to one row per real step."""
-    return S.unpad(persistence_padded(spark, sf), "pred_pad", "y_pad")
+    return S.unpad(persistence_padded(spark, sf), "pred_pad", "y_pad", keys=SPLIT_KEYS)
 
 
 @register(
     "masked_huber",
-    oracle=f"""select avg(case when abs(pred - y) <= 1 then 0.5 * (pred - y) * (pred - y) else abs(pred - y) - 0.5 end) as loss,
-  count(*) as n_steps from ({UNPAD_SQL}) u""",
+    oracle=f"""select split, avg(case when abs(pred - y) <= 1 then 0.5 * (pred - y) * (pred - y) else abs(pred - y) - 0.5 end) as loss,
+  count(*) as n_steps from ({UNPAD_SQL}) u group by split""",
     doubles=("loss",),
 )
 def q_masked_huber(spark, sf):
     """Huber loss (delta 1) over real steps only, padded steps masked out."""
-    return S.masked_huber(persistence_padded(spark, sf), "pred_pad", "y_pad")
+    return S.masked_huber(persistence_padded(spark, sf), "pred_pad", "y_pad", by=["split"])
 
 
 REQ_FEATS = [c for c in FE if c != "avg_rpm"]  # requests omit one feature: it becomes 0.0
