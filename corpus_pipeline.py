@@ -9,14 +9,33 @@ empty table stays empty.
 
 from __future__ import annotations
 
+import functools
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlane.llm import bwt_dedup, decontam, packing, quality, simhash
-from pitlane.llm.common import land, table
+from pitlane.llm.common import drop_landed, land, recorded, table
+
+_LEFT = threading.local()
+
+
+def stage(f):
+    """A stage of the pipeline: what the one before it landed for its own use goes, as its result has been written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _LEFT.paths = getattr(_LEFT, "paths", [])
+        drop_landed(spark, _LEFT.paths)
+        with recorded(_LEFT.paths):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rules and the risk-controlled cutoffs of their language."""
     carried = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("__row"))
@@ -25,16 +44,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(featured, chosen, "lang").filter("kept").select("__row.*")
 
 
+@stage
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates (three-word shingles, three bits)."""
     return simhash.keep_one(docs, width=3, budget=3)
 
 
+@stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut 50-byte strings that a document with a smaller id has as well; drop documents of which nothing is left."""
     return bwt_dedup.remove_repeats(docs, length=50)
 
 
+@stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a ten-word window of a benchmark item."""
     rows = land(docs.select(F.struct(*docs.columns).alias("__row")).withColumn("__rid", F.monotonically_increasing_id()), "rows")
@@ -43,6 +65,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return rows.join(hit.select(F.col("doc_id").alias("__rid")), "__rid", "left_anti").select("__row.*")
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, max_tokens=1024)
@@ -63,6 +86,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the documents table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = land(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES:
+        docs = land(f(spark, docs, sf_dir), name)
     return docs

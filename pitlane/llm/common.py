@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/pitlane-llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_RECORDING = threading.local()
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note the tables that this thread lands meanwhile in ``paths``."""
+    before = getattr(_RECORDING, "paths", None)
+    _RECORDING.paths = paths
+    try:
+        yield
+    finally:
+        _RECORDING.paths = before
+
+
+def drop_landed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete landed tables that nothing reads any more, and empty the list."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def land(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back (cuts lineage)."""
     path = scratch(df.sparkSession, name)
+    if getattr(_RECORDING, "paths", None) is not None:
+        _RECORDING.paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
