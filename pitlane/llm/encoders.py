@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -55,7 +56,7 @@ class Encoder:
     memory, never the result.
     """
 
-    def __init__(self, path: str, cache_words: int = 350_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -112,6 +113,18 @@ class Encoder:
         return self._encode(text)
 
 
+    def encode_all(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of each text with the end's. Garbage collection pauses meanwhile: nothing here makes cycles, and it would walk
+        the tokens of every word."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return [self.encode(t) + end for t in texts]
+        finally:
+            if on:
+                gc.enable()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -52,8 +52,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: in
         for batch in batches:
             for rows in rows_by_bytes(batch, "text", 2 << 20):
                 out = []
-                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    ids = memoryview(enc.encode(text) + end)
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), map(memoryview, enc.encode_all(rows.column("text").to_pylist(), end)), strict=True):
                     for k, (s, n) in enumerate(cut(len(ids) // 4, max_tokens)):
                         out.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), task, seen[n]))
                         seen[n] += 1

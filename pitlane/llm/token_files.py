@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import groups_for, rows_by_bytes, text_bytes
+from pitlane.llm.common import rows_by_bytes
 from pitlane.llm.encoders import encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
@@ -45,11 +45,11 @@ def writer_options(row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10,
     }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, part_bytes: int = 16 << 20, **options: int) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, parts: int | None = None, **options: int) -> None:
     """Encode ``docs`` (doc_id, text) and write the files, ascending by ``doc_id``.
 
-    Parts are ranges of (doc_id, text hash) of about ``part_bytes`` of text, so a repeated
-    ``doc_id`` does not fill one part.
+    Parts are ranges of (doc_id, text hash), so a repeated ``doc_id`` does not fill one part; there are as many
+    as the input has partitions unless ``parts`` says otherwise.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows in rows_by_bytes(batch, "text", 2 << 20):
-                ids = [enc.encode(t) + end for t in rows.column("text").to_pylist()]
+                ids = enc.encode_all(rows.column("text").to_pylist(), end)
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     (
-        src.repartitionByRange(groups_for(text_bytes(src), part_bytes), F.col("doc_id"), tie)
+        src.repartitionByRange(parts or max(1, src.rdd.getNumPartitions()), F.col("doc_id"), tie)
         .sortWithinPartitions("doc_id", tie)
         .mapInArrow(encode, SCHEMA)
         .write.options(**writer_options(**options))

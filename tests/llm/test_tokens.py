@@ -63,7 +63,7 @@ def test_op1_on_the_small_table(spark):
 def test_token_files_edges_layout_and_selective_reads(spark):
     path = scratch(spark, "t")
     df = clashing(documents(spark, EDGE))
-    token_files.write_tokens(df, path, WORD, part_bytes=20_000, row_group_bytes=64 << 10, page_bytes=4 << 10)
+    token_files.write_tokens(df, path, WORD, parts=4, row_group_bytes=64 << 10, page_bytes=4 << 10)
     got = token_files.token_digests(spark, path).collect()
     ref = plain(WORD)
     assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((d or -1, len(ref(t)) + 1, crc([*ref(t), 1])) for d, t, *_ in EDGE)
