@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import groups_for, land, text_bytes
+from pitlane.llm.common import groups_for, land
 
 #: Words of a text whose A-Z are lowered, as UTF-8 bytes.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

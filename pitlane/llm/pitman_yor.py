@@ -325,7 +325,7 @@ def held_out(divisor: int = 7, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(True))
 
 
-def score_documents(docs: DataFrame, held: Column | None = None, burn: int = 2, samples: int = 4, seed: int = 11, shard_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column | None = None, burn: int = 2, samples: int = 4, seed: int = 11, shard_bytes: int = 12 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of every document."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (held_out() if held is None else held).alias("held_out"))
     total = text_bytes(src)
