@@ -10,17 +10,19 @@ Gibbs sweep takes all customers of a dish out of its restaurant and seats them a
 ``i + 1`` opens a table with weight ``(theta + d * T) * p`` (T: tables of the restaurant, p: the parent's probability of the dish)
 against ``i - d * t``. Dishes of a restaurant are seated side by side, given the others' tables of the
 state before; beyond ``EXACT`` customers, blocks of a sixteenth of those already seated are drawn at once from
-the binomial law of the block's first customer. The chain starts with every training token at a table of its own in its
-context, so the parent first seats all tokens; its restaurants are seated given that, then
-the contexts given the parent. After ``burn`` sweeps the predictive
-probabilities, which are linear in the tables, are averaged over ``samples`` sweeps.
-
-Spread, in one lazy plan. Documents are dealt to shards. A shard sends its distinct words with training counts to word
-buckets (a frequent word travels once a shard), which add them up, seat the parent's dishes and answer. With that,
-the shard sends its distinct word pairs with counts and the parent's probabilities to pair buckets, dealt by context;
+the binomial law of the block's first customer. The chain starts with the parent seated on all training tokens and the
+contexts seated given that. A sweep makes the contexts' tables the parent's customers, seats the parent again, and then the
+contexts given the parent. After ``burn`` sweeps of the parent the predictive probabilities are averaged over ``samples`` sweeps,
+each from the contexts' tables and the parent that was seated on them.
+
+Spread. Documents are dealt to shards. A shard sends its distinct words with training counts to word
+buckets (a frequent word travels once a shard), which add them up, and its distinct word pairs with counts to pair buckets, dealt by context;
 a context with very many different followers in a shard is split over buckets by the follower, each part being a
-restaurant of its own that backs off alike. Pair buckets add up, seat, and answer; the shard sums over its documents.
-Words are told apart by a 64-bit hash, followers inside a context by 32 bits of it.
+restaurant of its own that backs off alike. Pair buckets add up and keep the state of their contexts. In a sweep they send the tables of each of
+their words (partial sums) to the word buckets, which add them up, seat the parent's dishes and answer; the number of distinct
+words and the tables of the whole parent are sums over all word buckets. At the end pair buckets answer the
+shards, which sum over their documents. States and messages are written tables; those of a sweep go when the next one is written.
+Words are told apart by a 64-bit hash.
 
 Null text is empty: the end alone. Rows with a null doc_id are held out. Repeated rows count and are scored each.
 Without training text every token is the unknown one. Empty tables give no rows. Other columns are not read.
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlane.llm.bwt_dedup import ROWS, out, pack, unpack
-from pitlane.llm.common import distinct, groups_for, text_bytes, word_blocks
+from pitlane.llm.common import distinct, drop_landed, groups_for, land, recorded, text_bytes, word_blocks
 
 EXACT = 64
 #: Discounts of the parent and of the contexts, and their concentration.
@@ -185,7 +187,7 @@ def ask_words(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def answer_words(table: pa.Table, shards: int, buckets: int, burn: int, samples: int, seed: int) -> pa.Table:
-    """Counts, averaged tables in the parent, and split marks, for each asking shard; sums of the bucket for all shards."""
+    """Counts, tables in the parent at the start, and split marks, for each asking shard; sums of the bucket for all shards."""
     bucket, asked = table.column("bucket")[0].as_py(), {}
     for shard, data in zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True):
         steps, counts, wide = unpack(data, "<u8", "<i8", "u1")
@@ -195,7 +197,7 @@ def answer_words(table: pa.Table, shards: int, buckets: int, burn: int, samples:
     wide = np.bincount(inverse, np.concatenate([a[2] for a in asked.values()]), len(hashes)) > 0
     known, tables = np.flatnonzero(counts), np.zeros(len(hashes))
     if len(known):
-        # one of all buckets, with as many words each: their tables are one a word at least
+        # only the start: the other buckets are taken to hold as many words, of one table each
         rest = len(known) * (buckets - 1)
         room = Restaurants(np.zeros(len(known), np.int64), counts[known], 1, PARENT_DISCOUNT)
         p = np.full(len(known), 1 / (len(known) + rest + 1))
@@ -227,70 +229,212 @@ class Parent:
 
 
 def ask_pairs(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Distinct pairs of a shard with training counts and the parent's probability of the follower."""
+    """Distinct pairs of a shard with training counts and the parent's probability of the follower at the start."""
     if not left.num_rows:
         return out([])
     s = Shard(left)
     parent = Parent(s, answers, buckets)
     pairs, counts = s.pairs()
     by, key = s.pairs_by_bucket(pairs, parent.wide, buckets)
-    # the probability in steps of a sixth of a power of two: enough to seat by
+    # the probability in steps of a sixth of a power of two: enough to start from
     level = np.clip(np.round(-6 * np.log2(parent.p)), 0, 255).astype("u1")
     rows = []
     for b, mine in by.items():
-        word = pairs[mine] & 0xFFFFFFFF
+        words, at = np.unique(pairs[mine] & 0xFFFFFFFF, return_inverse=True)
         first = np.array([(lo, hi - lo) for _, lo, hi in cuts(key[mine])], np.int64)
-        rows.append((b, s.number, _pack_pairs(key[mine][first[:, 0]], first[:, 1], s.hashes[word] >> np.uint64(32), counts[mine], level[word])))
+        rows.append((b, s.number, pack(key[mine][first[:, 0]], first[:, 1].astype("<u4"), *_steps(s.hashes[words]), *_halves(at), *_small(counts[mine]), level[words])))
     return out(rows)
 
 
-def _pack_pairs(first: np.ndarray, followers: np.ndarray, hashes: np.ndarray, counts: np.ndarray, level: np.ndarray) -> bytes:
-    """Counts take a byte each, and those over it are listed."""
-    large = np.flatnonzero(counts > 254)
-    return pack(first, followers.astype("<u4"), hashes.astype("<u4"), np.minimum(counts, 255).astype("u1"), large.astype("<u4"), counts[large].astype("<i8"), level)
+def _small(a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Whole numbers take a byte each, and those over it are listed."""
+    large = np.flatnonzero(a > 254)
+    return np.minimum(a, 255).astype("u1"), large.astype("<u4"), a[large].astype("<i8")
+
+
+def _from_small(small: np.ndarray, large: np.ndarray, values: np.ndarray) -> np.ndarray:
+    a = small.astype(np.int64)
+    a[large] = values
+    return a
+
+
+def _halves(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places in two halves: the upper one is mostly zero, which compression removes."""
+    return (at & 0xFFFF).astype("<u2"), (at >> 16).astype("<u2")
+
+
+def _from_halves(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.astype(np.int64) << 16 | low
+
+
+def _steps(hashes: np.ndarray) -> tuple[np.ndarray]:
+    """Sorted hashes as differences."""
+    return (np.diff(hashes, prepend=np.uint64(0)),)
+
+
+def _from_steps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+SMALL, HALVES = ("u1", "<u4", "<i8"), ("<u2", "<u2")
 
 
-def _unpack_pairs(data: bytes) -> tuple[np.ndarray, ...]:
-    first, followers, hashes, small, large, counts, level = unpack(data, "<u8", "<u4", "<u4", "u1", "<u4", "<i8", "u1")
-    small = small.astype(np.int64)
-    small[large] = counts
-    return first, followers, hashes, small, level
+def by_hash(hashes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """Places of the hashes of each bucket."""
+    b = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}
 
 
-#: Shares travel as 16-bit logarithms, a thousandth of a power of two apart; the last value is zero.
+#: Probabilities travel as 16-bit logarithms, a 700th of a power of two apart.
 def _to_log(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.clip(np.round(-1000 * np.log2(np.maximum(p, 1e-30))), 0, 65534), 65535).astype("<u2")
+    return np.clip(np.round(-700 * np.log2(np.maximum(p, 1e-30))), 0, 65535).astype("<u2")
 
 
 def _from_log(steps: np.ndarray) -> np.ndarray:
-    return np.where(steps == 65535, 0, 2.0 ** (steps / -1000.0))
-
-
-def answer_pairs(table: pa.Table, burn: int, samples: int, seed: int) -> pa.Table:
-    """For each asked pair what its own customers give, and for each context what it leaves to the parent."""
-    bucket = table.column("bucket")[0].as_py()
-    asked = [(s, _unpack_pairs(d)) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
-    contexts, room = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
-    room = np.repeat(room, np.concatenate([a[1] for _, a in asked]))
-    entry = room.astype(np.uint64) << np.uint64(32) | np.concatenate([a[2] for _, a in asked])
-    entries, first, inverse = np.unique(entry, return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([a[3] for _, a in asked]), len(entries)).astype(np.int64)
-    p = 2.0 ** (np.concatenate([a[4] for _, a in asked])[first] / -6.0)
-    rooms = (entries >> np.uint64(32)).astype(np.int64)
-    train, tables = np.flatnonzero(counts), np.zeros(len(entries))
-    if len(train):
-        tables[train] = Restaurants(rooms[train], counts[train], len(contexts), DISCOUNT).averaged_tables(p[train], seed + bucket, burn, samples)
-    n = STRENGTH + np.bincount(rooms, counts, len(contexts))
-    own = _to_log(np.maximum(counts - DISCOUNT * tables, 0) / n[rooms])
-    left = ((STRENGTH + DISCOUNT * np.bincount(rooms, tables, len(contexts))) / n).astype("<f4")
-    at, rows = 0, []
-    for s, a in asked:
-        mine = inverse[at : at + len(a[2])]
-        at += len(a[2])
-        rows.append((bucket, s, pack(own[mine], left[np.searchsorted(contexts, a[0])])))
-    return out(rows)
+    return 2.0 ** (steps / -700.0)
+
+
+class Asked:
+    """What the shards asked a pair bucket, added up; ``place`` has the entries of each shard's pairs."""
+
+    def __init__(self, table: pa.Table):
+        asked = [(s, unpack(d, "<u8", "<u4", "<u8", *HALVES, *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
+        self.shards = [s for s, _ in asked]
+        contexts, room = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
+        room = np.repeat(room, np.concatenate([a[1] for _, a in asked]))
+        self.words, first, word = np.unique(np.concatenate([_from_steps(a[2]) for _, a in asked]), return_index=True, return_inverse=True)
+        self.start = 2.0 ** (np.concatenate([a[-1] for _, a in asked])[first] / -6.0)
+        starts = np.cumsum([0, *(len(a[2]) for _, a in asked)])
+        word = word[np.concatenate([_from_halves(a[3], a[4]) + at for (_, a), at in zip(asked, starts, strict=False)])]
+        entries, inverse = np.unique(room << 32 | word, return_inverse=True)
+        self.counts = np.bincount(inverse, np.concatenate([_from_small(*a[5:8]) for _, a in asked]), len(entries)).astype(np.int64)
+        self.followers, self.at = np.bincount(entries >> 32, minlength=len(contexts)), entries & 0xFFFFFFFF
+        self.place = np.split(inverse, np.cumsum([len(a[3]) for _, a in asked])[:-1])
+
+
+class Contexts:
+    """The state of a pair bucket: contexts with their followers' customers and tables, and sums of predictive probabilities."""
+
+    TYPES = ("<u4", "<u8", *HALVES, *SMALL, *SMALL, "<f4")
+
+    def __init__(self, followers: np.ndarray, words: np.ndarray, at: np.ndarray, counts: np.ndarray, tables: np.ndarray, total: np.ndarray):
+        self.followers, self.words, self.at, self.counts, self.tables, self.total = followers, words, at, counts, tables, total
+        self.rooms = len(followers)
+        self.room = np.repeat(np.arange(self.rooms), followers)
+
+    @classmethod
+    def opened(cls, a: Asked) -> Contexts:
+        return cls(a.followers, a.words, a.at, a.counts, np.minimum(a.counts, 1), np.zeros(0, np.float32))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Contexts:
+        followers, words, low, high, c, c_at, c_large, t, t_at, t_large, total = unpack(data, *cls.TYPES)
+        return cls(followers, _from_steps(words), _from_halves(low, high), _from_small(c, c_at, c_large), _from_small(t, t_at, t_large), total)
+
+    def packed(self) -> bytes:
+        return pack(self.followers.astype("<u4"), *_steps(self.words), *_halves(self.at), *_small(self.counts), *_small(self.tables), self.total.astype("<f4"))
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of every context."""
+        return np.bincount(self.room, self.counts, self.rooms), np.bincount(self.room, self.tables, self.rooms)
+
+    def seat(self, p: np.ndarray, rng: np.random.Generator) -> None:
+        """Seat all customers again, given the parent's probabilities of the words."""
+        train = np.flatnonzero(self.counts)
+        r = Restaurants(self.room[train], self.counts[train], self.rooms, DISCOUNT)
+        r.tables = self.tables[train]
+        r.seat(p[self.at[train]], rng)
+        self.tables = self.tables.copy()
+        self.tables[train] = r.tables
+
+    def predict(self, p: np.ndarray) -> None:
+        """Add the predictive probabilities of this state."""
+        n, t = self.totals()
+        left = STRENGTH + DISCOUNT * t
+        now = (self.counts - DISCOUNT * self.tables + left[self.room] * p[self.at]) / (STRENGTH + n)[self.room]
+        self.total = now + self.total if len(self.total) else now
+
+    def messages(self, buckets: int) -> list[tuple[int, bytes]]:
+        """Partial sums of the tables of every word, for its word bucket."""
+        sums = np.bincount(self.at, self.tables, len(self.words)).astype(np.int64)
+        return [(b, pack(*_steps(self.words[mine]), *_small(sums[mine]))) for b, mine in by_hash(self.words, buckets).items()]
+
+
+#: Rows of a sweep: kind 0 is the state of a bucket (with its tables and customers), kind 1 a message to ``bucket`` from bucket ``shard``.
+SWEEP = "kind int, bucket int, shard int, data binary, tables double, customers double"
+SWEEP_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("tables", pa.float64()), ("customers", pa.float64())])
+
+
+def sweep_rows(rows: list[tuple[int, int, int, bytes, float, float]]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 6, SWEEP_ARROW, strict=True)], schema=SWEEP_ARROW)
+
+
+def _context_rows(bucket: int, c: Contexts, buckets: int) -> pa.Table:
+    return sweep_rows([(0, bucket, -1, c.packed(), 0.0, 0.0), *((1, b, bucket, m, 0.0, 0.0) for b, m in c.messages(buckets))])
+
+
+def open_contexts(table: pa.Table, buckets: int, seed: int) -> pa.Table:
+    """The contexts of a pair bucket, seated given the parent's start."""
+    bucket, asked = table.column("bucket")[0].as_py(), Asked(table)
+    c = Contexts.opened(asked)
+    c.seat(asked.start, np.random.default_rng([seed, bucket, 0]))
+    return _context_rows(bucket, c, buckets)
+
+
+def sweep_parent(asked: pa.Table, state: pa.Table, known: int, all_tables: float, seed: int, sweep: int) -> pa.Table:
+    """Seat a word bucket's dishes of the parent on the contexts' tables; ``all_tables`` are the whole parent's before."""
+    bucket, messages = asked.column("bucket")[0].as_py(), []
+    for pair_bucket, data in sorted(zip(asked.column("shard").to_pylist(), asked.column("data").to_pylist(), strict=True)):
+        steps, *sums = unpack(data, "<u8", *SMALL)
+        messages.append((pair_bucket, _from_steps(steps), _from_small(*sums)))
+    hashes, inverse = np.unique(np.concatenate([m[1] for m in messages]), return_inverse=True)
+    customers = np.bincount(inverse, np.concatenate([m[2] for m in messages]), len(hashes)).astype(np.int64)
+    tables = _from_small(*unpack(state.column("data")[0].as_py(), *SMALL)) if state.num_rows else np.minimum(customers, 1)
+    train = np.flatnonzero(customers)
+    r = Restaurants(np.zeros(len(train), np.int64), customers[train], 1, PARENT_DISCOUNT)
+    r.tables = tables[train]
+    r.seat(np.full(len(train), 1 / (known + 1)), np.random.default_rng([seed, bucket, sweep, 1]), all_tables - tables.sum())
+    tables[train] = r.tables
+    value = (customers - PARENT_DISCOUNT * tables).astype("<f4")
+    rows = [(0, bucket, -1, pack(*_small(tables)), float(tables.sum()), float(customers.sum()))]
+    at = 0
+    for pair_bucket, words, _ in messages:
+        rows.append((1, pair_bucket, bucket, pack(value[inverse[at : at + len(words)]]), 0.0, 0.0))
+        at += len(words)
+    return sweep_rows(rows)
+
+
+def sweep_contexts(state: pa.Table, replies: pa.Table, buckets: int, known: int, tables: float, customers: float, predict: bool, seat: bool, seed: int, sweep: int) -> pa.Table:
+    """With the parent seated on the contexts' tables: add the predictive probabilities, and seat the contexts again."""
+    bucket, c = state.column("bucket")[0].as_py(), Contexts.unpacked(state.column("data")[0].as_py())
+    value, by = np.empty(len(c.words)), by_hash(c.words, buckets)
+    for b, data in zip(replies.column("shard").to_pylist(), replies.column("data").to_pylist(), strict=True):
+        (value[by[b]],) = unpack(data, "<f4")
+    p = (value + (STRENGTH + PARENT_DISCOUNT * tables) / (known + 1)) / (STRENGTH + customers)
+    if predict:
+        c.predict(p)
+    if not seat:
+        return sweep_rows([(0, bucket, -1, c.packed(), 0.0, 0.0)])
+    c.seat(p, np.random.default_rng([seed, bucket, sweep]))
+    return _context_rows(bucket, c, buckets)
+
+
+def answer_pairs(table: pa.Table, burn: int, samples: int, seed: int, state: Contexts | None = None) -> pa.Table:
+    """The averaged predictive probability of each asked pair; without a ``state``, of a chain under the parent's start."""
+    bucket, asked = table.column("bucket")[0].as_py(), Asked(table)
+    if state is None:
+        state, rng = Contexts.opened(asked), np.random.default_rng([seed, bucket])
+        for k in range(burn + samples):
+            state.seat(asked.start, rng)
+            if k >= burn:
+                state.predict(asked.start)
+    p = _to_log(state.total / samples)
+    return out([(bucket, s, pack(p[mine])) for s, mine in zip(asked.shards, asked.place, strict=True)])
 
 
+#: How intermediate tables are written.
+PACKED = {"compression": "zstd"}
 FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 FINAL_ARROW = pa.schema([(n, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (x.split() for x in FINAL.split(", "))])
 
@@ -303,15 +447,12 @@ def finish(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     kind = np.array(answers.column("kind").to_pylist())
     parent = Parent(s, answers.filter(pa.array(kind == 1)), buckets)
     pairs, inverse = s.distinct_pairs()
-    by, key = s.pairs_by_bucket(pairs, parent.wide, buckets)
-    own, rest = np.empty(len(pairs)), np.empty(len(pairs))
+    by, _ = s.pairs_by_bucket(pairs, parent.wide, buckets)
+    p = np.empty(len(pairs))
     second = answers.filter(pa.array(kind == 2))
     for b, data in zip(second.column("bucket").to_pylist(), second.column("data").to_pylist(), strict=True):
-        mine = by[b]
-        o, r = unpack(data, "<u2", "<f4")
-        own[mine] = _from_log(o)
-        rest[mine] = np.repeat(r, [hi - lo for _, lo, hi in cuts(key[mine])])
-    logs = np.log10(own + rest * parent.p[pairs & 0xFFFFFFFF])
+        p[by[b]] = _from_log(*unpack(data, "<u2"))
+    logs = np.log10(p)
     score = np.add.reduceat(logs[inverse], s.starts)
     unigram = np.log10((parent.counts + 1.0) / (parent.n + parent.distinct + 1.0))
     base = np.add.reduceat(unigram[s.tokens], s.starts)
@@ -336,18 +477,59 @@ def score_documents(docs: DataFrame, held: Column | None = None, burn: int = 2,
         return ask_words(t, buckets)
 
     def answer_words_(t: pa.Table) -> pa.Table:
-        return answer_words(t, shards, buckets, burn, samples, seed)
+        return answer_words(t, shards, buckets, 0, 1, seed)
 
     def ask_pairs_(left: pa.Table, right: pa.Table) -> pa.Table:
         return ask_pairs(left, right, buckets)
 
-    def answer_pairs_(t: pa.Table) -> pa.Table:
-        return answer_pairs(t, burn, samples, seed)
+    def open_contexts_(t: pa.Table) -> pa.Table:
+        return open_contexts(t, buckets, seed)
+
+    def answer_pairs_(left: pa.Table, right: pa.Table) -> pa.Table:
+        return answer_pairs(left, burn, samples, seed, Contexts.unpacked(right.column("data")[0].as_py()))
+
+    def known_words(t: pa.Table) -> pa.Table:
+        return pa.table({"n": [int(unpack(t.column("data")[0].as_py(), "<i8", "<f4", "u1", "<f8")[3][1])]})
 
     def finish_(left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(left, right, buckets)
 
-    words = by_shard.applyInArrow(ask_words_, ROWS).groupBy("bucket").applyInArrow(answer_words_, ROWS)
-    pairs = by_shard.cogroup(words.groupBy("shard")).applyInArrow(ask_pairs_, ROWS).groupBy("bucket").applyInArrow(answer_pairs_, ROWS)
+    words = land(by_shard.applyInArrow(ask_words_, ROWS).groupBy("bucket").applyInArrow(answer_words_, ROWS), "py-words", **PACKED)
+    asks = land(by_shard.cogroup(words.groupBy("shard")).applyInArrow(ask_pairs_, ROWS), "py-asks", **PACKED)
+    known = words.filter("shard = 0").groupBy("bucket").applyInArrow(known_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+    def landed(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+        paths: list[str] = []
+        with recorded(paths):
+            return land(df, name, **PACKED), paths
+
+    def part(df: DataFrame, kind: int):
+        return df.filter(F.col("kind") == kind).groupBy("bucket")
+
+    def parent_step(k: int, tables: float):
+        def step(left: pa.Table, right: pa.Table) -> pa.Table:
+            return sweep_parent(left, right, known, tables, seed, k)
+
+        return step
+
+    def context_step(k: int, tables: float, customers: float):
+        def step(left: pa.Table, right: pa.Table) -> pa.Table:
+            return sweep_contexts(left, right, buckets, known, tables, customers, k > burn, k < burn + samples, seed, k)
+
+        return step
+
+    contexts, old = landed(asks.groupBy("bucket").applyInArrow(open_contexts_, SWEEP), "py-contexts")
+    parent, old_parent, tables = docs.sparkSession.createDataFrame([], SWEEP), [], float(known)
+    for k in range(1, burn + samples + 1):
+        parent, new = landed(part(contexts, 1).cogroup(part(parent, 0)).applyInArrow(parent_step(k, tables), SWEEP), "py-parent")
+        drop_landed(docs.sparkSession, old_parent)
+        old_parent = new
+        sums = parent.filter("kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("tables", "customers"))).first()
+        tables = sums["tables"]
+        contexts, new = landed(part(contexts, 0).cogroup(part(parent, 1)).applyInArrow(context_step(k, tables, sums["customers"]), SWEEP), "py-contexts")
+        drop_landed(docs.sparkSession, old)
+        old = new
+    drop_landed(docs.sparkSession, old_parent)
+    pairs = asks.groupBy("bucket").cogroup(part(contexts, 0)).applyInArrow(answer_pairs_, ROWS)
     answers = words.withColumn("kind", F.lit(1)).union(pairs.withColumn("kind", F.lit(2)))
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(finish_, FINAL)

@@ -109,3 +109,63 @@ def test_split_contexts(spark, monkeypatch):
     both = pa.concat_tables([words.append_column("kind", pa.array([1] * len(words))), replies.append_column("kind", pa.array([2] * len(replies)))])
     done = P.finish(table.append_column("doc_id", pa.array([1, 2])), both, 4).to_pylist()
     assert [r["n_known"] for r in done] == [7, 3] and all(-20 < r["score"] < 0 for r in done)
+
+
+def plain_chain(texts, sweeps, burn):
+    """Predictive probabilities of pairs, from a chain that seats one customer after another: {(context, word): p}, and for unknown contexts."""
+    import random
+
+    rng = random.Random(5)
+    pairs = Counter(p for t in texts for p in zip([b"\n", *tokens(t)], tokens(t)))
+    vocabulary = {w for _, w in pairs}
+    base = 1 / (len(vocabulary) + 1)
+
+    def seat(customers, t, total, d, p):
+        """Tables of a dish, its customers seated again."""
+        t_new = 1
+        for i in range(1, customers):
+            new = (P.STRENGTH + d * (total - t + t_new)) * p
+            t_new += rng.random() < new / (new + i - d * t_new)
+        return t_new
+
+    tables, top = dict(pairs), dict.fromkeys(vocabulary, 1)
+    sums, rooms = Counter(), {c for c, _ in pairs}
+    for sweep in range(sweeps):
+        guests = Counter()
+        for (_, w), t in tables.items():
+            guests[w] += t
+        for w in top:
+            top[w] = seat(guests[w], top[w], sum(top.values()), P.PARENT_DISCOUNT, base)
+        left = P.STRENGTH + P.PARENT_DISCOUNT * sum(top.values())
+        p = {w: (guests[w] - P.PARENT_DISCOUNT * top[w] + left * base) / (P.STRENGTH + sum(guests.values())) for w in top}
+        if sweep >= burn:
+            n, total = Counter(), Counter()
+            for (c, w), t in tables.items():
+                n[c] += pairs[c, w]
+                total[c] += t
+            for c in [*rooms, None]:
+                for w in top:
+                    own = pairs[c, w] - P.DISCOUNT * tables.get((c, w), 0)
+                    sums[c, w] += (own + (P.STRENGTH + P.DISCOUNT * total[c]) * p[w]) / (P.STRENGTH + n[c]) / (sweeps - burn)
+        totals = Counter()
+        for (c, _), t in tables.items():
+            totals[c] += t
+        for c, w in tables:
+            t = seat(pairs[c, w], tables[c, w], totals[c], P.DISCOUNT, p[w])
+            totals[c] += t - tables[c, w]
+            tables[c, w] = t
+    return sums
+
+
+def test_the_parent_is_seated_on_the_contexts_tables(spark):
+    """A word that is frequent after one word only is rare elsewhere, as in a chain that seats one customer after another."""
+    rows = [(i, "a x", "", "", 0) for i in range(400)] + [(1000 + i, f"c{i} y", "", "", 0) for i in range(60)]
+    asked = [(2000, "new x"), (2001, "new y"), (2002, "a y"), (2003, "a x"), (2004, "c1 x")]
+    docs = documents(spark, rows + [(i, t, "", "", 0) for i, t in asked])
+    got = {r.doc_id: r.score for r in P.score_documents(docs, P.F.col("doc_id") >= 2000, burn=8, samples=16).collect()}
+    want = plain_chain([r[1] for r in rows], 75, 25)
+    # the pair of the document's two words alone: what follows and precedes it is the same in both
+    second = lambda t: math.log10(want[(w if (w := t.split()[0].encode()) != b"new" else None), t.split()[1].encode()])
+    assert abs((got[2001] - got[2000]) - (second("new y") + math.log10(want[b"y", b"\n"]) - second("new x") - math.log10(want[b"x", b"\n"]))) < 0.15
+    assert abs((got[2003] - got[2002]) - (second("a x") + math.log10(want[b"x", b"\n"]) - second("a y") - math.log10(want[b"y", b"\n"]))) < 0.15
+    assert got[2001] > got[2000]
