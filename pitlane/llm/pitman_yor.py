@@ -17,8 +17,8 @@ each from the contexts' tables and the parent that was seated on them.
 
 Spread. Documents are dealt to shards. A shard sends its distinct words with training counts to word
 buckets (a frequent word travels once a shard), which add them up, and its distinct word pairs with counts to pair buckets, dealt by context;
-a context with very many different followers in a shard is split over buckets by the follower, each part being a
-restaurant of its own that backs off alike. Pair buckets add up and keep the state of their contexts. In a sweep they send the tables of each of
+a context with very many different followers in a shard is split over buckets by the follower. Its parts stay one restaurant: their
+customers and tables are added up in every sweep, and all parts are seated and normalised by the whole context's. Pair buckets add up and keep the state of their contexts. In a sweep they send the tables of each of
 their words (partial sums) to the word buckets, which add them up, seat the parent's dishes and answer; the number of distinct
 words and the tables of the whole parent are sums over all word buckets. At the end pair buckets answer the
 shards, which sum over their documents. States and messages are written tables; those of a sweep go when the next one is written.
@@ -138,9 +138,7 @@ class Shard:
         return np.bincount(self.tokens[self.train], minlength=len(self.hashes))
 
     def words_by_bucket(self, buckets: int) -> dict[int, np.ndarray]:
-        b = (self.hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}
+        return by_hash(self.hashes, buckets)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (sorted) and their training counts."""
@@ -163,18 +161,20 @@ class Shard:
         followers = distinct(self.pair_of[often[context]]) >> 32
         return np.bincount(followers, minlength=len(self.hashes)) > WIDE
 
-    def pairs_by_bucket(self, pairs: np.ndarray, wide: set[int], buckets: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        """The pairs of each bucket, by context key and follower hash, and the context key of every pair."""
+    def pairs_by_bucket(self, pairs: np.ndarray, wide: set[int], buckets: int) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+        """The pairs of each bucket, by context key and follower hash; every pair's context key, and the context's hash if it is split (0 if not)."""
         context, word = pairs >> 32, pairs & 0xFFFFFFFF
         key = self.hashes[context]
+        whole = np.zeros(len(key), np.uint64)
         if wide:
-            # a part of a split context is a context of its own
+            # a part of a split context has a key of its own
             split = np.isin(key, np.fromiter(wide, np.uint64, len(wide)))
             part = self.hashes[word[split]] >> np.uint64(40) & np.uint64(PARTS - 1)
+            whole[split] = key[split]
             key[split] = key[split] + (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         b = (key % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((self.hashes[word], key, b))
-        return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}, key
+        return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}, key, whole
 
 
 def ask_words(table: pa.Table, buckets: int) -> pa.Table:
@@ -235,14 +235,14 @@ def ask_pairs(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     s = Shard(left)
     parent = Parent(s, answers, buckets)
     pairs, counts = s.pairs()
-    by, key = s.pairs_by_bucket(pairs, parent.wide, buckets)
+    by, key, whole = s.pairs_by_bucket(pairs, parent.wide, buckets)
     # the probability in steps of a sixth of a power of two: enough to start from
     level = np.clip(np.round(-6 * np.log2(parent.p)), 0, 255).astype("u1")
     rows = []
     for b, mine in by.items():
         words, at = np.unique(pairs[mine] & 0xFFFFFFFF, return_inverse=True)
         first = np.array([(lo, hi - lo) for _, lo, hi in cuts(key[mine])], np.int64)
-        rows.append((b, s.number, pack(key[mine][first[:, 0]], first[:, 1].astype("<u4"), *_steps(s.hashes[words]), *_halves(at), *_small(counts[mine]), level[words])))
+        rows.append((b, s.number, pack(key[mine][first[:, 0]], whole[mine][first[:, 0]], first[:, 1].astype("<u4"), *_steps(s.hashes[words]), *_halves(at), *_small(counts[mine]), level[words])))
     return out(rows)
 
 
@@ -281,6 +281,8 @@ SMALL, HALVES = ("u1", "<u4", "<i8"), ("<u2", "<u2")
 
 def by_hash(hashes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
     """Places of the hashes of each bucket."""
+    if not len(hashes):
+        return {}
     b = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}
@@ -299,69 +301,88 @@ class Asked:
     """What the shards asked a pair bucket, added up; ``place`` has the entries of each shard's pairs."""
 
     def __init__(self, table: pa.Table):
-        asked = [(s, unpack(d, "<u8", "<u4", "<u8", *HALVES, *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
+        asked = [(s, unpack(d, "<u8", "<u8", "<u4", "<u8", *HALVES, *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
         self.shards = [s for s, _ in asked]
-        contexts, room = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
-        room = np.repeat(room, np.concatenate([a[1] for _, a in asked]))
-        self.words, first, word = np.unique(np.concatenate([_from_steps(a[2]) for _, a in asked]), return_index=True, return_inverse=True)
+        contexts, first, room = np.unique(np.concatenate([a[0] for _, a in asked]), return_index=True, return_inverse=True)
+        self.whole = np.concatenate([a[1] for _, a in asked])[first]
+        room = np.repeat(room, np.concatenate([a[2] for _, a in asked]))
+        self.words, first, word = np.unique(np.concatenate([_from_steps(a[3]) for _, a in asked]), return_index=True, return_inverse=True)
         self.start = 2.0 ** (np.concatenate([a[-1] for _, a in asked])[first] / -6.0)
-        starts = np.cumsum([0, *(len(a[2]) for _, a in asked)])
-        word = word[np.concatenate([_from_halves(a[3], a[4]) + at for (_, a), at in zip(asked, starts, strict=False)])]
+        starts = np.cumsum([0, *(len(a[3]) for _, a in asked)])
+        word = word[np.concatenate([_from_halves(a[4], a[5]) + at for (_, a), at in zip(asked, starts, strict=False)])]
         entries, inverse = np.unique(room << 32 | word, return_inverse=True)
-        self.counts = np.bincount(inverse, np.concatenate([_from_small(*a[5:8]) for _, a in asked]), len(entries)).astype(np.int64)
+        self.counts = np.bincount(inverse, np.concatenate([_from_small(*a[6:9]) for _, a in asked]), len(entries)).astype(np.int64)
         self.followers, self.at = np.bincount(entries >> 32, minlength=len(contexts)), entries & 0xFFFFFFFF
-        self.place = np.split(inverse, np.cumsum([len(a[3]) for _, a in asked])[:-1])
+        self.place = np.split(inverse, np.cumsum([len(a[4]) for _, a in asked])[:-1])
 
 
 class Contexts:
-    """The state of a pair bucket: contexts with their followers' customers and tables, and sums of predictive probabilities."""
+    """The state of a pair bucket: contexts with their followers' customers and tables, and averaged predictive probabilities.
 
-    TYPES = ("<u4", "<u8", *HALVES, *SMALL, *SMALL, "<f4")
+    ``whole`` has the hash of the context of which a room is a part, 0 if it is not split.
+    """
 
-    def __init__(self, followers: np.ndarray, words: np.ndarray, at: np.ndarray, counts: np.ndarray, tables: np.ndarray, total: np.ndarray):
-        self.followers, self.words, self.at, self.counts, self.tables, self.total = followers, words, at, counts, tables, total
+    TYPES = ("<u8", "<u4", "<u8", *HALVES, *SMALL, *SMALL, "<u2")
+
+    def __init__(self, whole: np.ndarray, followers: np.ndarray, words: np.ndarray, at: np.ndarray, counts: np.ndarray, tables: np.ndarray, mean: np.ndarray):
+        self.whole, self.followers, self.words, self.at, self.counts, self.tables, self.mean = whole, followers, words, at, counts, tables, mean
         self.rooms = len(followers)
         self.room = np.repeat(np.arange(self.rooms), followers)
 
     @classmethod
     def opened(cls, a: Asked) -> Contexts:
-        return cls(a.followers, a.words, a.at, a.counts, np.minimum(a.counts, 1), np.zeros(0, np.float32))
+        return cls(a.whole, a.followers, a.words, a.at, a.counts, np.minimum(a.counts, 1), np.zeros(0))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Contexts:
-        followers, words, low, high, c, c_at, c_large, t, t_at, t_large, total = unpack(data, *cls.TYPES)
-        return cls(followers, _from_steps(words), _from_halves(low, high), _from_small(c, c_at, c_large), _from_small(t, t_at, t_large), total)
+        whole, followers, words, low, high, c, c_at, c_large, t, t_at, t_large, mean = unpack(data, *cls.TYPES)
+        return cls(whole, followers, _from_steps(words), _from_halves(low, high), _from_small(c, c_at, c_large), _from_small(t, t_at, t_large), _from_log(mean))
 
     def packed(self) -> bytes:
-        return pack(self.followers.astype("<u4"), *_steps(self.words), *_halves(self.at), *_small(self.counts), *_small(self.tables), self.total.astype("<f4"))
+        return pack(self.whole, self.followers.astype("<u4"), *_steps(self.words), *_halves(self.at), *_small(self.counts), *_small(self.tables), _to_log(self.mean))
 
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables of every context."""
+        """Customers and tables of every room."""
         return np.bincount(self.room, self.counts, self.rooms), np.bincount(self.room, self.tables, self.rooms)
 
-    def seat(self, p: np.ndarray, rng: np.random.Generator) -> None:
-        """Seat all customers again, given the parent's probabilities of the words."""
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the split contexts of which parts are here, the rooms that are parts, and the place of each one's context."""
+        rooms = np.flatnonzero(self.whole)
+        hashes, place = np.unique(self.whole[rooms], return_inverse=True)
+        return hashes, rooms, place
+
+    def seat(self, p: np.ndarray, rng: np.random.Generator, tables: np.ndarray | None = None) -> None:
+        """Seat all customers again, given the parent's probabilities of the words and the tables of every room's context (of the rooms alone if None)."""
         train = np.flatnonzero(self.counts)
         r = Restaurants(self.room[train], self.counts[train], self.rooms, DISCOUNT)
         r.tables = self.tables[train]
-        r.seat(p[self.at[train]], rng)
+        elsewhere = 0 if tables is None else (tables - self.totals()[1])[r.room]
+        r.seat(p[self.at[train]], rng, elsewhere)
         self.tables = self.tables.copy()
         self.tables[train] = r.tables
 
-    def predict(self, p: np.ndarray) -> None:
-        """Add the predictive probabilities of this state."""
-        n, t = self.totals()
+    def predict(self, p: np.ndarray, n: np.ndarray, t: np.ndarray, k: int) -> None:
+        """Average the predictive probabilities of this state, the ``k``-th sample, given customers and tables of every room's context."""
         left = STRENGTH + DISCOUNT * t
         now = (self.counts - DISCOUNT * self.tables + left[self.room] * p[self.at]) / (STRENGTH + n)[self.room]
-        self.total = now + self.total if len(self.total) else now
+        self.mean = self.mean + (now - self.mean) / k if k > 1 else now
 
     def messages(self, buckets: int) -> list[tuple[int, bytes]]:
-        """Partial sums of the tables of every word, for its word bucket."""
+        """Partial sums, for word buckets: the tables of every word, customers and tables of every split context."""
         sums = np.bincount(self.at, self.tables, len(self.words)).astype(np.int64)
-        return [(b, pack(*_steps(self.words[mine]), *_small(sums[mine]))) for b, mine in by_hash(self.words, buckets).items()]
-
-
-#: Rows of a sweep: kind 0 is the state of a bucket (with its tables and customers), kind 1 a message to ``bucket`` from bucket ``shard``.
+        hashes, rooms, place = self.parts()
+        n, t = (np.bincount(place, x[rooms], len(hashes)) for x in self.totals())
+        words, split = by_hash(self.words, buckets), by_hash(hashes, buckets)
+        none = np.empty(0, np.int64)
+        rows = []
+        for b in sorted({*words, *split}):
+            mine, whole = words.get(b, none), split.get(b, none)
+            rows.append((b, pack(*_steps(self.words[mine]), *_small(sums[mine]), hashes[whole], n[whole], t[whole])))
+        return rows
+
+
+#: Rows of a sweep: kind 0 is the state of a bucket (with its tables and customers), kind 1 a message to ``bucket`` from bucket ``shard``,
+#: kind 2 the places in ``bucket`` of what ``shard`` asked, kind 3 the averaged probabilities of a bucket.
 SWEEP = "kind int, bucket int, shard int, data binary, tables double, customers double"
 SWEEP_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("tables", pa.float64()), ("customers", pa.float64())])
 
@@ -379,15 +400,17 @@ def open_contexts(table: pa.Table, buckets: int, seed: int) -> pa.Table:
     bucket, asked = table.column("bucket")[0].as_py(), Asked(table)
     c = Contexts.opened(asked)
     c.seat(asked.start, np.random.default_rng([seed, bucket, 0]))
-    return _context_rows(bucket, c, buckets)
+    # a shard's pairs are in the order of the entries
+    places = [(2, bucket, s, pack(*_small(np.diff(mine, prepend=0))), 0.0, 0.0) for s, mine in zip(asked.shards, asked.place, strict=True)]
+    return pa.concat_tables([_context_rows(bucket, c, buckets), sweep_rows(places)])
 
 
 def sweep_parent(asked: pa.Table, state: pa.Table, known: int, all_tables: float, seed: int, sweep: int) -> pa.Table:
-    """Seat a word bucket's dishes of the parent on the contexts' tables; ``all_tables`` are the whole parent's before."""
+    """Seat a word bucket's dishes of the parent on the contexts' tables (``all_tables`` are the whole parent's before); add up split contexts."""
     bucket, messages = asked.column("bucket")[0].as_py(), []
     for pair_bucket, data in sorted(zip(asked.column("shard").to_pylist(), asked.column("data").to_pylist(), strict=True)):
-        steps, *sums = unpack(data, "<u8", *SMALL)
-        messages.append((pair_bucket, _from_steps(steps), _from_small(*sums)))
+        steps, c, c_at, c_large, whole, n, t = unpack(data, "<u8", *SMALL, "<u8", "<f8", "<f8")
+        messages.append((pair_bucket, _from_steps(steps), _from_small(c, c_at, c_large), whole, n, t))
     hashes, inverse = np.unique(np.concatenate([m[1] for m in messages]), return_inverse=True)
     customers = np.bincount(inverse, np.concatenate([m[2] for m in messages]), len(hashes)).astype(np.int64)
     tables = _from_small(*unpack(state.column("data")[0].as_py(), *SMALL)) if state.num_rows else np.minimum(customers, 1)
@@ -396,45 +419,72 @@ def sweep_parent(asked: pa.Table, state: pa.Table, known: int, all_tables: float
     r.tables = tables[train]
     r.seat(np.full(len(train), 1 / (known + 1)), np.random.default_rng([seed, bucket, sweep, 1]), all_tables - tables.sum())
     tables[train] = r.tables
+    split, place = np.unique(np.concatenate([m[3] for m in messages]), return_inverse=True)
+    n, t = (np.bincount(place, np.concatenate([m[i] for m in messages]), len(split)) for i in (4, 5))
     value = (customers - PARENT_DISCOUNT * tables).astype("<f4")
     rows = [(0, bucket, -1, pack(*_small(tables)), float(tables.sum()), float(customers.sum()))]
-    at = 0
-    for pair_bucket, words, _ in messages:
-        rows.append((1, pair_bucket, bucket, pack(value[inverse[at : at + len(words)]]), 0.0, 0.0))
-        at += len(words)
+    at = at_split = 0
+    for pair_bucket, words, _, whole, *_ in messages:
+        theirs = place[at_split : at_split + len(whole)]
+        rows.append((1, pair_bucket, bucket, pack(value[inverse[at : at + len(words)]], n[theirs], t[theirs]), 0.0, 0.0))
+        at, at_split = at + len(words), at_split + len(whole)
     return sweep_rows(rows)
 
 
-def sweep_contexts(state: pa.Table, replies: pa.Table, buckets: int, known: int, tables: float, customers: float, predict: bool, seat: bool, seed: int, sweep: int) -> pa.Table:
-    """With the parent seated on the contexts' tables: add the predictive probabilities, and seat the contexts again."""
+def sweep_contexts(state: pa.Table, replies: pa.Table, buckets: int, known: int, tables: float, customers: float, burn: int, samples: int, seed: int, sweep: int) -> pa.Table:
+    """With the parent seated on the contexts' tables: average the predictive probabilities, and seat the contexts again."""
     bucket, c = state.column("bucket")[0].as_py(), Contexts.unpacked(state.column("data")[0].as_py())
     value, by = np.empty(len(c.words)), by_hash(c.words, buckets)
+    hashes, rooms, place = c.parts()
+    whole, split = np.empty((2, len(hashes))), by_hash(hashes, buckets)
+    none = np.empty(0, np.int64)
     for b, data in zip(replies.column("shard").to_pylist(), replies.column("data").to_pylist(), strict=True):
-        (value[by[b]],) = unpack(data, "<f4")
+        value[by.get(b, none)], whole[0, split.get(b, none)], whole[1, split.get(b, none)] = unpack(data, "<f4", "<f8", "<f8")
+    n, t = c.totals()
+    n[rooms], t[rooms] = whole[:, place]
     p = (value + (STRENGTH + PARENT_DISCOUNT * tables) / (known + 1)) / (STRENGTH + customers)
-    if predict:
-        c.predict(p)
-    if not seat:
-        return sweep_rows([(0, bucket, -1, c.packed(), 0.0, 0.0)])
-    c.seat(p, np.random.default_rng([seed, bucket, sweep]))
+    if sweep > burn:
+        c.predict(p, n, t, sweep - burn)
+    if sweep == burn + samples:
+        return sweep_rows([(3, bucket, -1, pack(_to_log(c.mean)), 0.0, 0.0)])
+    c.seat(p, np.random.default_rng([seed, bucket, sweep]), t)
     return _context_rows(bucket, c, buckets)
 
 
-def answer_pairs(table: pa.Table, burn: int, samples: int, seed: int, state: Contexts | None = None) -> pa.Table:
-    """The averaged predictive probability of each asked pair; without a ``state``, of a chain under the parent's start."""
+def answer_places(places: pa.Table, means: pa.Table) -> pa.Table:
+    """The averaged predictive probability of each pair that a shard asked."""
+    (p,) = unpack(means.column("data")[0].as_py(), "<u2")
+    bucket = means.column("bucket")[0].as_py()
+    return out([(bucket, s, pack(p[np.cumsum(_from_small(*unpack(d, *SMALL)))])) for s, d in zip(places.column("shard").to_pylist(), places.column("data").to_pylist(), strict=True)])
+
+
+def answer_pairs(table: pa.Table, burn: int, samples: int, seed: int) -> pa.Table:
+    """The averaged predictive probability of each asked pair, for a bucket on its own: a chain under the parent's start."""
     bucket, asked = table.column("bucket")[0].as_py(), Asked(table)
-    if state is None:
-        state, rng = Contexts.opened(asked), np.random.default_rng([seed, bucket])
-        for k in range(burn + samples):
-            state.seat(asked.start, rng)
-            if k >= burn:
-                state.predict(asked.start)
-    p = _to_log(state.total / samples)
+    c, rng = Contexts.opened(asked), np.random.default_rng([seed, bucket])
+    for k in range(1, burn + samples + 1):
+        c.seat(asked.start, rng)
+        if k > burn:
+            c.predict(asked.start, *c.totals(), k - burn)
+    p = _to_log(c.mean)
     return out([(bucket, s, pack(p[mine])) for s, mine in zip(asked.shards, asked.place, strict=True)])
 
 
-#: How intermediate tables are written.
-PACKED = {"compression": "zstd"}
+#: Shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``land``, compressed, leaving no shuffle files."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return land(df, name, compression="zstd")
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 FINAL_ARROW = pa.schema([(n, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for n, t in (x.split() for x in FINAL.split(", "))])
 
@@ -447,7 +497,7 @@ def finish(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     kind = np.array(answers.column("kind").to_pylist())
     parent = Parent(s, answers.filter(pa.array(kind == 1)), buckets)
     pairs, inverse = s.distinct_pairs()
-    by, _ = s.pairs_by_bucket(pairs, parent.wide, buckets)
+    by, _, _ = s.pairs_by_bucket(pairs, parent.wide, buckets)
     p = np.empty(len(pairs))
     second = answers.filter(pa.array(kind == 2))
     for b, data in zip(second.column("bucket").to_pylist(), second.column("data").to_pylist(), strict=True):
@@ -485,23 +535,20 @@ def score_documents(docs: DataFrame, held: Column | None = None, burn: int = 2,
     def open_contexts_(t: pa.Table) -> pa.Table:
         return open_contexts(t, buckets, seed)
 
-    def answer_pairs_(left: pa.Table, right: pa.Table) -> pa.Table:
-        return answer_pairs(left, burn, samples, seed, Contexts.unpacked(right.column("data")[0].as_py()))
-
     def known_words(t: pa.Table) -> pa.Table:
         return pa.table({"n": [int(unpack(t.column("data")[0].as_py(), "<i8", "<f4", "u1", "<f8")[3][1])]})
 
     def finish_(left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(left, right, buckets)
 
-    words = land(by_shard.applyInArrow(ask_words_, ROWS).groupBy("bucket").applyInArrow(answer_words_, ROWS), "py-words", **PACKED)
-    asks = land(by_shard.cogroup(words.groupBy("shard")).applyInArrow(ask_pairs_, ROWS), "py-asks", **PACKED)
-    known = words.filter("shard = 0").groupBy("bucket").applyInArrow(known_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-
     def landed(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
         paths: list[str] = []
         with recorded(paths):
-            return land(df, name, **PACKED), paths
+            return written(df, name), paths
+
+    words = written(by_shard.applyInArrow(ask_words_, ROWS).groupBy("bucket").applyInArrow(answer_words_, ROWS), "py-words")
+    asks = by_shard.cogroup(words.groupBy("shard")).applyInArrow(ask_pairs_, ROWS)
+    known = words.filter("shard = 0").groupBy("bucket").applyInArrow(known_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     def part(df: DataFrame, kind: int):
         return df.filter(F.col("kind") == kind).groupBy("bucket")
@@ -514,11 +561,14 @@ def score_documents(docs: DataFrame, held: Column | None = None, burn: int = 2,
 
     def context_step(k: int, tables: float, customers: float):
         def step(left: pa.Table, right: pa.Table) -> pa.Table:
-            return sweep_contexts(left, right, buckets, known, tables, customers, k > burn, k < burn + samples, seed, k)
+            return sweep_contexts(left, right, buckets, known, tables, customers, burn, samples, seed, k)
 
         return step
 
-    contexts, old = landed(asks.groupBy("bucket").applyInArrow(open_contexts_, SWEEP), "py-contexts")
+    opened, old_opened = landed(asks.groupBy("bucket").applyInArrow(open_contexts_, SWEEP), "py-opened")
+    # the first state goes after its sweep, the places stay
+    places = written(opened.filter("kind = 2"), "py-places")
+    contexts, old = opened, old_opened
     parent, old_parent, tables = docs.sparkSession.createDataFrame([], SWEEP), [], float(known)
     for k in range(1, burn + samples + 1):
         parent, new = landed(part(contexts, 1).cogroup(part(parent, 0)).applyInArrow(parent_step(k, tables), SWEEP), "py-parent")
@@ -530,6 +580,6 @@ def score_documents(docs: DataFrame, held: Column | None = None, burn: int = 2,
         drop_landed(docs.sparkSession, old)
         old = new
     drop_landed(docs.sparkSession, old_parent)
-    pairs = asks.groupBy("bucket").cogroup(part(contexts, 0)).applyInArrow(answer_pairs_, ROWS)
+    pairs = places.groupBy("bucket").cogroup(part(contexts, 3)).applyInArrow(answer_places, ROWS)
     answers = words.withColumn("kind", F.lit(1)).union(pairs.withColumn("kind", F.lit(2)))
     return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(finish_, FINAL)

@@ -169,3 +169,54 @@ def test_the_parent_is_seated_on_the_contexts_tables(spark):
     assert abs((got[2001] - got[2000]) - (second("new y") + math.log10(want[b"y", b"\n"]) - second("new x") - math.log10(want[b"x", b"\n"]))) < 0.15
     assert abs((got[2003] - got[2002]) - (second("a x") + math.log10(want[b"x", b"\n"]) - second("a y") - math.log10(want[b"y", b"\n"]))) < 0.15
     assert got[2001] > got[2000]
+
+
+def chain(table, buckets, burn, samples, seed):
+    """The dealt chain of one shard, in this process: probability by (context, follower) hashes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def each(f, left, right=None):
+        here = set(left.column("bucket").to_pylist())
+        of = lambda t, b: t.filter(pc.equal(t.column("bucket"), b))
+        return pa.concat_tables([f(of(left, b)) if right is None else f(of(left, b), of(right, b)) for b in sorted(here)])
+
+    kind = lambda t, k: t.filter(pc.equal(t.column("kind"), k))
+    words = each(lambda t: P.answer_words(t, 1, buckets, 0, 1, seed), P.ask_words(table, buckets))
+    s = P.Shard(table)
+    known = P.Parent(s, words, buckets).distinct
+    opened = contexts = each(lambda t: P.open_contexts(t, buckets, seed), P.ask_pairs(table, words, buckets))
+    parent, tables = P.sweep_rows([]), float(known)
+    for k in range(1, burn + samples + 1):
+        parent = each(lambda a, b: P.sweep_parent(a, b, known, tables, seed, k), kind(contexts, 1), kind(parent, 0))
+        tables, n = (pc.sum(kind(parent, 0).column(c)).as_py() for c in ("tables", "customers"))
+        contexts = each(lambda a, b: P.sweep_contexts(a, b, buckets, known, tables, n, burn, samples, seed, k), kind(contexts, 0), kind(parent, 1))
+    answers = each(P.answer_places, kind(opened, 2), kind(contexts, 3))
+    wide = P.Parent(s, words, buckets).wide
+    pairs, _ = s.pairs()
+    by = s.pairs_by_bucket(pairs, wide, buckets)[0]
+    p = {}
+    for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
+        got = P._from_log(*P.unpack(data, "<u2"))
+        p |= {(int(s.hashes[x >> 32]), int(s.hashes[x & 0xFFFFFFFF])): v for x, v in zip(pairs[by[b]].tolist(), got.tolist(), strict=True)}
+    return p, len(wide)
+
+
+def test_a_split_context_is_one_restaurant(monkeypatch):
+    """Its probabilities sum to one, and are those of the context in one piece, up to sampling."""
+    import pyarrow as pa
+
+    words = [f"w{j}" for j in range(600)]
+    train = [" ".join(f"hot {w}" for _ in range(20 if j % 2 else 2)) + f" {w} {w}" for j, w in enumerate(words)]
+    # every word, the end and one unknown word after "hot"
+    asked = [f"hot {w}" for w in [*words, "hot", "new"]] + ["hot"]
+    table = pa.table({"shard": pa.array([0] * (len(train) + len(asked)), pa.int32()), "held_out": [False] * len(train) + [True] * len(asked), "text": [t.encode() for t in train + asked]})
+    hot = P.xxhash.xxh64_intdigest(b"hot")
+    whole, n_whole = chain(table, 16, 6, 60, 1)
+    monkeypatch.setattr(P, "WIDE", 500)
+    split, n_split = chain(table, 16, 6, 60, 1)
+    assert (n_whole, n_split) == (0, 1)
+    for p in (whole, split):
+        assert abs(sum(v for (c, _), v in p.items() if c == hot) - 1) < 0.01
+    ratio = np.array([math.log10(split[k] / whole[k]) for k in whole if k[0] == hot])
+    assert abs(ratio.mean()) < 0.01 and np.abs(ratio).max() < 0.15
