@@ -41,14 +41,11 @@ def q_huber_baseline(spark, sf):
     return _metric_rows(loaded.transform(ML.assemble(df, feats)), "huber_baseline")
 
 
-SMALL_BOOST = ML.BoostParams(n_rounds=20, learning_rate=0.1, max_depth=5, min_instances=20, early_stopping=10)
-
-
 @register("boosted_huber")
 def q_boosted_huber(spark, sf):
     """M2: boosted trees on the Huber loss, early stopping on val, metrics per split."""
     df, feats = frame(spark, sf)
-    m = ML.boosted_huber(df.where(F.col("split") == "train"), df.where(F.col("split") == "val"), feats, SMALL_BOOST)
+    m = ML.boosted_huber(df.where(F.col("split") == "train"), df.where(F.col("split") == "val"), feats, ML.BoostParams())
     return _metric_rows(m.predict(ML.assemble(df, feats)), "boosted_huber").withColumn(
         "n_trees", F.lit(len(m.trees)))
 
@@ -73,7 +70,7 @@ def q_train_pipeline(spark, sf):
 def q_staged_metrics(spark, sf):
     """Train and val tolerance/bias metrics every 5 boosting rounds."""
     df, feats = frame(spark, sf)
-    p = ML.BoostParams(n_rounds=15, early_stopping=0)
+    p = ML.BoostParams(early_stopping=0)
     m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, p, log_every=5,
                          monitor=df.where(F.col("split") == "val"))
     cols = ["round", "split", "mae", "rmse", "within_tight", "within_loose", "over", "under"]
@@ -88,7 +85,7 @@ def q_staged_metrics(spark, sf):
 def q_importance(spark, sf):
     """Top-3 features of the boosted model (split importance)."""
     df, feats = frame(spark, sf)
-    m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(n_rounds=8, early_stopping=0))
+    m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(early_stopping=0))
     return ML.tree_importance(m, top=3)
 
 
@@ -134,7 +131,7 @@ def q_score_curve(spark, sf):
     scenario, the compiled trees evaluated inside one aggregate()."""
     df, _ = frame(spark, sf)
     feats = [c for c in K.MODEL_FEATURES if c in df.columns]
-    m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(n_rounds=5, early_stopping=0))
+    m = ML.boosted_huber(df.where(F.col("split") == "train"), None, feats, ML.BoostParams(early_stopping=0))
     return ML.curve_boosted(m, scenarios(df), n_laps=30)
 
 

@@ -151,3 +151,20 @@ def test_train_pipeline_end_to_end(spark):
     assert len(ML.load_boosted(paths[1]).trees) >= 1
     # a second run replaces its rows
     assert ML.train_pipeline(df, feats, *paths, n_trials=1, n_rounds=2, early_stopping=2).count() == 2
+
+
+def test_registered_fits_run_the_default_rounds(spark, monkeypatch):
+    """Queries that fit one boosted model use the library's number of rounds."""
+    from pitlane.plans import q_models as Q
+
+    class Stop(Exception):
+        pass
+
+    def seen(train, valid, features, params=None, **_):
+        raise Stop(params.n_rounds)
+
+    monkeypatch.setattr(Q.ML, "boosted_huber", seen)
+    monkeypatch.setattr(Q, "frame", lambda *_: (spark.createDataFrame([("train",)], "split string"), []))
+    for query in (Q.q_boosted_huber, Q.q_staged_metrics, Q.q_importance, Q.q_score_curve):
+        with pytest.raises(Stop, match=f"^{Q.ML.BoostParams().n_rounds}$"):
+            query(spark, "")
