@@ -5,8 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
-from oracle_compare import compare
+from oracle_compare import SF_SMALL, compare
 
 ORACLE = E.oracle_sql()
 

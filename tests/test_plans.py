@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import SF_SMALL
+from oracle_compare import SF_SMALL
 from pitlane.operators import telemetry as tel
 from pitlane.plans.feature_table import attach_weather, feature_table_from_testdata
 from pitlane.sources import fixtures as fx

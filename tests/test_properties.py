@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from oracle_compare import SF_SMALL
 from pitlane import constants as K
 from pitlane.operators import encode as enc
 from pitlane.operators import sequences as S

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from oracle_compare import SF_SMALL
 from pitlane import constants as K
 from pitlane.functions import scalar as S
 from pitlane.operators import encode as enc

@@ -9,7 +9,7 @@ import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from oracle_compare import SF_SMALL
 from pitlane import constants as K
 from pitlane.operators import encode as enc
 from pitlane.plans import models as ML
