@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import bwt_dedup, decontam, packing, pitman_yor, preference, quality, simhash, token_files, toxicity, url_filter
+from pitlane.llm import bwt_dedup, cross_parsing, decontam, packing, pitman_yor, preference, quality, simhash, token_files, toxicity, url_filter
 from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +265,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (three-word shingles, three bits)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=3).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op11_cross_parsing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing; one document in four is not learnt from."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out(4, 2))
+    samples = cross_parsing.sample_languages(docs.filter(~F.col("held_out")))
+    return cross_parsing.identify(docs, samples, keep=["doc_id", "held_out"])
