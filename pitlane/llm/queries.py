@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlane.llm import bwt_dedup, cross_parsing, decontam, packing, pitman_yor, preference, quality, simhash, token_files, toxicity, url_filter
+from pitlane.llm import bwt_dedup, collocation, cross_parsing, decontam, packing, pitman_yor, preference, quality, ranked_search, simhash, token_files, toxicity, url_filter
 from pitlane.llm.common import land, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +273,62 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out(4, 2))
     samples = cross_parsing.sample_languages(docs.filter(~F.col("held_out")))
     return cross_parsing.identify(docs, samples, keep=["doc_id", "held_out"])
+
+
+OP12_SQL = f"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+), w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p
+), total as (
+  select lang, sum(len(w))::bigint as n from w group by 1
+), f as (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, any_value(w[i:i + m - 1]) as words, count(*)::bigint as a
+  from w, unnest(range(1, 6)) as s(m), unnest(range(1, len(w) - m + 2)) as t(i) group by 1, 2, 3 having count(*) >= 100
+), cuts as (
+  select f.lang, f.m, f.phrase, f.a, k, l.a as l, r.a as r, total.n,
+         ((1000::hugeint * f.a::hugeint * total.n::hugeint) // (l.a::hugeint * r.a::hugeint))::bigint as score
+  from f, unnest(range(1, f.m)) as u(k), f as l, f as r, total
+  where l.lang = f.lang and l.phrase = array_to_string(f.words[1:k], ' ') and r.lang = f.lang and r.phrase = array_to_string(f.words[k + 1:], ' ') and total.lang = f.lang
+), least as (
+  select lang, m, phrase, any_value(a) as a, any_value(n) as n, arg_min(l, (score, k)) as l, arg_min(r, (score, k)) as r, min(score) as score from cuts group by 1, 2, 3
+), kept as (
+  select * from least x where not exists (
+    select 1 from f y where y.lang = x.lang and y.a = x.a and y.m > x.m and contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify rank <= 2000
+"""
+
+
+@query("op12_pair_tiles", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to five words of every language."""
+    return collocation.collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, top=2000)
+
+
+OP13_SQL = f"""
+with t as (
+  select doc_id, len(w)::bigint as n, w from (select doc_id, {_WORDS} as w from documents) where len(w) > 0
+), total as (
+  select count(*)::bigint as nd, sum(n)::bigint as nt from t
+), tf as (
+  select doc_id, n, term, count(*)::bigint as tf from t, unnest(w) as u(term) group by 1, 2, 3
+), weights as (
+  select term, floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by 1
+), q as (
+  select distinct item_id, term from (select item_id, {_WORDS} as w from benchmark), unnest(w) as u(term)
+), scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt))))::bigint as score
+  from q join tf using (term) join weights using (term), total group by 1, 2
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=10)
