@@ -278,18 +278,18 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = f"""
 with p as (
   select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents
-), w as (
+), w as materialized (
   select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p
 ), total as (
   select lang, sum(len(w))::bigint as n from w group by 1
-), f as (
+), f as materialized (
   select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, any_value(w[i:i + m - 1]) as words, count(*)::bigint as a
   from w, unnest(range(1, 6)) as s(m), unnest(range(1, len(w) - m + 2)) as t(i) group by 1, 2, 3 having count(*) >= 100
+), parts as materialized (
+  select lang, m, phrase, a, k, array_to_string(words[1:k], ' ') as first, array_to_string(words[k + 1:], ' ') as rest from f, unnest(range(1, m)) as u(k)
 ), cuts as (
-  select f.lang, f.m, f.phrase, f.a, k, l.a as l, r.a as r, total.n,
-         ((1000::hugeint * f.a::hugeint * total.n::hugeint) // (l.a::hugeint * r.a::hugeint))::bigint as score
-  from f, unnest(range(1, f.m)) as u(k), f as l, f as r, total
-  where l.lang = f.lang and l.phrase = array_to_string(f.words[1:k], ' ') and r.lang = f.lang and r.phrase = array_to_string(f.words[k + 1:], ' ') and total.lang = f.lang
+  select p.*, l.a as l, r.a as r, n, ((1000::hugeint * p.a::hugeint * n::hugeint) // (l.a::hugeint * r.a::hugeint))::bigint as score
+  from parts p join total using (lang) join f l on l.lang = p.lang and l.phrase = p.first join f r on r.lang = p.lang and r.phrase = p.rest
 ), least as (
   select lang, m, phrase, any_value(a) as a, any_value(n) as n, arg_min(l, (score, k)) as l, arg_min(r, (score, k)) as r, min(score) as score from cuts group by 1, 2, 3
 ), kept as (

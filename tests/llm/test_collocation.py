@@ -29,13 +29,15 @@ def direct(rows, min_count, top, max_words=5):
                     f.setdefault(lang, Counter())[tuple(w[i : i + m])] += 1
     out = []
     for lang, counts in f.items():
+        held = set()  # phrases that a longer one always holds
+        for q, a in counts.items():
+            if a >= min_count:
+                held |= {p for m in range(2, len(q)) for i in range(len(q) - m + 1) if counts[p := q[i : i + m]] <= a}
         scored = []
         for p, a in counts.items():
-            if len(p) < 2 or a < min_count:
+            if len(p) < 2 or a < min_count or p in held:
                 continue
             s, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
-            if any(counts[q] >= a and p in [q[i : i + len(p)] for i in range(len(q) - len(p) + 1)] for q in counts if len(q) > len(p) and counts[q] >= min_count):
-                continue
             scored.append((-s, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
         out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(scored)[:top])]
     return sorted(out)
