@@ -9,7 +9,8 @@ like the words, become the symbols of the next round, and the round is the same:
 
 A shard is a part of one language's texts of about ``shard_bytes`` (one document at least). It holds the sequence of
 its symbols and, for each distinct one, its count. The counts of all shards are added up by Spark; the shards are told the ids of those
-of their symbols that are frequent, count the pairs of these, and go on. A language with most of all rows, or a word in
+of their symbols that are frequent (all frequent symbols are sent while their counted number is small, else each shard's own), count the
+pairs of these, and go on. A language with most of all rows, or a word in
 every text, has many shards with one row in each.
 
 Only A-Z are lowered; pieces end at ``[.,;:!?\\n\\v\\f\\r]`` and at the end of a text, words at spaces and tabs, and phrases do not
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import land
+from pitlane.llm.common import drop_landed, land, recorded
 
 BREAK = b"."
 #: Lowers A-Z and writes every character that ends a piece as a full stop.
@@ -156,35 +157,83 @@ def ranked(frequent: DataFrame, keys: list[str]) -> DataFrame:
     return src.withColumn("place", place).join(base, ["lang", "octave", "part"]).select("lang", (F.col("base") + F.col("place") - 1).alias("id"), *keys, "f")
 
 
-def beside(small: DataFrame, most: int = 300_000) -> DataFrame:
-    """The side with a broadcast hint if its counted rows allow it; a shuffle join otherwise."""
-    return F.broadcast(small) if small.count() <= most else small
-
-
 def frequent_units(shards: DataFrame, keys: list[str], min_count: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent units of all shards (written, with ids), and per shard the numbers and ids of its own frequent units."""
+    """The units (lang, shard, u, keys, n) of all shards, and the frequent ones (written): lang, id, keys and total count ``f``."""
     units = shards.select("lang", "shard", F.posexplode(F.arrays_zip(*keys, "n")).alias("u", "x")).select("lang", "shard", "u", "x.*")
     total = units.groupBy("lang", *keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    frequent = land(ranked(land(total, "frequent"), keys), "ranked")
-    own = units.drop("n").join(beside(frequent.drop("f")), ["lang", *keys]).select(F.col("shard").alias("of"), "u", "id")
-    return frequent, own
-
-
-def pair_shards(shards: DataFrame, own: DataFrame) -> DataFrame:
-    """The written shards of the next round."""
-
-    def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return PAIRS_ARROW.empty_table()
-        seq = left.column("seq").chunk(0).values.to_numpy()
-        seq, *lists = next_round(seq, right.column("u").to_numpy(), right.column("id").to_numpy(), left.column("units")[0].as_py())
-        if not len(lists[0]):
-            return PAIRS_ARROW.empty_table()
-        cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (seq, *(x.astype(np.int64) for x in lists))]
-        return pa.Table.from_arrays([left.column("shard"), left.column("lang"), *cols], schema=PAIRS_ARROW)
-
+    return units, land(ranked(land(total, "frequent"), keys), "ranked")
+
+
+class Known:
+    """The frequent units of all languages: (language) -> ids of a shard's own units."""
+
+    def __init__(self, frequent: pa.Table, keys: list[str]):
+        self.keys, self.of = keys, {}
+        langs = np.array(frequent.column("lang").to_pylist(), object)
+        for lang in set(langs.tolist()):
+            t = frequent.filter(pa.array(langs == lang)).combine_chunks()
+            ids = t.column("id").to_numpy()
+            if len(keys) == 1:
+                self.of[lang] = t.column(keys[0]).chunk(0), ids
+            else:  # first ids and second ids are below 2^31 here
+                pair = t.column("a").to_numpy() << 32 | t.column("b").to_numpy()
+                order = np.argsort(pair)
+                self.of[lang] = pair[order], ids[order]
+
+    def units(self, row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and ids of a shard's units that are frequent."""
+        lang = row.column("lang")[0].as_py()
+        if lang not in self.of:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        values, ids = self.of[lang]
+        own = [row.column(k)[0].values for k in self.keys]
+        if len(own) == 1:
+            at = pc.fill_null(pc.index_in(own[0], value_set=values), -1).to_numpy(zero_copy_only=False)
+        else:
+            pair = own[0].to_numpy() << 32 | own[1].to_numpy()
+            at = np.minimum(np.searchsorted(values, pair), len(values) - 1)
+            at = np.where(values[at] == pair, at, -1)
+        found = np.flatnonzero(at >= 0)
+        return found, ids[at[found]]
+
+
+def _next_row(shard: pa.Scalar, lang: pa.Scalar, seq: pa.Array, known: np.ndarray, ids: np.ndarray, units: int) -> pa.RecordBatch | None:
+    """The shard's row in the next round; none if no pair is left."""
+    out, *lists = next_round(seq.to_numpy(), known, ids, units)
+    if not len(lists[0]):
+        return None
+    cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (out, *(x.astype(np.int64) for x in lists))]
+    return pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([lang.as_py()], pa.string()), *cols], schema=PAIRS_ARROW)
+
+
+def pair_shards(shards: DataFrame, units: DataFrame, frequent: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
+    """The written shards of the next round.
+
+    Up to ``broadcast_rows`` counted frequent units are sent to all executors; beyond, a join tells every shard the ids of its
+    own ones. Both give the same rows.
+    """
+    if frequent.count() <= broadcast_rows:
+        sent = shards.sparkSession.sparkContext.broadcast(Known(frequent.select("lang", "id", *keys).toArrow(), keys))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    out = _next_row(row.column("shard")[0], row.column("lang")[0], row.column("seq")[0].values, *sent.value.units(row), len(row.column("n")[0]))
+                    if out:
+                        yield out
+
+        return land(shards.mapInArrow(step, PAIRS), "pairs", compression="zstd")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            rows = [_next_row(left.column("shard")[0], left.column("lang")[0], left.column("seq")[0].values, right.column("u").to_numpy(), right.column("id").to_numpy(), left.column("units")[0].as_py())]
+        return pa.Table.from_batches([r for r in rows if r], PAIRS_ARROW)
+
+    own = units.drop("n").join(frequent.drop("f"), ["lang", *keys]).select(F.col("shard").alias("of"), "u", "id")
     left = shards.select("shard", "lang", "seq", F.size("n").alias("units"))
-    return land(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(step, PAIRS), "pairs", compression="zstd")
+    return land(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(answer, PAIRS), "pairs", compression="zstd")
 
 
 def _exact(x: Column) -> Column:
@@ -218,16 +267,23 @@ def _scored(phrases: DataFrame, longer: DataFrame | None, size: int, totals: Dat
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100, top: int = 2000, shard_bytes: int = 16 << 20,
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100, top: int = 2000,
+    shard_bytes: int = 16 << 20, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` phrases."""
-    shards, levels = word_shards(docs, text, lang, shard_bytes), []
+    levels, written = [], []
+    with recorded(written):
+        shards = word_shards(docs, text, lang, shard_bytes)
     totals = land(shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "totals")
     for size in range(1, max_words + 1):
-        frequent, own = frequent_units(shards, ["words"] if size == 1 else ["a", "b"], min_count)
+        keys = ["words"] if size == 1 else ["a", "b"]
+        units, frequent = frequent_units(shards, keys, min_count)
         levels.append(frequent)
         if size < max_words:
-            shards = pair_shards(shards, own)
+            last, written = written, []
+            with recorded(written):
+                shards = pair_shards(shards, units, frequent, keys, broadcast_rows)
+            drop_landed(docs.sparkSession, last)
     described = _described(levels)
     found = None
     for size in range(2, max_words + 1):

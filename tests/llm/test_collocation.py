@@ -56,10 +56,10 @@ def corpus(seed, n=120):
     return rows + [("on the mat the cat sat on the mat", "en")] * 40 + [("the the the the the the the", "fr")] * 5 + [(None, "en"), ("", "de")]
 
 
-@pytest.mark.parametrize("seed,shard", [(1, 16 << 20), (2, 300)])
-def test_phrases_against_plain_counting(spark, seed, shard):
+@pytest.mark.parametrize("seed,shard,sent", [(1, 16 << 20, 1000), (2, 300, 0), (3, 300, 40)])
+def test_phrases_against_plain_counting(spark, seed, shard, sent):
     rows = corpus(seed)
-    assert found(spark, rows, min_count=4, top=30, shard_bytes=shard) == direct(rows, 4, 30)
+    assert found(spark, rows, min_count=4, top=30, shard_bytes=shard, broadcast_rows=sent) == direct(rows, 4, 30)
 
 
 def test_edges_and_empty_tables(spark):
