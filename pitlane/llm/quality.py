@@ -1,21 +1,18 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Every rule is a measure of a document and a cutoff: documents above the cutoff go. Cutoffs come
-from labelled holdout documents, one per stratum and rule. For a stratum with ``n`` good documents of
-which ``k`` lie above a candidate cutoff, the exact binomial tail ``P(Bin(n, a) <= k)`` is a
-p-value for "the rule rejects more than a share ``a`` of good documents". Candidates form a fixed
-grid and are tested from the most lenient on while the p-value is at most ``delta`` divided by
-the number of strata times rules: testing in a fixed order needs no correction inside a rule, and
-the Bonferroni division covers all rules and strata. Each rule gets ``a = risk /
-rules``, so with probability ``1 - delta`` at least, in every stratum, the rules together reject no
-more than a share ``risk`` of good documents. Among the cutoffs that pass, the one
-that rejects most bad less good documents is taken; if none helps, or the holdout is too small to
-prove anything, the rule is off in that stratum.
+Every rule is a measure of a document and a ladder of cutoffs, from lenient to strict: a document above the cutoff goes. The
+ladders have equally many steps, and step ``j`` takes cutoff ``j`` of every rule at once, so what a step rejects, the next one
+rejects as well. For a stratum with ``n`` good labelled holdout documents of which step ``j`` rejects ``k``, the exact binomial tail
+``P(Bin(n, risk) <= k)`` is a p-value for "the rules together reject more than a share ``risk`` of good documents". Steps are tested
+from the most lenient on while the p-value is at most ``delta / strata``: testing in a fixed order needs no correction
+over steps and rules, and the Bonferroni division covers the strata. So with probability ``1 - delta`` at least, in every stratum, the
+rules together reject no more than a share ``risk`` of good documents. Among the steps that pass, the one that rejects most bad less good
+documents is taken; if none helps, or the holdout is too small to prove anything, the rules are off in that stratum.
 
 Null text has no words. Null strata form a stratum of their own; strata without labels have no
 active rule. Documents labelled more than once count as bad if any label says so; null labels are
-ignored. Repeated rows are judged alike. Empty tables give no rows. Five-word windows are
-compared by a 64-bit hash within one document.
+ignored. Repeated rows are judged alike. Empty tables give no rows. Columns named as the counts, ``base_failed`` or ``kept`` are
+replaced by them; all other columns pass through. Five-word windows are compared by a 64-bit hash within one document.
 """
 
 from __future__ import annotations
@@ -33,15 +30,22 @@ SHINGLE = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
 BROADCAST_STRATA = 10_000
 
-#: Grids of the measures, in the order of rejection: a document above the cutoff goes.
-SHARES = tuple(i / 50 for i in range(49, 0, -1))
-GRIDS: dict[str, tuple[float, ...]] = {
-    "symbols_per_word": tuple(i / 20 for i in range(60, 0, -1)),
-    "dup_line_share": SHARES,
-    "repeat_share": SHARES,
-    "same_word_share": SHARES,
-    "mean_word_chars": tuple(float(i) / 2 for i in range(60, 4, -1)),
-    "short_words": tuple(float(-i) / 2 for i in range(2, 16)),
+STEPS = 50
+
+
+def ladder(lenient: float, strict: float) -> tuple[float, ...]:
+    """Cutoffs in equal steps, rounded so that every engine compares with the same numbers."""
+    return tuple(round(lenient + (strict - lenient) * j / (STEPS - 1), 6) for j in range(STEPS))
+
+
+#: The cutoffs of each rule, step by step: a document above the cutoff goes.
+LADDERS: dict[str, tuple[float, ...]] = {
+    "symbols_per_word": tuple(round(3.0 * 0.91**j, 6) for j in range(STEPS)),
+    "dup_line_share": ladder(0.98, 0.1),
+    "repeat_share": ladder(0.2, 0.02),
+    "same_word_share": ladder(0.98, 0.6),
+    "mean_word_chars": ladder(30.0, 9.0),
+    "short_words": ladder(-1.0, -3.0),
 }
 
 
@@ -51,10 +55,12 @@ def with_features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     It is written because later filters would otherwise be pushed into these expressions,
     which refer to each other many times.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [f"`{c}`" for c in (docs.columns if keep is None else keep) if c not in FEATURES]
     text = F.coalesce("text", F.lit(""))
+    df = docs.select(*keep, text.alias("__text"))
+    text = F.col("__text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    df = docs.withColumns({"__w": F.filter(F.split(text, SPACES), lambda x: x != ""), "__l": lines, "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")})
+    df = df.withColumns({"__w": F.filter(F.split(text, SPACES), lambda x: x != ""), "__l": lines, "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")})
     w = F.col("__w")
     df = df.withColumns({
         "n_words": F.size(w).cast("long"),
@@ -64,7 +70,7 @@ def with_features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         # one hash for each five-word window
         "__h": F.when(F.size(w) > SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(SHINGLE))))),
-    }).drop("__w", "__l")
+    }).drop("__w", "__l", "__text")
     # only documents with a repeated window sort their windows
     repeated = F.size(F.array_distinct("__h")) < F.size("__h")
     df = df.withColumn("__s", F.when(repeated, F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
@@ -116,36 +122,45 @@ def most_rejections(n: Column, a: float, log_level: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(n * a)), zero, step, lambda s: s["k"])
 
 
+def step_of(ladders: dict[str, tuple[float, ...]]) -> Column:
+    """The first step that rejects the document (STEPS if none does)."""
+
+    def first(cuts: tuple[float, ...], value: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: value <= c))
+
+    return F.least(*(first(ladders[r], m) for r, m in measures().items()))
+
+
 def cutoffs(featured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff, n, k, bad) of the active rules, from labelled documents that pass the base rules."""
+    """(stratum, rule, cutoff, n, k, bad) of the strata with active rules, from labelled documents that pass the base rules.
+
+    n: good labelled documents; k and bad: the good and bad ones that the chosen step rejects.
+    """
     marks = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
-    held = featured.filter(~base_failed()).select("doc_id", F.col(stratum).alias("stratum"), *FEATURES).join(marks, "doc_id")
-    # a document's place on a grid: how many cutoffs, counted from the most lenient, it stays at or below
-    grid = F.create_map(*(x for r, g in GRIDS.items() for x in (F.lit(r), F.array(*map(F.lit, g)))))
-    rows = held.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), m.alias("value")) for r, m in measures().items()))).alias("x")).select("stratum", "good", "x.*")
-    rows = rows.withColumn("place", F.size(F.filter(grid[F.col("rule")], lambda c: F.col("value") <= c)))
-    counts = rows.groupBy("stratum", "rule", "place").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("k"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
-    whole = Window.partitionBy("stratum", "rule")
-    upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    # above cutoff j (the j-th from the most lenient, from 0) lie the documents with a place of j at most
-    steps = counts.select("stratum", "rule", "place", F.sum("k").over(upto).alias("k"), F.sum("bad").over(upto).alias("bad"), F.sum("k").over(whole).alias("n"))
+    held = featured.filter(~base_failed()).select("doc_id", F.col(f"`{stratum}`").alias("stratum"), step_of(LADDERS).alias("step")).join(marks, "doc_id")
+    counts = held.groupBy("stratum", "step").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("k"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
+    whole = Window.partitionBy("stratum")
+    upto = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.select("stratum", "step", F.sum("k").over(upto).alias("k"), F.sum("bad").over(upto).alias("bad"), F.sum("k").over(whole).alias("n"))
     strata = steps.select(F.coalesce(F.countDistinct(F.struct("stratum")), F.lit(0)).alias("s")).first()["s"]
-    log_level = math.log(delta / (max(strata, 1) * len(GRIDS)))
-    limits = steps.select("stratum", "rule", "n").distinct().withColumn("most", most_rejections(F.col("n"), risk / len(GRIDS), F.lit(log_level)))
-    passed = steps.join(limits.withColumnsRenamed({"stratum": "s", "rule": "r"}).drop("n"), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r"))).filter("k <= most and bad > k")
-    best = passed.groupBy("stratum", "rule").agg(F.max_by(F.struct("place", "k", "bad", "n"), F.struct(F.col("bad") - F.col("k"), -F.col("place"))).alias("b"))
-    return best.select("stratum", "rule", F.get(grid[F.col("rule")], F.col("b.place")).alias("cutoff"), "b.n", "b.k", "b.bad").filter(F.col("cutoff").isNotNull())
+    # k only grows with the steps, so a step passes if it and all before it do
+    most = most_rejections(F.col("n"), risk, F.lit(math.log(delta / max(strata, 1))))
+    limits = steps.select(F.col("stratum").alias("s"), "n").distinct().select("s", most.alias("most"))
+    passed = steps.join(limits, F.col("stratum").eqNullSafe(F.col("s"))).filter((F.col("step") < STEPS) & (F.col("k") <= F.col("most")) & (F.col("bad") > F.col("k")))
+    best = passed.groupBy("stratum").agg(F.max_by(F.struct("step", "k", "bad", "n"), F.struct(F.col("bad") - F.col("k"), -F.col("step"))).alias("b"))
+    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.array(*map(F.lit, c)).alias("cuts")) for r, c in LADDERS.items())))
+    return best.select("stratum", "b", rules.alias("r")).select("stratum", "r.rule", F.get("r.cuts", F.col("b.step")).alias("cutoff"), "b.n", "b.k", "b.bad")
 
 
 def judge(featured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
     """``featured`` plus base_failed and kept.
 
-    The cutoffs are one row a stratum; they are broadcast while their counted number is small.
+    The cutoffs are six rows a stratum; they are broadcast while the counted number of strata is small.
     """
-    by = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
-    few = chosen.select("stratum").distinct().count() <= BROADCAST_STRATA
-    joined = featured.join(F.broadcast(by) if few else by, F.col(stratum).eqNullSafe(F.col("stratum")), "left") if stratum != "stratum" else featured.join(by, "stratum", "left")
+    by = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut"))
+    few = by.count() <= BROADCAST_STRATA
+    joined = featured.join(F.broadcast(by) if few else by, F.col(f"`{stratum}`").eqNullSafe(F.col("__stratum")), "left")
     above = F.lit(False)
     for rule, m in measures().items():
         above = above | F.coalesce(m > F.col("__cut")[rule], F.lit(False))
-    return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~above}).drop("__cut", *([] if stratum == "stratum" else ["stratum"]))
+    return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~above}).drop("__cut", "__stratum")
