@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pitlane.llm.common import distinct, groups_for, nullable, text_bytes
+from pitlane.llm.common import distinct, groups_for, nullable, text_bytes, whole_row
 
 KMER = 24  # a multiple of eight
 SLICES = 8  # transforms that a bucket merges
@@ -534,7 +534,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
     """
     names = docs.columns
     others = [c for c in names if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*others).alias("__row") if others else F.lit(None).cast("struct<x:int>").alias("__row"))
+    packed = docs.select("doc_id", "text", whole_row(docs, ("doc_id", "text")).alias("__row") if others else F.lit(None).cast("struct<x:int>").alias("__row"))
 
     row = nullable(packed.schema["__row"].dataType)
     row_type = to_arrow_type(row)

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,11 @@ def land(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
+    """A struct of all columns, whatever their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in skip))
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("b")).first()["b"]

@@ -51,19 +51,20 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Texts to token ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Strings of special tokens inside a text are ordinary text. Words of plain letters go straight to
-    the tokenizer's model; anything else takes its whole way. ``cache_words`` bounds the
-    memory, never the result.
+    Words of plain letters go straight to the tokenizer's model; anything else takes its whole way, and so does a whole text that holds the
+    string of an added token, in any case. ``cache_words`` bounds the memory, never the result.
     """
 
     def __init__(self, path: str, cache_words: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
+        self.marks = {t["content"][0] for t in spec.get("added_tokens") or [] if t["content"]}
         pre = spec.get("pre_tokenizer") or {}
         self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
@@ -104,6 +105,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as native unsigned 32-bit integers (little-endian on all supported machines)."""
+        if any(m in text for m in self.marks) and self.added.search(text):
+            return self._encode(text)
         if self.kind == "byte":
             plain = not ("  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
             first, *rest = text.split(" ") if plain else GAP.split(text)
@@ -112,7 +115,6 @@ class Encoder:
             return b"".join(map(self.bare.__getitem__, text.split(" ")))
         return self._encode(text)
 
-
     def encode_all(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of each text with the end's. Garbage collection pauses meanwhile: nothing here makes cycles, and it would walk
         the tokens of every word."""

@@ -104,7 +104,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SP = r"[\x20\x09-\x0D]"
 _RISK, _DELTA = 0.02, 0.05
-_RULES = ", ".join(f"('{r}', [{', '.join(f'{c}::double' for c in g)}])" for r, g in quality.GRIDS.items())
+_RULES = ", ".join(f"('{r}', [{', '.join(f'{c}::double' for c in g)}])" for r, g in quality.LADDERS.items())
 
 #: The binomial tail is summed from lgamma terms here, from a recurrence in the operator.
 OP4_SQL = f"""
@@ -134,24 +134,25 @@ with d as (
     when 'repeat_share' then n_repeat_words / nw when 'same_word_share' then 1 - n_distinct / nw
     when 'mean_word_chars' then word_chars / nw else -word_chars / nw end as v
   from b, rules
+), placed as (
+  select doc_id, lang, base_failed, min(len(list_filter(grid, lambda c: v <= c))) as step from m group by 1, 2, 3
 ), held as (
-  select lang, rule, len(list_filter(grid, lambda c: v <= c)) as place, good
-  from m join (select doc_id, min(quality) as good from labels group by 1) using (doc_id) where not base_failed
+  select lang, step, good from placed join (select doc_id, min(quality) as good from labels where quality is not null group by 1) using (doc_id) where not base_failed
 ), steps as (
-  select lang, rule, place, sum(sum((good = 1)::int)) over upto as k, sum(sum((good <> 1)::int)) over upto as bad, sum(sum((good = 1)::int)) over (partition by lang, rule) as n
-  from held group by 1, 2, 3 window upto as (partition by lang, rule order by place)
+  select lang, step, sum(sum((good = 1)::int)) over upto as k, sum(sum((good <> 1)::int)) over upto as bad, sum(sum((good = 1)::int)) over (partition by lang) as n
+  from held group by 1, 2 window upto as (partition by lang order by step)
 ), p as (
-  select {_RISK}::double / {len(quality.GRIDS)} as a, {_DELTA}::double / (count(distinct lang) * {len(quality.GRIDS)}) as level from steps
+  select {_RISK}::double as a, {_DELTA}::double / count(distinct coalesce('=' || lang, '-')) as level from steps
 ), limits as (
-  select lang, rule, coalesce(max(i) filter (tail <= level), -1) as most from (
-    select lang, rule, i, level, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a))) over (partition by lang, rule order by i) as tail
-    from (select distinct lang, rule, n from steps where n > 0), p, unnest(range(0, ceil(n * a)::bigint + 1)) as t(i)
-  ) group by 1, 2
+  select lang, coalesce(max(i) filter (tail <= level), -1) as most from (
+    select lang, i, level, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a))) over (partition by lang order by i) as tail
+    from (select distinct lang, n from steps where n > 0), p, unnest(range(0, ceil(n * a)::bigint + 1)) as t(i)
+  ) group by 1
 ), best as (
-  select lang, rule, place from steps join limits using (lang, rule) where k <= most and bad > k
-  qualify row_number() over (partition by lang, rule order by bad - k desc, place) = 1
+  select s.lang, step from steps s join limits l on l.lang is not distinct from s.lang where step < {quality.STEPS} and k <= most and bad > k
+  qualify row_number() over (partition by s.lang order by bad - k desc, step) = 1
 ), gone as (
-  select distinct doc_id from m join best using (lang, rule) where v > grid[place + 1]
+  select doc_id from placed join best on best.lang is not distinct from placed.lang where placed.step <= best.step
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and doc_id not in (select doc_id from gone) as kept

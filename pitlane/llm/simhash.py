@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlane.llm.common import groups_for, land, nullable, word_blocks
+from pitlane.llm.common import groups_for, land, nullable, whole_row, word_blocks
 
 SEED = 42
 BATCH = 1 << 18  # node pairs handled at once in a task
@@ -201,7 +201,7 @@ def components(fps: DataFrame, budget: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
     """One row of each component: that of its smallest doc_id, the first written one if several rows have it."""
-    carried = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    carried = docs.select("doc_id", "text", whole_row(docs).alias("__row"))
     rows = with_fingerprint(carried, width, "__row").withColumn("__rid", F.monotonically_increasing_id())
     rows = land(rows, "fingerprints")
     of = rows.select("doc_id", "fp", "__rid").join(components(rows.select("doc_id", "fp"), budget), "fp")

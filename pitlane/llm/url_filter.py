@@ -93,10 +93,12 @@ def _sent(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def judge(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
-    """``urls`` with host, path, rule, verdict and layer of the winning rule (null: none fits)."""
+    """``urls`` with host, path, rule, verdict and layer of the winning rule (null: none fits); these replace columns of
+    the same names."""
     spark = urls.sparkSession
-    host, path = host_and_path(F.col(url_col))
-    rows = urls.withColumn("host", host).withColumn("path", path)
+    host, path = host_and_path(F.col(f"`{url_col}`"))
+    kept = [f"`{c}`" for c in urls.columns if c not in ("host", "path", "rule", "verdict", "layer")]
+    rows = urls.select(*kept, host.alias("host"), path.alias("path"))
     targets = rows.select("host", "path").distinct().withColumn("target", F.concat("host", "path"))
     index = rule_index(spark, rules, targets)
     fetched = targets.select("host", "path", "target", F.explode(F.array_union(_tokens(F.col("target")), F.array(F.lit("")))).alias("token"))
@@ -104,4 +106,4 @@ def judge(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame
     best = fits.groupBy("host", "path").agg(
         F.min_by(F.struct("rule", "verdict", "layer"), F.struct("layer", -F.col("length"), "rule")).alias("won")
     )
-    return rows.join(best, ["host", "path"], "left").select(*rows.columns, "won.rule", "won.verdict", "won.layer")
+    return rows.join(best, ["host", "path"], "left").select(*kept, "host", "path", "won.rule", "won.verdict", "won.layer")

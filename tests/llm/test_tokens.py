@@ -24,7 +24,6 @@ SF = "/root/testdata/sf0.001"
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -36,6 +35,7 @@ def crc(ids):
 def test_encoder_equals_the_tokenizer(path):
     texts = [r[1] or "" for r in EDGE] + [
         "a  b", " a", "a ", "\ta\n\n b", "x \u3000y", "it's 'tis we'LL", "A\u0301 e\u0301 \u212b \u03a3\u03a3", "...a,b;c\r\nd", "\x00a \x1c b\x1d", "  ", "\n",
+        "a <|endoftext|> b", "x<|ENDOFTEXT|>y <|startoftext|>", "<|endoftext|>", "a<|endof text|>", "<|endoftext|><|endoftext|> é", "<| endoftext |>",
         "don't.\nI'm 3.14 a_b ###x", "ŒUVRE İstanbul ǅ ŉ", "مرحبا بالعالم", "👍🏽 ok👍",
     ]
     texts += [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall()]

@@ -31,8 +31,8 @@ def test_rules_against_direct_matching(spark, monkeypatch, bound):
     rules = [U.domain_rule(r, v) for r, v in [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow")]]
     rules += [U.Rule("||spam-farm.", "block", 1), U.Rule("*farm*", "allow", 2), U.Rule("/de^", "block", 1)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS + URLS[:5])], "page_id long, url string")
-    got = {r.page_id: r for r in U.judge(clashing(df).drop("host", "path", "rule", "verdict"), rules).collect()}
-    assert len(got) == len(URLS) + 5
+    got = {r.page_id: r for r in U.judge(clashing(df).withColumnsRenamed({"n": "layer", "term": "a.b"}), rules).collect()}
+    assert len(got) == len(URLS) + 5 and got[0]["a.b"] == "x" and len(set(got[0].asDict())) == len(got[0])
     for i, u in enumerate(URLS + URLS[:5]):
         host, path = direct(u)
         fits = [r for r in rules if re.search(U.to_regex(r.pattern).replace("\\x{", "\\x").replace("}", ""), host + path)]
