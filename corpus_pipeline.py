@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlane.llm import bwt_dedup, decontam, packing, quality, simhash
-from pitlane.llm.common import drop_landed, land, recorded, table
+from pitlane.llm.common import drop_landed, land, recorded, table, whole_row
 
 _LEFT = threading.local()
 
@@ -38,7 +38,7 @@ def stage(f):
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rules and the risk-controlled cutoffs of their language."""
-    carried = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("__row"))
+    carried = docs.select("doc_id", "lang", "text", whole_row(docs).alias("__row"))
     featured = quality.with_features(carried, keep=["doc_id", "lang", "__row"])
     chosen = land(quality.cutoffs(featured, table(spark, sf_dir, "labels"), "lang"), "cutoffs")
     return quality.judge(featured, chosen, "lang").filter("kept").select("__row.*")
@@ -59,7 +59,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a ten-word window of a benchmark item."""
-    rows = land(docs.select(F.struct(*docs.columns).alias("__row")).withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    rows = land(docs.select(whole_row(docs).alias("__row")).withColumn("__rid", F.monotonically_increasing_id()), "rows")
     index = decontam.build_index(rows.select(F.col("__rid").alias("doc_id"), "__row.text"))
     hit = decontam.contamination(index, table(spark, sf_dir, "benchmark"), size=10).filter(F.size("spans") > 0)
     return rows.join(hit.select(F.col("doc_id").alias("__rid")), "__rid", "left_anti").select("__row.*")
