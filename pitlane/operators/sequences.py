@@ -61,13 +61,21 @@ def prefix_augment(seqs: DataFrame, min_len: int = 2) -> DataFrame:
 
 
 def pad_batches(seqs: DataFrame, batch_size: int = K.SEQ_BATCH_SIZE, order: list[str] | None = None,
-                n_features: int | None = None) -> DataFrame:
+                n_features: int | None = None, by: str | None = None) -> DataFrame:
     """Batches of ``batch_size`` sequences in key order; each sequence padded
-    with 0.0 to the longest in its batch, with a boolean step mask."""
+    with 0.0 to the longest in its batch, with a boolean step mask. ``by`` (a split) numbers its groups' batches
+    apart, in the same pass."""
     order = order or SEQ_KEYS
-    idx = global_row_index(seqs, order, "__i")
+    if by is None:
+        idx = global_row_index(seqs, order, "__i")
+    else:  # one order over all groups, less the rows of the groups before
+        sizes = seqs.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.orderBy(F.col(by).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(F.col(by).alias("__by"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+        idx = global_row_index(seqs, [by, *order], "__i").join(starts, F.col(by).eqNullSafe(F.col("__by")), "left")
+        idx = idx.withColumn("__i", F.col("__i") - F.col("__first")).drop("__by", "__first")
     b = idx.withColumn("batch", (F.col("__i") / batch_size).cast("bigint")).drop("__i")
-    b = b.withColumn("maxlen", F.max("L").over(Window.partitionBy("batch")))
+    b = b.withColumn("maxlen", F.max("L").over(Window.partitionBy(*([by] if by else []), "batch")))
     pad = F.col("maxlen") - F.col("L")
     zero_row = F.array_repeat(F.lit(0.0), F.size(F.element_at("X", 1))) if n_features is None \
         else F.array_repeat(F.lit(0.0), n_features)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from pitlane import constants as K
 from pitlane.functions.scalar import driver_number_str
 from pitlane.operators.temporal_joins import assign_intervals, next_start
+from pitlane.sources.scan import FILE_ORDER
 
 LAP_KEYS = ["Year", "RoundNumber", "EventName", "Driver", "DriverNumber", "LapNumber", "Stint", "Compound"]
 BUCKET_US = 60_000_000  # one-minute time buckets for the interval join
@@ -112,8 +113,8 @@ def api_telemetry_per_lap(
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """One row per key, the first by an explicit order (``dropDuplicates``
-    would keep an arbitrary one)."""
+    """One row per key, the first by an explicit order (``dropDuplicates`` would keep an arbitrary one).
+    "The first row of the first file" is the order ``scan.FILE_ORDER`` of a ``scan.with_file_order`` scan."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
@@ -128,7 +129,7 @@ def normalise_keys(df: DataFrame) -> DataFrame:
 
 
 def join_telemetry(laps: DataFrame, telemetry: DataFrame | None,
-                   order: list[Column | str] | None = None, unique_keys: bool = False) -> DataFrame:
+                   order: list[Column | str] | None = None, unique_keys: bool = False, normalised: bool = False) -> DataFrame:
     """Laps left-join per-lap telemetry on the lap keys.
 
     No telemetry source (``None`` or a frame without columns) returns the
@@ -136,19 +137,21 @@ def join_telemetry(laps: DataFrame, telemetry: DataFrame | None,
     the keys + telemetry columns and deduplicated first (D1). Null keys never
     match. Join strategy is left to Catalyst/AQE (broadcast when the
     measured side is small, sort-merge otherwise). ``unique_keys`` skips the
-    dedup window when the right side is known to be one row per lap.
+    dedup window when the right side is known to be one row per lap. ``normalised`` says that both
+    sides hold the keys in their final types already (as tables bucketed by them must, to join without an exchange).
     """
     if telemetry is None or not telemetry.columns:
         return laps
-    laps_n = normalise_keys(laps)
-    tel_n = normalise_keys(telemetry)
+    laps_n, tel_n = (laps, telemetry) if normalised else (normalise_keys(laps), normalise_keys(telemetry))
     tel_cols = K.LAP_JOIN_KEYS + [c for c in K.TELEMETRY_COLS if c in tel_n.columns and c not in laps_n.columns]
-    # default order: the value columns, so the kept duplicate is deterministic
-    value_cols = [c for c in tel_cols if c not in K.LAP_JOIN_KEYS]
-    tel = tel_n.select(*tel_cols)
+    placed = [c for c in FILE_ORDER if c in tel_n.columns]
+    # default order: the place in the files if the scan has it, else the value columns (deterministic as well)
+    value_cols = placed or [c for c in tel_cols if c not in K.LAP_JOIN_KEYS]
+    tel = tel_n.select(*tel_cols, *placed)
     if not unique_keys:  # the per-lap aggregate of this library is already unique per key
         tel = dedup_first(tel, K.LAP_JOIN_KEYS,
                           order or [F.col(c).asc_nulls_last() for c in value_cols] or [F.lit(1)])
+    tel = tel.drop(*placed)
     return laps_n.join(tel, K.LAP_JOIN_KEYS, "left")
 
 

@@ -1,11 +1,7 @@
 """Models, search and scoring.
 
-Training runs as Spark ML fits on the cached, assembled train split. The
-boosting loop (M2) is the only iterative part: every round fits one
-regression tree on the Huber pseudo-residuals of all rows, so its data
-stays distributed; the per-round predictions are a column, and the
-lineage is cut every few rounds with a reliable ``checkpoint()`` into the
-cluster's checkpoint folder.
+Training runs as Spark ML fits on the assembled train split. The boosting
+loop and its search (M2, M3) are in ``boosting``.
 """
 
 from __future__ import annotations
@@ -13,9 +9,8 @@ from __future__ import annotations
 import json
 import math
 import random
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,11 +18,9 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
     GBTRegressor,
     LinearRegression,
     LinearRegressionModel,
-    RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +30,9 @@ from pitlane import constants as K
 from pitlane.functions.scalar import compound_code_fixed, existing, round4
 from pitlane.operators import encode as enc
 from pitlane.operators import metrics as M
-from pitlane.session import checkpoint_dir
+from pitlane.plans import boosting as B
+from pitlane.plans.boosting import SEARCH_SPACE, BoostParams, Tree, draw_params, flat_tree, to_boost  # noqa: F401
+from pitlane.session import land
 
 T = K.TARGET
 VEC = "features"
@@ -94,8 +89,8 @@ def huber_baseline(train: DataFrame, features: list[str] | None = None) -> tuple
     return lr.fit(assemble(train, feats)), feats
 
 
-def linear_attribution(model: LinearRegressionModel, df: DataFrame, feats: list[str]) -> DataFrame:
-    """A24 (linear): exact attribution coef * (x - mean x); mean |attribution| per feature."""
+def linear_attribution(model, df: DataFrame, feats: list[str]) -> DataFrame:
+    """A24 (linear): exact attribution coef * (x - mean x); mean |attribution| per feature. ``model`` has ``coefficients``."""
     means = df.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in feats]).collect()[0]
     coefs = list(model.coefficients)
     parts = [
@@ -108,66 +103,6 @@ def linear_attribution(model: LinearRegressionModel, df: DataFrame, feats: list[
 
 # --- M2 / M4 boosted trees with Huber loss --------------------------------------
 
-@dataclass
-class BoostParams:
-    n_rounds: int = 100
-    learning_rate: float = 0.1
-    max_depth: int = 5
-    min_instances: int = 20
-    feature_fraction: float = 1.0
-    bagging_fraction: float = 1.0
-    bagging_freq: int = 1  # rounds that share one row sample
-    alpha: float = K.HUBER_ALPHA
-    early_stopping: int = 50
-    seed: int = 42
-    checkpoint_every: int = 10
-
-
-@dataclass
-class Tree:
-    """A regression tree as arrays: a node's feature (-1: leaf), threshold (at most: left), children and value."""
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    importance: np.ndarray
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        while True:
-            f = self.feature[node]
-            inner = np.flatnonzero(f >= 0)
-            if not len(inner):
-                return self.value[node]
-            n = node[inner]
-            node[inner] = np.where(x[inner, f[inner]] <= self.threshold[n], self.left[n], self.right[n])
-
-
-def flat_tree(tree: DecisionTreeRegressionModel) -> Tree:
-    """The arrays of a fitted tree, read from its printed form (one call, full precision)."""
-    feature, threshold, left, right, value, stack = [], [], [], [], [], []
-    for line in tree.toDebugString.split("\n")[1:]:
-        line = line.strip()
-        if not line:
-            continue
-        if line.startswith("Else"):
-            right[stack.pop()] = len(feature)
-            continue
-        inner = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-        leaf = re.match(r"Predict: (\S+)", line)
-        if not (inner or leaf):
-            raise ValueError(f"a split that is no threshold: {line}")
-        if inner:
-            stack.append(len(feature))
-        feature.append(int(inner[1]) if inner else -1)
-        threshold.append(float(inner[2]) if inner else 0.0)
-        left.append(len(feature) if inner else -1)
-        right.append(-1)
-        value.append(float(leaf[1]) if leaf else 0.0)
-    return Tree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value), tree.featureImportances.toArray())
-
-
 @dataclass
 class BoostedModel:
     """init + learning_rate * sum of the trees. The trees are data: any number of any depth is sent to the
@@ -196,14 +131,14 @@ class BoostedModel:
         return df.withColumn(out, run(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features)))
 
 
-def _round_metrics(df: DataFrame, label: str, rnd: int) -> dict:
-    e = F.col("__F") - F.col(T)
-    r = df.agg(
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.avg(F.when(F.abs(e) < K.TIGHT_TOL, 1.0).otherwise(0.0)).alias("within_tight"),
-        F.avg(F.when(F.abs(e) < K.LOOSE_TOL, 1.0).otherwise(0.0)).alias("within_loose"),
-        F.avg(F.when(e > 0, 1.0).otherwise(0.0)).alias("over"),
-        F.avg(F.when(e < 0, 1.0).otherwise(0.0)).alias("under"),
+def _round_metrics(df: DataFrame, score: Column, label: str, rnd: int) -> dict:
+    e = score - F.col(B.Y)
+    r = df.select(e.alias("e")).agg(
+        F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
+        F.avg(F.when(F.abs("e") < K.TIGHT_TOL, 1.0).otherwise(0.0)).alias("within_tight"),
+        F.avg(F.when(F.abs("e") < K.LOOSE_TOL, 1.0).otherwise(0.0)).alias("within_loose"),
+        F.avg(F.when(F.col("e") > 0, 1.0).otherwise(0.0)).alias("over"),
+        F.avg(F.when(F.col("e") < 0, 1.0).otherwise(0.0)).alias("under"),
     ).collect()[0].asDict()
     r.update({"round": rnd, "split": label})
     return r
@@ -213,65 +148,24 @@ def boosted_huber(
     train: DataFrame, valid: DataFrame | None, features: list[str], params: BoostParams | None = None,
     log_every: int = 0, monitor: DataFrame | None = None,
 ) -> BoostedModel:
-    """M2 (+M4): gradient boosting of regression trees on the Huber loss.
+    """M2 (+M4): gradient boosting of regression trees on the Huber loss (see ``boosting``).
 
-    Each round fits a one-tree random forest (row subsample without
-    replacement, per-node feature subsample) to the pseudo-residuals
-    clip(y - F, -alpha, alpha) and adds ``learning_rate`` times its output.
     Early stopping watches the validation MAE. With ``log_every`` the
     tolerance/bias metrics (A16) of the train and ``monitor`` rows are
     recorded every ``log_every`` rounds.
     """
     p = params or BoostParams()
-    checkpoint_dir(train.sparkSession)
-    def prep(d: DataFrame) -> DataFrame:
-        return assemble(d, features).select(VEC, F.col(T).cast("double").alias(T))
-
-    tr = prep(train)
-    init = float(tr.agg(F.percentile_approx(T, 0.5, 10_000)).collect()[0][0] or 0.0)
-    tr = tr.withColumn("__F", F.lit(init)).checkpoint(eager=True)
-    va = prep(valid).withColumn("__F", F.lit(init)).checkpoint(eager=True) if valid is not None else None
-    mo = prep(monitor).withColumn("__F", F.lit(init)).checkpoint(eager=True) if monitor is not None else None
-    trees: list[Tree] = []
+    model = B.Boosting(B.matrix(train, features), B.matrix(valid, features) if valid is not None else None, features, p)
+    if monitor is not None:
+        model.sides["monitor"] = B.matrix(monitor, features).withColumn(B.START, F.lit(model.init))
     staged: list[dict] = []
-    best, best_round, since = math.inf, 0, 0
-    for r in range(p.n_rounds):
-        resid = F.greatest(F.lit(-p.alpha), F.least(F.lit(p.alpha), F.col(T) - F.col("__F")))
-        rf = RandomForestRegressor(
-            featuresCol=VEC, labelCol="__r", predictionCol="__p", numTrees=1, maxDepth=p.max_depth,
-            minInstancesPerNode=p.min_instances, subsamplingRate=p.bagging_fraction, bootstrap=False,
-            featureSubsetStrategy=str(p.feature_fraction) if p.feature_fraction < 1.0 else "all",
-            seed=p.seed + r // max(1, p.bagging_freq),
-        )
-        fitted = rf.fit(tr.withColumn("__r", resid))
-        trees.append(flat_tree(fitted.trees[0]))
-
-        def step(d: DataFrame) -> DataFrame:
-            return fitted.transform(d).withColumn("__F", F.col("__F") + F.lit(p.learning_rate) * F.col("__p")).drop("__p")
-
-        tr = step(tr)
-        if va is not None:
-            va = step(va)
-        if mo is not None:
-            mo = step(mo)
-        if (r + 1) % p.checkpoint_every == 0:
-            tr = tr.checkpoint(eager=True)
-            va = va.checkpoint(eager=True) if va is not None else None
-            mo = mo.checkpoint(eager=True) if mo is not None else None
-        if log_every and (r + 1) % log_every == 0:
-            staged.append(_round_metrics(tr, "train", r + 1))
-            if mo is not None:
-                staged.append(_round_metrics(mo, "monitor", r + 1))
-        if va is not None and p.early_stopping:
-            mae = va.agg(F.avg(F.abs(F.col("__F") - F.col(T)))).collect()[0][0]
-            if mae < best - 1e-12:
-                best, best_round, since = mae, r + 1, 0
-            else:
-                since += 1
-                if since >= p.early_stopping:
-                    break
-    keep = best_round if (va is not None and p.early_stopping and best_round) else len(trees)
-    return BoostedModel(init, p.learning_rate, trees[:keep], features, staged)
+
+    def log(m: B.Boosting) -> None:
+        if log_every and len(m.trees) % log_every == 0:
+            staged.extend(_round_metrics(d, m.score(), k, len(m.trees)) for k, d in m.sides.items() if k != "valid")
+
+    model.run(p.n_rounds, log)
+    return BoostedModel(model.init, p.learning_rate, model.kept(), features, staged)
 
 
 def boosted_fast(train: DataFrame, valid: DataFrame, features: list[str], max_iter: int = 100) -> PipelineModel:
@@ -284,69 +178,25 @@ def boosted_fast(train: DataFrame, valid: DataFrame, features: list[str], max_it
 
 # --- M3 hyper-parameter search ---------------------------------------------
 
-SEARCH_SPACE = {
-    "max_depth": ("int", 4, 12),
-    "learning_rate": ("log", 1e-3, 0.3),
-    "min_child_samples": ("int", 5, 100),
-    "feature_fraction": ("float", 0.5, 1.0),
-    "bagging_fraction": ("float", 0.5, 1.0),
-    "bagging_freq": ("int", 1, 7),
-}
-
-
-def draw_params(n_trials: int, seed: int = 42) -> list[dict]:
-    """Seeded random draws (log-uniform where marked) of the search ranges."""
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n_trials):
-        d = {}
-        for k, (kind, lo, hi) in SEARCH_SPACE.items():
-            if kind == "int":
-                d[k] = rng.randint(lo, hi)
-            elif kind == "log":
-                d[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-            else:
-                d[k] = rng.uniform(lo, hi)
-        out.append(d)
-    return out
-
-
-def to_boost(d: dict, n_rounds: int, early_stopping: int) -> BoostParams:
-    """A draw as boosting parameters; each of the six has an effect. (Leaf-wise growth and its L1/L2 terms
-    have no counterpart in a depth-wise tree and are not searched.)"""
-    return BoostParams(
-        n_rounds=n_rounds, learning_rate=d["learning_rate"], max_depth=d["max_depth"],
-        min_instances=d["min_child_samples"], feature_fraction=d["feature_fraction"],
-        bagging_fraction=d["bagging_fraction"], bagging_freq=d["bagging_freq"], early_stopping=early_stopping,
-    )
-
-
 def param_search(train: DataFrame, valid: DataFrame, features: list[str], n_trials: int = 50,
                  n_rounds: int = 100, early_stopping: int = 50, seed: int = 42) -> DataFrame:
-    """M3: minimise the validation MAE over seeded draws on the fixed val split;
+    """M3: minimise the validation MAE over seeded draws on the fixed val split (concurrent trials, successive halving);
     the trials come back as a DataFrame (best = min val_mae)."""
-    spark = train.sparkSession
-    rows = []
-    for i, d in enumerate(draw_params(n_trials, seed)):
-        m = boosted_huber(train, valid, features, to_boost(d, n_rounds, early_stopping))
-        mae = M.regression_metrics(m.predict(assemble(valid, features)), by=None).collect()[0]["mae"]
-        rows.append({"trial": i, **{k: float(v) for k, v in d.items()}, "n_trees": len(m.trees), "val_mae": mae})
-    schema = "trial int, " + ", ".join(f"{k} double" for k in SEARCH_SPACE) + ", n_trees int, val_mae double"
-    return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    return B.halving_search(B.matrix(train, features), B.matrix(valid, features), features, n_trials, n_rounds, early_stopping, seed)
 
 
 def train_pipeline(
     df: DataFrame, features: list[str], metrics_path: str, model_path: str, n_trials: int = 50, n_rounds: int = 100,
-    early_stopping: int = 50, seed: int = 42,
+    early_stopping: int = 50, seed: int = 42, trials: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole training run on a split table: search on train/val, the best draw fitted again on train + val with its best
+    """The whole training run on a split table: search on train/val (or the ``trials`` of one), the best draw fitted again on train + val with its best
     number of rounds, the model and the Huber baseline held against the same untouched test rows (A15, A17), the model saved (S15) and
     the metrics replaced (S13). Returns (model, split, n, mae, rmse, r2, gain_pct)."""
     train, valid, test = (df.where(F.col("split") == s) for s in ("train", "val", "test"))
-    trials = param_search(train, valid, features, n_trials, n_rounds, early_stopping, seed).collect()
-    best = min(trials, key=lambda r: (r["val_mae"] is None, r["val_mae"], r["trial"]))
-    draw = draw_params(n_trials, seed)[best["trial"]]
-    final = replace(to_boost(draw, max(1, best["n_trees"]), 0), early_stopping=0)
+    trials = trials if trials is not None else param_search(train, valid, features, n_trials, n_rounds, early_stopping, seed)
+    best = trials.orderBy(F.asc_nulls_last("val_mae"), "trial").first()
+    draw = {k: int(best[k]) if kind == "int" else best[k] for k, (kind, _, _) in SEARCH_SPACE.items()}
+    final = to_boost(draw, max(1, best["n_trees"]), 0)
     both = enc.train_val(df)
     model = boosted_huber(both, None, features, final)
     save_boosted(model, model_path)
@@ -376,34 +226,60 @@ def tree_importance(model: BoostedModel, top: int | None = 3) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def _numbered(df: DataFrame, order: Column, key: list[str], parts: int = 256) -> DataFrame:
-    """Row numbers ``__i`` in the order of a hash: rows are ranked inside equal ranges of the hash, and the ranges' sizes add up."""
-    part = F.pmod(F.shiftrightunsigned(order, 40), F.lit(parts))
-    d = df.withColumns({"__p": part, "__h": order})
+ROWS_A_RANGE = 200_000
+
+
+def numbered(df: DataFrame, order: Column, key: list[str]) -> tuple[DataFrame, int]:
+    """Rows with their number ``__i`` (from 0) in the order of a hash, and how many there are.
+
+    The hash's values are cut into equal ranges of about ``ROWS_A_RANGE`` rows; rows are ranked inside a range, and the ranges' sizes add up.
+    """
+    n = df.count()
+    parts = max(1, -(-n // ROWS_A_RANGE))
+    d = df.withColumns({"__p": F.pmod(F.shiftrightunsigned(order, 24), F.lit(parts)), "__h": order})
     sizes = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy("__h", *key))
-    return d.withColumn("__k", inside).join(base, "__p").withColumn("__i", F.col("__b") + F.col("__k")).drop("__p", "__h", "__k", "__b")
+    out = d.withColumn("__k", inside).join(base, "__p").withColumn("__i", F.col("__b") + F.col("__k") - 1)
+    return out.drop("__p", "__h", "__k", "__b"), n
+
+
+def permutations(n: int, count: int, seed: int) -> list[tuple[int, int]]:
+    """``count`` permutations i -> (a * i + b) mod n of 0..n-1 as (a, b); a is below 2^20 and has no factor in common with n."""
+    rng, out = random.Random(seed), []
+    while len(out) < count:
+        a = rng.randrange(1, max(2, min(n, 1 << 20)))
+        if math.gcd(a, n) == 1:
+            out.append((a, rng.randrange(max(n, 1))))
+    return out
 
 
 def permutation_importance(predict, df: DataFrame, features: list[str], sample: int | None = None,
                            seed: int = K.IMPORTANCE_SEED, key: list[str] | None = None) -> DataFrame:
-    """A24 (model-agnostic): MAE increase when one feature column is permuted,
-    on all rows, or on a seeded ``sample`` of them (L4). The permutation pairs row
-    numbers of two seeded orders, each counted in hash ranges."""
+    """A24 (model-agnostic): MAE increase when one feature column is permuted, on all rows or on a seeded ``sample`` of them (L4).
+
+    Rows are numbered in a seeded random order once. A feature's permutation is arithmetic on these numbers, so every row sends each of its
+    values straight to the row that gets it: one join serves all features, and one ``groupBy`` gives all errors.
+    """
     key = key or ["Year", "RoundNumber", "Driver", "LapNumber"]
-    s = (df if sample is None else df.orderBy(M.hash_key(key, seed), *key).limit(sample)).checkpoint(eager=True)
-    base = M.regression_metrics(predict(s), by=None).collect()[0]["mae"]
-    rows = []
-    a = _numbered(s, M.hash_key(key, seed), key)
-    other = _numbered(s, M.hash_key(key, seed + 1), key)
-    for c in features:
-        b = other.select(F.col(c).alias("__v"), "__i")
-        perm = a.join(b, "__i").withColumn(c, F.col("__v")).drop("__v", "__i")
-        mae = M.regression_metrics(predict(perm), by=None).collect()[0]["mae"]
-        rows.append((c, float(mae - base)))
-    return df.sparkSession.createDataFrame(rows, "feature string, mae_increase double").orderBy(F.desc("mae_increase"))
+    s = (df if sample is None else df.orderBy(M.hash_key(key, seed), *key).limit(sample)).select(*dict.fromkeys([*key, *features, T]))
+    rows, n = numbered(land(s, "permuted"), M.hash_key(key, seed + 1), key)
+    rows = land(rows, "numbered")
+    maps = permutations(n, len(features), seed)
+    # Feature by feature: the value and the row it goes to. Number -1 is the untouched column.
+    moves = F.array(*(
+        F.struct(F.lit(j).alias("f"), F.pmod(F.lit(a) * F.col("__i") + F.lit(b), F.lit(max(n, 1))).alias("to"), F.col(c).cast("double").alias("v"))
+        for j, (c, (a, b)) in enumerate(zip(features, maps, strict=True))))
+    sent = rows.select(F.explode(moves).alias("m")).select("m.f", F.col("m.to").alias("__i"), "m.v")
+    own = rows.select("__i", F.lit(-1).alias("f"), F.lit(None).cast("double").alias("v"))
+    mixed = rows.join(own.unionByName(sent), "__i")
+    mixed = mixed.withColumns({c: F.when(F.col("f") == j, F.col("v")).otherwise(F.col(c).cast("double")) for j, c in enumerate(features)})
+    errors = M.regression_metrics(predict(mixed), by=["f"]).select("f", "mae")
+    base = F.max(F.when(F.col("f") == -1, F.col("mae"))).over(Window.partitionBy(F.lit(1)))  # one row a feature
+    names = F.array(*map(F.lit, features))
+    out = errors.withColumn("__base", base).where(F.col("f") >= 0)
+    return out.select(names[F.col("f")].alias("feature"), (F.col("mae") - F.col("__base")).alias("mae_increase")).orderBy(F.desc("mae_increase"), "feature")
 
 
 # --- C1 / C2 scoring ------------------------------------------------------------
@@ -497,6 +373,11 @@ class LinearCurveModel:
     b_lap: float
     b_rate: float
     b_acc: float
+    features = ["stint_lap_number", "deg_rate_last_3", "deg_acceleration"]
+
+    @property
+    def coefficients(self) -> list[float]:
+        return [self.b_lap, self.b_rate, self.b_acc]
 
 
 def fit_linear_curve(train: DataFrame) -> LinearCurveModel:
@@ -527,6 +408,39 @@ def curve_linear(model: LinearCurveModel, scenarios: DataFrame, key: str = "scen
         key, "lap", round4("p").alias("predicted_delta"))
 
 
+# --- B5 / C3: an answer for each lap of a request -------------------------------------
+
+def lap_answers(df: DataFrame, predict, width: int, matrix: str = "X", rate_at: int | None = None, acc_at: int | None = None) -> DataFrame:
+    """C3 on B5's matrices: ``answers``, one for each lap of the request, in request order.
+
+    ``predict`` (rows x ``width`` numpy matrix -> values) sees one lap of all requests of an Arrow batch at a time. The columns ``rate_at`` and
+    ``acc_at`` are W7's rate and acceleration of the request's own earlier answers, whatever the request says. A request
+    without a matrix (an empty one) has no answers. Nulls in a lap make its answer null; later laps go on from the answers that are there as 0.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for requests in batches:
+            laps = np.array([len(x) if x is not None else 0 for x in requests], int)
+            wide = np.zeros((len(laps), laps.max(initial=0), width))
+            for i, x in enumerate(requests):
+                if laps[i]:
+                    wide[i, : laps[i]] = np.array([[np.nan if v is None else v for v in row] for row in x], float)
+            hist = np.zeros((len(laps), laps.max(initial=0)))
+            for t in range(hist.shape[1]):
+                x, past = wide[:, t, :], np.nan_to_num(hist[:, :t])
+                rate = past[:, -3:].mean(axis=1) if t else np.zeros(len(laps))
+                acc = rate - past[:, -4:-1].mean(axis=1) if t >= 2 else rate
+                for at, v in ((rate_at, rate), (acc_at, acc)):
+                    if at is not None:
+                        x[:, at] = v
+                hist[:, t] = predict(x)
+            out = [hist[i, : n].tolist() if n else None for i, n in enumerate(laps)]
+            yield pd.Series([[None if np.isnan(v) else v for v in x] if x else None for x in out])
+
+    return df.withColumn("answers", run(F.col(matrix)))
+
+
 # --- C3 causal sequence features and the grouped-map hook ------------------------
 
 def causal_features(df: DataFrame, target: str = T) -> DataFrame:

@@ -12,12 +12,12 @@ from pitlane.operators import features as feat
 from pitlane.operators import quality as qual
 from pitlane.operators import telemetry as tel
 from pitlane.operators.temporal_joins import asof_nearest
+from pitlane.plans import store
 from pitlane.plans.feature_table import attach_weather, feature_table_from_testdata
-from pitlane.plans.registry import register
+from pitlane.plans.registry import ORACLE, register
 from pitlane.session import checkpoint_dir
 from pitlane.sources import fixtures as fx
 from pitlane.sources import scan
-from pitlane.sources import scan
 
 LAP_OUT = [
     "event_id", "Year", "RoundNumber", "EventName", "Driver", "DriverNumber", "Team", "LapNumber", "Stint",
@@ -323,6 +323,21 @@ def q_join_telemetry(spark, sf):
     return j.select("event_id", "Year", "RoundNumber", "DriverNumber", "LapNumber", *K.TELEMETRY_COLS)
 
 
+def bucketed_join(spark, sf, buckets: int = 8):
+    """J1 on laps and per-lap telemetry landed bucketed by the lap keys: no exchange on either side."""
+    lp = fx.laps(spark, sf)
+    t = tel.telemetry_per_lap(tel.assign_samples_to_laps(fx.samples(spark, sf, lp), lp))
+    cleaned = qual.clean_laps(attach_weather(lp, fx.weather(spark, sf)))
+    laps, telemetry = (store.bucketed(tel.normalise_keys(d), name, K.LAP_JOIN_KEYS, buckets) for d, name in ((cleaned, "laps"), (t, "telemetry")))
+    return tel.join_telemetry(laps, telemetry, normalised=True)
+
+
+@register("join_telemetry_bucketed", oracle=ORACLE["join_telemetry"])
+def q_join_telemetry_bucketed(spark, sf):
+    """J1 (+D1, P5) over the bucketed layout."""
+    return bucketed_join(spark, sf).select("event_id", "Year", "RoundNumber", "DriverNumber", "LapNumber", *K.TELEMETRY_COLS)
+
+
 @register(
     "dedup_first",
     oracle="""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pitlane import constants as K
 from pitlane.operators import encode as enc
-from pitlane.plans.store import feature_store
+from pitlane.operators.quantiles import quantiles_from_sketches, race_sketches
+from pitlane.plans.store import feature_store, stored_once
 from pitlane.plans.registry import register
 
 KEY = ["Year", "RoundNumber", "Driver", "LapNumber"]
@@ -198,3 +199,22 @@ def q_race_scan(spark, sf):
     from pitlane.sources import scan
     return scan.race_scan(feature_store(spark, sf), 2024, 3).select(
         "Year", "RoundNumber", "Driver", "LapNumber", "stint_lap_number", "lap_time_delta_fuel_corrected")
+
+
+SKETCHED = ["LapTime", K.TARGET, "TrackTemp", "avg_speed_kph", "deg_rate_last_3", "TyreLife"]
+
+
+@register(
+    "sketch_quantiles",
+    oracle=" union all ".join(
+        f"""select split, '{c}' as name, count({c}) as n, quantile_cont({c}::double, 0.25) as q25, quantile_cont({c}::double, 0.5) as q50,
+  quantile_cont({c}::double, 0.75) as q75 from featsplit where split is not null group by split having count({c}) > 0""" for c in SKETCHED),
+    doubles=("q25", "q50", "q75"),
+)
+def q_sketch_quantiles(spark, sf):
+    """Exact quartiles per split, bracketed by quantile sketches that were landed race by race with the feature table."""
+    path = stored_once(spark, sf, "sketches", lambda p: race_sketches(feature_store(spark, sf), SKETCHED).write.mode("overwrite").parquet(f"{p}/races"))
+    sketches = spark.read.parquet(f"{path}/races").withColumn("split", enc.split_by_date()).where(F.col("split").isNotNull())
+    df = split_features(spark, sf).where(F.col("split").isNotNull())
+    q = quantiles_from_sketches(df, sketches, SKETCHED, [0.25, 0.5, 0.75], "split")
+    return q.select(F.col("group").alias("split"), "name", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))))

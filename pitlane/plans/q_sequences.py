@@ -10,6 +10,7 @@ from pitlane.operators import sequences as S
 from pitlane.plans.store import feature_store
 from pitlane.plans.oracle_views import view
 from pitlane.plans.registry import register
+from pitlane.session import land
 
 T = K.TARGET
 FE = K.SEQUENCE_FEATURES
@@ -66,15 +67,6 @@ def sequences(spark, sf):
     return S.stint_sequences(df, FE, T, order_col="seq_order", keys=SPLIT_KEYS)
 
 
-def per_split(df, f):
-    """``f`` on each split's rows, stacked."""
-    out = None
-    for s in enc.SPLITS:
-        part = f(df.where(F.col("split") == s))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @register("stint_sequences", oracle="select * from seq_all")
 def q_stint_sequences(spark, sf):
     """B1: per stint X (L x 16), y (L); null targets and stints < 2 laps dropped."""
@@ -104,14 +96,14 @@ from m""",
 )
 def q_pad_mask(spark, sf):
     """Per split, batches of 32 in key order, padded to the batch maximum, step mask."""
-    return per_split(sequences(spark, sf), S.pad_batches)
+    return S.pad_batches(land(sequences(spark, sf), "sequences"), by="split")
 
 
 def persistence_padded(spark, sf):
     """Padded batches of every split with a persistence prediction (previous step's target, 0 first)."""
-    seq = sequences(spark, sf).withColumn(
+    seq = land(sequences(spark, sf), "sequences").withColumn(
         "pred", F.concat(F.array(F.lit(0.0)), F.slice("y", 1, F.col("L") - 1)))
-    b = per_split(seq, S.pad_batches)
+    b = S.pad_batches(seq, by="split")
     pad = F.col("maxlen") - F.col("L")
     return b.withColumn("pred_pad", F.concat("pred", F.array_repeat(F.lit(0.0), pad)))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,7 @@ from pitlane.sources import scan
 # queries run from several threads may share one session: one writer per table
 _WRITE_LOCK = threading.Lock()
 _LANDING_LOCK = threading.Lock()
+_FIT_LOCK = threading.RLock()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -77,3 +79,26 @@ def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         if not _exists(spark, f"{path}/_SUCCESS"):
             scan.write_by_race(build(), path, dynamic=False)
     return spark.read.parquet(path)
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """The folder of something fitted or searched once per application: ``build(path)`` fills it on first use."""
+    path = store_path(spark, sf_dir, name)
+    with _FIT_LOCK:
+        if not _exists(spark, f"{path}/done/_SUCCESS"):
+            build(path)
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return path
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` landed bucketed and sorted by ``keys`` under the shared folder, one file a bucket.
+
+    Tables with equal keys and buckets join, deduplicate and aggregate by these keys without an exchange. All keys
+    together decide the bucket, so a race with most of all laps spreads over all of them. ``buckets`` is the table's bytes by some 200 MB.
+    """
+    spark = df.sparkSession
+    table = f"pitlane_{name}_{uuid.uuid4().hex[:12]}"
+    out = df.repartition(buckets, *keys).sortWithinPartitions(*keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    out.option("path", f"{checkpoint_dir(spark).rstrip('/')}/pitlane-buckets/{table}").saveAsTable(table)
+    return spark.table(table)

@@ -51,9 +51,11 @@ def parse_pages(df: DataFrame, text_col: str, schema: T.StructType) -> DataFrame
     return df.select(F.from_json(F.col(text_col), schema).alias("__p")).select("__p.*")
 
 
-def read_pages(spark, path: str, schema: T.StructType) -> DataFrame:
-    """Landed page files (one JSON document each)."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_pages(spark, path: str, schema: T.StructType, lines: bool = False, quarantine: str | None = None) -> DataFrame:
+    """Landed page files (one JSON document a file, or one a line); broken pages go to ``quarantine``."""
+    from pitlane.sources.json_files import read_documents
+
+    return read_documents(spark, path, schema, lines, ["MRData"], quarantine).rows
 
 
 def flatten_circuits(pages: DataFrame) -> DataFrame:
@@ -165,8 +167,9 @@ def driver_pages(orders: DataFrame, customer: DataFrame, page_size: int = 100) -
     ).alias("MRData"))).alias("json"))
 
 
-def result_pages(orders: DataFrame, lineitem: DataFrame, page_size: int = 100) -> DataFrame:
-    """orders/lineitem folded into Races[].Results[] season pages."""
+def result_pages(orders: DataFrame, lineitem: DataFrame, page_size: int = 100, split: int | None = None) -> DataFrame:
+    """orders/lineitem folded into Races[].Results[] season pages; with ``split`` a race's results above that
+    number are on another page than the rest."""
     res_item = F.struct(
         F.struct(F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("driverId")).alias("Driver"),
         F.struct(F.concat(F.lit("c"), (F.col("l_partkey") % 10).cast("string")).alias("constructorId")).alias("Constructor"),
@@ -177,7 +180,8 @@ def result_pages(orders: DataFrame, lineitem: DataFrame, page_size: int = 100) -
         .otherwise(F.col("l_quantity").cast("string")).alias("points"),
         F.col("l_returnflag").alias("status"),
     )
-    per_race = lineitem.groupBy("l_orderkey").agg(F.collect_list(res_item).alias("Results"))
+    half = F.when(F.col("l_linenumber") > split, 1).otherwise(0) if split else F.lit(0)
+    per_race = lineitem.groupBy("l_orderkey", half.alias("half")).agg(F.collect_list(res_item).alias("Results"))
     races = orders.join(per_race, orders.o_orderkey == per_race.l_orderkey, "left")
     race_item = F.struct(
         F.when(F.col("o_orderkey") % 13 == 0, F.lit("TBD")).otherwise(F.col("o_orderkey").cast("string")).alias("round"),
@@ -185,7 +189,7 @@ def result_pages(orders: DataFrame, lineitem: DataFrame, page_size: int = 100) -
         F.col("Results"),
     )
     page = races.groupBy(
-        F.year("o_orderdate").alias("season"), (F.col("o_orderkey") / page_size).cast("bigint").alias("page")
+        F.year("o_orderdate").alias("season"), (F.col("o_orderkey") / page_size).cast("bigint").alias("page"), "half"
     ).agg(F.collect_list(race_item).alias("items"))
     return page.select(F.to_json(F.struct(F.struct(
         F.lit(None).cast("string").alias("total"),

@@ -138,12 +138,18 @@ def incremental_targets(wanted: DataFrame, done: DataFrame, keys: list[str] | No
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str, ts_col: str,
-                      order: list[str]) -> DataFrame:
-    """JSON array of records -> table; timestamp parsed (UTC), bad -> null,
-    rows without a time dropped, sorted within partitions by ``order``."""
-    df = spark.read.schema(schema).option("multiLine", "true").json(path)
-    return (
-        df.withColumn(ts_col, F.try_to_timestamp(F.col(ts_col).cast("string")))
-        .where(F.col(ts_col).isNotNull())
-        .sortWithinPartitions(*order)
-    )
+                      order: list[str], quarantine: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON arrays of records, one a file or (``lines``) one a line -> table; timestamp parsed (UTC), bad -> null,
+    rows without a time dropped, sorted within partitions by ``order``. Broken files are left out (see ``json_files``)."""
+    from pitlane.sources.json_files import read_documents, timed_records
+
+    docs = read_documents(spark, path, schema, lines, quarantine=quarantine)
+    return timed_records(docs, ts_col, order).drop("source_file")
+
+
+FILE_ORDER = ["__file", "__row"]
+
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """A Parquet scan with its file and the row's place in it (``FILE_ORDER``), for "first in file order" (D1, J2)."""
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))

@@ -113,10 +113,11 @@ def latest_weather_stream(laps: DataFrame, weather: DataFrame, lookback: str = "
     )
 
 
-def weather_stream(events: DataFrame) -> DataFrame:
-    """Weather readings from the event stream (the FIXTURES weather rule)."""
+def weather_stream(events: DataFrame, id_as: str | None = None) -> DataFrame:
+    """Weather readings from the event stream (the FIXTURES weather rule), with the event's id if it is given a name."""
     e = F.col("event_id")
     return events.where(e % 10 == 3).select(
+        *([e.alias(id_as)] if id_as else []),
         F.col("Year").alias("wYear"), F.col("RoundNumber").alias("wRound"), F.col("ts").alias("w_ts"),
         (F.lit(20.0) + (e % 100).cast("double") / 10).alias("AirTemp"),
         (F.lit(30.0) + (e % 200).cast("double") / 10).alias("TrackTemp"),

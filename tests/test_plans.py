@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from oracle_compare import SF_SMALL
 from pitlane.operators import telemetry as tel
 from pitlane.plans.feature_table import attach_weather, feature_table_from_testdata
@@ -74,3 +76,23 @@ def test_cleaning_filter_reaches_the_scan(spark):
     a = scan.read_laps(spark, path, clean=True)
     b = clean_laps(fx.laps(spark, SF_SMALL)).select(*a.columns)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    from pitlane.plans.q_laps import bucketed_join
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = bucketed_join(spark, SF_SMALL)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        # one race holds all rows of a second table: its laps are in every bucket
+        laps = joined.select("Year", "RoundNumber", "DriverNumber", "LapNumber").withColumns({"Year": F.lit(2024), "RoundNumber": F.lit(1)}).distinct()
+        from pitlane import constants as K
+        from pitlane.plans import store
+
+        one = store.bucketed(laps, "hot", K.LAP_JOIN_KEYS, 4).groupBy(F.spark_partition_id()).count().collect()
+        assert len(one) == 4 and max(r["count"] for r in one) < 2 * min(r["count"] for r in one)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -153,8 +153,10 @@ def test_train_pipeline_end_to_end(spark):
     assert ML.train_pipeline(df, feats, *paths, n_trials=1, n_rounds=2, early_stopping=2).count() == 2
 
 
-def test_registered_fits_run_the_default_rounds(spark, monkeypatch):
-    """Queries that fit one boosted model use the library's number of rounds."""
+def test_registered_fits_run_the_defaults(spark, monkeypatch):
+    """Queries that fit or search use the library's own numbers of rounds and trials."""
+    import inspect
+
     from pitlane.plans import q_models as Q
 
     class Stop(Exception):
@@ -163,8 +165,17 @@ def test_registered_fits_run_the_default_rounds(spark, monkeypatch):
     def seen(train, valid, features, params=None, **_):
         raise Stop(params.n_rounds)
 
+    def searched(*args, **kw):
+        raise Stop(len(args) == 3 and not kw)
+
     monkeypatch.setattr(Q.ML, "boosted_huber", seen)
+    monkeypatch.setattr(Q.ML, "param_search", searched)
+    monkeypatch.setattr(Q, "stored_once", lambda spark, sf, name, build: build("nowhere"))
     monkeypatch.setattr(Q, "frame", lambda *_: (spark.createDataFrame([("train",)], "split string"), []))
     for query in (Q.q_boosted_huber, Q.q_staged_metrics, Q.q_importance, Q.q_score_curve):
         with pytest.raises(Stop, match=f"^{Q.ML.BoostParams().n_rounds}$"):
             query(spark, "")
+    for query in (Q.q_param_search, Q.q_train_pipeline):
+        with pytest.raises(Stop, match="^True$"):
+            query(spark, "")
+    assert inspect.signature(ML.param_search).parameters["n_trials"].default == 50
