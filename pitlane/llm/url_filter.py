@@ -92,6 +92,12 @@ def _sent(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return F.broadcast(df) if len(rules) <= BROADCAST_RULES else df
 
 
+def candidates(targets: DataFrame, index: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Targets with each rule that one of their tokens fetches; rules without a literal token are fetched by all."""
+    tokens = F.array_union(_tokens(F.col("target")), F.array(F.lit("")))
+    return targets.select("host", "path", "target", F.explode(tokens).alias("token")).join(_sent(index, rules), "token")
+
+
 def judge(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
     """``urls`` with host, path, rule, verdict and layer of the winning rule (null: none fits); these replace columns of
     the same names."""
@@ -101,8 +107,7 @@ def judge(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame
     rows = urls.select(*kept, host.alias("host"), path.alias("path"))
     targets = rows.select("host", "path").distinct().withColumn("target", F.concat("host", "path"))
     index = rule_index(spark, rules, targets)
-    fetched = targets.select("host", "path", "target", F.explode(F.array_union(_tokens(F.col("target")), F.array(F.lit("")))).alias("token"))
-    fits = fetched.join(_sent(index, rules), "token").filter(F.expr("rlike(target, regex)"))
+    fits = candidates(targets, index, rules).filter(F.expr("rlike(target, regex)"))
     best = fits.groupBy("host", "path").agg(
         F.min_by(F.struct("rule", "verdict", "layer"), F.struct("layer", -F.col("length"), "rule")).alias("won")
     )

@@ -56,3 +56,25 @@ def test_op7_matches_sql(spark):
     sf = "/root/testdata/sf0.01"
     ok, msg = compare(E.queries()["op7_url_rules"](spark, sf), ORACLE["op7_url_rules"], duck(sf))
     assert ok, msg
+
+
+def test_thousands_of_rules_run_few_expressions(spark):
+    """Rules with wildcards, separators and no token at all: the same verdicts as trying every rule, on a few candidates a URL."""
+    from pyspark.sql import functions as F
+
+    rules = [U.Rule(f"||site{i}.example.com/path{i % 7}/*", "block", i % 2) for i in range(2000)]
+    rules += [U.Rule(f"/ad{i}^", "block", 2) for i in range(1000)] + [U.Rule(f"*banner{i}*", "allow", 2) for i in range(300)]
+    rules += [U.domain_rule(f"zone{i}.net/", "allow") for i in range(200)] + [U.Rule("*.*^^", "block", 9)]
+    urls = [f"https://{'www.' * (j % 2)}site{j * 7}.example.com/path{j % 5}/ad{j % 40}/x{j}?q" for j in range(150)]
+    urls += [f"http://a{j}.zone{j % 30}.net/common/mybanner{j % 9}x/" for j in range(50)] + ["http://x.y/a//"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    regexes = [(r, re.compile(U.to_regex(r.pattern).replace("\\x{", "\\x").replace("}", ""))) for r in rules]
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(df, rules).collect()}
+    for i, u in enumerate(urls):
+        fits = [r for r, x in regexes if x.search("".join(direct(u)))]
+        best = min(fits, key=lambda r: (r.layer, -len(r.name or r.pattern), r.name or r.pattern), default=None)
+        assert got[i] == ((best.name or best.pattern, best.verdict) if best else (None, None)), u
+    host, path = U.host_and_path(F.col("url"))
+    targets = df.select(host.alias("host"), path.alias("path")).distinct().withColumn("target", F.concat("host", "path"))
+    tried = U.candidates(targets, U.rule_index(spark, rules, targets), rules).count()
+    assert tried < 400 * len(urls) < len(rules) * len(urls)  # the 301 rules without a whole literal token, and a few more
