@@ -8,9 +8,9 @@ nested-loop or cartesian join:
   ordered by time, a running ``last(..., ignorenulls)`` looking back and
   the same over the reverse order looking forward (one exchange, two sorts).
 * J3 ``assign_intervals``: lap intervals ``[start, next start)`` tile each
-  driver's time line. Each interval is expanded to the fixed-width time
-  buckets it touches; samples join on (keys, bucket) and keep the interval
-  that contains them. The join key includes the time bucket, so one very
+  driver's time line. Each interval is put into the fixed-width time
+  buckets it touches; a running ``last`` over the (keys, bucket) in time order
+  gives each sample the lap that started last. The keys include the time bucket, so one very
   long session of a single driver still spreads over many tasks, and the
   expansion is bounded by interval length / bucket width.
 """
@@ -249,23 +249,24 @@ def assign_intervals(
 ) -> DataFrame:
     """Attach to every sample the lap whose [start, end) contains it.
 
+    The laps of a ``by`` group do not overlap (``next_start`` gives such ends), so the lap of a sample is the last one that
+    started: a running ``last`` inside each time bucket, with every lap in all buckets that it touches. A bucket costs its rows,
+    however many short laps it holds.
     ``sample_t``, ``lap_start`` and ``lap_end`` are numeric on one scale
     (e.g. epoch microseconds); ``bucket`` is a width on that scale, about one
     lap long. Samples outside every interval are dropped.
     """
-    lp = (
-        laps.where(F.col(lap_start).isNotNull() & (F.col(lap_end) > F.col(lap_start)))
-        .select(*by, F.col(lap_start).alias("__s"), F.col(lap_end).alias("__e"), *lap_cols)
-        .withColumn(
-            "__b",
-            F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor((F.col("__e") - 1) / bucket))),
-        )
-    )
-    sm = samples.where(F.col(sample_t).isNotNull()).withColumn("__b", F.floor(F.col(sample_t) / bucket))
-    # A sort-merge join can spill either side. The sample side is never
-    # broadcast: size estimates through a generator undercount it badly.
-    return (
-        sm.join(lp.hint("merge"), [*by, "__b"], "inner")
-        .where((F.col(sample_t) >= F.col("__s")) & (F.col(sample_t) < F.col("__e")))
-        .drop("__b", "__s", "__e")
-    )
+    present = F.lit(True)
+    for k in by:
+        present = present & F.col(k).isNotNull()
+    sample_cols = [c for c in samples.columns if c not in by]
+    lp = laps.where(present & F.col(lap_start).isNotNull() & (F.col(lap_end) > F.col(lap_start))).select(
+        *by, F.explode(F.sequence(F.floor(F.col(lap_start) / bucket), F.floor((F.col(lap_end) - 1) / bucket))).alias("__b"),
+        F.col(lap_start).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(lap_end).alias("__e"), *lap_cols).alias(_R))
+    sm = samples.where(present & F.col(sample_t).isNotNull()).select(
+        *by, F.floor(F.col(sample_t) / bucket).alias("__b"), F.col(sample_t).alias("__t"), F.lit(1).alias("__side"), F.struct(*sample_cols).alias(_L))
+    started = Window.partitionBy(*by, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = lp.unionByName(sm, allowMissingColumns=True).withColumn(_R, F.last(_R, ignorenulls=True).over(started))
+    types = {f.name: f.dataType for f in samples.schema.fields}
+    return out.where((F.col("__side") == 1) & (F.col("__t") < F.col(f"{_R}.__e"))).select(
+        *(F.col(k).cast(types[k]).alias(k) for k in by), *(F.col(f"{_L}.{c}").alias(c) for c in sample_cols), *(F.col(f"{_R}.{c}").alias(c) for c in lap_cols))

@@ -84,3 +84,16 @@ def test_intervals_match_brute_force(spark, starts, samples, bucket):
     got = sorted(map(tuple, assign_intervals(sdf, lp, ["d"], "t", "s", "__end", ["LapNumber"], bucket)
                      .select("d", "t", "LapNumber").collect()))
     assert got == brute_intervals(laps, samples, 100)
+
+
+def test_assign_intervals_many_short_laps_in_one_bucket(spark):
+    """Each sample meets its own lap only: a bucket of n laps and n samples gives no n * n pairs on the way."""
+    n = 3000
+    laps = spark.createDataFrame([(1, 10 * i, i) for i in range(n)] + [(None, 5, 9), (1, 0, -1)], "d long, s long, LapNumber int")
+    samples = spark.createDataFrame([(1, 10 * i + i % 10, i) for i in range(n)] + [(1, -1, -5), (None, 6, -6), (2, 6, -7), (1, None, -8)], "d long, t long, want int")
+    lp = next_start(laps, ["d"], "s", "LapNumber", 5)
+    got = assign_intervals(samples, lp, ["d"], "t", "s", "__end", ["LapNumber"], 1_000_000)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    rows = got.collect()
+    assert got.columns == ["d", "t", "want", "LapNumber"] and sorted(r.want for r in rows) == [i for i in range(n) if i < n - 1 or i % 10 < 5]
+    assert all(r.want == r.LapNumber for r in rows)
