@@ -117,3 +117,34 @@ def test_halving_runs_every_trial_and_keeps_the_best(spark):
 
 def test_space_has_the_nine_ranges():
     assert len(B.SEARCH_SPACE) == 9 and B.to_boost(B.draw_params(1)[0], 5, 2).alpha == K.HUBER_ALPHA
+
+
+def test_rows_are_drawn_as_by_sparks_hash(spark):
+    rows = [0, 1, 7, 2**33 + 5, 2**40 + 123456]
+    d = spark.createDataFrame([(r,) for r in rows], f"{B.ROW} long")
+    for seed in (1, 42, 47):
+        want = [r[0] for r in d.select(F.pmod(F.xxhash64(F.col(B.ROW), F.lit(seed)), F.lit(1 << 20))).collect()]
+        assert B.row_luck(np.array(rows), seed).tolist() == want
+
+
+def test_borders_are_midpoints_of_about_equal_rows():
+    assert B.cut_points(np.array([1.0, 1.0, 3.0, np.nan]), 32).tolist() == [2.0] and not len(B.cut_points(np.zeros(5), 32))
+    cuts = B.cut_points(np.arange(3200.0), 32)
+    sizes = np.bincount(np.searchsorted(cuts, np.arange(3200.0)))
+    assert len(cuts) == 31 and sizes.min() >= 99 and sizes.max() <= 101
+
+
+def test_a_level_of_all_models_is_one_job(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2))
+    rows = [(i, float(np.sign(a) + 0.2 * b), float(a), float(b)) for i, (a, b) in enumerate(x)]
+    train = spark.createDataFrame(rows, f"{B.ROW} long, {B.Y} double, a double, b double")
+    asked, real = [], B.level_splits
+    monkeypatch.setattr(B, "level_splits", lambda state, some, models: asked.append(len(some)) or real(state, some, models))
+    params = [B.BoostParams(max_depth=d, min_instances=5) for d in (2, 2, 1)]
+    side = B.SideBySide({"train": train, "valid": train}, ["a", "b"], params)
+    side.run(1)
+    assert asked == [3, 2] and [len(m.trees) for m in side.models] == [1, 1, 1]
+    assert all(m.trees[0].feature[0] == 0 and abs(m.trees[0].threshold[0]) < 0.2 for m in side.models)
+    model = ML.BoostedModel(side.init, 0.1, side.models[1].trees, ["a", "b"], [])
+    assert side.models[1].best == pytest.approx(B.mean_error(model.predict(train), F.col("pred")))
