@@ -148,3 +148,25 @@ def test_a_level_of_all_models_is_one_job(spark, monkeypatch):
     assert all(m.trees[0].feature[0] == 0 and abs(m.trees[0].threshold[0]) < 0.2 for m in side.models)
     model = ML.BoostedModel(side.init, 0.1, side.models[1].trees, ["a", "b"], [])
     assert side.models[1].best == pytest.approx(B.mean_error(model.predict(train), F.col("pred")))
+
+
+def test_a_level_adds_up_without_a_shuffle_and_as_with_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a * a + b), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(800, 2)))]
+    train = spark.createDataFrame(rows, f"{B.ROW} long, {B.Y} double, a double, b double").repartition(3)
+
+    def trained(group):
+        side = B.SideBySide({"train": train, "valid": train}, ["a", "b"], [B.BoostParams(max_depth=3, min_instances=5, checkpoint_every=9)])
+        spark.sparkContext.setJobGroup(group, group)
+        side._round([0])
+        errors = side.errors()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        t = side.models[0].trees[0]
+        return jobs, errors, [x.tolist() for x in (t.feature, t.threshold, t.left, t.right, t.value)]
+
+    few, errors, tree = trained("sums on the driver")
+    assert few == 4  # three levels and the errors, a stage each
+    monkeypatch.setattr(B, "SUMS_TO_DRIVER", 0)
+    more, same_errors, same_tree = trained("sums by a shuffle")
+    assert more > few and same_tree == tree and same_errors == errors
