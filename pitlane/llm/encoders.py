@@ -21,6 +21,19 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # classes of both regular expression engines agree and normal forms change nothing.
 PLAIN_BELOW = "\u0250"
 MARKS = (".", ",", ";", ":", "!", "?")
+# A mark after a letter or digit starts a pre-token in both patterns. Cut off there, it needs no entry in the cache for each word before it;
+# texts with a mark after anything else stay as they are.
+LONE_MARK = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,;:!?]")
+CUT = "\x01"  # starts a cut-off part that has no space before it
+
+
+def cut_marks(text: str, before: str) -> str:
+    """The text with ``before`` put before each mark that ends a word."""
+    if not LONE_MARK.search(text):
+        for m in MARKS:
+            if m in text:
+                text = text.replace(m, before + m)
+    return text
 
 
 class _Cache(dict):
@@ -55,7 +68,7 @@ class Encoder:
     string of an added token, in any case. ``cache_words`` bounds the memory, never the result.
     """
 
-    def __init__(self, path: str, cache_words: int = 150_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,27 +105,48 @@ class Encoder:
         if not word.isascii() and max(word) >= PLAIN_BELOW:
             return self._encode(" " + word if space else word)
         if self.kind == "word":
-            word = word.lower()
+            low = word.lower()
+            if low != word and low.isalpha():
+                return self.bare[low]
+            word = low
         if word.isalpha():
             return self._letters(word, space)
         if word[-1:] in MARKS and word[:-1].isalpha():
-            return self._letters(word[:-1], space) + self.bare[word[-1]]
-        first, *rest = self.pieces.findall(" " + word if space else word) or [""]
-        return self._encode(first) + b"".join(map(self.bare.__getitem__, rest))
+            return (self.spaced if space else self.bare)[word[:-1]] + self.bare[word[-1]]
+        whole = " " + word if space else word
+        first, *rest = self.pieces.findall(whole) or [""]
+        if first == whole or not first or CUT in first:
+            head = self._encode(first)
+        else:  # a piece occurs in many words
+            head = self.spaced[first[1:]] if space and len(first) > 1 else self.bare[first]
+        return head + b"".join(map(self.bare.__getitem__, rest))
 
     def _spaced(self, word: str) -> bytes:
+        if word[:1] == CUT:
+            return self.bare[word[1:]]
         return self._word(word, self.space)
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as native unsigned 32-bit integers (little-endian on all supported machines)."""
         if any(m in text for m in self.marks) and self.added.search(text):
             return self._encode(text)
         if self.kind == "byte":
+            if CUT in text:
+                first, *rest = GAP.split(text)
+                return self._word(first) + b"".join(self._word(w, self.space) for w in rest)
             plain = not ("  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text))
+            text = cut_marks(text, " " + CUT) if plain else text
+            if plain and "\n" in text and "\n\n" not in text:  # a lone line feed is a pre-token of its own
+                return self.bare["\n"].join(map(self._line, text.split("\n")))
             first, *rest = text.split(" ") if plain else GAP.split(text)
             return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
-        if self.kind == "word":
-            return b"".join(map(self.bare.__getitem__, text.split(" ")))
+        if self.kind == "word":  # no pre-token has white space
+            text = text.lower() if text.isascii() else text
+            return b"".join(map(self.bare.__getitem__, cut_marks(text.replace("\n", " "), " ").split(" ")))
         return self._encode(text)
 
     def encode_all(self, texts: list[str], end: bytes) -> list[bytes]:

@@ -136,3 +136,24 @@ def test_plan_places_every_piece_once():
         assert mine[0][0] == 0 and mine[-1][1] == count and all(a[1] == b[0] for a, b in zip(mine, mine[1:], strict=False))
     total = sum(k * v for k, v in hist.items())
     assert n <= 1.02 * total / 1024 + 2
+
+
+def test_word_parts_are_tokenized_once(monkeypatch):
+    """Marks, line feeds and case do not make a word another one to the tokenizer."""
+    for path, words in ((WORD, 1), (BYTE, 3)):
+        enc, ref, asked = Encoder(path), plain(path), []
+        real = enc._letters
+        monkeypatch.setattr(enc, "_letters", lambda word, space: asked.append((word, space)) or real(word, space))  # noqa: B023
+        text = "thorin thorin, thorin.\nThorin! thorin; thorin: thorin?\nThorin, thorin"
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ref(text)
+        assert len(asked) == len(set(asked)) == words, asked
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_equals_the_tokenizer_on_mixed_parts(path):
+    rng = np.random.default_rng(5)
+    parts = ["a", "Th", "É", "ñ", "ß", "İ", "ŉ", "漢", "́", "7", ".", ",", "!", "...", "'s", "_", "***", " ", " ", "  ", "\n", "\n\n", "\t", "\x01", "\xa0", "Σ", "end.\nIn ", "word, "]
+    enc, ref = Encoder(path, cache_words=50), plain(path)
+    for n in rng.integers(0, 12, 4000):
+        t = "".join(rng.choice(parts, n))
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == ref(t), repr(t)
