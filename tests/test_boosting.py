@@ -169,4 +169,5 @@ def test_a_level_adds_up_without_a_shuffle_and_as_with_one(spark, monkeypatch):
     assert few == 4  # three levels and the errors, a stage each
     monkeypatch.setattr(B, "SUMS_TO_DRIVER", 0)
     more, same_errors, same_tree = trained("sums by a shuffle")
-    assert more > few and same_tree == tree and same_errors == errors
+    assert more > few and same_tree[0] == tree[0] and same_errors == pytest.approx(errors)
+    assert all(a == pytest.approx(b) for a, b in zip(same_tree, tree, strict=True))  # tasks get their blocks in any order
