@@ -68,7 +68,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 @stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, max_tokens=1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, max_tokens=1024, cache_words=150_000)
 
 
 STAGES = [

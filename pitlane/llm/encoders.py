@@ -24,6 +24,7 @@ MARKS = (".", ",", ";", ":", "!", "?")
 # A mark after a letter or digit starts a pre-token in both patterns. Cut off there, it needs no entry in the cache for each word before it;
 # texts with a mark after anything else stay as they are.
 LONE_MARK = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,;:!?]")
+CACHE_WORDS = 300_000  # some 50 MB a worker
 CUT = "\x01"  # starts a cut-off part that has no space before it
 
 
@@ -68,7 +69,7 @@ class Encoder:
     string of an added token, in any case. ``cache_words`` bounds the memory, never the result.
     """
 
-    def __init__(self, path: str, cache_words: int = 150_000):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -161,11 +162,12 @@ class Encoder:
                 gc.enable()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """The worker's encoder for a tokenizer file (kept between tasks)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, cache_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, cache_words)
+    return _ENCODERS[key]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlane.llm.common import land, rows_by_bytes
-from pitlane.llm.encoders import encoder
+from pitlane.llm.encoders import CACHE_WORDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
@@ -43,11 +43,11 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, size) for s in range(first, n, size))] if n else []
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int = 1024, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents; ``nth`` counts a task's earlier pieces of the same length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        enc, task, seen = encoder(tokenizer_path, cache_words), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows in rows_by_bytes(batch, "text", 2 << 20):
@@ -133,13 +133,14 @@ def pack(
     max_pieces: int | None = None,
     max_attention: int | None = None,
     score: str = "residual_norm",
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     The histogram (at most ``max_tokens`` rows) is collected; the runs sent to the executors
     are bounded by the pieces that the bin classes hold, ``2 * max_tokens`` classes.
     """
-    parts = land(pieces(docs, tokenizer_path, end_id, max_tokens), "pieces")
+    parts = land(pieces(docs, tokenizer_path, end_id, max_tokens, cache_words), "pieces")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_bins(histogram, max_tokens, max_pieces, max_attention, score)
     table = np.array(sorted(runs), np.int64).reshape(-1, 5)
