@@ -97,3 +97,12 @@ def test_assign_intervals_many_short_laps_in_one_bucket(spark):
     rows = got.collect()
     assert got.columns == ["d", "t", "want", "LapNumber"] and sorted(r.want for r in rows) == [i for i in range(n) if i < n - 1 or i % 10 < 5]
     assert all(r.want == r.LapNumber for r in rows)
+
+
+def test_assign_intervals_over_a_long_gap(spark):
+    """A lap that lasts until a start of years later costs one row, not one a time bucket."""
+    far = 10_000_000_000_000
+    lp = next_start(spark.createDataFrame([("a", 0, 1), ("a", far, 2), ("b", 5, 1)], "d string, s long, LapNumber int"), ["d"], "s", "LapNumber", F.lit(50))
+    samples = spark.createDataFrame([("a", 3, 1.0), ("a", far // 2, 2.0), ("a", far - 1, 3.0), ("a", far, 4.0), ("a", far + 50, 5.0), ("b", far, 6.0), ("b", 54, 7.0), ("c", 1, 8.0)], "d string, t long, Speed double")
+    got = assign_intervals(samples, lp, ["d"], "t", "s", "__end", ["LapNumber"], 7)
+    assert sorted((r.d, r.Speed, r.LapNumber) for r in got.collect()) == [("a", 1.0, 1), ("a", 2.0, 1), ("a", 3.0, 1), ("a", 4.0, 2), ("b", 7.0, 1)]
