@@ -11,9 +11,12 @@ earliest open question of a slice and at the end of the slice; a closed slice le
 the checkpoint, so a restarted query goes on where the last one stopped.
 
 ``lap_telemetry`` chains three operators: samples ask for their lap start, each lap start asks for the one before it,
-and a lap's sums are given out when the next start has been passed by the watermark. Laps that never see a
+and a lap's sums are given out when the next start has been passed by the watermark. The third one holds the open laps of
+``LAP_BLOCK`` lap numbers of a car side by side, so a trigger costs a call a block, not a lap. Laps that never see a
 next start are forgotten ``keep_hours`` after their start.
 
+Rows are kept in blocks: a state entry is an Arrow stream of the rows that came together.
+
 Rows later than the watermark are dropped, as in every streaming query. Questions without any earlier answer come
 out with nulls. Rows without a time are ignored. Equal answer times: the highest ``tie`` wins.
 """
@@ -25,6 +28,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +41,7 @@ SLICE_US = 3_600_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _ANSWER = T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("a", T.StringType())])
-_QUESTION = T.StructType([T.StructField("us", T.LongType()), T.StructField("q", T.StringType())])
+_BLOCK = T.StructType([T.StructField("rows", T.BinaryType())])
 ANSWER, OPEN, SETTLED = 0, 1, 2  # what a row between the two operators is
 
 
@@ -51,10 +55,49 @@ def state_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def latest(answers: list[tuple], times: np.ndarray) -> list[str | None]:
-    """Payload of the last of the sorted ``answers`` (us, tie, payload) at or before each time."""
-    at = np.searchsorted(np.array([x[0] for x in answers], np.int64), times, side="right") - 1
-    return [answers[i][2] if i >= 0 else None for i in at.tolist()]
+def _block(columns: dict[str, np.ndarray]) -> tuple[bytes]:
+    """Rows as a state entry."""
+    table = pa.table({c: pa.array(v, from_pandas=True) for c, v in columns.items()})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _rows(state: Any) -> dict[str, np.ndarray] | None:
+    """The rows of all entries of a list state."""
+    if not state.exists():
+        return None
+    table = pa.concat_tables([pa.ipc.open_stream(bytes(x[0])).read_all() for x in state.get()])
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def _taken(columns: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: v[rows] for c, v in columns.items()}
+
+
+def in_order(answers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Answers by time, tie and payload."""
+    us, tie = answers["us"], answers["tie"]
+    order = np.lexsort((tie, us))
+    if (np.diff(us[order]) + np.abs(np.diff(tie[order])) == 0).any():
+        order = np.lexsort((np.unique(answers["a"], return_inverse=True)[1], tie, us))
+    return _taken(answers, order)
+
+
+def latest(answers: dict[str, np.ndarray] | None, times: np.ndarray) -> np.ndarray:
+    """Payload of the last of the sorted ``answers`` (us, tie, a) at or before each time, None without one."""
+    if answers is None:
+        return np.full(len(times), None, object)
+    at = np.searchsorted(answers["us"], times, side="right")
+    return np.concatenate([np.array([None], object), answers["a"]])[at]
+
+
+def _columns(df: pd.DataFrame, names: list[str], rows: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: (df[c].to_numpy(object) if c in ("q", "a") else df[c].to_numpy(np.int64))[rows] for c in names}
+
+
+ANSWERS, QUESTIONS = ["us", "tie", "a"], ["us", "q"]
 
 
 class SliceAsof(StatefulProcessor):
@@ -65,47 +108,54 @@ class SliceAsof(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.answers = handle.getListState("answers", _ANSWER)
-        self.questions = handle.getListState("questions", _QUESTION)
+        self.answers = handle.getListState("answer_blocks", _BLOCK)
+        self.questions = handle.getListState("question_blocks", _BLOCK)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first = (key[-1] + 1) * self.slice_us - 1
         for df in rows:
-            a, q = df[df["kind"] == ANSWER], df[df["kind"] == OPEN]
-            if len(a):
-                self.answers.appendList(list(zip(a["us"].tolist(), a["tie"].tolist(), a["a"].tolist(), strict=True)))
-            if len(q):
-                self.questions.appendList(list(zip(q["us"].tolist(), q["q"].tolist(), strict=True)))
-                first = min(int(q["us"].min()), first if first is not None else 1 << 62)
-        if first is not None:
-            self.handle.registerTimer(_fires_after(first))
-        self.handle.registerTimer(_fires_after((key[-1] + 1) * self.slice_us - 1))
+            is_answer = df["kind"].to_numpy() == ANSWER
+            if is_answer.any():
+                self.answers.appendValue(_block(_columns(df, ANSWERS, is_answer)))
+            if not is_answer.all():
+                asked = _columns(df, QUESTIONS, ~is_answer)
+                self.questions.appendValue(_block(asked))
+                first = min(first, int(asked["us"].min()))
+        self.handle.registerTimer(_fires_after(first))  # the end of the slice, if nothing is asked before
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         limit, end = passed * 1000, (key[-1] + 1) * self.slice_us
-        questions = [tuple(x) for x in self.questions.get()] if self.questions.exists() else []
-        answers = sorted(tuple(x) for x in self.answers.get()) if self.answers.exists() else []
-        due = [x for x in questions if x[0] <= limit]
-        found = latest(answers, np.array([x[0] for x in due], np.int64))
-        out = [(key[-1] if a is not None else -1, SETTLED if a is not None else OPEN, us, 0, q, a) for (us, q), a in zip(due, found, strict=True)]
+        asked, answers = _rows(self.questions), _rows(self.answers)
+        if asked is None and answers is None:  # closed by an earlier timer
+            yield pd.DataFrame()
+            return
+        answers = None if answers is None else in_order(answers)
+        asked = {"us": np.empty(0, np.int64), "q": np.empty(0, object)} if asked is None else asked
+        is_due = asked["us"] <= limit
+        due = _taken(asked, is_due)
+        found = latest(answers, due["us"])
+        left_open = np.array([x is None for x in found], bool)
+        out = {"part": np.where(left_open, -1, key[-1]), "kind": np.where(left_open, OPEN, SETTLED), "us": due["us"], "tie": np.zeros(len(found), np.int64), "q": due["q"], "a": found}
         if end - 1 <= limit:
-            if answers:
-                out.append((-1, ANSWER, answers[-1][0], answers[-1][1], None, answers[-1][2]))
+            if answers is not None:
+                last = {"part": -1, "kind": ANSWER, "us": answers["us"][-1], "tie": answers["tie"][-1], "q": None, "a": answers["a"][-1]}
+                out = {c: np.append(v, last[c]) for c, v in out.items()}
             self.answers.clear()
             self.questions.clear()
-        elif due:
-            rest = [x for x in questions if x[0] > limit]
-            self.questions.clear()
-            if rest:
-                self.questions.put(rest)
-                self.handle.registerTimer(_fires_after(min(x[0] for x in rest)))
-            gone = sum(x[0] <= limit for x in answers) - 1  # all but the last one passed are never asked for again
-            if gone > 0:
-                self.answers.put(answers[gone:])
-        d = pd.DataFrame(out, columns=["part", "kind", "us", "tie", "q", "a"])
-        yield _with_key(d, self.by, key, passed)
+        else:
+            self.handle.registerTimer(_fires_after(end - 1))
+            if len(found):
+                rest = _taken(asked, ~is_due)
+                self.questions.clear()
+                if len(rest["us"]):
+                    self.questions.put([_block(rest)])
+                    self.handle.registerTimer(_fires_after(int(rest["us"].min())))
+                gone = 0 if answers is None else int((answers["us"] <= limit).sum()) - 1  # all but the last one passed are never asked for again
+                if gone > 0:
+                    self.answers.put([_block(_taken(answers, slice(gone, None)))])
+        yield _with_key(out, self.by, key, passed) if len(out["us"]) else pd.DataFrame()
 
     def close(self) -> None:
         pass
@@ -125,12 +175,15 @@ class GroupAsof(StatefulProcessor):
             yield from (df[[*self.by, "us", "q", "a", "et"]] for df in rows)
             return
         df = pd.concat(list(rows), ignore_index=True)
-        new = df[df["kind"] == ANSWER]
-        answers = sorted([*zip(new["us"].tolist(), new["tie"].tolist(), new["a"].tolist(), strict=True), *([tuple(self.last.get())] if self.last.exists() else [])])
-        if answers:
-            self.last.update(answers[-1])
-        still = df[df["kind"] == OPEN]
-        yield still.assign(a=latest(answers, still["us"].to_numpy(np.int64)) if len(still) else None)[[*self.by, "us", "q", "a", "et"]]
+        is_answer = df["kind"].to_numpy() == ANSWER
+        answers = _columns(df, ANSWERS, is_answer)
+        if self.last.exists():
+            answers = {c: np.append(v, x) for (c, v), x in zip(answers.items(), self.last.get(), strict=True)}
+        answers = in_order(answers)
+        if len(answers["us"]):
+            self.last.update((int(answers["us"][-1]), int(answers["tie"][-1]), answers["a"][-1]))
+        still = df[~is_answer]
+        yield still.assign(a=latest(answers, still["us"].to_numpy(np.int64)))[[*self.by, "us", "q", "a", "et"]]
 
     def close(self) -> None:
         pass
@@ -141,12 +194,11 @@ def _fires_after(us: int) -> int:
     return -(-us // 1000)
 
 
-def _with_key(d: pd.DataFrame, by: list[str], key: Any, passed: int) -> pd.DataFrame:
+def _with_key(out: dict[str, np.ndarray], by: list[str], key: Any, passed: int) -> pd.DataFrame:
     """The rows with their group and the time at which they come out, just past the watermark."""
-    for c, v in zip(by, key, strict=False):
-        d[c] = v
-    d["et"] = pd.Timestamp((passed + 1) * 1_000_000)
-    return d[[*by, "part", "kind", "us", "tie", "q", "a", "et"]]
+    n = len(out["us"])
+    groups = {c: [v] * n for c, v in zip(by, key, strict=False)}
+    return pd.DataFrame({**groups, **out, "et": np.full(n, pd.Timestamp((passed + 1) * 1_000_000).to_datetime64())})
 
 
 def asof_stream(questions: DataFrame, answers: DataFrame, by: list[str], time: str, delay: str = "3 minutes", slice_us: int = SLICE_US, tie: str | None = None) -> DataFrame:
@@ -184,52 +236,73 @@ def weather_asof_stream(laps: DataFrame, weather: DataFrame, delay: str = "3 min
 
 CHANNELS = ["Speed", "Throttle", "Brake", "DRS", "RPM", "nGear"]
 LAP_TELEMETRY = ["avg_speed_kph", "max_speed_kph", "avg_throttle_pct", "full_throttle_pct", "avg_brake", "braking_pct", "drs_active_pct", "avg_rpm", "avg_gear"]
-#: Sums that a lap keeps while it is open.
-_SUMS = ["n", *(f"{p}_{c}" for c in ("Speed", "Throttle", "Brake", "RPM", "nGear") for p in ("sum", "cnt")), "max_Speed", "full", "braking", "drs"]
+#: Lap numbers of a car whose open laps share a state entry.
+LAP_BLOCK = 256
+_MEANS = ["Speed", "Throttle", "Brake", "RPM", "nGear"]
+
+
+def _added(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows of equal laps added up."""
+    laps, at = np.unique(rows["lap"], return_inverse=True)
+    out = {c: np.bincount(at, v, len(laps)) for c, v in rows.items() if c not in ("lap", "forget", "max_Speed")}
+    forget, most = np.full(len(laps), np.iinfo(np.int64).max), np.full(len(laps), np.nan)
+    np.minimum.at(forget, at, rows["forget"])
+    np.fmax.at(most, at, rows["max_Speed"])
+    return {"lap": laps, "forget": forget, "max_Speed": most, **out}
 
 
 class LapSums(StatefulProcessor):
-    """Sums of one lap's samples, given out when the lap has ended."""
+    """Sums of the samples of a block of one car's laps; a lap is given out when it has ended."""
 
     def __init__(self, by: list[str], min_samples: int, keep_hours: float, drs_open_min: int):
         self.by, self.min_samples, self.keep_ms, self.drs = by, min_samples, int(keep_hours * 3_600_000), drs_open_min
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", T.StructType([T.StructField(c, T.DoubleType()) for c in _SUMS]))
+        self.open = handle.getListState("open_laps", _BLOCK)
+
+    def _sums(self, df: pd.DataFrame) -> dict[str, np.ndarray]:
+        """One row a lap: its sums, whether it has ended, and when it is forgotten otherwise."""
+        ends = df["ends"].to_numpy(bool)
+        v = {c: np.where(ends, np.nan, df[c].to_numpy(np.float64)) for c in CHANNELS}
+        d = {"lap": df["LapNumber"].to_numpy(), "ended": ends.astype(float), "forget": (df["lap_start_us"].to_numpy(np.int64) // 1000 + self.keep_ms), "max_Speed": v["Speed"], "n": ~ends}
+        for c in _MEANS:
+            d[f"sum_{c}"], d[f"cnt_{c}"] = np.nan_to_num(v[c]), ~np.isnan(v[c])
+        d["full"], d["braking"], d["drs"] = v["Throttle"] >= K.FULL_THROTTLE_PCT, v["Brake"] > 0, v["DRS"] >= self.drs
+        return _added(d)
+
+    def _keep(self, laps: dict[str, np.ndarray]) -> None:
+        if not len(laps["lap"]):
+            self.open.clear()
+            return
+        self.open.put([_block(laps)])
+        self.handle.registerTimer(int(laps["forget"].min()))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total = dict(zip(_SUMS, self.sums.get(), strict=True)) if self.sums.exists() else dict.fromkeys(_SUMS, 0.0) | {"max_Speed": -np.inf}
-        ended, start = False, None
-        for df in rows:
-            ended |= bool(df["ends"].any())
-            start = df["lap_start_us"].iloc[0]
-            s = df[~df["ends"].astype(bool)]
-            total["n"] += len(s)
-            for c in ("Speed", "Throttle", "Brake", "RPM", "nGear"):
-                total[f"sum_{c}"] += float(s[c].sum())
-                total[f"cnt_{c}"] += float(s[c].count())
-            if s["Speed"].count():
-                total["max_Speed"] = max(total["max_Speed"], float(s["Speed"].max()))
-            total["full"] += float((s["Throttle"] >= K.FULL_THROTTLE_PCT).sum())
-            total["braking"] += float((s["Brake"] > 0).sum())
-            total["drs"] += float((s["DRS"] >= self.drs).sum())
-        if not ended:
-            self.sums.update(tuple(float(total[c]) for c in _SUMS))
-            self.handle.registerTimer(max(int(start) // 1000 + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
-            yield pd.DataFrame()
-            return
-        self.sums.clear()
-        n = total["n"]
-        if n < self.min_samples:
+        parts = [self._sums(df) for df in rows]
+        for p in parts:
+            p["forget"] = np.maximum(p["forget"], timerValues.getCurrentWatermarkInMs() + 1)
+        before = _rows(self.open)
+        parts += [before] if before else []
+        laps = _added({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+        ended = laps["ended"] > 0
+        self._keep(_taken(laps, ~ended))
+        done = _taken(laps, ended & (laps["n"] >= self.min_samples))
+        if not len(done["lap"]):
             yield pd.DataFrame()
             return
-        mean = lambda c: total[f"sum_{c}"] / total[f"cnt_{c}"] if total[f"cnt_{c}"] else None
-        values = (mean("Speed"), total["max_Speed"] if total["cnt_Speed"] else None, mean("Throttle"), total["full"] / n, mean("Brake"), total["braking"] / n, total["drs"] / n, mean("RPM"), mean("nGear"))
-        yield pd.DataFrame([(*key, int(n), *values)], columns=[*self.by, "n_samples", *LAP_TELEMETRY])
+        out = dict(zip(self.by, [*([v] * len(done["lap"]) for v in key[:-1]), done["lap"]], strict=True)) | {"n_samples": done["n"].astype(np.int64)}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = lambda c: done[f"sum_{c}"] / done[f"cnt_{c}"]
+            share = lambda c: done[c] / done["n"]
+            values = (mean("Speed"), done["max_Speed"], mean("Throttle"), share("full"), mean("Brake"), share("braking"), share("drs"), mean("RPM"), mean("nGear"))
+        # null, not NaN, without a reading
+        yield pd.DataFrame(out | {c: np.where(np.isnan(v), None, v) for c, v in zip(LAP_TELEMETRY, values, strict=True)})
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.sums.clear()
+        laps = _rows(self.open)
+        if laps:
+            self._keep(_taken(laps, laps["forget"] > expiredTimerInfo.getExpiryTimeInMs()))
         yield pd.DataFrame()
 
     def close(self) -> None:
@@ -253,5 +326,6 @@ def lap_telemetry(samples: DataFrame, starts: DataFrame, delay: str = "3 minutes
     found = asof_stream(asked.unionByName(ends), answers, car, "ts", delay, slice_us, tie="LapNumber").where(F.col("LapNumber").isNotNull())
     by = [*car, "LapNumber"]
     keys = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in by)
-    return found.select(*by, "lap_start_us", "ends", *(F.col(c).cast("double").alias(c) for c in CHANNELS), "et").groupBy(*by).transformWithStateInPandas(
+    block = F.floor(F.col("LapNumber") / F.lit(LAP_BLOCK)).alias("block")
+    return found.select(*by, block, "lap_start_us", "ends", *(F.col(c).cast("double").alias(c) for c in CHANNELS), "et").groupBy(*car, "block").transformWithStateInPandas(
         LapSums(by, min_samples, keep_hours, drs_open_min), f"{keys}, n_samples long, {', '.join(f'{c} double' for c in LAP_TELEMETRY)}", "Append", "EventTime")

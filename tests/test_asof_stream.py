@@ -94,3 +94,39 @@ def test_open_laps_are_kept_across_restarts(spark):
     assert [(r.LapNumber, r.n_samples, r.avg_speed_kph, r.max_speed_kph, r.avg_brake, r.full_throttle_pct, r.avg_rpm, r.drs_active_pct) for r in got] == [
         (k + 1, 10, 10 * k + 4.5, 10 * k + 9.0, None, 1.0, None, 1.0) for k in range(4)]
     assert spark.read.parquet(f"{paths}/out").where(F.col("n_samples") < 5).count() == 0
+
+
+def test_lap_sums_take_a_call_a_block_of_laps(spark):
+    """The laps of a car share their state: a trigger costs calls by blocks, not by laps; sums stay apart by lap."""
+    import numpy as np
+    import pandas as pd
+
+    class Open:
+        def __init__(self):
+            self.entries, self.timers = [], []
+
+        exists = lambda self: bool(self.entries)
+        get = lambda self: iter(self.entries)
+        put = lambda self, rows: setattr(self, "entries", rows)
+        clear = lambda self: setattr(self, "entries", [])
+        getListState = lambda self, *_: self
+        registerTimer = lambda self, ms: self.timers.append(ms)
+        getCurrentWatermarkInMs = lambda self: 0
+        getExpiryTimeInMs = lambda self: 10**6
+
+    state, sums = Open(), AS.LapSums(["Year", "RoundNumber", "DriverNumber", "LapNumber"], 2, 0.0, 8)
+    sums.init(state)
+    n = 200
+    rows = pd.DataFrame({"LapNumber": np.repeat(np.arange(n), 3), "lap_start_us": np.repeat(np.arange(n) * 1_000_000, 3), "ends": False, "Speed": np.arange(3.0 * n)})
+    rows = rows.assign(**{c: np.nan for c in AS.CHANNELS if c != "Speed"})
+    ends = rows.drop_duplicates("LapNumber").assign(ends=True, Speed=np.nan)
+    key = (2024, 1, "7", 0)
+    none = pd.concat(list(sums.handleInputRows(key, iter([rows[:300], rows[300:]]), state)))
+    assert not len(none) and len(state.entries) == 1
+    got = pd.concat(list(sums.handleInputRows(key, iter([ends[ends["LapNumber"] % 2 == 0]]), state)))
+    assert got["LapNumber"].tolist() == list(range(0, n, 2)) and set(got["n_samples"]) == {3} and got["DriverNumber"].eq("7").all()
+    assert got["avg_speed_kph"].tolist() == [3 * k + 1.0 for k in range(0, n, 2)] and got["max_speed_kph"].tolist() == [3 * k + 2.0 for k in range(0, n, 2)]
+    assert got["avg_rpm"].isna().all() and got["full_throttle_pct"].eq(0.0).all()
+    assert AS._rows(state)["lap"].tolist() == list(range(1, n, 2))
+    list(sums.handleExpiredTimer(key, state, state))
+    assert not state.entries
