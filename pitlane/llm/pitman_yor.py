@@ -172,8 +172,9 @@ class Shard:
             part = self.hashes[word[split]] >> np.uint64(40) & np.uint64(PARTS - 1)
             whole[split] = key[split]
             key[split] = key[split] + (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        b = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.hashes[word], key, b))
+        b = _short(key % np.uint64(buckets), buckets)
+        # sorted pairs are in the order of the keys and the followers' hashes but for split contexts
+        order = np.lexsort((self.hashes[word], key, b)) if whole.any() else np.argsort(b, kind="stable")
         return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}, key, whole
 
 
@@ -182,8 +183,7 @@ def ask_words(table: pa.Table, buckets: int) -> pa.Table:
     s = Shard(table)
     counts = s.counts()
     wide = s.wide().astype(np.uint8)
-    # sorted hashes travel as differences, which the shuffle's compression shortens
-    return out([(b, s.number, pack(np.diff(s.hashes[mine], prepend=np.uint64(0)), counts[mine].astype("<i8"), wide[mine])) for b, mine in s.words_by_bucket(buckets).items()])
+    return out([(b, s.number, pack(*_steps(s.hashes[mine]), counts[mine].astype("<i8"), wide[mine])) for b, mine in s.words_by_bucket(buckets).items()])
 
 
 def answer_words(table: pa.Table, shards: int, buckets: int, burn: int, samples: int, seed: int) -> pa.Table:
@@ -191,7 +191,7 @@ def answer_words(table: pa.Table, shards: int, buckets: int, burn: int, samples:
     bucket, asked = table.column("bucket")[0].as_py(), {}
     for shard, data in zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True):
         steps, counts, wide = unpack(data, "<u8", "<i8", "u1")
-        asked[shard] = (np.cumsum(steps, dtype=np.uint64), counts, wide)
+        asked[shard] = (_from_steps(steps), counts, wide)
     hashes, inverse = np.unique(np.concatenate([a[0] for a in asked.values()]), return_inverse=True)
     counts = np.bincount(inverse, np.concatenate([a[1] for a in asked.values()]), len(hashes)).astype(np.int64)
     wide = np.bincount(inverse, np.concatenate([a[2] for a in asked.values()]), len(hashes)) > 0
@@ -241,8 +241,10 @@ def ask_pairs(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     rows = []
     for b, mine in by.items():
         words, at = np.unique(pairs[mine] & 0xFFFFFFFF, return_inverse=True)
-        first = np.array([(lo, hi - lo) for _, lo, hi in cuts(key[mine])], np.int64)
-        rows.append((b, s.number, pack(key[mine][first[:, 0]], whole[mine][first[:, 0]], first[:, 1].astype("<u4"), *_steps(s.hashes[words]), *_halves(at), *_small(counts[mine]), level[words])))
+        keys = key[mine]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        followers = np.diff(first, append=len(keys))
+        rows.append((b, s.number, pack(*_steps(keys[first]), whole[mine][first], followers.astype("<u4"), *_steps(s.hashes[words]), *_halves(at), *_small(counts[mine]), level[words])))
     return out(rows)
 
 
@@ -268,22 +270,28 @@ def _from_halves(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _steps(hashes: np.ndarray) -> tuple[np.ndarray]:
-    """Sorted hashes as differences."""
-    return (np.diff(hashes, prepend=np.uint64(0)),)
+    """Sorted hashes as differences, first the lowest bytes of all, then the next ones: the upper ones are mostly zero, which compression removes."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+    return (np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).reshape(-1).view("<u8"),)
 
 
 def _from_steps(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(steps.view("u1").reshape(8, -1).T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 SMALL, HALVES = ("u1", "<u4", "<i8"), ("<u2", "<u2")
 
 
+def _short(b: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket numbers in few bytes, which sort faster."""
+    return b.astype(np.min_scalar_type(buckets))
+
+
 def by_hash(hashes: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
     """Places of the hashes of each bucket."""
     if not len(hashes):
         return {}
-    b = (hashes % np.uint64(buckets)).astype(np.int64)
+    b = _short(hashes % np.uint64(buckets), buckets)
     order = np.argsort(b, kind="stable")
     return {k: order[lo:hi] for k, lo, hi in cuts(b[order])}
 
@@ -303,7 +311,7 @@ class Asked:
     def __init__(self, table: pa.Table):
         asked = [(s, unpack(d, "<u8", "<u8", "<u4", "<u8", *HALVES, *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
         self.shards = [s for s, _ in asked]
-        contexts, first, room = np.unique(np.concatenate([a[0] for _, a in asked]), return_index=True, return_inverse=True)
+        contexts, first, room = np.unique(np.concatenate([_from_steps(a[0]) for _, a in asked]), return_index=True, return_inverse=True)
         self.whole = np.concatenate([a[1] for _, a in asked])[first]
         room = np.repeat(room, np.concatenate([a[2] for _, a in asked]))
         self.words, first, word = np.unique(np.concatenate([_from_steps(a[3]) for _, a in asked]), return_index=True, return_inverse=True)
