@@ -30,17 +30,15 @@ Without training text every token is the unknown one. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.llm.bwt_dedup import ROWS, out, pack, unpack
-from pitlane.llm.common import distinct, drop_landed, groups_for, land, recorded, text_bytes, word_blocks
+from pitlane.llm import bwt_dedup
+from pitlane.llm.bwt_dedup import ROWS, out
+from pitlane.llm.common import distinct, drop_landed, groups_for, land, recorded, text_bytes
 
 EXACT = 64
 #: Discounts of the parent and of the contexts, and their concentration.
@@ -49,6 +47,21 @@ WIDE = 1 << 16  # different followers in one shard beyond which a context is spl
 PARTS = 64
 
 
+#: What travels is compressed where it is made: Spark's shuffle knows repeats alone, not rare and frequent bytes.
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed byte string, after its size."""
+    plain = bwt_dedup.pack(*arrays)
+    return len(plain).to_bytes(8, "little") + CODEC.compress(plain, asbytes=True)
+
+
+def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    """The arrays that ``pack`` was given."""
+    return bwt_dedup.unpack(CODEC.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True), *types)
+
+
 def find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted value, -1 if absent."""
     if not len(sorted_values):
@@ -105,6 +118,28 @@ class Restaurants:
         return total / samples
 
 
+def numbered(texts: list[bytes | None], block: int = 8 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as numbers in order of occurrence, the distinct words, and the number of words of each text."""
+    sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+    counts, chunks, ends = np.zeros(len(texts), np.int64), [], np.cumsum(sizes)
+    at = 0
+    while at < len(texts):
+        hi = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + block, side="right")))
+        data = np.frombuffer(b"".join(x for t in texts[at:hi] for x in ((t or b"").lower(), b"\n")), "u1")
+        space = (data == 32) | (data - np.uint8(9) < 5)
+        # where a word begins, and the space after it: a space follows every text
+        bound = np.flatnonzero(np.diff(space, prepend=True))
+        first = bound[::2]
+        counts[at:hi] = np.diff(np.searchsorted(first, ends[at:hi] - ends[at] + sizes[at]), prepend=0)
+        offsets = np.concatenate([[0], np.cumsum(bound[1::2] - first)]).astype(np.int32)
+        chunks.append(pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]))
+        at = hi
+    coded = pa.chunked_array(chunks, pa.binary()).dictionary_encode()
+    words = coded.chunk(coded.num_chunks - 1).dictionary.to_numpy(zero_copy_only=False) if coded.num_chunks else []
+    ids = [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+    return np.concatenate([np.empty(0, np.int32), *ids]), words, counts
+
+
 class Shard:
     """Texts as numbers of distinct words, in the order of the words' hashes; the end is the empty word."""
 
@@ -112,22 +147,17 @@ class Shard:
         table = table.combine_chunks()
         self.number = table.column("shard")[0].as_py()
         self.held = np.array(table.column("held_out").to_pylist(), bool)
-        number: dict[bytes, int] = defaultdict(count().__next__)
-        end = number[b""]
-        ids, sizes = [], []
-        for text in table.column("text").to_pylist():
-            before = len(ids)
-            ids += [np.fromiter(map(number.__getitem__, block), np.int32, len(block)) for block in word_blocks((text or b"").lower())]
-            ids.append(np.full(1, end, np.int32))
-            sizes.append(sum(map(len, ids[before:])))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        ids, words, counts = numbered(table.column("text").to_pylist())
+        end = len(words)  # every word has a byte at least
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [*words, b""]), np.uint64, end + 1)
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.hashes = hashes[order]
-        self.sizes = np.array(sizes, np.int64)
+        self.sizes = counts + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.tokens = place[np.concatenate(ids)]
+        self.tokens = np.full(self.sizes.sum(), place[end])
+        self.tokens[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = place[ids]
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = place[end]
@@ -244,7 +274,7 @@ def ask_pairs(left: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         keys = key[mine]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         followers = np.diff(first, append=len(keys))
-        rows.append((b, s.number, pack(*_steps(keys[first]), whole[mine][first], followers.astype("<u4"), *_steps(s.hashes[words]), *_halves(at), *_small(counts[mine]), level[words])))
+        rows.append((b, s.number, pack(*_steps(keys[first]), whole[mine][first], _planes(followers), *_steps(s.hashes[words]), _places(at, followers), *_small(counts[mine]), level[words])))
     return out(rows)
 
 
@@ -260,26 +290,39 @@ def _from_small(small: np.ndarray, large: np.ndarray, values: np.ndarray) -> np.
     return a
 
 
-def _halves(at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places in two halves: the upper one is mostly zero, which compression removes."""
-    return (at & 0xFFFF).astype("<u2"), (at >> 16).astype("<u2")
+def _planes(a: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    """Numbers as byte planes: first the lowest bytes of all, then the next ones; the upper ones are mostly zero, which compression removes."""
+    return np.ascontiguousarray(a.astype(kind).view("u1").reshape(-1, np.dtype(kind).itemsize).T).reshape(-1).view(kind)
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.view("u1").reshape(planes.itemsize, -1).T).reshape(-1).view(planes.dtype)
+
+
+def _places(at: np.ndarray, followers: np.ndarray) -> np.ndarray:
+    """Places of the followers, which ascend in every context: the first one, then differences."""
+    first = np.cumsum(followers, dtype=np.int64) - followers
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
+    return _planes(steps)
 
 
-def _from_halves(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return high.astype(np.int64) << 16 | low
+def _from_places(planes: np.ndarray, followers: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(_from_planes(planes), dtype=np.int64)
+    first = np.cumsum(followers, dtype=np.int64) - followers
+    return sums - np.repeat(np.concatenate([[0], sums])[first], followers)
 
 
 def _steps(hashes: np.ndarray) -> tuple[np.ndarray]:
-    """Sorted hashes as differences, first the lowest bytes of all, then the next ones: the upper ones are mostly zero, which compression removes."""
-    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
-    return (np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).reshape(-1).view("<u8"),)
+    """Sorted hashes as differences."""
+    return (_planes(np.diff(hashes, prepend=np.uint64(0)), "<u8"),)
 
 
 def _from_steps(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(steps.view("u1").reshape(8, -1).T).reshape(-1).view("<u8"), dtype=np.uint64)
+    return np.cumsum(_from_planes(steps), dtype=np.uint64)
 
 
-SMALL, HALVES = ("u1", "<u4", "<i8"), ("<u2", "<u2")
+SMALL = ("u1", "<u4", "<i8")
 
 
 def _short(b: np.ndarray, buckets: int) -> np.ndarray:
@@ -309,17 +352,18 @@ class Asked:
     """What the shards asked a pair bucket, added up; ``place`` has the entries of each shard's pairs."""
 
     def __init__(self, table: pa.Table):
-        asked = [(s, unpack(d, "<u8", "<u8", "<u4", "<u8", *HALVES, *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
+        asked = [(s, unpack(d, "<u8", "<u8", "<u4", "<u8", "<u4", *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
         self.shards = [s for s, _ in asked]
         contexts, first, room = np.unique(np.concatenate([_from_steps(a[0]) for _, a in asked]), return_index=True, return_inverse=True)
         self.whole = np.concatenate([a[1] for _, a in asked])[first]
-        room = np.repeat(room, np.concatenate([a[2] for _, a in asked]))
+        followers = [_from_planes(a[2]) for _, a in asked]
+        room = np.repeat(room, np.concatenate(followers))
         self.words, first, word = np.unique(np.concatenate([_from_steps(a[3]) for _, a in asked]), return_index=True, return_inverse=True)
         self.start = 2.0 ** (np.concatenate([a[-1] for _, a in asked])[first] / -6.0)
         starts = np.cumsum([0, *(len(a[3]) for _, a in asked)])
-        word = word[np.concatenate([_from_halves(a[4], a[5]) + at for (_, a), at in zip(asked, starts, strict=False)])]
+        word = word[np.concatenate([_from_places(a[4], f) + at for (_, a), f, at in zip(asked, followers, starts, strict=False)])]
         entries, inverse = np.unique(room << 32 | word, return_inverse=True)
-        self.counts = np.bincount(inverse, np.concatenate([_from_small(*a[6:9]) for _, a in asked]), len(entries)).astype(np.int64)
+        self.counts = np.bincount(inverse, np.concatenate([_from_small(*a[5:8]) for _, a in asked]), len(entries)).astype(np.int64)
         self.followers, self.at = np.bincount(entries >> 32, minlength=len(contexts)), entries & 0xFFFFFFFF
         self.place = np.split(inverse, np.cumsum([len(a[4]) for _, a in asked])[:-1])
 
@@ -330,7 +374,7 @@ class Contexts:
     ``whole`` has the hash of the context of which a room is a part, 0 if it is not split.
     """
 
-    TYPES = ("<u8", "<u4", "<u8", *HALVES, *SMALL, *SMALL, "<u2")
+    TYPES = ("<u8", "<u4", "<u8", "<u4", *SMALL, *SMALL, "<u2")
 
     def __init__(self, whole: np.ndarray, followers: np.ndarray, words: np.ndarray, at: np.ndarray, counts: np.ndarray, tables: np.ndarray, mean: np.ndarray):
         self.whole, self.followers, self.words, self.at, self.counts, self.tables, self.mean = whole, followers, words, at, counts, tables, mean
@@ -343,11 +387,12 @@ class Contexts:
 
     @classmethod
     def unpacked(cls, data: bytes) -> Contexts:
-        whole, followers, words, low, high, c, c_at, c_large, t, t_at, t_large, mean = unpack(data, *cls.TYPES)
-        return cls(whole, followers, _from_steps(words), _from_halves(low, high), _from_small(c, c_at, c_large), _from_small(t, t_at, t_large), _from_log(mean))
+        whole, followers, words, at, c, c_at, c_large, t, t_at, t_large, mean = unpack(data, *cls.TYPES)
+        followers = _from_planes(followers)
+        return cls(whole, followers, _from_steps(words), _from_places(at, followers), _from_small(c, c_at, c_large), _from_small(t, t_at, t_large), _from_log(_from_planes(mean)))
 
     def packed(self) -> bytes:
-        return pack(self.whole, self.followers.astype("<u4"), *_steps(self.words), *_halves(self.at), *_small(self.counts), *_small(self.tables), _to_log(self.mean))
+        return pack(self.whole, _planes(self.followers), *_steps(self.words), _places(self.at, self.followers), *_small(self.counts), *_small(self.tables), _planes(_to_log(self.mean), "<u2"))
 
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of every room."""
