@@ -70,6 +70,16 @@ def find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[i] == wanted, i, -1)
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and every value's number among them (``np.unique`` sorts stably for the places)."""
+    order = np.argsort(values)
+    in_order = values[order]
+    new = np.concatenate([[True], in_order[1:] != in_order[:-1]])[: len(order)]
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return in_order[new], order[new], inverse
+
+
 def cuts(sorted_values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, first, end) of every run."""
     first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)])
@@ -90,9 +100,11 @@ class Restaurants:
     def seat(self, p: np.ndarray, rng: np.random.Generator, others: int = 0) -> None:
         """Seat the customers of every dish again; ``others`` are tables of dishes that are kept elsewhere."""
         d = self.d
-        rest = self.totals()[1][self.room] - self.tables + others
-        order = np.argsort(-self.customers, kind="stable")
-        c, rest, p = self.customers[order], rest[order], p[order]
+        several = np.flatnonzero(self.customers > 1)  # one customer has one table
+        rest = (self.totals()[1][self.room] - self.tables + others)[several]
+        order = np.argsort(-self.customers[several], kind="stable")
+        several, rest = several[order], rest[order]
+        c, p = self.customers[several], p[several]
         t, falling, i = np.ones(len(c)), -c, 1
         while True:
             live = int(np.searchsorted(falling, -i, side="left"))  # dishes with more than i customers
@@ -106,7 +118,8 @@ class Restaurants:
             else:
                 t[:live] += rng.binomial(np.minimum(size, c[:live] - i), share)
             i += size
-        self.tables[order] = t.astype(np.int64)
+        self.tables = np.ones(len(self.room), np.int64)
+        self.tables[several] = t.astype(np.int64)
 
     def averaged_tables(self, p: np.ndarray, seed: int, burn: int, samples: int, others: int = 0) -> np.ndarray:
         """Tables of every dish, averaged over sweeps after the first ``burn``."""
@@ -172,17 +185,15 @@ class Shard:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (sorted) and their training counts."""
-        pairs, inverse = self.distinct_pairs()
-        return pairs, np.bincount(inverse[self.train], minlength=len(pairs))
+        in_order = np.sort(self.pair_of << 1 | self.train)
+        pairs = in_order >> 1
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        return pairs[first], np.add.reduceat(in_order & 1, first)
 
     def distinct_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (sorted), and the place of every token's pair among them."""
-        order = np.argsort(self.pair_of)
-        in_order = self.pair_of[order]
-        new = np.concatenate([[True], in_order[1:] != in_order[:-1]])
-        inverse = np.empty(len(order), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        return in_order[new], inverse
+        pairs, _, inverse = ranked(self.pair_of)
+        return pairs, inverse
 
     def wide(self) -> np.ndarray:
         """Marks words with more than ``WIDE`` different followers."""
@@ -354,11 +365,11 @@ class Asked:
     def __init__(self, table: pa.Table):
         asked = [(s, unpack(d, "<u8", "<u8", "<u4", "<u8", "<u4", *SMALL, "u1")) for s, d in sorted(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))]
         self.shards = [s for s, _ in asked]
-        contexts, first, room = np.unique(np.concatenate([_from_steps(a[0]) for _, a in asked]), return_index=True, return_inverse=True)
+        contexts, first, room = ranked(np.concatenate([_from_steps(a[0]) for _, a in asked]))
         self.whole = np.concatenate([a[1] for _, a in asked])[first]
         followers = [_from_planes(a[2]) for _, a in asked]
         room = np.repeat(room, np.concatenate(followers))
-        self.words, first, word = np.unique(np.concatenate([_from_steps(a[3]) for _, a in asked]), return_index=True, return_inverse=True)
+        self.words, first, word = ranked(np.concatenate([_from_steps(a[3]) for _, a in asked]))
         self.start = 2.0 ** (np.concatenate([a[-1] for _, a in asked])[first] / -6.0)
         starts = np.cumsum([0, *(len(a[3]) for _, a in asked)])
         word = word[np.concatenate([_from_places(a[4], f) + at for (_, a), f, at in zip(asked, followers, starts, strict=False)])]
@@ -374,7 +385,9 @@ class Contexts:
     ``whole`` has the hash of the context of which a room is a part, 0 if it is not split.
     """
 
-    TYPES = ("<u8", "<u4", "<u8", "<u4", *SMALL, *SMALL, "<u2")
+    #: What stays, and what a sweep changes.
+    KEPT, TYPES = ("<u8", "<u4", "<u8", "<u4", *SMALL), (*SMALL, "<u2")
+    kept: bytes | None = None
 
     def __init__(self, whole: np.ndarray, followers: np.ndarray, words: np.ndarray, at: np.ndarray, counts: np.ndarray, tables: np.ndarray, mean: np.ndarray):
         self.whole, self.followers, self.words, self.at, self.counts, self.tables, self.mean = whole, followers, words, at, counts, tables, mean
@@ -387,12 +400,18 @@ class Contexts:
 
     @classmethod
     def unpacked(cls, data: bytes) -> Contexts:
-        whole, followers, words, at, c, c_at, c_large, t, t_at, t_large, mean = unpack(data, *cls.TYPES)
+        size = int.from_bytes(data[:8], "little")
+        kept = data[8 : 8 + size]
+        whole, followers, words, at, *counts = unpack(kept, *cls.KEPT)
+        *tables, mean = unpack(data[8 + size :], *cls.TYPES)
         followers = _from_planes(followers)
-        return cls(whole, followers, _from_steps(words), _from_places(at, followers), _from_small(c, c_at, c_large), _from_small(t, t_at, t_large), _from_log(_from_planes(mean)))
+        c = cls(whole, followers, _from_steps(words), _from_places(at, followers), _from_small(*counts), _from_small(*tables), _from_log(_from_planes(mean)))
+        c.kept = kept
+        return c
 
     def packed(self) -> bytes:
-        return pack(self.whole, _planes(self.followers), *_steps(self.words), _places(self.at, self.followers), *_small(self.counts), *_small(self.tables), _planes(_to_log(self.mean), "<u2"))
+        kept = self.kept or pack(self.whole, _planes(self.followers), *_steps(self.words), _places(self.at, self.followers), *_small(self.counts))
+        return len(kept).to_bytes(8, "little") + kept + pack(*_small(self.tables), _planes(_to_log(self.mean), "<u2"))
 
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of every room."""

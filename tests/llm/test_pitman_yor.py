@@ -230,3 +230,92 @@ def test_sorted_hashes_travel_by_byte_planes():
     (steps,) = P._steps(hashes)
     assert (P._from_steps(steps) == hashes).all() and len(P._from_steps(P._steps(hashes[:0])[0])) == 0
     assert pa.Codec("lz4").compress(steps.tobytes()).size < 0.9 * hashes.nbytes
+
+
+def shard_of(texts):
+    import pyarrow as pa
+
+    return pa.table({"shard": pa.array([0] * len(texts), pa.int32()), "held_out": [i % 3 == 1 for i in range(len(texts))], "text": pa.array(texts, pa.binary())})
+
+
+ODD = [b"", None, b" ", b"A b\tA\n\nb\x0bc\x0cd\re", b"\x1c\x00 \x00\x1f \x85 \xa0", b" lead", b"trail ", "Ä é ÄÉ".encode(), b"x" * 50, b"\n", b"A b"]
+
+
+@pytest.mark.parametrize("block", [1, 20, 1 << 20])
+def test_words_are_numbered_as_split_words(block):
+    ids, words, counts = P.numbered(ODD, block)
+    want = [(t or b"").lower().split() for t in ODD]
+    assert counts.tolist() == [len(w) for w in want]
+    assert [words[i] for i in ids] == [x for w in want for x in w] and len(set(words)) == len(words)
+    assert [len(x) for x in P.numbered([], block)] == [0, 0, 0] and [len(x) for x in P.numbered([None, b" "], block)] == [0, 0, 2]
+
+
+def test_a_shard_holds_the_tokens_and_pairs_of_its_texts():
+    s = P.Shard(shard_of(ODD))
+    want = [[*(t or b"").lower().split(), b""] for t in ODD]
+    number = lambda w: int(np.searchsorted(s.hashes, np.uint64(P.xxhash.xxh64_intdigest(w))))
+    assert s.tokens.tolist() == [number(x) for w in want for x in w] and s.sizes.tolist() == [len(w) for w in want]
+    trained = Counter((number(c) << 32) + number(x) for i, w in enumerate(want) if i % 3 != 1 for c, x in zip([b"", *w], w))
+    pairs, counts = s.pairs()
+    again, inverse = s.distinct_pairs()
+    assert (again == pairs).all() and (pairs[inverse] == s.pair_of).all() and (np.diff(pairs) > 0).all()
+    assert counts.tolist() == [trained[x] for x in pairs.tolist()]
+
+
+def test_what_travels_takes_few_bytes():
+    """Shuffle and disk: a pair that is asked takes less than its arrays do under the shuffle's own compression."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    words = [f"w{j}".encode() for j in range(20_000)]
+    texts = [b" ".join(words[j] for j in np.minimum(rng.zipf(1.3, 300), 20_000) - 1) for _ in range(400)]
+    table = shard_of(texts)
+    asked = P.ask_words(table, 4)
+    answers = pa.concat_tables([P.answer_words(asked.filter(pa.compute.equal(asked.column("bucket"), b)), 1, 4, 0, 1, 1) for b in range(4)])
+    asks = P.ask_pairs(table, answers, 4)
+    pairs = len(P.Shard(table).pairs()[0])
+    sizes = [pa.Codec("lz4").compress(d).size for d in asks.column("data").to_pylist()]
+    assert sum(sizes) < 5.8 * pairs  # 6.4 without byte planes and entropy coding
+    # and comes back whole
+    a = [P.Asked(asks.filter(pa.compute.equal(asks.column("bucket"), b))) for b in range(4)]
+    assert sum(len(x.at) for x in a) == pairs and sum(x.counts.sum() for x in a) == P.Shard(table).counts().sum()
+    c = P.Contexts.opened(a[0])
+    c.seat(a[0].start, np.random.default_rng(1))
+    c.predict(a[0].start, *c.totals(), 1)
+    for d in (P.Contexts.unpacked(c.packed()), P.Contexts.unpacked(P.Contexts.unpacked(c.packed()).packed())):
+        assert all((getattr(c, k) == getattr(d, k)).all() for k in ("whole", "followers", "words", "at", "counts", "tables")) and np.allclose(c.mean, d.mean, rtol=1e-3)
+
+
+def test_numbers_travel_whole():
+    rng = np.random.default_rng(4)
+    for kind in ("<u2", "<u4", "<u8"):
+        for n in (0, 1, 1000):
+            a = rng.integers(0, 1 << 8 * int(kind[2]) - 1, n).astype(kind)
+            assert (P._from_planes(P._planes(a, kind)) == a).all()
+    followers = rng.integers(1, 40, 500)
+    at = np.concatenate([np.sort(rng.choice(1 << 20, n, replace=False)) for n in followers])
+    assert (P._from_places(P._places(at, followers), followers) == at).all()
+    assert len(P._from_places(P._places(at[:0], followers[:0]), followers[:0])) == 0
+    values = rng.integers(0, 300, 1000).astype(np.uint64)
+    for v in (values, values[:0]):
+        distinct, first, inverse = P.ranked(v)
+        assert (distinct == np.unique(v)).all() and (v[first] == distinct).all() and (distinct[inverse] == v).all()
+    (data,) = P.unpack(P.pack(values), "<u8")
+    assert (data == values).all()
+
+
+def test_only_dishes_of_several_customers_are_drawn():
+    """The tables are those of a seating of all dishes in one order: the most customers first."""
+    rng = np.random.default_rng(5)
+    room, customers, p = np.sort(rng.integers(0, 9, 800)), np.minimum(rng.zipf(1.7, 800), 60), rng.random(800) * 0.1
+    x = P.Restaurants(room, customers, 9, 0.8)
+    for k in range(3):
+        before, draw = x.tables.copy(), np.random.default_rng(k)
+        x.seat(p, np.random.default_rng(k), 2)
+        rest = np.bincount(room, before)[room] - before + 2
+        want, order = np.ones(800), np.argsort(-customers, kind="stable")
+        for i in range(1, customers.max()):
+            live = order[: (customers > i).sum()]
+            new = (P.STRENGTH + 0.8 * (rest[live] + want[live])) * p[live]
+            want[live] += draw.random(len(live)) < new / (new + i - 0.8 * want[live])
+        assert (x.tables == want).all()
