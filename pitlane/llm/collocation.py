@@ -29,18 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import drop_landed, land, recorded
+from pitlane.llm.common import drop_landed, give_back, land, recorded, row_by_row, rows_by_bytes
 
 BREAK = b"."
 #: Lowers A-Z and writes every character that ends a piece as a full stop.
 TABLE = bytes(0x2E if b in b".,;:!?\n\v\f\r" else b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-WORDS = "shard long, lang string, seq array<int>, words array<string>, n array<long>"
-PAIRS = "shard long, lang string, seq array<int>, a array<long>, b array<long>, n array<long>"
+WORDS = "shard long, lang string, seq binary, words array<string>, n array<long>"
+PAIRS = "shard long, lang string, seq binary, a array<long>, b array<long>, n array<long>"
 PAIRS_ARROW = pa.schema([
-    ("shard", pa.int64()), ("lang", pa.string()), ("seq", pa.list_(pa.int32())),
+    ("shard", pa.int64()), ("lang", pa.string()), ("seq", pa.binary()),
     ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())),
 ])
+#: Text that is cut into words at a time.
+PIECE = 1 << 20
+#: A shard is a row of megabytes. Writers look at their buffers only every hundred rows if not told otherwise, and readers take a row group at once.
+BIG_ROWS = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def squeeze(seq: np.ndarray) -> np.ndarray:
@@ -52,9 +56,19 @@ def squeeze(seq: np.ndarray) -> np.ndarray:
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Local word numbers of some texts (gaps between pieces), the words and their counts."""
-    words = b"\n".join(texts).translate(TABLE).replace(BREAK, b" . ").split()
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    ids, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
+    data = b"\n".join(texts).translate(TABLE)
+    parts, at = [], 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        parts.append(pa.array(data[at:end].replace(BREAK, b" . ").split(), pa.binary()).dictionary_encode())
+        at = end
+    if not parts:
+        return np.empty(0, np.int32), pa.array([], pa.string()), np.empty(0, np.int64)
+    merged = pa.concat_arrays([p.dictionary for p in parts]).dictionary_encode()  # numbered as they first occur, as in one piece
+    number, names = merged.indices.to_numpy(zero_copy_only=False).astype(np.int32), merged.dictionary
+    start = np.cumsum([0, *(len(p.dictionary) for p in parts)])
+    ids = np.concatenate([number[s:][p.indices.to_numpy(zero_copy_only=False)] for s, p in zip(start, parts, strict=False)])
     gap = pc.index(names, BREAK).as_py()
     n = np.bincount(ids, minlength=len(names))
     if gap >= 0:
@@ -72,25 +86,27 @@ def word_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_b
 
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal k, held, size
-            for name, texts in held.items():
-                seq, words, n = encode(texts)
+            for name in list(held):
+                seq, words, n = encode(held.pop(name))
                 if len(words):
-                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(seq), words, pa.array(n, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), pa.array([name]), *lists], names=["shard", "lang", "seq", "words", "n"])
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, pa.array(n, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), pa.array([name]), pa.array([seq.tobytes()], pa.binary()), *lists], names=["shard", "lang", "seq", "words", "n"])
                     k += 1
             held, size = {}, 0
+            give_back()
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            for name, t in zip(batch.column("lang").to_pylist(), texts, strict=True):
-                held.setdefault(name, []).append(t)
-                size += len(t)
-                if size >= shard_bytes:
-                    yield from rows()
+            for some in rows_by_bytes(batch, "text", PIECE):
+                texts = some.column("text").cast(pa.large_binary()).to_pylist()
+                for name, t in zip(some.column("lang").to_pylist(), texts, strict=True):
+                    held.setdefault(name, []).append(t)
+                    size += len(t)
+                    if size >= shard_bytes:
+                        yield from rows()
         yield from rows()
 
     src = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text")).filter("octet_length(text) > 0")
-    return land(src.mapInArrow(cut, WORDS), "words", compression="zstd")
+    return land(src.mapInArrow(cut, WORDS), "words", **BIG_ROWS)
 
 
 def count_pairs(a: np.ndarray, b: np.ndarray, side: int = 512, dense: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,9 +117,10 @@ def count_pairs(a: np.ndarray, b: np.ndarray, side: int = 512, dense: int = 64)
     if not len(a):
         return a, b, np.empty(0, np.int64), np.empty(0, np.int32)
     wide = int(b.max()) // side + 1
-    tile = (a // side) * wide + b // side
+    tile = (a // side).astype(np.int64) * wide + b // side
     order = np.argsort(tile, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], tile[order][1:] != tile[order][:-1], [True]]))
+    tile = tile[order]
+    edges = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
     full = np.diff(edges) * dense >= side * side
     at = np.empty(len(a), np.int32)
     firsts, seconds, counts, found = [], [], [], 0
@@ -114,30 +131,34 @@ def count_pairs(a: np.ndarray, b: np.ndarray, side: int = 512, dense: int = 64)
         held = np.flatnonzero(n)
         number = np.cumsum(n > 0, dtype=np.int32) - 1
         at[here] = number[cell] + found
-        row, col = divmod(int(tile[here[0]]), wide)
+        row, col = divmod(int(tile[lo]), wide)
         firsts.append(row * side + held // side)
         seconds.append(col * side + held % side)
         counts.append(n[held])
         found += len(held)
+    del tile
     rest = order[np.repeat(~full, np.diff(edges))]
     if len(rest):
-        by = rest[np.lexsort((b[rest], a[rest]))]
-        new = np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])])
-        at[by] = np.cumsum(new, dtype=np.int32) - 1 + found
+        pair = a[rest].astype(np.int64) << 32 | b[rest]
+        by = np.argsort(pair)
+        pair = pair[by]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        at[rest[by]] = np.cumsum(new, dtype=np.int32) - 1 + found
         start = np.flatnonzero(new)
-        firsts.append(a[by][start])
-        seconds.append(b[by][start])
+        firsts.append(pair[start] >> 32)
+        seconds.append(pair[start] & 0xFFFFFFFF)
         counts.append(np.diff(np.append(start, len(by))))
     return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(counts), at
 
 
 def next_round(seq: np.ndarray, known: np.ndarray, ids: np.ndarray, units: int) -> tuple[np.ndarray, ...]:
     """From local numbers and the ids of those that are frequent: the pairs' own sequence, ids and counts."""
-    to_id = np.full(units + 1, -1, np.int64)  # the last one stands for gaps
+    to_id = np.full(units + 1, -1, np.int32)  # the last one stands for gaps
     to_id[known] = ids
     x = to_id[seq]
-    live = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0))
-    a, b, n, at = count_pairs(x[live], x[live + 1])
+    live = (x[:-1] >= 0) & (x[1:] >= 0)
+    a, b, n, at = count_pairs(x[:-1][live], x[1:][live])
+    live = np.flatnonzero(live)
     out = np.full(len(x), -1, np.int32)
     out[live] = at
     return squeeze(out), a, b, n
@@ -159,7 +180,8 @@ def ranked(frequent: DataFrame, keys: list[str]) -> DataFrame:
 
 def frequent_units(shards: DataFrame, keys: list[str], min_count: int) -> tuple[DataFrame, DataFrame]:
     """The units (lang, shard, u, keys, n) of all shards, and the frequent ones (written): lang, id, keys and total count ``f``."""
-    units = shards.select("lang", "shard", F.posexplode(F.arrays_zip(*keys, "n")).alias("u", "x")).select("lang", "shard", "u", "x.*")
+    at = F.explode(F.sequence(F.lit(0), F.size("n") - 1)).alias("u")  # read in place: zipped arrays would be an object a unit
+    units = shards.select("lang", "shard", *keys, "n", at).select("lang", "shard", "u", *(F.col(c)[F.col("u")].alias(c) for c in (*keys, "n")))
     total = units.groupBy("lang", *keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
     return units, land(ranked(land(total, "frequent"), keys), "ranked")
 
@@ -197,13 +219,13 @@ class Known:
         return found, ids[at[found]]
 
 
-def _next_row(shard: pa.Scalar, lang: pa.Scalar, seq: pa.Array, known: np.ndarray, ids: np.ndarray, units: int) -> pa.RecordBatch | None:
+def _next_row(shard: pa.Scalar, lang: pa.Scalar, seq: pa.Scalar, known: np.ndarray, ids: np.ndarray, units: int) -> pa.RecordBatch | None:
     """The shard's row in the next round; none if no pair is left."""
-    out, *lists = next_round(seq.to_numpy(), known, ids, units)
+    out, *lists = next_round(np.frombuffer(seq.as_buffer(), np.int32), known, ids, units)
     if not len(lists[0]):
         return None
-    cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (out, *(x.astype(np.int64) for x in lists))]
-    return pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([lang.as_py()], pa.string()), *cols], schema=PAIRS_ARROW)
+    cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64, copy=False))) for x in lists]
+    return pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([lang.as_py()], pa.string()), pa.array([out.tobytes()], pa.binary()), *cols], schema=PAIRS_ARROW)
 
 
 def pair_shards(shards: DataFrame, units: DataFrame, frequent: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
@@ -219,21 +241,27 @@ def pair_shards(shards: DataFrame, units: DataFrame, frequent: DataFrame, keys:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1)
-                    out = _next_row(row.column("shard")[0], row.column("lang")[0], row.column("seq")[0].values, *sent.value.units(row), len(row.column("n")[0]))
+                    out = _next_row(row.column("shard")[0], row.column("lang")[0], row.column("seq")[0], *sent.value.units(row), len(row.column(keys[0])[0]))
                     if out:
                         yield out
+                    out = row = None
+                    give_back()
 
-        return land(shards.mapInArrow(step, PAIRS), "pairs", compression="zstd")
+        own = row_by_row(shards.sparkSession).read.schema(shards.schema).parquet(*shards.inputFiles())
+        out = land(own.select("shard", "lang", "seq", *keys).mapInArrow(step, PAIRS), "pairs", shards.sparkSession, **BIG_ROWS)
+        sent.destroy()
+        return out
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            rows = [_next_row(left.column("shard")[0], left.column("lang")[0], left.column("seq")[0].values, right.column("u").to_numpy(), right.column("id").to_numpy(), left.column("units")[0].as_py())]
+            rows = [_next_row(left.column("shard")[0], left.column("lang")[0], left.column("seq")[0], right.column("u").to_numpy(), right.column("id").to_numpy(), left.column("units")[0].as_py())]
+        give_back()
         return pa.Table.from_batches([r for r in rows if r], PAIRS_ARROW)
 
     own = units.drop("n").join(frequent.drop("f"), ["lang", *keys]).select(F.col("shard").alias("of"), "u", "id")
     left = shards.select("shard", "lang", "seq", F.size("n").alias("units"))
-    return land(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(answer, PAIRS), "pairs", compression="zstd")
+    return land(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(answer, PAIRS), "pairs", **BIG_ROWS)
 
 
 def _exact(x: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,22 @@ def drop_landed(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def land(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back (cuts lineage)."""
+def land(df: DataFrame, name: str, reader: SparkSession | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back (cuts lineage), by the session ``reader`` if it is another one."""
     path = scratch(df.sparkSession, name)
     if getattr(_RECORDING, "paths", None) is not None:
         _RECORDING.paths.append(path)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
+
+
+def row_by_row(spark: SparkSession, limit: int = 8 << 20) -> SparkSession:
+    """A session of the same application that hands Python about ``limit`` bytes at a time (one row at least), for rows of megabytes."""
+    own = prepare(spark.newSession())
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+    if (size := spark.conf.get("spark.sql.files.maxPartitionBytes", None)) is not None:
+        own.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return own
 
 
 def whole_row(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
@@ -92,6 +102,13 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside its executor, and keeps the peak of its largest rows otherwise."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as rows that Python returns have it."""
     if isinstance(kind, T.StructType):

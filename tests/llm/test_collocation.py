@@ -92,3 +92,29 @@ def test_query_matches_sql(spark, sf):
     got = E.queries()["op12_pair_tiles"](spark, path)
     ok, msg = compare(got, ORACLE["op12_pair_tiles"], duck(path))
     assert ok, msg
+
+
+def test_words_are_numbered_alike_in_pieces(monkeypatch):
+    texts = [t.encode() for t, _ in corpus(5) if t]
+    seq, words, n = C.encode(texts)
+    for piece in (1, 7, 100):
+        monkeypatch.setattr(C, "PIECE", piece)
+        again = C.encode(texts)
+        assert (again[0] == seq).all() and again[1].equals(words) and (again[2] == n).all()
+
+
+def test_shards_are_read_and_handed_over_a_few_at_a_time(spark):
+    """Rows of megabytes: neither a row group nor an Arrow batch holds all of a file's."""
+    import pyarrow.parquet as pq
+    from pitlane.llm.common import row_by_row
+
+    r = random.Random(6)
+    rows = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(100_000)), "en", "s", 0) for i in range(24)]
+    shards = C.word_shards(documents(spark, rows).coalesce(1), shard_bytes=1 << 20)
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")) for f in shards.inputFiles()]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24 and max(g.num_rows for g in groups) <= 12
+    own = row_by_row(spark, 1 << 20).read.schema(shards.schema).parquet(*shards.inputFiles())
+    count = lambda batches: (b.from_arrays([[b.num_rows]], ["n"]) for b in batches)
+    held = [x.n for x in own.select("seq", "words").mapInArrow(count, "n long").collect()]
+    assert sum(held) == 24 and max(held) == 1
