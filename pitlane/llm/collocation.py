@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlane.llm.common import drop_landed, give_back, land, recorded, row_by_row, rows_by_bytes
+from pitlane.llm.common import drop_landed, give_back, land, recorded, rows_by_bytes
+from pitlane.session import BIG_ROWS, row_by_row
 
 BREAK = b"."
 #: Lowers A-Z and writes every character that ends a piece as a full stop.
@@ -43,8 +44,8 @@ PAIRS_ARROW = pa.schema([
 ])
 #: Text that is cut into words at a time.
 PIECE = 1 << 20
-#: A shard is a row of megabytes. Writers look at their buffers only every hundred rows if not told otherwise, and readers take a row group at once.
-BIG_ROWS = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+#: How shards, rows of megabytes, are written.
+SHARDS = {"compression": "zstd", **BIG_ROWS}
 
 
 def squeeze(seq: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def word_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_b
         yield from rows()
 
     src = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text")).filter("octet_length(text) > 0")
-    return land(src.mapInArrow(cut, WORDS), "words", **BIG_ROWS)
+    return land(src.mapInArrow(cut, WORDS), "words", **SHARDS)
 
 
 def count_pairs(a: np.ndarray, b: np.ndarray, side: int = 512, dense: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +249,7 @@ def pair_shards(shards: DataFrame, units: DataFrame, frequent: DataFrame, keys:
                     give_back()
 
         own = row_by_row(shards.sparkSession).read.schema(shards.schema).parquet(*shards.inputFiles())
-        out = land(own.select("shard", "lang", "seq", *keys).mapInArrow(step, PAIRS), "pairs", shards.sparkSession, **BIG_ROWS)
+        out = land(own.select("shard", "lang", "seq", *keys).mapInArrow(step, PAIRS), "pairs", shards.sparkSession, **SHARDS)
         sent.destroy()
         return out
 
@@ -261,7 +262,7 @@ def pair_shards(shards: DataFrame, units: DataFrame, frequent: DataFrame, keys:
 
     own = units.drop("n").join(frequent.drop("f"), ["lang", *keys]).select(F.col("shard").alias("of"), "u", "id")
     left = shards.select("shard", "lang", "seq", F.size("n").alias("units"))
-    return land(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(answer, PAIRS), "pairs", **BIG_ROWS)
+    return land(left.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(answer, PAIRS), "pairs", **SHARDS)
 
 
 def _exact(x: Column) -> Column:

@@ -59,15 +59,6 @@ def land(df: DataFrame, name: str, reader: SparkSession | None = None, **options
     return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
-def row_by_row(spark: SparkSession, limit: int = 8 << 20) -> SparkSession:
-    """A session of the same application that hands Python about ``limit`` bytes at a time (one row at least), for rows of megabytes."""
-    own = prepare(spark.newSession())
-    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
-    if (size := spark.conf.get("spark.sql.files.maxPartitionBytes", None)) is not None:
-        own.conf.set("spark.sql.files.maxPartitionBytes", size)
-    return own
-
-
 def whole_row(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
     """A struct of all columns, whatever their names."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in skip))

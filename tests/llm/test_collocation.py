@@ -106,7 +106,7 @@ def test_words_are_numbered_alike_in_pieces(monkeypatch):
 def test_shards_are_read_and_handed_over_a_few_at_a_time(spark):
     """Rows of megabytes: neither a row group nor an Arrow batch holds all of a file's."""
     import pyarrow.parquet as pq
-    from pitlane.llm.common import row_by_row
+    from pitlane.session import row_by_row
 
     r = random.Random(6)
     rows = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(100_000)), "en", "s", 0) for i in range(24)]

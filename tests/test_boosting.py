@@ -171,3 +171,19 @@ def test_a_level_adds_up_without_a_shuffle_and_as_with_one(spark, monkeypatch):
     more, same_errors, same_tree = trained("sums by a shuffle")
     assert more > few and same_tree[0] == tree[0] and same_errors == pytest.approx(errors)
     assert all(a == pytest.approx(b) for a, b in zip(same_tree, tree, strict=True))  # tasks get their blocks in any order
+
+
+def test_blocks_stay_small_however_many_models_train(spark):
+    """A task reads, writes and scores some hundred KB at a time; what it sums at a time has as many rows as before."""
+    train = spark.range(12_000).select(F.col("id").alias(B.ROW), F.rand(1).alias(B.Y), F.rand(2).alias("a"), F.rand(3).alias("b"))
+    side = B.SideBySide({"train": train, "valid": train.limit(500)}, ["a", "b"], [B.BoostParams(max_depth=2)] * 50)
+    side.run(1)
+    got = side.state.select("side", "n", F.octet_length("scores").alias("bytes")).collect()
+    assert sum(r.n for r in got if r.side == "train") == 12_000 and sum(r.n for r in got if r.side == "valid") == 500
+    assert all(r.bytes == 50 * 8 * r.n for r in got) and max(r.bytes for r in got) <= B.BLOCK_BYTES
+
+    rng = np.random.default_rng(1)
+    parts = [("train", np.arange(n), rng.normal(size=n), rng.integers(0, 9, (2, n)), rng.normal(size=(3, n))) for n in (4, 5, 3, 9, 1)]
+    found = list(B.joined(iter(parts), 10))
+    assert [len(x[0]) for x in found] == [9, 3, 10]
+    assert all((np.concatenate([f[i] for f in found], axis=-1) == np.concatenate([p[i + 1] for p in parts], axis=-1)).all() for i in range(4))
