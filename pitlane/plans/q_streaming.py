@@ -77,15 +77,15 @@ from j where (wx is not null and ts < (select w from wm))
     doubles=("AirTemp", "TrackTemp", "WindSpeed"),
 )
 def q_stream_latest_weather(spark, sf):
-    """ST3: latest weather at or before each lap start within 10 minutes
-    (stream-stream left outer interval join + max_by), appended once final:
-    the global watermark is the slower input's (weather) latest time minus 3
+    """ST3: latest weather at or before each lap start within 10 minutes,
+    appended once final: the global watermark is the slower input's (weather) latest time minus 3
     minutes; a lap with a reading is final once the watermark passes it, a
     lap without one once the watermark passes it plus the look-back."""
-    ev = ST.read_events_stream(spark, _src(sf))
-    laps = ST.read_events_stream(spark, _src(sf)).select("event_id", "Year", "RoundNumber", F.col("ts").alias("lap_ts"))
+    own = AS.state_session(spark)
+    ev = ST.read_events_stream(own, _src(sf))
+    laps = ST.read_events_stream(own, _src(sf)).select("event_id", "Year", "RoundNumber", F.col("ts").alias("lap_ts"))
     out, ck = _scratch(spark, "st3-out"), _scratch(spark, "st3-ck")
-    ST.run_to_table(ST.latest_weather_stream(laps, ST.weather_stream(ev)), out, ck)
+    ST.run_to_table(ST.latest_weather_stream(laps, ST.weather_stream(ev), slice_us=SLICE_US), out, ck)
     return spark.read.parquet(out)
 
 

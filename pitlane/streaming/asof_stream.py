@@ -15,6 +15,9 @@ and a lap's sums are given out when the next start has been passed by the waterm
 ``LAP_BLOCK`` lap numbers of a car side by side, so a trigger costs a call a block, not a lap. Laps that never see a
 next start are forgotten ``keep_hours`` after their start.
 
+``latest_weather_stream`` has a look-back, so it needs no second operator: a reading is in every slice that its look-back reaches.
+A lap with a reading comes out once it is below the watermark, one without once the look-back after it is, too.
+
 Rows are kept in blocks: a state entry is an Arrow stream of the rows that came together.
 
 Rows later than the watermark are dropped, as in every streaming query. Questions without any earlier answer come
@@ -94,7 +97,8 @@ def latest(answers: dict[str, np.ndarray] | None, times: np.ndarray) -> np.ndarr
 
 
 def _columns(df: pd.DataFrame, names: list[str], rows: np.ndarray) -> dict[str, np.ndarray]:
-    return {c: (df[c].to_numpy(object) if c in ("q", "a") else df[c].to_numpy(np.int64))[rows] for c in names}
+    kinds = {"q": object, "a": object, "has": bool}
+    return {c: df[c].to_numpy(kinds.get(c, np.int64))[rows] for c in names}
 
 
 ANSWERS, QUESTIONS = ["us", "tie", "a"], ["us", "q"]
@@ -232,6 +236,110 @@ def weather_asof_stream(laps: DataFrame, weather: DataFrame, delay: str = "3 min
     return out.withColumnRenamed("us", "lap_us").drop("w_id", "et")
 
 
+class SliceLatest(StatefulProcessor):
+    """The latest reading within a look-back for the laps of one (race, slice), which also holds the readings that reach into it."""
+
+    def __init__(self, by: list[str], slice_us: int, look_us: int):
+        self.by, self.slice_us, self.look_us = by, slice_us, look_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.readings = handle.getListState("reading_blocks", _BLOCK)
+        self.laps = handle.getListState("lap_blocks", _BLOCK)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = (key[-1] + 1) * self.slice_us - 1
+        for df in rows:
+            is_reading = df["kind"].to_numpy() == ANSWER
+            if is_reading.any():
+                self.readings.appendValue(_block(_columns(df, ANSWERS, is_reading)))
+            if not is_reading.all():
+                laps = _columns(df, LAPS, ~is_reading)
+                self.laps.appendValue(_block(laps))
+                first = min(first, int(laps["us"].min()))
+        self.handle.registerTimer(_fires_beyond(first))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        laps, readings = _rows(self.laps), _rows(self.readings)
+        out = pd.DataFrame()
+        if laps is not None:
+            readings_there = readings is not None
+            times, found = laps["us"], np.zeros(len(laps["us"]), bool)
+            if readings_there:
+                readings = in_order(readings)
+                at = np.searchsorted(readings["us"], times, side="right") - 1
+                found = (at >= 0) & (times - readings["us"][at] <= self.look_us)
+            is_due = np.where(found, times, times + self.look_us) < passed
+            due = np.flatnonzero(is_due)
+            order = due[np.lexsort((laps["has"][due], laps["id"][due], times[due]))]
+            got = _taken(laps, order)
+            again = np.zeros(len(order), bool)  # a lap that is there twice comes out once
+            again[1:] = np.logical_and.reduce([got[c][1:] == got[c][:-1] for c in LAPS])
+            order = order[~again]
+            a = np.full(len(order), None, object)
+            if readings_there:
+                a = np.where(found[order], readings["a"][at[order]], None)
+            out = pd.DataFrame({**{c: [v] * len(order) for c, v in zip(self.by, key, strict=False)}, **_taken(laps, order), "a": a})
+            rest = _taken(laps, ~is_due)
+            self.laps.clear()
+            if len(rest["us"]):
+                self.laps.put([_block(rest)])
+                ahead = np.where(rest["us"] < passed, rest["us"] + self.look_us, rest["us"])
+                self.handle.registerTimer(_fires_beyond(int(ahead.min())))
+        end = (key[-1] + 1) * self.slice_us
+        if end <= passed:
+            self.readings.clear()
+        else:
+            self.handle.registerTimer(_fires_beyond(end - 1))
+            if readings is not None and (old := readings["us"] < passed - self.look_us).any():
+                self.readings.clear()
+                if not old.all():
+                    self.readings.put([_block(_taken(readings, ~old))])
+        if not len(out):
+            yield pd.DataFrame()
+        for lo in range(0, len(out), 100_000):
+            yield out.iloc[lo:lo + 100_000]
+
+    def close(self) -> None:
+        pass
+
+
+LAPS = ["us", "id", "has"]
+
+
+def _fires_beyond(us: int) -> int:
+    """The timer (ms) that has expired once ``us`` is below the watermark."""
+    return us // 1000 + 1
+
+
+def latest_weather_stream(laps: DataFrame, weather: DataFrame, look_us: int, delay: str = "3 minutes", slice_us: int = SLICE_US) -> DataFrame:
+    """ST3 with a look-back: laps (event_id, Year, RoundNumber, lap_ts), weather (wYear, wRound, w_ts and values).
+
+    A reading is dealt to its slice and to those that its look-back reaches, so a slice settles its laps alone: a lookup in sorted readings
+    each, whatever the number of readings within the look-back. Equal times: the highest reading as text.
+    """
+    race = ["Year", "RoundNumber"]  # a lap with a null in it has no reading; state keys hold no nulls
+    by = [*race, *(f"no_{c}" for c in race)]
+    keyed = [*(F.coalesce(c, F.lit(0)).cast(laps.schema[c].dataType).alias(c) for c in race), *(F.col(c).isNull().alias(f"no_{c}") for c in race)]
+    values = [c for c in weather.columns if c not in ("wYear", "wRound", "w_ts")]
+    us, slice_of = F.unix_micros("ts"), lambda t: F.floor(t / F.lit(slice_us))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    asked = laps.select(*keyed, F.col("lap_ts").alias("ts"), "event_id").where("ts is not null").withWatermark("ts", delay)
+    asked = asked.select(*by, "ts", slice_of(us).alias("slice"), us.alias("us"), F.lit(OPEN).alias("kind"), zero.alias("tie"),
+                         F.coalesce("event_id", zero).alias("id"), F.col("event_id").isNotNull().alias("has"), none.alias("a"))
+    read = weather.select(F.col("wYear").alias("Year"), F.col("wRound").alias("RoundNumber"), F.col("w_ts").alias("ts"), F.to_json(F.struct(*values)).alias("a"))
+    read = read.where("ts is not null and Year is not null and RoundNumber is not null").withWatermark("ts", delay)
+    read = read.select(*keyed, "ts", F.explode(F.sequence(slice_of(us), slice_of(us + F.lit(look_us)))).alias("slice"), us.alias("us"), F.lit(ANSWER).alias("kind"),
+                       zero.alias("tie"), zero.alias("id"), F.lit(False).alias("has"), "a")
+    keys = ", ".join([*(f"{c} {laps.schema[c].dataType.simpleString()}" for c in race), *(f"no_{c} boolean" for c in race)])
+    out = asked.unionByName(read).groupBy(*by, "slice").transformWithStateInPandas(
+        SliceLatest(by, slice_us, look_us), f"{keys}, us long, id long, has boolean, a string", "Append", "EventTime")
+    parsed = F.from_json("a", T.StructType([weather.schema[c] for c in values])).alias("w")
+    return out.select(F.when(F.col("has"), F.col("id")).alias("event_id"), *(F.when(~F.col(f"no_{c}"), F.col(c)).alias(c) for c in race), F.col("us").alias("lap_us"), parsed).select("event_id", *race, "lap_us", "w.*")
+
+
 # --- ST1 ----------------------------------------------------------------------------
 
 CHANNELS = ["Speed", "Throttle", "Brake", "DRS", "RPM", "nGear"]
